@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assaykit.llm.common import WORD_GAP, text_key
 from assaykit.llm.recompression import repeated_words
+from assaykit.llm.signature_trees import near_duplicates
 from assaykit.llm.suffix_index import repeated_bytes
 
 
@@ -21,6 +22,11 @@ def _by_text(docs: DataFrame, made: DataFrame) -> DataFrame:
     return docs.select("doc_id", *text_key(F.col("text"))).join(made, ["h1", "h2"], "left").drop("h1", "h2")
 
 
+def op7_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return near_duplicates(docs, words=4, num=85, den=100, columns=["doc_id"])
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     made = repeated_bytes(docs, 200).select(
@@ -38,6 +44,7 @@ def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_signature_trees": op7_signature_trees,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_recompression_dedup": op10_recompression_dedup,
 }
