@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaykit.llm import licences, media_ogg, packing, pii, pieces_scan, quality
 from assaykit.llm.common import WORD_GAP, text_key
+from assaykit.llm.permutation_index import nearest
 from assaykit.llm.recompression import repeated_words
 from assaykit.llm.signature_trees import near_duplicates
 from assaykit.llm.suffix_index import repeated_bytes
@@ -22,6 +24,69 @@ def _by_text(docs: DataFrame, made: DataFrame) -> DataFrame:
     return docs.select("doc_id", *text_key(F.col("text"))).join(made, ["h1", "h2"], "left").drop("h1", "h2")
 
 
+HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
+
+
+def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(f"not ({HELD_OUT})")
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", "predicted")
+
+
+def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    size = F.octet_length(text)
+    padding = F.when(size == 0, 64).otherwise(F.pmod(-size, F.lit(64)))
+    padded = F.concat(text, F.repeat(F.lit("\0"), padding.cast("int")).cast("binary"))
+    docs = _documents(spark, sf_dir).select("doc_id", size.cast("long").alias("n_bytes"), padded.alias("payload"))
+    media = media_ogg.encode(docs, "payload").drop("payload")
+    made = media_ogg.decode(media)
+    back = F.col("decoded.samples")
+    return made.select(
+        "doc_id", "n_bytes", F.length(back).cast("long").alias("payload_bytes"), F.sha2(back, 256).alias("payload_sha256"), F.crc32(F.substring(back, -64, 64)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.col("decoded.feature").alias("feature"), F.col("decoded.error").alias("error"),
+    )
+
+
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    made = packing.pack(_documents(spark, sf_dir), path)
+    return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group")
+
+
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    made = licences.scan(docs, licences.train(docs)).withColumn("sure", F.filter("licences", lambda x: x["confirmed"]))
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform("sure", lambda x: x["family"]))), ",")
+    return made.select("doc_id", F.size("licences").alias("n_predicted"), F.size("sure").alias("n_confirmed"), families.alias("families"), F.array_max(F.transform("sure", lambda x: x["p"])).alias("p"))
+
+
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str, key: bytes = b"a secret of the caller") -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    made = pii.replace(docs, key)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",")
+    return made.select("doc_id", F.size("entities").alias("n_entities"), kinds.alias("kinds"), "text")
+
+
+def op8_piece_scan(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    made = pieces_scan.decode(pieces_scan.encode(docs, path), path)
+    whole = F.coalesce("text", F.lit(""))
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == whole).alias("round_trip"))
+
+
 def op7_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return near_duplicates(docs, words=4, num=85, den=100, columns=["doc_id"])
@@ -44,6 +109,13 @@ def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_compression_quality": op1_compression_quality,
+    "op2_ogg_media": op2_ogg_media,
+    "op3_permutation_index": op3_permutation_index,
+    "op4_packing": op4_packing,
+    "op5_licence_scan": op5_licence_scan,
+    "op6_pii_surrogates": op6_pii_surrogates,
+    "op8_piece_scan": op8_piece_scan,
     "op7_signature_trees": op7_signature_trees,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_recompression_dedup": op10_recompression_dedup,

@@ -178,7 +178,7 @@ def windows_reach(batches: Iterator[pa.RecordBatch], expand: Callable) -> Iterat
     for batch in batches:
         names = batch.column(0).to_numpy()
         cut = int(np.searchsorted(names, names[-1])) if len(names) else 0
-        if size + batch.nbytes > 8 << 20 and (cut or (waiting and waiting[-1].column(0)[-1].as_py() != int(names[0]))):
+        if size + batch.nbytes > 1 << 20 and (cut or (waiting and waiting[-1].column(0)[-1].as_py() != int(names[0]))):
             if cut:
                 waiting.append(batch.slice(0, cut))
             yield from flush(waiting)
