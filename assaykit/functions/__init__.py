@@ -1 +1 @@
-
+"""Scalar functions and rule packs."""

@@ -1 +1 @@
-
+"""Checks, profiles, registers, groups and metrics."""
