@@ -104,20 +104,47 @@ def a10(t):
 
 # B: rules and verdicts
 
-ORDER_RULES = [
-    RowRule("price_high", "orders", F.col("o_orderstatus") == "F", threshold_pct=10.0, violates=F.col("o_totalprice") > 300000),
-    RowRule("low_priority", "orders", threshold_pct=50.0, violates=F.col("o_orderpriority") == "5-LOW"),
-    RowRule("late", "orders", threshold_pct=5.0, status="shadow", violates=F.year("o_orderdate") >= 1998),
-]
-LINE_RULES = [
-    RowRule("discount", "lineitem", threshold_pct=20.0, violates=F.col("l_discount") > 0.05),
-    RowRule("quantity", "lineitem", F.col("l_linestatus") == "O", threshold_pct=15.0, violates=F.col("l_quantity") > 45),
-    RowRule("tax", "lineitem", F.col("l_returnflag") == "Z", violates=F.col("l_tax") > 0.01),
-]
-CUSTOMER_RULES = [RowRule("negative_balance", "customer", threshold_pct=1.0, severity="P1_block", violates=F.col("c_acctbal") < 0)]
-UNIQUE = UniqueRule("line_unique", "lineitem", F.col("l_linestatus") == "O", keys=("l_orderkey", "l_linenumber"))
-SHARED = UniqueRule("clerk_shared", "orders", keys=("o_custkey",), most=10)
-CONSTANT = VarianceRule("status_varies", "orders", F.col("o_orderstatus") == "F", values="o_orderstatus")
+def order_rules() -> list[RowRule]:
+    return [
+        RowRule("price_high", "orders", F.col("o_orderstatus") == "F", threshold_pct=10.0, violates=F.col("o_totalprice") > 300000),
+        RowRule("low_priority", "orders", threshold_pct=50.0, violates=F.col("o_orderpriority") == "5-LOW"),
+        RowRule("late", "orders", threshold_pct=5.0, status="shadow", violates=F.year("o_orderdate") >= 1998),
+    ]
+
+
+def line_rules() -> list[RowRule]:
+    return [
+        RowRule("discount", "lineitem", threshold_pct=20.0, violates=F.col("l_discount") > 0.05),
+        RowRule("quantity", "lineitem", F.col("l_linestatus") == "O", threshold_pct=15.0, violates=F.col("l_quantity") > 45),
+        RowRule("tax", "lineitem", F.col("l_returnflag") == "Z", violates=F.col("l_tax") > 0.01),
+    ]
+
+
+def join_rules() -> list[JoinRule]:
+    return [
+        JoinRule("ship_before_order", "lineitem", threshold_pct=10.0, join="lines", violates=F.col("l_shipdate") < F.col("o_orderdate")),
+        JoinRule("urgent_big", "lineitem", F.col("o_orderpriority") == "1-URGENT", threshold_pct=60.0, join="lines", violates=F.col("l_extendedprice") > F.col("o_totalprice")),
+    ]
+
+
+def line_unique() -> UniqueRule:
+    return UniqueRule("line_unique", "lineitem", F.col("l_linestatus") == "O", keys=("l_orderkey", "l_linenumber"))
+
+
+def status_varies() -> VarianceRule:
+    return VarianceRule("status_varies", "orders", F.col("o_orderstatus") == "F", values="o_orderstatus")
+
+
+def all_rules() -> list:
+    balance = RowRule("negative_balance", "customer", threshold_pct=1.0, severity="P1_block", violates=F.col("c_acctbal") < 0)
+    return [*order_rules(), *line_rules(), balance, line_unique(), status_varies(), *join_rules()]
+
+
+#: Limit and status of each of these rules, for the oracle.
+LIMITS = {
+    "price_high": (10.0, "active"), "low_priority": (50.0, "active"), "late": (5.0, "shadow"), "discount": (20.0, "active"), "quantity": (15.0, "active"), "tax": (0.0, "active"),
+    "negative_balance": (1.0, "active"), "line_unique": (0.0, "active"), "status_varies": (0.0, "active"), "ship_before_order": (10.0, "active"), "urgent_big": (60.0, "active"),
+}
 MEASURES = {
     "price_high": "SELECT 'price_high' AS rule_id, COUNT(*) AS rows_scanned, COUNT(*) FILTER (o_totalprice > 300000) AS violation_count FROM orders WHERE o_orderstatus = 'F'",
     "low_priority": "SELECT 'low_priority', COUNT(*), COUNT(*) FILTER (o_orderpriority = '5-LOW') FROM orders",
@@ -140,42 +167,35 @@ def measures(*names: str) -> str:
 
 @query("b3_row_level_batch", measures("price_high", "low_priority", "late"))
 def b3(t):
-    return checks.row_level_batch(t.orders, ORDER_RULES)
+    return checks.row_level_batch(t.orders, order_rules())
 
 
 @query("b3_one_by_one", measures("discount", "quantity", "tax"))
 def b3_single(t):
-    return checks.one_by_one(t.lineitem, LINE_RULES)
-
-
-JOIN_RULES = [
-    JoinRule("ship_before_order", "lineitem", threshold_pct=10.0, join="lines", violates=F.col("l_shipdate") < F.col("o_orderdate")),
-    JoinRule("urgent_big", "lineitem", F.col("o_orderpriority") == "1-URGENT", threshold_pct=60.0, join="lines", violates=F.col("l_extendedprice") > F.col("o_totalprice")),
-]
-ALL_RULES = [*ORDER_RULES, *LINE_RULES, *CUSTOMER_RULES, UNIQUE, CONSTANT, *JOIN_RULES]
+    return checks.one_by_one(t.lineitem, line_rules())
 
 
 def _lines(t) -> DataFrame:
     return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-@query("b5_plan_measure", measures(*[r.rule_id for r in ALL_RULES]))
+@query("b5_plan_measure", measures(*LIMITS))
 def b5(t):
     tables = {"orders": t.orders, "lineitem": t.lineitem, "customer": t.customer}
-    return checks.measure(t.spark, ALL_RULES, tables, {"lines": _lines(t)}).drop("error")
+    return checks.measure(t.spark, all_rules(), tables, {"lines": _lines(t)}).drop("error")
 
 
-_LIMITS = ", ".join(f"('{r.rule_id}', {float(r.threshold_pct)}E0, '{r.status}')" for r in ALL_RULES)
+_LIMITS = ", ".join(f"('{name}', {pct}E0, '{status}')" for name, (pct, status) in LIMITS.items())
 _VERDICT = f"""
     SELECT m.rule_id, rows_scanned, violation_count, CASE WHEN rows_scanned > 0 THEN ROUND(violation_count * 100.0E0 / rows_scanned, 4) END AS violation_pct,
            CASE WHEN l.status = 'shadow' THEN 'skipped' WHEN rows_scanned = 0 THEN 'skipped' WHEN violation_count = 0 THEN 'pass'
                 WHEN ROUND(violation_count * 100.0E0 / rows_scanned, 4) > l.pct THEN 'breach' ELSE 'pass' END AS status
-    FROM ({measures(*[r.rule_id for r in ALL_RULES])}) m JOIN (VALUES {_LIMITS}) l(rule_id, pct, status) ON l.rule_id = m.rule_id"""
+    FROM ({measures(*LIMITS)}) m JOIN (VALUES {_LIMITS}) l(rule_id, pct, status) ON l.rule_id = m.rule_id"""
 
 
 def flagship(t) -> DataFrame:
     tables = {"orders": t.orders, "lineitem": t.lineitem, "customer": t.customer}
-    return checks.check_run(t.spark, ALL_RULES, tables, {"lines": _lines(t)})
+    return checks.check_run(t.spark, all_rules(), tables, {"lines": _lines(t)})
 
 
 @query("b7_verdict", _VERDICT)
@@ -185,13 +205,13 @@ def b7(t):
 
 @query("b6_error_isolation", f"SELECT rule_id, rows_scanned, violation_count, FALSE AS is_error FROM ({measures('price_high', 'low_priority', 'late', 'discount', 'quantity', 'tax')}) UNION ALL SELECT 'bad_column', NULL, NULL, TRUE UNION ALL SELECT 'no_table', NULL, NULL, TRUE")
 def b6(t):
-    rules = [*ORDER_RULES, RowRule("bad_column", "orders", violates=F.col("no_such_column") > 0), *LINE_RULES, RowRule("no_table", "missing", violates=F.lit(True))]
+    rules = [*order_rules(), RowRule("bad_column", "orders", violates=F.col("no_such_column") > 0), *line_rules(), RowRule("no_table", "missing", violates=F.lit(True))]
     return checks.measure(t.spark, rules, {"orders": t.orders, "lineitem": t.lineitem}).withColumn("is_error", F.col("error").isNotNull()).drop("error")
 
 
 @query("b8_shadow_only", "SELECT 'late' AS rule_id, 'skipped' AS status")
 def b8(t):
-    return checks.check_run(t.spark, ORDER_RULES, {"orders": t.orders}, shadow_only=True).select("rule_id", "status")
+    return checks.check_run(t.spark, order_rules(), {"orders": t.orders}, shadow_only=True).select("rule_id", "status")
 
 
 @query("b9_violation_samples", """
@@ -201,7 +221,7 @@ def b8(t):
         UNION ALL SELECT 'late', CAST(o_orderkey AS STRING) FROM orders WHERE year(o_orderdate) >= 1998)) WHERE n <= 100""")
 def b9(t):
     reads = {"price_high": ["o_totalprice", "o_orderstatus"], "low_priority": ["o_orderpriority"], "late": ["o_orderdate"]}
-    return checks.violation_samples(t.orders, ORDER_RULES, ["o_orderkey"], reads).select("rule_id", "row_key")
+    return checks.violation_samples(t.orders, order_rules(), ["o_orderkey"], reads).select("rule_id", "row_key")
 
 
 @query("b10_sample_keep", "SELECT CAST(c_custkey AS STRING) AS row_key, '{\"c_custkey\":' || CAST(c_custkey AS STRING) || ',\"c_nationkey\":' || CAST(c_nationkey AS STRING) || '}' AS sample_row FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY CAST(c_custkey AS STRING)) AS n FROM customer WHERE c_nationkey = 3) WHERE n <= 20")
@@ -218,7 +238,7 @@ def b11(t):
 
 @query("b12_variance_check", measures("status_varies"))
 def b12(t):
-    return checks.variance_check(t.orders, CONSTANT)
+    return checks.variance_check(t.orders, status_varies())
 
 
 @query("b12_variance_constant", "SELECT 'one' AS rule_id, COUNT(*) AS rows_scanned, COUNT(*) AS violation_count FROM orders WHERE o_orderstatus = 'F'")
@@ -273,7 +293,7 @@ def c4_total(t):
 
 @query("c5_cross_table_batch", measures("ship_before_order", "urgent_big"))
 def c5(t):
-    return checks.row_level_batch(_lines(t), JOIN_RULES)
+    return checks.row_level_batch(_lines(t), join_rules())
 
 
 @query("c6_population_on_each_side", f"SELECT COUNT(*) AS rows_scanned, COUNT(*) FILTER (o_orderkey NOT IN (SELECT l_orderkey FROM ({_CURRENT}))) AS violation_count FROM orders WHERE o_orderstatus = 'F'")
@@ -364,12 +384,12 @@ def d10(t):
 
 @query("e1_uniqueness", measures("line_unique"))
 def e1(t):
-    return checks.uniqueness_check(t.lineitem, UNIQUE)
+    return checks.uniqueness_check(t.lineitem, line_unique())
 
 
 @query("e1_shared_at_most", "SELECT 'clerk_shared' AS rule_id, COUNT(*) AS rows_scanned, COUNT(*) FILTER (n > 10) AS violation_count FROM (SELECT COUNT(*) OVER (PARTITION BY o_custkey) AS n FROM orders)")
 def e1_shared(t):
-    return checks.uniqueness_check(t.orders, SHARED)
+    return checks.uniqueness_check(t.orders, UniqueRule("clerk_shared", "orders", keys=("o_custkey",), most=10))
 
 
 @query("e2_latest_version", "SELECT o_custkey, o_orderkey FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1")

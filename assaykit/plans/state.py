@@ -11,7 +11,7 @@ from assaykit.operators import datasets, grouping, metrics, profiling
 from assaykit.operators import checks as run
 from assaykit.operators import registers as reg
 from assaykit.plans.fixtures import Registers, with_clause
-from assaykit.schemas import CONSTRAINTS, constraint_rules
+from assaykit.schemas import constraint_rules
 from assaykit.sources import relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -391,18 +391,21 @@ def g12(m):
 
 
 _RADIUS = "SELECT f.problem, list_sort(list(DISTINCT l.target_table)) AS fed FROM (SELECT DISTINCT target_table AS problem FROM failing_now) f JOIN lineage l ON l.source_table = f.problem WHERE l.seen_day BETWEEN DATE '2024-01-30' - 90 AND DATE '2024-01-30' GROUP BY 1"
-_DAY = F.lit("2024-01-30").cast("date")
+
+
+def _day():
+    return F.lit("2024-01-30").cast("date")
 
 
 @query("g14_blast_radius", f"SELECT problem, array_to_string(fed, ',') AS blast_radius FROM ({_RADIUS})")
 def g14(m):
-    return grouping.blast_radius(_problems(m), m.tables["lineage"], _DAY).select("problem", *joined("blast_radius"))
+    return grouping.blast_radius(_problems(m), m.tables["lineage"], _day()).select("problem", *joined("blast_radius"))
 
 
 @query("g13_rank_score", f"SELECT f.target_table AS problem, (CASE MIN(severity) WHEN 'P1_block' THEN 100 WHEN 'P2_alert' THEN 50 ELSE 20 END + 3 * COUNT(*) + 5 * COALESCE(MAX(len(r.fed)), 0))::BIGINT AS rank_score FROM failing_now f LEFT JOIN ({_RADIUS}) r ON r.problem = f.target_table GROUP BY 1")
 def g13(m):
     p = _problems(m)
-    return grouping.rank_score(p, grouping.blast_radius(p, m.tables["lineage"], _DAY)).select("problem", "rank_score")
+    return grouping.rank_score(p, grouping.blast_radius(p, m.tables["lineage"], _day())).select("problem", "rank_score")
 
 
 @query("g15_problem_id", "SELECT DISTINCT target_table AS problem, sha256(target_table || '|' || target_table) AS problem_id FROM failing_now")
@@ -458,7 +461,7 @@ def j5(m):
 
 @query("j6_newly_failing", "SELECT k.rule_id, MIN(k.run_ts) AS turned_ts FROM check_run k JOIN (SELECT rule_id, MAX(run_ts) AS ok FROM check_run WHERE status = 'pass' GROUP BY 1) c USING (rule_id) WHERE k.status = 'breach' AND k.run_ts > c.ok GROUP BY 1 HAVING date_diff('day', CAST(MIN(k.run_ts) AS DATE), DATE '2024-01-30') BETWEEN 0 AND 14")
 def j6(m):
-    return metrics.newly_failing(m.runs, _DAY)
+    return metrics.newly_failing(m.runs, _day())
 
 
 _SINCE = "SELECT k.rule_id, MIN(k.run_ts) AS failing_since FROM check_run k LEFT JOIN (SELECT rule_id, MAX(run_ts) AS ok FROM check_run WHERE status <> 'breach' GROUP BY 1) c USING (rule_id) WHERE k.status = 'breach' AND (c.ok IS NULL OR k.run_ts > c.ok) GROUP BY 1"
@@ -573,7 +576,7 @@ def a8(m):
 
 @query("b13_register_constraints", "SELECT 'status_enum' AS rule_id, COUNT(*) AS rows_scanned, 0::BIGINT AS violation_count FROM check_run UNION ALL SELECT 'counts', COUNT(*), COUNT(*) FILTER (violation_count > rows_scanned) FROM check_run UNION ALL SELECT 'pct_range', COUNT(*), COUNT(*) FILTER (violation_pct > 100) FROM check_run")
 def b13(m):
-    return run.row_level_batch(m.runs, constraint_rules("check_run", CONSTRAINTS["check_run"]))
+    return run.row_level_batch(m.runs, constraint_rules("check_run"))
 
 
 @query("i6_pending_columns", "SELECT DISTINCT c.target_table, c.target_column FROM (SELECT DISTINCT target_table, 'c' || CAST(k AS STRING) AS target_column FROM monitored_table, range(0, 12) r(k)) c WHERE NOT EXISTS (SELECT 1 FROM bound b WHERE b.target_table = c.target_table AND b.target_column = c.target_column) AND NOT EXISTS (SELECT 1 FROM binding_proposal p WHERE p.target_table = c.target_table AND p.target_column = c.target_column AND p.proposal_id NOT IN (SELECT proposal_id FROM binding_review WHERE decision = 'rejected'))")
@@ -643,7 +646,7 @@ def k9(m):
 
 @query("k10_problems", "SELECT s.cohort_id, CASE WHEN lifecycle_state LIKE 'closed%' THEN 1 ELSE 0 END AS is_closed, regexp_extract(root_cause_hypothesis, '^[^.:]*') AS claim, CASE WHEN lifecycle_state NOT LIKE 'closed%' THEN date_diff('day', CAST(raised_ts AS DATE), DATE '2024-01-30')::INT END AS age_days, CASE WHEN lifecycle_state IN ('approved_awaiting_execution', 'reopened') THEN owner_group ELSE CASE lifecycle_state WHEN 'awaiting_triage' THEN 'the triage job' WHEN 'awaiting_review' THEN 'a steward' WHEN 'awaiting_approval' THEN 'an approver' WHEN 'awaiting_verification' THEN 'the next run' ELSE '—' END END AS waiting_on FROM state s")
 def k10(m):
-    return datasets.problems(m, _DAY).select("cohort_id", "is_closed", "claim", "age_days", "waiting_on")
+    return datasets.problems(m, _day()).select("cohort_id", "is_closed", "claim", "age_days", "waiting_on")
 
 
 @query("k11_problem_flow", "SELECT CAST(date_trunc('week', raised_ts) AS DATE) AS week, 'Raised' AS flow, cohort_id FROM state UNION ALL SELECT CAST(date_trunc('week', CASE WHEN lifecycle_state = 'closed_verified' THEN verified_ts ELSE reviewed_ts END) AS DATE), 'Closed', cohort_id FROM state WHERE lifecycle_state LIKE 'closed%'")
@@ -668,7 +671,7 @@ def k14(m):
 
 @query("k15_run_health", "SELECT CAST(d AS DATE) AS run_day, CASE WHEN s.run_id IS NULL THEN 1 ELSE 0 END AS no_run, k.n AS checks FROM range(DATE '2024-01-30' - 89, DATE '2024-01-31', INTERVAL 1 DAY) r(d) LEFT JOIN sched s ON s.run_day = CAST(d AS DATE) LEFT JOIN (SELECT run_id, COUNT(*) AS n FROM check_run GROUP BY 1) k ON k.run_id = s.run_id")
 def k15(m):
-    return datasets.run_health(m, _DAY).select("run_day", "no_run", "checks")
+    return datasets.run_health(m, _day()).select("run_day", "no_run", "checks")
 
 
 @query("k16_run_errors", "SELECT rule_id, message FROM last_run WHERE status = 'error'")
