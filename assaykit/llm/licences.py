@@ -123,10 +123,10 @@ def train(docs: DataFrame, seed: int = 7, steps: int = 400) -> Model:
 
 def _grams(words: Column) -> Column:
     """The n-grams of an array of words, once each."""
-    out = [words]
-    for n in range(2, NGRAM + 1):
-        out.append(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.array_distinct(F.concat(*out))
+    def runs(n: int) -> Column:
+        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(words, *[runs(n) for n in range(2, NGRAM + 1)]))
 
 
 def paragraphs(docs: DataFrame, model: Model, key: str, chance: float = 0.5, overlap: float = 0.6) -> DataFrame:

@@ -18,7 +18,9 @@ import hmac
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,9 +42,22 @@ PATTERNS = {
     "phone": r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "name": rf"(?:(?<=\bMr )|(?<=\bMr\. )|(?<=\bMrs )|(?<=\bMrs\. )|(?<=\bMs )|(?<=\bMs\. )|(?<=\bDr )|(?<=\bDr\. )|(?<=\bMiss )|(?<=\bHerr )|(?<=\bFrau )|(?<=\bSeñor )|(?<=\bSeñora )|(?<=\bSr\. )|(?<=\bSra\. )|(?<=\bMonsieur )|(?<=\bMadame )|(?<=\bMme )|(?<=\bMme\. ))[^\W\d_a-z][^\W\d_]+(?: [^\W\d_a-z][^\W\d_]+)?|(?<!\w)(?:{'|'.join(FEMALE + MALE)}) [A-ZÀ-Þ][^\W\d_]+",
 }
-_ALL = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
-#: Every match of the patterns holds one of these; Spark's own functions pass over all other rows.
-GATE = r"@|\d[\d .()-]{4,}\d|\d\.\d+\.\d|[\"][^\"\s]{6,}[\"]|[0-9a-fA-F]{32}|AKIA|ghp_|(?:" + "|".join(TITLES) + r")\.? |(?:" + "|".join(FEMALE + MALE) + ") "
+_PATTERNS = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
+#: What a text needs to hold for a pattern to match; plain and fast tests that lose nothing.
+_DIGITS = re.compile(r"[0-9][0-9 .()-]{4,}[0-9]|[0-9]\.[0-9]+\.[0-9]")
+_NEEDS = {
+    "secret": lambda t: '"' in t or "AKIA" in t or "ghp_" in t or _HEX.search(t),
+    "email": lambda t: "@" in t,
+    "ip": _DIGITS.search,
+    "ssn": _DIGITS.search,
+    "card": _DIGITS.search,
+    "phone": _DIGITS.search,
+    "name": lambda t: any(n in t for n in _NAMED),
+}
+_HEX = re.compile(r"[0-9a-fA-F]{32}")
+_NAMED = [f"{t} " for t in TITLES] + [f"{t}. " for t in TITLES] + [f"{n} " for n in FEMALE + MALE]
+#: The same for whole columns at once, in a syntax that is matched in time linear in the text.
+GATE = r'@|[0-9][0-9 .()-]{4,}[0-9]|[0-9]\.[0-9]+\.[0-9]|"[^"\s]{6,}"|[0-9a-fA-F]{32}|AKIA|ghp_|\b(?:' + "|".join(TITLES) + r")\.? |(?:" + "|".join(FEMALE + MALE) + ") "
 
 
 class Permutation:
@@ -165,8 +180,15 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the entities of a text."""
-    return [(m.lastgroup, m.start(), m.end()) for m in _ALL.finditer(text)]
+    """(kind, start, end) of the entities of a text, none of which overlap."""
+    order = {kind: i for i, kind in enumerate(PATTERNS)}
+    found = [(m.start(), order[kind], m.end(), kind) for kind, pattern in _PATTERNS.items() if _NEEDS[kind](text) for m in pattern.finditer(text)]
+    out, at = [], 0
+    for start, _, end, kind in sorted(found):
+        if start >= at:
+            out.append((kind, start, end))
+            at = end
+    return out
 
 
 ENTITY = "array<struct<kind: string, start: int, end: int, value: string, surrogate: string>>"
@@ -176,42 +198,48 @@ _ENTITY = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("en
 def _replace(batches: Iterator[pa.RecordBatch], key: bytes, text: str) -> Iterator[pa.RecordBatch]:
     known = functools.lru_cache(100_000)(functools.partial(surrogate, key))
     for batch in batches:
-        texts, found = [], []
-        for t in batch.column(text).to_pylist():
-            parts, entities, at = [], [], 0
+        column = batch.column(text)
+        texts, found = column.to_pylist(), [[] for _ in range(len(column))]
+        for row in np.flatnonzero(pc.fill_null(pc.match_substring_regex(column, GATE), False).to_numpy(zero_copy_only=False)).tolist():
+            t, parts, at = texts[row], [], 0
             for kind, a, b in find(t):
                 made = known(kind, t[a:b])
-                entities.append({"kind": kind, "start": a, "end": b, "value": t[a:b], "surrogate": made})
+                found[row].append({"kind": kind, "start": a, "end": b, "value": t[a:b], "surrogate": made})
                 parts += [t[at:a], made]
                 at = b
-            texts.append("".join([*parts, t[at:]]))
-            found.append(entities)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(found, _ENTITY)], names=[*batch.schema.names, "made", "found"])
+            if parts:
+                texts[row] = "".join([*parts, t[at:]])
+        yield pa.RecordBatch.from_arrays([*(c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != text), pa.array(texts, pa.string()), pa.array(found, _ENTITY)], names=[*(n for n in batch.schema.names if n != text), text, "found"])
 
 
-def _entities(docs: DataFrame, key: bytes, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows with made and found for texts that may hold an entity, and the other rows of docs."""
-    small_batches(docs.sparkSession)
-    gate = F.coalesce(F.col("text").rlike(GATE), F.lit(False))
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("made", T.StringType()), T.StructField("found", T._parse_datatype_string(ENTITY))])
-    return docs.where(gate).select(*keep).mapInArrow(functools.partial(_replace, key=key, text="text"), schema), docs.where(~gate)
+def _find(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
+    """The entities alone: kind, surrogate and a hash of the value, once per batch."""
+    known = functools.lru_cache(100_000)(functools.partial(surrogate, key))
+    for batch in batches:
+        column = batch.column(0)
+        hit = column.filter(pc.fill_null(pc.match_substring_regex(column, GATE), False)).to_pylist()
+        seen = {(kind, t[a:b]) for t in hit for kind, a, b in find(t)}
+        rows = [(kind, known(kind, v), int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "big", signed=True)) for kind, v in seen]
+        if rows:
+            kind, made, value = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(made), pa.array(value, pa.int64())], names=["kind", "surrogate", "v"])
 
 
 def collisions(docs: DataFrame, key: bytes) -> DataFrame:
     """kind, surrogate, values: surrogates that more than one value got. Aggregated before the shuffle, so a common value is no hot key."""
-    rows, _ = _entities(docs.select("text"), key, ["text"])
-    each = rows.select(F.explode("found").alias("e")).select("e.kind", "e.surrogate", F.xxhash64("e.value").alias("v"))
-    return each.groupBy("kind", "surrogate", "v").agg(F.count("*").alias("n")).groupBy("kind", "surrogate").agg(F.count("*").alias("values")).where("values > 1")
+    small_batches(docs.sparkSession)
+    each = docs.select("text").mapInArrow(functools.partial(_find, key=key), "kind string, surrogate string, v long")
+    return each.distinct().groupBy("kind", "surrogate").agg(F.count("*").alias("values")).where("values > 1")
 
 
 def replace(docs: DataFrame, key: bytes, verify: bool = True) -> DataFrame:
     """``docs`` with entities replaced in text, and entities (kind, start, end, value, surrogate) added."""
     while verify and not collisions(docs, key).isEmpty():
         key = hashlib.sha256(key).digest()
-    columns = [*docs.columns]
-    inner = {c: f"c{i}" for i, c in enumerate(columns)}  # so that no input name clashes with made and found
-    plain = docs.select(*[F.col(f"`{c}`").alias(n if c != "text" else "text") for c, n in inner.items()])
-    hit, rest = _entities(plain, key, plain.columns)
-    made = free_name(columns, "entities")
-    back = lambda df, text, found: df.select(*[(text if c == "text" else F.col(n)).alias(c) for c, n in inner.items()], found.alias(made))
-    return back(hit, F.col("made"), F.col("found")).unionByName(back(rest, F.col("text"), F.array().cast(ENTITY)))
+    small_batches(docs.sparkSession)
+    made = free_name(docs.columns, "entities")
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}  # so that no input name clashes with the made ones
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()], "text")
+    schema = T.StructType([*plain.schema.fields, T.StructField("found", T._parse_datatype_string(ENTITY))])
+    out = plain.mapInArrow(functools.partial(_replace, key=key, text="text"), schema)
+    return out.select(*[F.col(inner.get(c, "text")).alias(c) for c in docs.columns], F.col("found").alias(made))

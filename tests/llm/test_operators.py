@@ -1,0 +1,272 @@
+"""Packing, media, search, quality, licences, PII and pieces: exact round trips, brute force, held-out accuracy, edge cases."""
+
+import math
+import random
+import re
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from assaykit.llm import licences, media_ogg, packing, permutation_index, pieces_scan, pii, quality
+
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+ODD = ["", None, "  a  b\x0bc\x0cd ", "it's don't I'LL x'sy", "a\x1cb\x85c d e", "ÀÉÎß µm ªº İstanbul ΣΑΣ ς", "é Å ́x", '12a3 4,5.6 ... ,,a.b,c a--b (x) [y] "q"', "日本語 テスト 😀😀 ab😀", "a\n\n\tb\r\nc", "▁a ▁▁ b", "x" * 9000, "ab " * 3000]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i if i else None, t, "kept") for i, t in enumerate(ODD)] + [(3, ODD[3], "kept")]
+    return spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
+
+
+# packing
+
+
+def check_pieces(rows, texts):
+    tokenizer = Tokenizer.from_file(WORDS)
+    want = sorted(tuple(tokenizer.encode(t or "", add_special_tokens=False).ids + [2]) for t in texts)
+    pieces, sequences = {}, {}
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u4")
+        assert len(ids) == r.length
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length, r.sequence_length))
+        pieces.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, ids))
+    for parts in sequences.values():
+        at = 0
+        for offset, length, size in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == size <= 4096 and size & (size - 1) == 0  # full: nothing to pad
+    got = []
+    for (_, n), parts in pieces.items():
+        flat = np.concatenate([ids for _, ids in sorted(parts, key=lambda p: p[0])]).tolist()
+        assert len(flat) % n == 0
+        got.append((n, len(flat), sum(flat)))
+    assert sum(k for _, k, _ in got) == sum(map(len, want)) and sum(s for *_, s in got) == sum(map(sum, want))
+    return pieces
+
+
+def test_packing_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    tokenizer = Tokenizer.from_file(WORDS)
+    rows = packing.pack(docs, WORDS).collect()
+    pieces = check_pieces(rows, [r.text for r in docs.collect()])
+    for r in docs.collect():
+        ids = tokenizer.encode(r.text, add_special_tokens=False).ids + [2]
+        parts = sorted(pieces[(r.doc_id, len(ids))], key=lambda p: p[0])
+        assert np.concatenate([p for _, p in parts]).tolist() == ids
+        assert [s for s, _ in parts] == np.cumsum([0, *[len(p) for _, p in parts[:-1]]]).tolist()
+    groups = {}
+    for r in {(r.step_group, r.sequence_id, r.sequence_length) for r in rows}:
+        groups[r[0]] = groups.get(r[0], 0) + r[2]
+    assert max(groups.values()) <= 8 * 4096
+
+
+def test_packing_edge_cases(spark, odd):
+    check_pieces(packing.pack(odd, WORDS).collect(), [*ODD, ODD[3]])
+    assert packing.pack(odd.where("false"), WORDS).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(odd, WORDS, tiers=(100, 4096))
+
+
+def test_packer_flushes(monkeypatch):
+    monkeypatch.setattr(packing, "BUFFER", 3000)
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["alpha", "beta", "Gamma.", "delta"]) for _ in range(rng.randint(0, 3000))) for _ in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + 10)), pa.array(texts[i : i + 10])], names=["key", "text"]) for i in range(0, 60, 10)]
+    rows = [pd.Series(r) for b in packing._pack(iter(batches), WORDS, 2, (512, 1024, 2048, 4096), 8 * 4096) for r in b.to_pylist()]
+    for r in rows:
+        r["doc_id"] = r["key"]
+    check_pieces(rows, texts)
+
+
+# media
+
+
+def test_ogg_checksum_and_layout():
+    def slow(data):
+        crc = 0
+        for byte in data:
+            crc ^= byte << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ 0x04C11DB7) & 0xFFFFFFFF if crc & 0x80000000 else crc << 1
+        return crc
+
+    for data in (b"", b"a", bytes(range(256))):
+        assert media_ogg.page_crc(data) == slow(data)
+    media = media_ogg.encode_bytes(b"x" * 70_000, b"note")
+    assert media[:4] == b"OggS" and media.count(b"OggS") == 5
+    made = media_ogg.decode_bytes(media)
+    assert made["packet_us"][-1] == made["duration_us"] == 70_000 * 125 and made["note"] == b"note" and made["streams"] == 2
+
+
+@pytest.mark.parametrize("size", [0, 1, 64, 254, 255, 256, 4095, 4096, 4097, 65_024, 65_025, 65_026, 200_000])
+def test_ogg_round_trip_and_faults(size):
+    data = np.random.default_rng(size).integers(0, 256, size, dtype=np.uint8).tobytes()
+    media = media_ogg.encode_bytes(data)
+    assert media_ogg.decode_bytes(media)["samples"] == data
+    at = len(media) // 2
+    for bad in (media[:at] + bytes([media[at] ^ 1]) + media[at + 1 :], media[:-1], media[at:], media + b"x", b"", media[:30]):
+        made = media_ogg.decode_bytes(bad)
+        assert made["error"] and made["samples"] is None
+
+
+def test_ogg_columns(spark):
+    df = spark.createDataFrame([(bytearray(b"abc"), "m"), (None, None), (bytearray(), "")], "samples binary, media string")
+    made = media_ogg.decode(media_ogg.encode(df), "media_").collect()
+    assert [r.decoded.samples if r.decoded else None for r in made] == [b"abc", None, b""]
+
+
+# search
+
+
+def test_search_recall_and_scores(spark, sf):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 24)) + rng.normal(size=(10, 24))[rng.integers(0, 10, 3000)]
+    x[100:400] = x[7]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (5000, None), (5020, [0.0] * 24), (5040, [math.nan] * 24), (5060, [1.0]), (5080, [None, *x[0].tolist()[1:]]), (3, x[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
+    got = permutation_index.nearest(df, least=64).toPandas()
+    hits = 0
+    for q in range(0, 3000, 20):
+        score = (x * x[q]).sum(1)
+        order = [i for i in np.lexsort((np.arange(3000), -score)) if i != q][:20]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 21))
+        assert np.allclose(mine["score"], score[mine["vec_id"]], rtol=1e-12)
+        assert (np.diff(mine["score"]) <= 0).all() and q not in mine["vec_id"].tolist()
+        hits += len(set(order) & set(mine["vec_id"]))
+    assert hits / (150 * 20) >= 0.9 and set(got.query_id) == set(range(0, 3000, 20))
+    few = permutation_index.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>"))
+    assert [tuple(r) for r in few.orderBy("rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 2, 0.0)]
+    assert permutation_index.nearest(df.where("false")).count() == 0
+
+
+# quality
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = "crc32(cast(doc_id as string)) % 5 = 0"
+    model = quality.fit(docs, labels.where(f"not ({out})"))
+    rows = quality.score(docs.where(out), model).join(labels, "doc_id").select("quality", "score", "predicted").toPandas()
+    good, bad = rows[rows.quality == 1], rows[rows.quality == 0]
+    auc = (good.score.rank().sum() * 0 + sum((good.score.to_numpy() > s).mean() + 0.5 * (good.score.to_numpy() == s).mean() for s in bad.score)) / len(bad)
+    assert auc > 0.97 and (good.predicted == 1).mean() > 0.97 and (bad.predicted == 0).mean() > 0.7
+    assert ((rows.score - rows.quality) ** 2).mean() < 0.03
+
+
+def test_quality_edge_cases(spark, odd):
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
+    model = quality.fit(odd, labels)
+    made = quality.score(odd.withColumn("score", F.lit(0)), model)
+    assert {r.score_ for r in made.collect()} == {0.5} and made.count() == len(ODD) + 1
+    assert quality.score(odd.where("false"), model).count() == 0
+
+
+# licences
+
+
+@pytest.fixture(scope="module")
+def model(spark, sf):
+    return licences.train(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def test_licences(spark, model):
+    texts = ["words here\nLicensed under the Apache License, Version 2.0.\nmore", "Released under the MIT License.", "this work is licensed under the gnu general public license, version 3", "Licensed under CC BY-NC 4.0.", "the license to drive was taken from them", "", None, "Released under the MIT License.\nLicensed under CC BY 4.0.", "the and of " * 2000]
+    want = [["Apache-2.0"], ["MIT"], ["GPL-3.0"], ["CC-BY-NC-4.0"], [], [], [], ["MIT", "CC-BY-4.0"], []]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(9, texts[1], "y")], "doc_id long, text string, licences string")
+    got = {r.doc_id: [x.family for x in r.licences_ if x.confirmed] for r in licences.scan(df, model).collect()}
+    assert [got[i] for i in range(len(texts))] == want and got[9] == ["MIT"]
+    assert licences.scan(df.where("false"), model).count() == 0
+
+
+def test_licence_plan_is_native(spark, model):
+    df = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
+    plan = licences.scan(df, model)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# PII
+
+KEY = b"test"
+TEXT = 'Mr. John Smith, john.smith@mail.example.com, 10.0.0.1, +1 (743) 555-3824, 4111 1111 1111 1111, 123-45-6789, token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and John Smith again, Señora Ñandú.'
+
+
+def test_pii_surrogates(spark):
+    df = spark.createDataFrame([(1, TEXT, 5), (2, TEXT, 5), (3, None, 5), (4, "", 5), (5, "clean text of 3 words", 5)], "doc_id long, text string, entities int")
+    rows = {r.doc_id: r for r in pii.replace(df, KEY).collect()}
+    assert rows[1].text == rows[2].text != TEXT and rows[3].text is None and rows[4].text == "" and rows[5].text == "clean text of 3 words" and rows[5].entities_ == []
+    made = {(e.kind, e.value): e.surrogate for e in rows[1].entities_}
+    assert {k for k, _ in made} == {"name", "email", "ip", "phone", "card", "ssn", "secret"}
+    shape = lambda s: re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", s))
+    for (kind, value), new in made.items():
+        assert value not in rows[1].text and new in rows[1].text
+        if kind not in ("name", "ip", "secret"):
+            assert shape(value) == shape(new)
+    assert made[("name", "John Smith")].split()[0] in pii.MALE and rows[1].text.count(made[("name", "John Smith")]) == 2
+    assert pii.luhn(re.sub(r"\D", "", made[("card", "4111 1111 1111 1111")])) and made[("ip", "10.0.0.1")].startswith("10.")
+    assert pii.replace(df.where("false"), KEY).count() == 0 and pii.collisions(df, KEY).count() == 0
+
+
+def test_pii_gate_loses_nothing(spark, sf):
+    import pyarrow.compute as pc
+
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect():
+        if pii.find(r.text):
+            assert pc.match_substring_regex(pa.array([r.text]), pii.GATE)[0].as_py()
+
+
+def test_permutations_have_no_fixed_points_or_collisions():
+    for n in (2, 3, 10, 26, 100, 1000):
+        turn = pii.Permutation(KEY, "x", n)
+        made = [turn(i) for i in range(n)]
+        assert sorted(made) == list(range(n)) and all(a != b for a, b in enumerate(made))
+    values = [f"{i:03d}-45-6789" for i in range(1000)]
+    assert len({pii.surrogate(KEY, "ssn", v) for v in values}) == 1000
+    names = {pii.surrogate(KEY, "name", n) for n in pii.FEMALE}
+    assert names == set(pii.FEMALE)
+
+
+# pieces
+
+
+def test_pieces_round_trip_and_chunks(spark, odd):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    whole = pieces_scan.encode(odd, PIECES)
+    cut = pieces_scan.encode(odd, PIECES, chunk=64)
+    made = pieces_scan.decode(whole, PIECES, "ids_").collect()
+    assert len(made) == len(ODD) + 1
+    for r in made:
+        assert r.decoded == (r.text or "") and all(0 <= i < sp.get_piece_size() for i in r.ids_)
+    key = lambda r: (str(r.doc_id), r.ids_, r.score)
+    assert sorted(map(key, made)) == sorted(map(key, cut.collect()))
+    assert pieces_scan.encode(odd.where("false"), PIECES).count() == 0
+
+
+def test_pieces_against_plain_search():
+    model = pieces_scan.pieces_of(PIECES)
+    rng = random.Random(4)
+    for _ in range(30):
+        word = " " + "".join(rng.choice("abcdeé▁0") for _ in range(rng.randint(1, 9)))
+
+        def best(at, word=word):
+            return 0 if at == len(word) else max(w + best(at + n) for n, w in model.steps(word, at, len(word), at))
+
+        ids, weight = model.path(word, 0, len(word))
+        assert weight == best(0) and model.decode(ids) == word[1:]
+
+
+def test_max_plus_is_associative():
+    model = pieces_scan.pieces_of(PIECES)
+    a, b, c = (model.transfer(t, 6, 0) for t in ("the cat sat on", "another day in", "zzzzzzzzzzzzzz"))
+    assert (pieces_scan.compose(pieces_scan.compose(a, b), c) == pieces_scan.compose(a, pieces_scan.compose(b, c))).all()
