@@ -34,6 +34,9 @@ CHUNK = 1 << 15
 CACHE = 400_000
 NEVER = -(1 << 62)
 _UNIT = re.compile(r" *[^ ]+| +")
+#: A character before a word begins.
+_START = re.compile(r"[^ ](?= )")
+_SIGNS = ".,!?;:|$%&#*()+=/-"
 
 
 class Pieces:
@@ -59,12 +62,18 @@ class Pieces:
         #: Every prefix of a piece; the value is that of ``piece`` for a piece and None for a mere prefix.
         self.prefix = {name[:n]: None for name in self.piece for n in range(1, len(name))} | self.piece
         self.longest = max(map(len, self.piece), default=1)
+        #: Neighbours within some piece. Where two neighbours are in none, every segmentation has a cut.
+        self.inside = {p[i : i + 2] for p in self.piece for i in range(len(p) - 1)}
+        # what each id stands for, laid end to end, for decoding
+        body = [bytes([self.of_byte[i]]) if i in self.of_byte else self.text.get(i, "").encode() for i in range(size)]
+        self.body, self.size = np.frombuffer(b"".join(body), np.uint8), np.array([len(b) for b in body], np.int64)
         if any(" " in p.lstrip(" ") for p in self.piece):
             raise ValueError("a piece runs over a space: words can't be told apart")
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
+        self.stems: dict[str, tuple[list[int], int]] = {}
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.length, self.weight = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
@@ -84,8 +93,24 @@ class Pieces:
         if not found:
             yield 1, self.fallback * len(text[at].encode())
 
-    def path(self, text: str, begin: int, end: int) -> tuple[list[int], int]:
-        """Ids and weight of the best segmentation of the word text[begin:end]."""
+    def word_path(self, word: str) -> tuple[list[int], int]:
+        """path() of a word; its last signs are apart from its stem, which is looked up, where no piece joins them."""
+        stem = word.rstrip(_SIGNS)
+        if not stem or len(stem) == len(word) or stem[-1] + word[len(stem)] in self.inside:
+            stem = word
+        known = self.stems.get(stem)
+        if known is None:
+            if len(self.stems) > CACHE:
+                self.stems.clear()
+            known = self.stems[stem] = self.path(stem, 0, len(stem))
+        if len(stem) == len(word):
+            return known
+        ids, weight = self.path(word, len(stem), len(word), 0)
+        return known[0] + ids, known[1] + weight
+
+    def path(self, text: str, begin: int, end: int, origin: int | None = None) -> tuple[list[int], int]:
+        """Ids and weight of the best segmentation of text[begin:end], part of a word that begins at ``origin``."""
+        origin = begin if origin is None else origin
         best, back = [NEVER] * (end - begin + 1), [0] * (end - begin + 1)
         best[0] = 0
         look = self.prefix.get
@@ -97,7 +122,7 @@ class Pieces:
                     break
                 if hit:
                     single = single or stop == at + 1
-                    value = here + hit[1] + (hit[2] * (2 * (at - begin) + 1) >> 12 & 0xFFFFF)
+                    value = here + hit[1] + (hit[2] * (2 * (at - origin) + 1) >> 12 & 0xFFFFF)
                     if value > best[stop - begin]:
                         best[stop - begin], back[stop - begin] = value, stop - at
                 stop += 1
@@ -117,7 +142,7 @@ class Pieces:
         for word in words:
             if word in self.slot:
                 continue
-            ids, weight = self.path(word, 0, len(word))
+            ids, weight = self.word_path(word)
             k = len(self.slot)
             if k == len(self.start):
                 self.start, self.length, self.weight = (np.append(a, np.zeros(k, np.int64)) for a in (self.start, self.length, self.weight))
@@ -169,49 +194,81 @@ class Pieces:
             out.append(0 if c == " " != before else out[-1] + 1)
         return out
 
-    def transfer(self, text: str, size: int, lead: int) -> np.ndarray:
-        """matrix[entry, exit] of a chunk: text[:size], with what follows it up to ``longest`` - 1 characters."""
-        place = self.places(text, lead)
-        span = self.longest
-        best = np.full((span, len(text) + 1), NEVER, np.int64)
-        best[np.arange(min(span, len(text) + 1)), np.arange(min(span, len(text) + 1))] = 0
+    def _sweep(self, text: str, size: int, place: list[int], entries: int) -> np.ndarray:
+        """best[e, k]: the best weight from place e to k, by pieces that begin before ``size``; e < entries."""
+        best = np.full((entries, len(text) + 1), NEVER, np.int64)
+        at = np.arange(min(entries, len(text) + 1))
+        best[at, at] = 0
         for at in range(size):
             here = best[:, at]
             if (here > NEVER).any():
                 for n, w in self.steps(text, at, len(text), place[at]):
                     np.maximum(best[:, at + n], np.where(here > NEVER, here + w, NEVER), out=best[:, at + n])
+        return best
+
+    def transfer(self, text: str, size: int, lead: int) -> np.ndarray:
+        """matrix[entry, exit] of a chunk: text[:size], with what follows it up to ``longest`` - 1 characters.
+
+        All paths meet where a word begins. So only the part before the first and behind the last of these places depends on the entry or
+        the exit; the words between have a weight of their own.
+        """
+        span, place = self.longest, self.places(text, lead)
         out = np.full((span, span), NEVER, np.int64)
-        ends = best[:, size : size + span]
-        out[:, : ends.shape[1]] = ends
+        starts = [m.start() + 1 for m in _START.finditer(text, 0, size) if m.start() + 1 >= span - 1]
+        if not starts:
+            ends = self._sweep(text, size, place, span)[:, size : size + span]
+            out[:, : ends.shape[1]] = ends
+            return out
+        first, last = starts[0], starts[-1]
+        before = self._sweep(text[:first], first, place, span)[:, first]
+        between = sum(self.word_path(text[a:b])[1] for a, b in zip(starts, starts[1:], strict=False))
+        after = self._sweep(text[last:], size - last, place[last:], 1)[0, size - last : size - last + span]
+        held = (before > NEVER)[:, None] & (after > NEVER)
+        out[:, : len(after)] = np.where(held, np.where(before > NEVER, before, 0)[:, None] + between + np.where(after > NEVER, after, 0), NEVER)
         return out
 
     def chunk_path(self, text: str, size: int, lead: int, entry: int, leave: int) -> tuple[list[int], int]:
         """The best path through a chunk from its entry to its exit."""
         if entry >= size:  # the piece before reaches over the whole chunk
             return [], 0
-        best, back, place = {entry: 0}, {}, self.places(text, lead)
-        for at in range(entry, size):
+        place = self.places(text, lead)
+        starts = [m.start() + 1 for m in _START.finditer(text, 0, size) if m.start() + 1 >= entry]
+        if not starts:
+            return self._route(text, size, place, entry, size + leave)
+        parts = [self._route(text[: starts[0]], starts[0], place, entry, starts[0]) if entry < starts[0] else ([], 0)]
+        parts += [self.word_path(text[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+        parts.append(self._route(text, size, place, starts[-1], size + leave))
+        return [i for ids, _ in parts for i in ids], sum(w for _, w in parts)
+
+    def _route(self, text: str, size: int, place: list[int], begin: int, end: int) -> tuple[list[int], int]:
+        """The best path from ``begin`` to ``end`` by pieces that begin before ``size``."""
+        best, back = {begin: 0}, {}
+        for at in range(begin, size):
             if at in best:
                 for n, w in self.steps(text, at, len(text), place[at]):
                     if best[at] + w > best.get(at + n, NEVER):
                         best[at + n], back[at + n] = best[at] + w, n
-        out, at = [], size + leave
-        while at > entry:
+        out, at = [], end
+        while at > begin:
             n = back[at]
             hit = self.piece.get(text[at - n : at])
             out.append([hit[0]] if hit else [self.byte[b] for b in text[at - n : at].encode()])
             at -= n
-        return [i for part in reversed(out) for i in part], best[size + leave]
+        return [i for part in reversed(out) for i in part], best[end]
+
+    def decode_all(self, ids: np.ndarray, count: np.ndarray) -> list[str]:
+        """Texts of lists of ids laid end to end."""
+        ids = np.where((ids >= 0) & (ids < len(self.size)), ids, 0)
+        size = self.size[ids]
+        start = np.cumsum(self.size) - self.size
+        total = np.concatenate([[0], np.cumsum(size)])
+        data = self.body[np.repeat(start[ids] - total[:-1], size) + np.arange(total[-1])].tobytes()
+        edge = total[np.concatenate([[0], np.cumsum(count)])].tolist()
+        texts = (data[a:b].decode("utf-8", "replace") for a, b in zip(edge, edge[1:], strict=False))
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
     def decode(self, ids: list[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            if i in self.of_byte:
-                out.append(self.of_byte[i])
-            else:
-                out += self.text.get(i, "").encode()
-        text = out.decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 @functools.cache
@@ -228,8 +285,8 @@ def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _encode(batches: Iterator[pa.RecordBatch], path: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     model = pieces_of(path)
     for batch in batches:
-        for k in range(0, batch.num_rows, 200):
-            part = batch.slice(k, 200)
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
             ids, n, weight = model.encode(part.column("text"))
             yield pa.RecordBatch.from_arrays([*part.columns, list_column(ids, n, pa.int32()), pa.array(weight // (1 << 20))], names=names)
 
@@ -311,8 +368,12 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
 def _decode(batches: Iterator[pa.RecordBatch], path: str, ids: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     model = pieces_of(path)
     for batch in batches:
-        made = [None if x is None else model.decode(x) for x in batch.column(ids).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=names)
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
+            lists = part.column(ids)
+            count = np.diff(np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]).astype(np.int64)
+            made = pa.array(model.decode_all(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), count), pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns, pc.if_else(lists.is_valid(), made, pa.scalar(None, pa.string()))], names=names)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
