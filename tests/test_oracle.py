@@ -6,10 +6,10 @@ import decimal
 import duckdb
 import pytest
 
-from assaykit.plans import core, state
+from assaykit.plans import core, probes, state
 
-QUERIES = core.QUERIES | state.QUERIES
-ORACLE = core.ORACLE | state.ORACLE
+QUERIES = core.QUERIES | probes.QUERIES | state.QUERIES
+ORACLE = core.ORACLE | probes.ORACLE | state.ORACLE
 TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
 
 
