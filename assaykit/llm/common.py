@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -167,6 +167,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named)
 
 
+def hash_sample(df: DataFrame, key: Column, value: Column, rows: int) -> list:
+    """Values of about ``rows`` keys with the least hashes, at most ``rows``; what comes to the driver does not grow with df or its partitions.
+
+    key: a hash that spreads evenly over 64 bits; rows with one hash count once.
+    """
+    total = df.count()
+    bound = -(1 << 63) + int((1 << 64) * min(1.0, 2 * rows / max(1, total)))
+    low = df.select(key.alias("h"), value.alias("v")).where(F.col("h") < bound) if bound < 1 << 63 else df.select(key.alias("h"), value.alias("v"))
+    got = low.groupBy("h").agg(F.first("v").alias("v")).collect()
+    return [r.v for r in sorted(got, key=lambda r: r.h)[:rows]]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)

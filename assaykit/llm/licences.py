@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import free_name, text_key
+from assaykit.llm.common import free_name, hash_sample, text_key
 
 # Notices by which texts name a licence, by family.
 TEMPLATES = {
@@ -76,9 +76,9 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, seed: int = 7, steps: int = 400) -> Model:
     """Fits on the driver, on a bounded sample."""
     rng = random.Random(seed)
-    rows = docs.where("text is not null").select("text").orderBy(F.xxhash64("text"), F.length("text")).limit(SAMPLE).select(F.substring("text", 1, 4000).alias("t")).collect()
+    rows = hash_sample(docs.where("text is not null"), F.xxhash64("text"), F.substring("text", 1, 4000), SAMPLE)
     known = [" ".join(words_of(t)) for ts in TEMPLATES.values() for t in ts]
-    plain = [p for r in rows for p in r.t.split("\n")[:6] if (w := " ".join(words_of(p))) and not any(k in w for k in known)]
+    plain = [p for t in rows for p in t.split("\n")[:6] if (w := " ".join(words_of(p))) and not any(k in w for k in known)]
     filler = [w for p in plain for w in words_of(p)] or ["lorem"]
     families = [*TEMPLATES, UNKNOWN]
     examples: list[tuple[list[str], int]] = []

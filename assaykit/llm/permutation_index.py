@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaykit.llm.common import hash_sample
+
 #: Rows of a shard and queries of a block.
 SHARD, BLOCK = 4096, 4096
 
@@ -38,8 +40,7 @@ def clean(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
 
 def pivots(rows: DataFrame, count: int) -> np.ndarray:
     """A bounded sample: the ``count`` vectors with the least hash."""
-    got = rows.select("v", F.xxhash64("v", F.lit(3)).alias("h")).distinct().orderBy("h").limit(count).collect()
-    return np.array([r.v for r in got], np.float64)
+    return np.array(hash_sample(rows, F.xxhash64("v", F.lit(3)), F.col("v"), count), np.float64)
 
 
 def ranks(vectors: np.ndarray, pivot: np.ndarray) -> np.ndarray:
