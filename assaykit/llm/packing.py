@@ -27,75 +27,100 @@ from pyspark.sql import types as T
 from assaykit.llm.common import small_batches, text_groups
 
 BUFFER = 1 << 20
-CACHE = 400_000
-#: Words of plain letters (basic Latin and Latin-1, which normalisation only lower-cases), then signs but no apostrophe.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|$%&#*()+=/-]*)")
+#: Words and units of words that a worker keeps.
+CACHE, UNITS = 250_000, 400_000
+#: Bytes of text that are looked up at once.
+LOOK_UP = 2 << 20
+#: Letters of basic Latin and Latin-1, which normalisation only lower-cases; then signs, but no apostrophe.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_SIGNS = ".,!?;:|$%&#*()+=/-"
 
 
 class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space and never joins across it: each word is looked up once.
 
-    A word of letters and signs is two units of the tokenizer; new units are encoded many at a time and told apart by
-    the end-of-word mark of their last id. All other words are encoded by themselves.
+    A word of letters and signs is two units, which the tokenizer's rules keep apart and its merges take one by one. All other words go
+    through the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.model = self.tokenizer.model
+        # bytes as the vocabulary writes them: printable ones stand for themselves, the others follow from 256 on
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        other = iter(range(256, 512))
+        self.letters = {b: chr(b if b in plain else next(other)) for b in range(256)}
+        for word in ("the", "café", "ÿþßà", "!?", "--"):
+            if self._unit(word) != self.tokenizer.encode(word, add_special_tokens=False).ids:
+                raise ValueError("the tokenizer doesn't take words apart as expected")
         self.clear()
 
+    def _unit(self, text: str) -> list[int]:
+        if not text.isascii():
+            text = "".join(map(self.letters.__getitem__, text.lower().encode()))
+        return [t.id for t in self.model.tokenize(text)]
+
     def clear(self) -> None:
-        self.units: dict[str, list[int]] = {}
+        self.units: dict[str, int] = {}
+        self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.clear_words()
+        self._add_units([[]])
+        self.units[""] = 0
+
+    def clear_words(self) -> None:
         self.slot: dict[str, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.pair = np.zeros((0, 2), np.int32)  # the two units of each word
+
+    def _add_units(self, ids: list[list[int]]) -> None:
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(length.sum()))])
 
     def _learn(self, words: list[str]) -> None:
-        split = {w: m.groups() if (m := _PLAIN.fullmatch(w)) else None for w in words}
-        units = list({u for s in split.values() if s for u in (s[0].lower(), s[1]) if u and u not in self.units})
-        for i in range(0, len(units), 2000):
-            part = units[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int32)
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) != len(part):
-                raise ValueError("the tokenizer doesn't mark the ends of words")
-            begin = 0
-            for unit, end in zip(part, stop.tolist(), strict=True):
-                self.units[unit] = ids[begin:end].tolist()
-                begin = end
-        odd = [w for w, s in split.items() if not s and w]
-        odd_ids = dict(zip(odd, [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)], strict=True)) if odd else {}
-        for word, s in split.items():
-            ids = (self.units[s[0].lower()] + (self.units[s[1]] if s[1] else [])) if s else odd_ids.get(word, [])
-            k = len(self.slot)
-            if k == len(self.start):
-                self.start, self.length = np.append(self.start, np.zeros(k, np.int64)), np.append(self.length, np.zeros(k, np.int64))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.append(self.ids, np.zeros(len(self.ids), np.int32))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.start[k], self.length[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.slot[word] = k
+        units, odd, split = self.units, [], []
+        for word in words:
+            base = word.rstrip(_SIGNS)
+            if (base.isascii() and base.isalpha()) or _LETTERS.fullmatch(base):
+                split.append((word, base.lower(), word[len(base) :]))
+            elif word:
+                odd.append(word)
+            else:
+                split.append(("", "", ""))
+        new = list({u for _, a, b in split for u in (a, b) if u not in units})
+        units.update(zip(new, range(len(self.length), len(self.length) + len(new)), strict=True))
+        self._add_units([self._unit(u) for u in new])
+        # words that are no units have their ids to themselves, as units without a name
+        first = len(self.length)
+        self._add_units([e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)])
+        pairs = [(units[a], units[b]) for _, a, b in split] + [(first + i, 0) for i in range(len(odd))]
+        self.slot.update(zip([w for w, _, _ in split] + odd, range(len(self.pair), len(self.pair) + len(pairs)), strict=True))
+        self.pair = np.concatenate([self.pair, np.array(pairs, np.int32).reshape(-1, 2)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
         lists = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.slot) + len(words) > CACHE:
+        edge = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64)
+        edge -= edge[0]
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        if len(self.length) > UNITS:
             self.clear()
+        if len(self.slot) + len(words) > CACHE:
+            self.clear_words()
         if new := [w for w in words if w not in self.slot]:
             self._learn(new)
-        slots = np.array([self.slot[w] for w in words], np.int64)[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
-        length = self.length[slots]
+        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        units = self.pair[slots[coded.indices.to_numpy()]].ravel()
+        length = self.length[units]
         total = np.concatenate([[0], np.cumsum(length)])
-        at = np.repeat(self.start[slots] - total[:-1], length) + np.arange(total[-1])
-        edge = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64)
-        edge -= edge[0]
-        return self.ids[at], np.diff(total[edge])
+        at = np.repeat(self.start[units] - total[:-1], length)
+        at += np.arange(total[-1])
+        return self.flat[at], np.diff(total[2 * edge])
 
 
 @functools.cache
@@ -225,7 +250,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tiers: tupl
     kind = pa.int64()
     for batch in batches:
         kind = batch.column("key").type
-        for part, _, _ in text_groups(iter([batch])):
+        for part, _, _ in text_groups(iter([batch]), limit=LOOK_UP):
             ids, length = words.encode(part.column("text"))
             edge = np.concatenate([[0], np.cumsum(length)])
             for key, a, b in zip(part.column("key").to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -243,7 +268,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = (
     (little-endian unsigned 32-bit). path: the tokenizer's file, which every worker has."""
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers)):
         raise ValueError("tiers are rising powers of two")
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2000)
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *(T.StructField(c, t) for c, t, _ in _PIECES)])
     made = docs.select(docs[key].alias("key"), "text").mapInArrow(functools.partial(_pack, path=path, end_id=end_id, tiers=tuple(tiers), step_tokens=step_groups * tiers[-1]), schema)
     return made.withColumnRenamed("key", key)
