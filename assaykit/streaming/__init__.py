@@ -1 +1 @@
-
+"""The surveyed checks are batch jobs: there is no streaming operator. What has not been measured yet is found by ``registers.unmeasured_tables``."""
