@@ -95,19 +95,33 @@ def word_anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
 
 
 def word_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The hashes of the windows that can have an unsettled symbol as their anchor."""
+    """The hashes of the windows that can have an unsettled symbol as their anchor, in two rows.
+
+    Windows that start early all hold the words just before the symbol, those that start late the words behind it: rows meet by these words
+    too, so a common passage in many surroundings is no hot group.
+    """
     parse = Parse(width)
+    middle = (parse.back + parse.margin) // 2
     for batch, data, offsets in text_groups(batches):
         row, pos, name = open_marks(batch)
-        if len(row):
-            words = Words(data, offsets)
-            low = np.maximum(pos - parse.back, 0)
-            count = np.maximum(np.minimum(pos - parse.margin, words.count[row] - width) - low + 1, 0)
-            owner, rank = spread(count)
-            start = (words.first[row] + low)[owner] + rank
-            raw = Rolling(words.hash).of(start, start + width).tobytes()
-            ends = np.cumsum(count) * 8
-            yield from window_rows(batch, row, pos, name, low - pos, [raw[a:b] for a, b in zip((ends - count * 8).tolist(), ends.tolist(), strict=True)])
+        if not len(row):
+            continue
+        words = Words(data, offsets)
+        rolling, base, size = Rolling(words.hash), words.first[row], words.count[row]
+        for side in (0, 1):
+            first = np.maximum(pos - parse.back, 0) if side == 0 else np.maximum(pos - middle + 1, 0)
+            last = np.minimum(pos - middle if side == 0 else pos - parse.margin, size - width)
+            low, high = (pos - middle, pos - parse.back + width) if side == 0 else (pos - parse.margin, pos - middle + 1 + width)
+            ok = np.flatnonzero(first <= last)
+            at, first, last = base[ok], first[ok], last[ok]
+            shared = rolling.of(at + low[ok], at + np.minimum(high[ok], size[ok]))
+            key = mix(name[ok].view(np.uint64) + shared * np.uint64(0x9E3779B97F4A7C15) + np.uint64(side)).view(np.int64)
+            owner, rank = spread(last - first + 1)
+            start = (at + first)[owner] + rank
+            raw = rolling.of(start, start + width).tobytes()
+            ends = np.cumsum(last - first + 1) * 8
+            begins = ends - (last - first + 1) * 8
+            yield from window_rows(batch, row[ok], pos[ok], key, first - pos[ok], [raw[x:y] for x, y in zip(begins.tolist(), ends.tolist(), strict=True)])
 
 
 def word_hashes(raw: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

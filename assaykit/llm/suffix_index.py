@@ -71,15 +71,27 @@ def byte_anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
 
 
 def byte_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The bytes that the windows over an unsettled anchor can reach."""
+    """The bytes that the windows over an unsettled anchor can reach, in two rows.
+
+    Every window holds the half of the surroundings before the anchor or that behind it. Rows meet by the half that their windows hold, not by
+    the anchor's name alone: so a common line in many surroundings is no hot group.
+    """
     gram = min(GRAM, width)
+    half = (width - gram) // 2
     for batch, data, offsets in text_groups(batches):
         row, pos, name = open_marks(batch)
-        if len(row):
-            low, high = np.maximum(pos - (width - gram), 0), np.minimum(pos + width, np.diff(offsets)[row])
-            raw = data.tobytes()
-            base = offsets[row]
-            yield from window_rows(batch, row, pos, name, low - pos, [raw[a:b] for a, b in zip((base + low).tolist(), (base + high).tolist(), strict=True)])
+        if not len(row):
+            continue
+        size, base, rolling, raw = np.diff(offsets)[row], offsets[row], Rolling(data), data.tobytes()
+        for side in (0, 1):
+            first = np.maximum(pos - (width - gram), 0) if side == 0 else np.maximum(pos - half + 1, 0)
+            last = np.minimum(pos - half if side == 0 else pos, size - width)
+            low, high = (pos - half, pos + gram) if side == 0 else (pos, pos - half + 1 + width)
+            ok = np.flatnonzero(first <= last)
+            at, first, end = base[ok], first[ok], last[ok] + width
+            shared = rolling.of(at + low[ok], at + np.minimum(high[ok], size[ok]))
+            key = mix(name[ok].view(np.uint64) + shared * np.uint64(0x9E3779B97F4A7C15) + np.uint64(side)).view(np.int64)
+            yield from window_rows(batch, row[ok], pos[ok], key, first - pos[ok], [raw[x:y] for x, y in zip((at + first).tolist(), (at + end).tolist(), strict=True)])
 
 
 def byte_hashes(raw: bytes, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
