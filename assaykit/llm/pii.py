@@ -43,8 +43,9 @@ PATTERNS = {
     "name": rf"(?:(?<=\bMr )|(?<=\bMr\. )|(?<=\bMrs )|(?<=\bMrs\. )|(?<=\bMs )|(?<=\bMs\. )|(?<=\bDr )|(?<=\bDr\. )|(?<=\bMiss )|(?<=\bHerr )|(?<=\bFrau )|(?<=\bSeñor )|(?<=\bSeñora )|(?<=\bSr\. )|(?<=\bSra\. )|(?<=\bMonsieur )|(?<=\bMadame )|(?<=\bMme )|(?<=\bMme\. ))[^\W\d_a-z][^\W\d_]+(?: [^\W\d_a-z][^\W\d_]+)?|(?<!\w)(?:{'|'.join(FEMALE + MALE)}) [A-ZÀ-Þ][^\W\d_]+",
 }
 _PATTERNS = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
-#: What a text needs to hold for a pattern to match; plain and fast tests that lose nothing.
-_DIGITS = re.compile(r"[0-9][0-9 .()-]{4,}[0-9]|[0-9]\.[0-9]+\.[0-9]")
+#: What a text needs to hold for a pattern to match; plain and fast tests that lose nothing. Digits are those of every script, as in the patterns.
+DIGITS = r"\d[\d .()-]{4,}\d|\+\d[\d .()-]{3,}\d|\d\.\d+\.\d"
+_DIGITS = re.compile(DIGITS)
 _NEEDS = {
     "secret": lambda t: '"' in t or "AKIA" in t or "ghp_" in t or _HEX.search(t),
     "email": lambda t: "@" in t,
@@ -56,8 +57,10 @@ _NEEDS = {
 }
 _HEX = re.compile(r"[0-9a-fA-F]{32}")
 _NAMED = [f"{t} " for t in TITLES] + [f"{t}. " for t in TITLES] + [f"{n} " for n in FEMALE + MALE]
+#: Python's decimal digits as ranges, since \\d is ASCII alone in the syntax below.
+_DECIMAL = "".join(f"{c}-{chr(ord(c) + 9)}" for c in map(chr, range(0x110000)) if c.isdecimal() and int(c) == 0)
 #: The same for whole columns at once, in a syntax that is matched in time linear in the text.
-GATE = r'@|[0-9][0-9 .()-]{4,}[0-9]|[0-9]\.[0-9]+\.[0-9]|"[^"\s]{6,}"|[0-9a-fA-F]{32}|AKIA|ghp_|\b(?:' + "|".join(TITLES) + r")\.? |(?:" + "|".join(FEMALE + MALE) + ") "
+GATE = DIGITS.replace(r"[\d", f"[{_DECIMAL}").replace(r"\d", f"[{_DECIMAL}]") + r'|@|"[^"\s]{6,}"|[0-9a-fA-F]{32}|AKIA|ghp_|\b(?:' + "|".join(TITLES) + r")\.? |(?:" + "|".join(FEMALE + MALE) + ") "
 
 
 class Permutation:
@@ -103,7 +106,7 @@ def _alphabet(c: str) -> str:
     if not c.isalpha():
         return c
     start = ord(c) & ~0x3F  # letters of one block of 64 code points, of one case
-    return "".join(x for x in map(chr, range(start, start + 64)) if x.isalpha() and x.isupper() == c.isupper() and x.islower() == c.islower() and len(x.upper()) == 1)
+    return "".join(x for x in map(chr, range(start, start + 64)) if x.isalpha() and x.isupper() == c.isupper() and x.islower() == c.islower())
 
 
 def _permute(key: bytes, label: str, text: str, alphabets: list[str] | None = None, valid=None) -> str:
@@ -163,7 +166,7 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
     if kind == "card":
         digits = re.sub(r"\D", "", text)
         good = luhn(digits)
-        made = _permute(key, f"card{good}", digits, [digits[0], *["0123456789"] * (len(digits) - 1)], lambda d: luhn(d) == good)
+        made = _permute(key, f"card{good}", digits, [digits[0], *map(_alphabet, digits[1:])], lambda d: luhn(d) == good)
         at = iter(made)
         return "".join(next(at) if c.isdigit() else c for c in text)
     if kind == "name":

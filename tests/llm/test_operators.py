@@ -226,6 +226,23 @@ def test_pii_gate_loses_nothing(spark, sf):
             assert pc.match_substring_regex(pa.array([r.text]), pii.GATE)[0].as_py()
 
 
+def test_pii_beyond_ascii(spark):
+    import pyarrow.compute as pc
+
+    digits = lambda zero, s: re.sub("[0-9]", lambda m: chr(ord(zero) + int(m[0])), s)
+    values = [("name", "Weiß"), ("name", "Strauß"), ("email", "größe@x.de"), ("secret", "ßßßßßßß"), ("phone", "+12233")]
+    values += [(kind, digits(zero, v)) for zero in "٠०０" for kind, v in (("phone", "+1 (743) 555-3824"), ("phone", "743-555-3824"), ("ssn", "123-45-6789"), ("card", "4111 1111 1111 1111"))]
+    wrap = {"name": "Frau {} kam", "secret": 'token = "{}"'}
+    texts = [wrap.get(kind, "see {} here").format(v) for kind, v in values]
+    assert all(pc.match_substring_regex(pa.array(texts), pii.GATE).to_pylist())
+    rows = pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()
+    for r in rows:
+        (e,) = r.entities
+        assert (e.kind, e.value) == values[r.doc_id] and e.surrogate != e.value and len(e.surrogate) == len(e.value) and e.surrogate in r.text
+        assert e.kind != "card" or pii.luhn(re.sub(r"\D", "", e.surrogate))
+    assert all(c in pii._alphabet(c) and all(pii._alphabet(x) == pii._alphabet(c) for x in pii._alphabet(c)) for c in map(chr, range(0x3000)))
+
+
 def test_permutations_have_no_fixed_points_or_collisions():
     for n in (2, 3, 10, 26, 100, 1000):
         turn = pii.Permutation(KEY, "x", n)
