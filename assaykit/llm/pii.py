@@ -141,8 +141,16 @@ def ip_kind(text: str) -> str:
     return "private" if a == 10 or (a == 192 and b == 168) or (a == 172 and 16 <= b < 32) else "special" if a in (0, 127) or a >= 224 or (a == 169 and b == 254) else "public"
 
 
+@functools.cache
+def _heads(kind: str, a: range, b: range) -> list[tuple[int, int]]:
+    """The first two parts of all addresses of a kind."""
+    return [(x, y) for x in a for y in b if ip_kind(f"{x}.{y}") == kind]
+
+
 def _ip(key: bytes, text: str) -> str:
-    kind = ip_kind(text)
+    kind, parts = ip_kind(text), text.split(".")
+    if text != ".".join(str(int(x)) for x in parts):
+        return _ip_as_spelt(key, kind, parts)
     value = int.from_bytes(bytes(map(int, text.split("."))), "big")
     turn = Permutation(key, "ip", 1 << 32)
     while True:
@@ -152,6 +160,17 @@ def _ip(key: bytes, text: str) -> str:
             return made
 
 
+def _ip_as_spelt(key: bytes, kind: str, parts: list[str]) -> str:
+    """Leading zeros and digits of other scripts are part of an address's format, which stays: a permutation of all of its kind and format."""
+    a, b, c, d = (range(10) if len(x) > 1 and int(x) < 10 else range(10 ** (len(x) - 1) if len(x) > 1 else 0, min(256, 10 ** len(x))) for x in parts)
+    heads = _heads(kind, a, b)
+    rank = (heads.index((int(parts[0]), int(parts[1]))) * len(c) + int(parts[2]) - c[0]) * len(d) + int(parts[3]) - d[0]
+    rest, z = divmod(Permutation(key, f"ip {kind}", len(heads) * len(c) * len(d))(rank), len(d))
+    head, y = divmod(rest, len(c))
+    made = zip(parts, (*heads[head], c[y], d[z]), strict=True)
+    return ".".join("".join(_alphabet(old)[int(new)] for old, new in zip(x, f"{v:0{len(x)}d}", strict=True)) for x, v in made)
+
+
 def _word_of_name(key: bytes, word: str) -> str:
     for label, names in (("female", FEMALE), ("male", MALE)):
         if word in names:
@@ -162,7 +181,7 @@ def _word_of_name(key: bytes, word: str) -> str:
 
 def surrogate(key: bytes, kind: str, text: str) -> str:
     if kind == "ip":
-        return _ip(key, ".".join(str(int(x)) for x in text.split(".")))
+        return _ip(key, text)
     if kind == "card":
         digits = re.sub(r"\D", "", text)
         good = luhn(digits)

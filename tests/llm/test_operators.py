@@ -243,6 +243,18 @@ def test_pii_beyond_ascii(spark):
     assert all(c in pii._alphabet(c) and all(pii._alphabet(x) == pii._alphabet(c) for x in pii._alphabet(c)) for c in map(chr, range(0x3000)))
 
 
+def test_pii_spellings_of_one_address(spark):
+    ips = ["10.0.0.1", "10.0.0.01", "10.0.00.01", "10.0.0.\u0661", "1\uff10.0.0.1", "192.168.100.01", "172.16.1.05", "00.01.02.03", "8.8.8.08", "8.8.8.8", "127.0.0.01", "255.255.255.00"]
+    assert all([x] == [v[a:b] for v in [x] for _, a, b in pii.find(v)] for x in ips)
+    df = spark.createDataFrame([(i, f"at {x} now") for i, x in enumerate(ips)], "doc_id long, text string")
+    assert pii.collisions(df, KEY).count() == 0  # else replace() would not end
+    made = {r.doc_id: r.entities[0].surrogate for r in pii.replace(df, KEY).collect()}
+    assert len(set(made.values())) == len(ips) and all(made[i] != x and pii.ip_kind(made[i]) == pii.ip_kind(x) for i, x in enumerate(ips))
+    spelt = [f"0{i}.0{j}.1.1" for i in range(10) for j in range(10)]
+    spelt = [f"{x[:6]}{i}.{j}" for x in spelt for i in range(4) for j in range(4)]
+    assert len({pii.surrogate(KEY, "ip", x) for x in spelt}) == len(spelt)
+
+
 def test_permutations_have_no_fixed_points_or_collisions():
     for n in (2, 3, 10, 26, 100, 1000):
         turn = pii.Permutation(KEY, "x", n)
