@@ -168,15 +168,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def hash_sample(df: DataFrame, key: Column, value: Column, rows: int) -> list:
-    """Values of about ``rows`` keys with the least hashes, at most ``rows``; what comes to the driver does not grow with df or its partitions.
+    """Values of the ``rows`` keys with the least hashes, of all keys if there are fewer; what comes to the driver does not grow with df or its partitions.
 
-    key: a hash that spreads evenly over 64 bits; rows with one hash count once.
+    key: a hash that spreads evenly over 64 bits; rows with one hash count once, so the bound follows an estimate of the distinct hashes.
     """
-    total = df.count()
-    bound = -(1 << 63) + int((1 << 64) * min(1.0, 2 * rows / max(1, total)))
-    low = df.select(key.alias("h"), value.alias("v")).where(F.col("h") < bound) if bound < 1 << 63 else df.select(key.alias("h"), value.alias("v"))
-    got = low.groupBy("h").agg(F.first("v").alias("v")).collect()
-    return [r.v for r in sorted(got, key=lambda r: r.h)[:rows]]
+    share = 2 * rows / max(1, df.select(F.approx_count_distinct(key, 0.02).alias("n")).first().n)
+    while True:
+        low = df.select(key.alias("h"), value.alias("v"))
+        if share < 1:
+            low = low.where(F.col("h") < -(1 << 63) + int((1 << 64) * share))
+        got = low.groupBy("h").agg(F.first("v").alias("v")).collect()
+        if share >= 1 or len(got) >= rows:
+            return [r.v for r in sorted(got, key=lambda r: r.h)[:rows]]
+        share *= 2
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -149,6 +149,19 @@ def test_search_recall_and_scores(spark, sf):
     assert permutation_index.nearest(df.where("false")).count() == 0
 
 
+def test_search_among_copies(spark):
+    x = np.random.default_rng(5).normal(size=(40, 8))
+    for distinct, n in ((3, 10_000), (40, 20_000)):
+        df = spark.range(n).select(F.col("id").alias("vec_id"), F.element_at(F.array(*[F.array(*map(F.lit, v.tolist())) for v in x[:distinct]]), (F.col("id") % distinct + 1).cast("int")).alias("embedding"))
+        assert len(permutation_index.pivots(permutation_index.clean(df, "vec_id", "embedding"), 128)) == distinct
+        got = permutation_index.nearest(df, every=n // 10).toPandas()
+        assert len(got) == 10 * 20
+        for q, mine in got.groupby("query_id"):
+            score = x[np.arange(n) % distinct] @ x[q % distinct]
+            want = [i for i in np.lexsort((np.arange(n), -score.round(9))) if i != q][:20]
+            assert sorted(mine["vec_id"]) == sorted(want)
+
+
 # quality
 
 
