@@ -3,8 +3,10 @@
 ``train`` fits a multinomial logistic regression on variants of the templates below and on paragraphs of the corpus (class unknown);
 its features are word n-grams of one to three words that hold a key word, a template word outside ``COMMON``. A temperature fitted on
 variants kept aside calibrates the chances. ``scan`` gates rows by the key words, which loses nothing, as a paragraph without one has no feature and
-is unknown; it splits the rest into paragraphs and n-grams, joins the weights and sums them by paragraph. A prediction is confirmed when the
-paragraph holds enough of a template's n-grams.
+is unknown; it splits the rest at blank lines (comment leaders alone are blank) into paragraphs. A paragraph is read line by line and, where it has
+several lines, with its lines joined, in overlapping windows of ``WINDOW`` words that cover all of it; the n-grams of each reading are joined to the
+weights and summed. A prediction is confirmed when a reading holds enough of a template's n-grams; a paragraph gives each family once.
+A window names one family, so of several wrapped notices within ``WINDOW`` words only the likeliest may be named.
 
 Training sees at most ``SAMPLE`` corpus texts (least hash first). The weights and templates are bounded by the template list and
 may be broadcast. Edge cases: null and empty texts have no licence; repeated rows give equal results; the columns added get an underscore
@@ -44,6 +46,11 @@ COMMON = frozenset("the of this is a an any and or to in into for by with withou
 WORD = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 SAMPLE, UNKNOWN, NGRAM = 200, "unknown", 3
+#: Words of a window over joined lines, and of the overlap of two: more than any template has.
+WINDOW, OVERLAP = 64, 32
+BLANK = r"\n[^\p{L}\p{N}]*\n"
+#: Comment leaders that would count as words, and line ends within a hyphenated word.
+LEADER, HYPHEN = r"(?im)^[^\p{L}\p{N}\n]*(?:dnl|@?rem)(?=\s)", r"(?<=\p{L})-\r?\n[^\p{L}\p{N}\n]*(?=\p{L})"
 
 
 def words_of(text: str) -> list[str]:
@@ -129,25 +136,41 @@ def _grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, *[runs(n) for n in range(2, NGRAM + 1)]))
 
 
+def _readings(body: Column) -> Column:
+    """The lines of a paragraph; if there are several, then its windows of joined lines."""
+    lines = F.split(body, "\n")
+    words = F.regexp_extract_all(F.regexp_replace(F.regexp_replace(body, LEADER, ""), HYPHEN, "-"), F.lit(WORD), F.lit(0))
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - OVERLAP, F.lit(1)), F.lit(WINDOW - OVERLAP))
+    # the words are extracted once, as the element of an array of one
+    windows = F.flatten(F.transform(F.array(words), lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i, WINDOW), " "))))
+    return F.when(F.size(lines) > 1, F.concat(lines, windows)).otherwise(lines)
+
+
 def paragraphs(docs: DataFrame, model: Model, key: str, chance: float = 0.5, overlap: float = 0.6) -> DataFrame:
-    """key, paragraph (its number), family, p, confirmed: the paragraphs that are no unknown text. Rows are told apart by ``key``."""
+    """key, paragraph (its number), at, family, p, confirmed: the families of each paragraph that is no unknown text, by their first reading ``at``.
+
+    Rows are told apart by ``key``.
+    """
     spark = docs.sparkSession
     n = len(model.families)
     weights = spark.createDataFrame(list(model.weights.items()), "gram string, w array<double>")
     templates = spark.createDataFrame([(f, g) for f, g in model.templates], "family string, grams array<string>")
     templates = templates.groupBy("family").agg(F.collect_list("grams").alias("templates"))
-    rows = docs.where(F.col("text").rlike(model.gate)).select(F.col(key).alias("key"), F.posexplode(F.split("text", "\n")).alias("paragraph", "body"))
+    rows = docs.where(F.col("text").rlike(model.gate)).select(F.col(key).alias("key"), F.posexplode(F.split("text", BLANK)).alias("paragraph", "body"))
+    rows = rows.where(F.col("body").rlike(model.gate)).select("key", "paragraph", F.posexplode(_readings(F.col("body"))).alias("at", "body"))
     rows = rows.where(F.col("body").rlike(model.gate))
     found = F.regexp_extract_all(F.lower("body"), F.lit(WORD), F.lit(0))
-    grams = rows.select("key", "paragraph", found.alias("words")).select("key", "paragraph", F.explode(_grams(F.col("words"))).alias("gram"))
-    sums = grams.join(F.broadcast(weights), "gram").groupBy("key", "paragraph").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(n)], F.collect_set("gram").alias("held"))
+    grams = rows.select("key", "paragraph", "at", found.alias("words")).select("key", "paragraph", "at", F.explode(_grams(F.col("words"))).alias("gram"))
+    sums = grams.join(F.broadcast(weights), "gram").groupBy("key", "paragraph", "at").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(n)], F.collect_set("gram").alias("held"))
     logit = F.array(*[F.round(F.col(f"s{i}") + model.bias[i], 6) for i in range(n)])
-    scored = sums.select("key", "paragraph", "held", logit.alias("z")).withColumn("top", F.array_max("z"))
+    scored = sums.select("key", "paragraph", "at", "held", logit.alias("z")).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
     family = F.element_at(F.array(*map(F.lit, model.families)), F.array_position("z", F.col("top")).cast("int"))
-    scored = scored.select("key", "paragraph", "held", family.alias("family"), F.round(1 / total, 6).alias("p")).where((F.col("family") != UNKNOWN) & (F.col("p") >= chance))
+    scored = scored.select("key", "paragraph", "at", "held", family.alias("family"), F.round(1 / total, 6).alias("p")).where((F.col("family") != UNKNOWN) & (F.col("p") >= chance))
     match = F.exists("templates", lambda t: F.size(F.array_intersect(t, F.col("held"))) >= overlap * F.size(t))
-    return scored.join(F.broadcast(templates), "family").select("key", "paragraph", "family", "p", match.alias("confirmed"))
+    named = scored.join(F.broadcast(templates), "family").select("key", "paragraph", "at", "family", "p", match.alias("confirmed"))
+    best = F.max(F.struct("confirmed", "p")).alias("best")
+    return named.groupBy("key", "paragraph", "family").agg(best, F.min("at").alias("at")).select("key", "paragraph", "at", "family", "best.p", "best.confirmed")
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
@@ -157,7 +180,8 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     kind = "array<struct<paragraph: int, family: string, p: double, confirmed: boolean>>"
     gated = docs.where(gate).withColumns(dict(zip((h1, h2), text_key(F.col("text")), strict=True)))
     texts = gated.groupBy(h1, h2).agg(F.first("text").alias("text")).select(F.struct(h1, h2).alias("key"), "text")
-    found = paragraphs(texts, model, "key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("paragraph", "family", "p", "confirmed"))).cast(kind).alias(name))
+    order = F.array_sort(F.collect_list(F.struct("paragraph", "at", "family", "p", "confirmed")))
+    found = paragraphs(texts, model, "key").groupBy("key").agg(F.transform(order, lambda x: F.struct(*[x[c].alias(c) for c in ("paragraph", "family", "p", "confirmed")])).cast(kind).alias(name))
     hit = gated.join(found.select(F.col(f"key.{h1}").alias(h1), F.col(f"key.{h2}").alias(h2), name), [h1, h2], "left")
     none = F.array().cast(kind)
     return hit.select(*docs.columns, F.coalesce(name, none).alias(name)).unionByName(docs.where(~gate).withColumn(name, none))

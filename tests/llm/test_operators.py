@@ -203,6 +203,30 @@ def test_licences(spark, model):
     assert licences.scan(df.where("false"), model).count() == 0
 
 
+NOTICES = {
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
+}
+
+
+def test_wrapped_licences(spark, model):
+    import textwrap
+
+    rows = []
+    for leader in ("", " * ", "// ", "# ", "dnl "):
+        for width in (30, 50, 70):
+            for family, notice in NOTICES.items():
+                body = "\n".join(leader + line for line in textwrap.wrap(notice, width))
+                rows.append((len(rows), f"{leader}Copyright 2020 the authors\n{leader.rstrip()}\n{body}\n\n" + "int main of words\n" * 90, family))
+    filler = "some plain words here\n" * 200
+    rows.append((len(rows), filler + "\n".join(textwrap.wrap(NOTICES["MIT"], 50)) + "\n" + filler, "MIT"))  # one long paragraph
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string, family string"), model).collect()
+    assert [(r.doc_id, [x.family for x in r.licences if x.confirmed]) for r in got if [x.family for x in r.licences if x.confirmed] != [r.family]] == []
+    assert max(len(licences.words_of(t)) for ts in licences.TEMPLATES.values() for t in ts) <= licences.OVERLAP
+
+
 def test_licence_plan_is_native(spark, model):
     df = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     plan = licences.scan(df, model)._jdf.queryExecution().toString()
