@@ -6,6 +6,8 @@ rows of about ``CHUNK`` bytes, so memory is bounded by the group or by the longe
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,12 +136,6 @@ def pieces(table: pa.Table | pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa
     yield from table.to_batches(max_chunksize=rows)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: no more than this many rows go to Python at once."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def text_key(text: Column) -> list[Column]:
     """96 bits that name a text, so that rows with equal texts need no row id. Null counts as empty."""
     text = F.coalesce(text, F.lit(""))
@@ -155,14 +151,14 @@ def free_name(taken: list[str], name: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's spark.checkpoint.dir; only where none is set, as in tests, a folder of its own."""
+    """Uses spark.checkpoint.dir; where none is set, a folder of its own in local mode, as in tests, and an error on a cluster."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir")
     if not named:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(named)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from assaykit.llm.common import free_name, small_batches
+from assaykit.llm.common import free_name
 
 RATE, PACKET = 8000, 4096
 #: Fixed values of the container format: capture pattern, header flags, most segments of a page.
@@ -161,7 +161,6 @@ def _map(batches: Iterator[pa.RecordBatch], column: str, made: str, kind: pa.Dat
 
 def encode(df: DataFrame, samples: str = "samples", media: str = "media") -> DataFrame:
     """df with the binary column ``samples`` stored as Ogg in ``media``."""
-    small_batches(df.sparkSession)
     media = free_name(df.columns, media)
     schema = T.StructType([*df.schema.fields, T.StructField(media, T.BinaryType())])
     return df.mapInArrow(functools.partial(_map, column=samples, made=media, kind=pa.binary(), work=encode_bytes), schema)
@@ -169,7 +168,6 @@ def encode(df: DataFrame, samples: str = "samples", media: str = "media") -> Dat
 
 def decode(df: DataFrame, media: str = "media", decoded: str = "decoded") -> DataFrame:
     """df with the binary column ``media`` read back into the struct ``decoded``."""
-    small_batches(df.sparkSession)
     decoded = free_name(df.columns, decoded)
     schema = T.StructType([*df.schema.fields, T.StructField(decoded, DECODED)])
     return df.mapInArrow(functools.partial(_map, column=media, made=decoded, kind=_DECODED, work=decode_bytes), schema)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from assaykit.llm.common import small_batches, text_groups
+from assaykit.llm.common import text_groups
 
 BUFFER = 1 << 20
 #: Words and units of words that a worker keeps.
@@ -268,7 +268,6 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = (
     (little-endian unsigned 32-bit). path: the tokenizer's file, which every worker has."""
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers)):
         raise ValueError("tiers are rising powers of two")
-    small_batches(docs.sparkSession, 2000)
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *(T.StructField(c, t) for c, t, _ in _PIECES)])
     made = docs.select(docs[key].alias("key"), "text").mapInArrow(functools.partial(_pack, path=path, end_id=end_id, tiers=tuple(tiers), step_tokens=step_groups * tiers[-1]), schema)
     return made.withColumnRenamed("key", key)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.llm.common import free_name, small_batches
+from assaykit.llm.common import free_name
 
 # Name lists by gender, and titles that announce a name.
 FEMALE = "Alice Anna Barbara Carmen Catherine Charlotte Claire Clara Elena Elizabeth Emily Emma Eva Hannah Helen Ingrid Isabel Jane Jennifer Julia Karen Laura Linda Lucia Margaret Maria Martha Mary Nina Olivia Patricia Paula Petra Rosa Ruth Sandra Sarah Sofia Susan Teresa".split()
@@ -249,7 +249,6 @@ def _find(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBa
 
 def collisions(docs: DataFrame, key: bytes) -> DataFrame:
     """kind, surrogate, values: surrogates that more than one value got. Aggregated before the shuffle, so a common value is no hot key."""
-    small_batches(docs.sparkSession)
     each = docs.select("text").mapInArrow(functools.partial(_find, key=key), "kind string, surrogate string, v long")
     return each.distinct().groupBy("kind", "surrogate").agg(F.count("*").alias("values")).where("values > 1")
 
@@ -258,7 +257,6 @@ def replace(docs: DataFrame, key: bytes, verify: bool = True) -> DataFrame:
     """``docs`` with entities replaced in text, and entities (kind, start, end, value, surrogate) added."""
     while verify and not collisions(docs, key).isEmpty():
         key = hashlib.sha256(key).digest()
-    small_batches(docs.sparkSession)
     made = free_name(docs.columns, "entities")
     inner = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}  # so that no input name clashes with the made ones
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()], "text")

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import free_name, small_batches
+from assaykit.llm.common import free_name
 
 BLOCK = 2048
 SAMPLE_CHARS = 16_384
@@ -113,7 +113,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """``docs`` with score (chance of label 1) and predicted (1 if score >= threshold)."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def chance(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -15,7 +15,14 @@ from assaykit.llm.signature_trees import near_duplicates
 from assaykit.llm.suffix_index import repeated_bytes
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts can be long: no more than this many rows go to Python at once. A setting of the caller's session, so entry points alone change it."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

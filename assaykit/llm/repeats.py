@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import pieces, small_batches, spread, text_key
+from assaykit.llm.common import pieces, spread, text_key
 
 ANCHORS = "name long, context long, h1 long, h2 int, pos int"
 FOUND = "name long, h1 long, h2 int, pos int, settled boolean"
@@ -207,7 +207,6 @@ def per_text(docs: DataFrame, anchors: Callable, windows: Callable, expand: Call
     are not settled. expand(bytes, lengths) gives their window hashes. finish(batches with text, marks and spans) gives ``schema``.
     The marked texts and the final join read the same two shuffles: ``texts`` and ``lists`` keep all their columns in both.
     """
-    small_batches(docs.sparkSession)
     keyed = docs.select(*text_key(F.col("text")), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     found = keyed.mapInArrow(anchors, ANCHORS).repartition("name").mapInArrow(match_anchors, FOUND)
     texts = keyed.groupBy("h1", "h2").agg(F.first("text").alias("text"))

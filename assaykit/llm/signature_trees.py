@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.llm.common import Rolling, Words, components, free_name, mix, pieces, small_batches, text_groups
+from assaykit.llm.common import Rolling, Words, components, free_name, mix, pieces, text_groups
 
 #: Upper ends of the size levels; each is half as large again as the one before.
 LEVELS = np.array([1, 2, 3, 4] + [int(4 * 1.5**i) for i in range(1, 50)], np.int64)
@@ -292,7 +292,6 @@ def search_cells(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Itera
 
 def set_components(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(node, root) for the sets of ``texts.text`` that link with another set."""
-    small_batches(texts.sparkSession)
     texts = texts.select("text")
     posted = texts.mapInArrow(functools.partial(post_parts, k=words, num=num, den=den), "key long, s long")
     edges = posted.repartition("key").sortWithinPartitions("key", "s").mapInArrow(star_edges, "a long, b long")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from assaykit.llm import packing, pii, quality
 from assaykit.llm.common import ensure_checkpoint_dir
+from assaykit.llm.queries import small_batches
 from assaykit.llm.recompression import remove_repeated_words
 from assaykit.llm.signature_trees import keep_one
 
@@ -29,6 +30,7 @@ def _with_text(docs: DataFrame, made: DataFrame, text: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the classifier rejects."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = quality.score(docs, quality.fit(docs, labels))
     return scored.where(F.col(scored.columns[-1]) == 1).select(*docs.columns)
@@ -36,22 +38,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that five-word shingles with a Jaccard similarity of 0.8 or more join."""
+    small_batches(spark)
     return keep_one(docs, words=5, num=4, den=5)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes every passage of 50 words or more that occurs elsewhere."""
+    small_batches(spark)
     made = remove_repeated_words(docs, 50)
     return _with_text(docs, made, made.columns[-2])
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts surrogates in the place of personal data and secrets."""
+    small_batches(spark)
     return _with_text(docs, pii.replace(docs, KEY), "text")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 ids."""
+    small_batches(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

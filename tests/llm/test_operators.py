@@ -9,14 +9,12 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
-import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assaykit.llm import licences, media_ogg, packing, permutation_index, pieces_scan, pii, quality
+from assaykit.llm import licences, media_ogg, packing, permutation_index, pii, quality
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
-PIECES = public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", None, "  a  b\x0bc\x0cd ", "it's don't I'LL x'sy", "a\x1cb\x85c d e", "ÀÉÎß µm ªº İstanbul ΣΑΣ ς", "é Å ́x", '12a3 4,5.6 ... ,,a.b,c a--b (x) [y] "q"', "日本語 テスト 😀😀 ab😀", "a\n\n\tb\r\nc", "▁a ▁▁ b", "x" * 9000, "ab " * 3000]
 
 
@@ -301,38 +299,3 @@ def test_permutations_have_no_fixed_points_or_collisions():
     assert len({pii.surrogate(KEY, "ssn", v) for v in values}) == 1000
     names = {pii.surrogate(KEY, "name", n) for n in pii.FEMALE}
     assert names == set(pii.FEMALE)
-
-
-# pieces
-
-
-def test_pieces_round_trip_and_chunks(spark, odd):
-    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    whole = pieces_scan.encode(odd, PIECES)
-    cut = pieces_scan.encode(odd, PIECES, chunk=64)
-    made = pieces_scan.decode(whole, PIECES, "ids_").collect()
-    assert len(made) == len(ODD) + 1
-    for r in made:
-        assert r.decoded == (r.text or "") and all(0 <= i < sp.get_piece_size() for i in r.ids_)
-    key = lambda r: (str(r.doc_id), r.ids_, r.score)
-    assert sorted(map(key, made)) == sorted(map(key, cut.collect()))
-    assert pieces_scan.encode(odd.where("false"), PIECES).count() == 0
-
-
-def test_pieces_against_plain_search():
-    model = pieces_scan.pieces_of(PIECES)
-    rng = random.Random(4)
-    for _ in range(30):
-        word = " " + "".join(rng.choice("abcdeé▁0") for _ in range(rng.randint(1, 9)))
-
-        def best(at, word=word):
-            return 0 if at == len(word) else max(w + best(at + n) for n, w in model.steps(word, at, len(word), at))
-
-        ids, weight = model.path(word, 0, len(word))
-        assert weight == best(0) and model.decode(ids) == word[1:]
-
-
-def test_max_plus_is_associative():
-    model = pieces_scan.pieces_of(PIECES)
-    a, b, c = (model.transfer(t, 6, 0) for t in ("the cat sat on", "another day in", "zzzzzzzzzzzzzz"))
-    assert (pieces_scan.compose(pieces_scan.compose(a, b), c) == pieces_scan.compose(a, pieces_scan.compose(b, c))).all()
