@@ -12,18 +12,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from assaykit.functions import scalar as f
-from assaykit.operators.rules import RowRule, Rule, UniqueRule, VarianceRule
+from assaykit.operators.rules import JoinRule, RowRule, Rule, UniqueRule, VarianceRule
 
 P1, P2, P3 = "P1_block", "P2_alert", "P3_monitor"
 
 # Fixed values, which must be these for equal verdicts.
 MAIL_STRICT = r"^[A-Za-z0-9][A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]*@[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?(\.[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?)+$"
-MAIL_TYPO_DOMAINS = "gmail|hotmail|yahoo|outlook|bigpond"
+MAIL_TYPO_DOMAINS = "gmail|hotmail|yahoo|outlook|bigpond|optusnet"
 WASHABLE, UNSUPPORTED = r"[\s()+./-]", r"[^0-9\s()+./-]"
+SPECIAL_SERVICE = "^(13|18|19)00"
 ADDRESS_WORDS = "C/O|CARE OF|PO BOX|UNIT|SUITE|LEVEL|FLOOR|STREET|ROAD|AVENUE|DRIVE|HIGHWAY|POSTCODE|SUBURB|NOTE|NOTES"
 STATES = "NSW|VIC|QLD|WA|SA|TAS|ACT|NT|NEW SOUTH WALES|VICTORIA|QUEENSLAND|WESTERN AUSTRALIA|SOUTH AUSTRALIA|TASMANIA|AUSTRALIAN CAPITAL TERRITORY|NORTHERN TERRITORY"
 NOT_INTERNATIONAL = ("N", "NO", "0", "FALSE", "F")
-BIRTH_PLACEHOLDERS = ("1900-01-01", "1901-01-01", "1911-11-11", "1970-01-01", "1980-01-01", "9999-12-31")
+BIRTH_PLACEHOLDERS = ("1900-01-01", "1901-01-01", "1970-01-01", "1980-01-01")
+EPOCH_BIRTH_PLACEHOLDERS = ("1900-01-01", "1901-01-01", "1911-11-11", "1970-01-01", "1980-01-01", "9999-12-31")
 WEBSITE_PLACEHOLDERS = ("http://n/a", "http://no", "http://none", "http://www.nowebsite.com", ".", "http://0", "http://nil", "http://----")
 ARBN_PLACEHOLDERS = ("n/a", "na", "nil", "none", "-")
 MIN_DATE_MS = -6847840800000
@@ -89,13 +91,17 @@ def phone(table: str, mobile: str, landline: str, prefix: str) -> list[Rule]:
 
 
 def phone_washed(table: str, mobile: str, landline: str, prefix: str) -> list[Rule]:
-    """After washing, and a number that too many rows share. The washed number is a column ``washed`` of the relation."""
+    """After washing, and a number that too many rows share. The washed number is a column ``washed`` of the relation.
+
+    Special-service numbers are out of scope of the two format rules, as they are no subscriber's number.
+    """
     out: list[Rule] = []
     for column, name, wanted in ((mobile, "MOBILE", f.MOBILE), (landline, "LANDLINE", f.AU_NUMBER)):
         p = _Pack(table, column, f"{prefix}_{name}")
-        washed = f.au_phone_digits(p.c)
-        p.add("AU_FMT", ~washed.rlike(wanted), P3)
-        p.add("WASHABLE", washed.rlike(wanted) & (p.c != washed), P3)
+        plain = p.scope & ~f.digits(p.c).rlike(SPECIAL_SERVICE)
+        odd, good = p.c.rlike(UNSUPPORTED), f.au_phone_digits(p.c).rlike(wanted)
+        p.add("AU_FMT", odd | ~good, P3, scope=plain)
+        p.add("WASHABLE", p.c.rlike("[^0-9]") & ~odd & good, P3, scope=plain)
         p.add("PLACEHOLDER", f.is_phone_placeholder(p.c), P2, "sentinel")
         out += p.rules
     return [*out, UniqueRule(f"{prefix}_MOBILE_SHARED", table, f.present(F.col(mobile)), P3, rule_type="uniqueness", column=mobile, keys=("washed",), most=MOST_SHARING)]
@@ -109,7 +115,7 @@ def phone_migration(table: str, column: str, prefix: str) -> list[Rule]:
     p.edges()
     p.add("WASHABLE", p.t.rlike(WASHABLE) & fit, P3)
     p.add("UNSUPPORTED", p.t.rlike(UNSUPPORTED))
-    p.add("INVALID", fit & ~f.au_phone_digits(p.c).rlike(f.AU_NUMBER), P2, scope=p.scope & ~f.digits(p.c).rlike("^(13|18|19)00"))
+    p.add("INVALID", fit & ~f.au_phone_digits(p.c).rlike(f.AU_NUMBER), P2, scope=p.scope & ~f.digits(p.c).rlike(SPECIAL_SERVICE))
     p.add("PLACEHOLDER", f.au_phone_digits(p.c).isin(*f.PHONE_PLACEHOLDERS), P2, "sentinel")
     p.add("ZEROS", f.digits(p.c).rlike("0{7,}"), P2, "sentinel")
     return p.rules
@@ -121,10 +127,10 @@ def name(table: str, column: str, prefix: str, presence: bool = True) -> list[Ru
     if presence:
         p.blank()
     p.add("PLACEHOLDER", f.is_name_placeholder(f.text(p.c)), P2, "sentinel")
-    p.add("FORMATTING", (f.text(p.c) != p.t) | f.text(p.c).rlike(r"\p{Cc}") | p.t.rlike(r"\p{P}{2,}| {2,}"), P3)
+    p.add("FORMATTING", (f.text(p.c) != p.t) | f.text(p.c).rlike(r"\p{Cc}") | p.t.rlike("^[-']|[-']$|[-']{2,}"), P3)
     p.add("CONTAMINATED", _contaminated(p.t) | p.t.rlike(r"(?i)^(MR|MISS|MRS|MS)\.?\s+") | _company(p.t))
     p.add("LENGTH", F.length(f.text(p.c)) > NAME_LENGTH, P3)
-    p.add("STRUCTURE", ~_structured(p.t), P3)
+    p.add("STRUCTURE", ~p.t.rlike(r"^\p{L}+([\p{Zs}'-]\p{L}+)*$"), P3)
     return p.rules
 
 
@@ -137,7 +143,7 @@ def _company(t: Column) -> Column:
 
 
 def _structured(t: Column) -> Column:
-    """Words of letters with one space, hyphen or apostrophe between."""
+    """Words of letters with one space, hyphen or apostrophe of either kind between."""
     return t.rlike(r"^\p{L}+([\p{Zs}'\x{2019}-]\p{L}+)*$")
 
 
@@ -166,12 +172,12 @@ def name_migration(table: str, column: str, prefix: str, presence: bool = True,
     return p.rules
 
 
-def _ages(p: _Pack, born: Column, day: Column, scope: Column, placeholders: Sequence[str]) -> None:
+def _ages(p: _Pack, born: Column, day: Column, scope: Column, placeholders: Sequence[str], severity: str) -> None:
     p.add("FUTURE", born > day, P2, scope=scope)
     p.add("UNDER_14", (born <= day) & f.younger_than(born, 14, day), P2, scope=scope)
     p.add("FROM_14_TO_17", ~f.younger_than(born, 14, day) & f.younger_than(born, 18, day), P3, scope=scope)
     p.add("OVER_110", born < F.add_months(day, -110 * 12), P2, scope=scope)
-    p.add("PLACEHOLDER", born.isin(*[F.lit(x).cast("date") for x in placeholders]), P3, "sentinel", scope)
+    p.add("PLACEHOLDER", born.isin(*[F.lit(x).cast("date") for x in placeholders]), severity, "sentinel", scope)
 
 
 def birth(table: str, column: str, prefix: str, day: Column) -> list[Rule]:
@@ -181,7 +187,7 @@ def birth(table: str, column: str, prefix: str, day: Column) -> list[Rule]:
     p.add("PARSEABLE", born.isNull(), P1)
     p.add("PLAUSIBLE", (F.year(born) < 1920) | (F.year(born) > 2008), P2, scope=born.isNotNull())
     p.blank()
-    _ages(p, born, day, born.isNotNull(), BIRTH_PLACEHOLDERS)
+    _ages(p, born, day, born.isNotNull(), BIRTH_PLACEHOLDERS, P3)
     return p.rules
 
 
@@ -192,21 +198,26 @@ def birth_epoch(table: str, column: str, prefix: str, day: Column) -> list[Rule]
     scope = born.isNotNull() & (raw != 0)
     p.add("NULL_OR_ZERO", f.is_blank(p.c) | (raw == 0), P2, "not_null", None)
     p.add("BEFORE_1900", born < F.lit("1900-01-01").cast("date"), P3, scope=scope)
-    _ages(p, born, day, scope, BIRTH_PLACEHOLDERS)
+    _ages(p, born, day, scope, EPOCH_BIRTH_PLACEHOLDERS, P2)
     return p.rules
 
 
 def identifier(table: str, column: str, prefix: str, formatting: bool = True) -> list[Rule]:
-    """R10; without ``formatting`` R11. Uniqueness is of the raw column."""
+    """R10; without ``formatting`` R11. Uniqueness is of the trimmed value, a column ``trimmed`` of the relation."""
     p = _Pack(table, column, prefix)
     p.blank(P1)
     p.add("NUMERIC", ~p.t.rlike("^[0-9]+$"))
     if formatting:
         p.add("FORMATTING", (f.text(p.c) != p.t) | f.text(p.c).rlike(r"\p{Cc}"), P3)
-    return [*p.rules, UniqueRule(f"{prefix}_UNIQUE", table, p.scope, P1, rule_type="uniqueness", column=column, keys=(column,))]
+    return [*p.rules, UniqueRule(f"{prefix}_UNIQUE", table, p.scope, P1, rule_type="uniqueness", column=column, keys=("trimmed",))]
+
+
+def unique_key(table: str, column: str, prefix: str) -> list[Rule]:
+    """A key that no two rows share as it stands."""
+    return [UniqueRule(f"{prefix}_UNIQUE", table, None, P1, rule_type="uniqueness", column=column, keys=(column,))]
 
 
-def subscription(table: str, prefix: str, number: str, kind: str, product: str, imei: str, sim: str, network: str, benefit: str, account: str, offer: str, bill_type: str, first: str, initial: str, status: str, reason: str, closed: str) -> list[Rule]:
+def subscription(table: str, prefix: str, number: str, kind: str, product: str, imei: str, sim: str, network: str, benefit: str, account: str, offer: str, bill_type: str, first: str, initial: str, status: str, reason: str, closed: str, key: str) -> list[Rule]:
     """A service with its number, devices, keys, dates and status."""
     p = _Pack(table, number, prefix)
     is_phone = F.col(kind) == 1
@@ -222,7 +233,7 @@ def subscription(table: str, prefix: str, number: str, kind: str, product: str,
     p.add("REASON_REQUIRED", (F.col(reason) == 0) | F.col(reason).isNull(), P2, "consistency", F.col(status) != 1)
     p.add("CLOSED_AGREES", F.col(closed).isNotNull() != (F.col(status) == 2), P2, "consistency", None)
     unique = UniqueRule(f"{prefix}_UNIQUE", table, is_phone & (F.lower(F.trim(p.c)) != SENTINEL_NUMBER), P1, rule_type="uniqueness", column=number, keys=(number,))
-    return [*p.rules, unique]
+    return [*p.rules, unique, UniqueRule(f"{prefix}_KEY_UNIQUE", table, None, P1, rule_type="uniqueness", column=key, keys=(key,))]
 
 
 SENTINEL_NUMBER = f.SENTINELS[0]
@@ -235,9 +246,9 @@ def conditional_presence(table: str, column: str, when: str, prefix: str) -> lis
     return p.rules
 
 
-def constant(table: str, columns: Sequence[str], prefix: str) -> list[Rule]:
+def constant(table: str, columns: Sequence[str], prefix: str, severity: str = P3) -> list[Rule]:
     """R14."""
-    return [VarianceRule(f"{prefix}_{c}_VARIES", table, None, P3, rule_type="variance", column=c, values=c) for c in columns]
+    return [VarianceRule(f"{prefix}_{c}_VARIES", table, None, severity, rule_type="variance", column=c, values=c) for c in columns]
 
 
 def role(table: str, column: str, prefix: str) -> list[Rule]:
@@ -338,6 +349,21 @@ def arbn(table: str, column: str, prefix: str) -> list[Rule]:
     return p.rules
 
 
+def cross_table(table: str, prefix: str, orphans: str, pairs: str, totals: str, parent_key: Column, texts: tuple[Column, Column], times: tuple[Column, Column], sums: tuple[Column, Column]) -> list[Rule]:
+    """A child without a parent, two agreements of matched rows, and totals that should be equal.
+
+    orphans, pairs and totals name joins: a left join to the parent, the matched rows, and one row with both totals. Values that are NULL on a
+    side agree; totals do not.
+    """
+    left, right = (F.lower(F.trim(c)) for c in texts)
+    return [
+        JoinRule(f"{prefix}_ORPHAN", table, None, P1, rule_type="referential", join=orphans, violates=parent_key.isNull()),
+        JoinRule(f"{prefix}_TEXT_AGREES", table, None, P2, rule_type="consistency", join=pairs, violates=left != right),
+        JoinRule(f"{prefix}_TIME_AGREES", table, None, P2, rule_type="consistency", join=pairs, violates=times[0] != times[1]),
+        JoinRule(f"{prefix}_TOTALS_AGREE", table, None, P3, rule_type="reconciliation", join=totals, violates=~sums[0].eqNullSafe(sums[1])),
+    ]
+
+
 def universal(table: str, column: str, prefix: str) -> list[Rule]:
     """The four checks that fit any text column."""
     p = _Pack(table, column, prefix)

@@ -498,18 +498,14 @@ def r1(t):
     return _pack_query(t, df, packs.email("people", "mail", "state", "EM"))
 
 
-@query("r19_count_text", " UNION ALL ".join(f"SELECT 'N_{n}' AS rule_id, COUNT(*) AS rows_scanned, COUNT(*) FILTER ({v}) AS violation_count FROM (SELECT CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN '12.5' WHEN 1 THEN '-3' WHEN 2 THEN '007' WHEN 3 THEN '$1,000' WHEN 4 THEN '1e3' ELSE CAST(p_partkey AS STRING) END AS c FROM part)" for n, v in (
-    ("NO_NUMBER", "NOT regexp_matches(c, '[0-9]')"), ("UNIT_TEXT", "regexp_matches(c, '[0-9]') AND regexp_matches(c, '[$,a-z]') AND c <> '1e3'"), ("DECIMAL", "regexp_matches(c, '^-?[0-9]*\\.[0-9]+$')"), ("SCIENTIFIC", "c = '1e3'"), ("NEGATIVE", "c = '-3'"),
-    ("ZERO", "regexp_matches(c, '^0+$')"), ("LEADING_ZERO", "c = '007'"), ("PHONE_LIKE", "FALSE"), ("OUTLIER", "regexp_matches(c, '^[0-9]+$') AND CAST(TRY_CAST(c AS BIGINT) AS BIGINT) > 1000"))))
-def r19(t):
-    n = F.col("p_partkey") % 6
-    c = F.when(n == 0, "12.5").when(n == 1, "-3").when(n == 2, "007").when(n == 3, "$1,000").when(n == 4, "1e3").otherwise(F.col("p_partkey").cast("string"))
-    return _pack_query(t, t.part.select(c.alias("c")), packs.count_text("part", "c", "N", office=True))
+_ID = "CASE CAST(o_orderkey % 6 AS INT) WHEN 0 THEN ' ' || CAST(o_custkey AS STRING) WHEN 1 THEN 'K' || CAST(o_custkey AS STRING) WHEN 2 THEN CAST(o_orderkey AS STRING) || chr(7) WHEN 3 THEN NULL ELSE CAST(o_custkey AS STRING) END"
 
 
-@query("r10_identifier", "SELECT 'ID_NOT_NULL' AS rule_id, COUNT(*) AS rows_scanned, 0::BIGINT AS violation_count FROM orders UNION ALL SELECT 'ID_NUMERIC', COUNT(*), 0 FROM orders UNION ALL SELECT 'ID_FORMATTING', COUNT(*), 0 FROM orders UNION ALL SELECT 'ID_UNIQUE', COUNT(*), COUNT(*) FILTER (n > 1) FROM (SELECT COUNT(*) OVER (PARTITION BY o_custkey) AS n FROM orders)")
+@query("r10_identifier", f"WITH v AS (SELECT o_orderkey, {_ID} AS c FROM orders), s AS (SELECT *, COUNT(*) OVER (PARTITION BY trim(c)) AS n FROM v WHERE trim(c) <> '') SELECT 'ID_NOT_NULL' AS rule_id, COUNT(*) AS rows_scanned, COUNT(*) FILTER (c IS NULL OR trim(c) = '') AS violation_count FROM v UNION ALL SELECT 'ID_NUMERIC', COUNT(*), COUNT(*) FILTER (NOT regexp_matches(trim(c), '^[0-9]+$')) FROM s "
+    "UNION ALL SELECT 'ID_FORMATTING', COUNT(*), COUNT(*) FILTER (c <> trim(c) OR regexp_matches(c, '\\p{Cc}')) FROM s UNION ALL SELECT 'ID_UNIQUE', COUNT(*), COUNT(*) FILTER (n > 1) FROM s UNION ALL SELECT 'KEY_UNIQUE', COUNT(*), COUNT(*) FILTER (n > 1) FROM (SELECT COUNT(*) OVER (PARTITION BY o_orderkey) AS n FROM orders)")
 def r10(t):
-    return checks.measure(t.spark, packs.identifier("orders", "o_custkey", "ID"), {"orders": t.orders}).drop("error")
+    df = t.orders.select("o_orderkey", F.expr(_ID).alias("c")).withColumn("trimmed", F.trim("c"))
+    return checks.measure(t.spark, [*packs.identifier("orders", "c", "ID"), *packs.unique_key("orders", "o_orderkey", "KEY")], {"orders": df}).drop("error")
 
 
 # I: profiles and discovery
