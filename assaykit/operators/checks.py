@@ -19,18 +19,23 @@ def rule_shape(rule: Rule) -> str:
     return rule.kind
 
 
-def _rows(counts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def _rows(counts: DataFrame, scanned: Mapping[str, str]) -> DataFrame:
     """One wide row of counts -> a row per rule. Rule ids are identifiers, so they can stand in the expression."""
-    cells = ", ".join(f"struct('{r.rule_id}' AS rule_id, `s_{r.rule_id}` AS rows_scanned, coalesce(`v_{r.rule_id}`, 0L) AS violation_count)" for r in rules)
+    cells = ", ".join(f"struct('{rule}' AS rule_id, `{scope}` AS rows_scanned, coalesce(`v_{rule}`, 0L) AS violation_count)" for rule, scope in scanned.items())
     return counts.selectExpr(f"inline(array({cells}))")
 
 
 def row_level_batch(df: DataFrame, rules: Sequence[RowRule | JoinRule]) -> DataFrame:
-    """All rules of one relation in one aggregate. count_if(scope) is what WHERE scope would count; a NULL predicate is not counted."""
+    """All rules of one relation in one aggregate. count_if(scope) is what WHERE scope would count, once for all rules that share the scope; a NULL
+    predicate is not counted."""
+    scopes: dict[int, int] = {}
     counts = []
     for r in rules:
-        counts += [F.count_if(r.within).alias(f"s_{r.rule_id}"), F.count_if(r.within & r.violates).alias(f"v_{r.rule_id}")]
-    return _rows(df.agg(*counts), rules)
+        if id(r.scope) not in scopes:
+            scopes[id(r.scope)] = len(scopes)
+            counts.append(F.count_if(r.within).alias(f"s_{scopes[id(r.scope)]}"))
+        counts.append(F.count_if(r.within & r.violates).alias(f"v_{r.rule_id}"))
+    return _rows(df.agg(*counts), {r.rule_id: f"s_{scopes[id(r.scope)]}" for r in rules})
 
 
 def one_by_one(df: DataFrame, rules: Sequence[RowRule]) -> DataFrame:
@@ -61,8 +66,15 @@ def plan(rules: Sequence[Rule]) -> dict[tuple[str, str], list[Rule]]:
     return out
 
 
+class MissingRelation(ValueError):
+    """A rule over a relation that the run was not given."""
+
+
 def _measure(group: Sequence[Rule], tables: Mapping[str, DataFrame], joins: Mapping[str, DataFrame]) -> DataFrame:
     first = group[0]
+    held, name = (joins, first.join) if isinstance(first, JoinRule) else (tables, first.table)
+    if name not in held:
+        raise MissingRelation(f"no relation {name}")
     if isinstance(first, UniqueRule):
         return uniqueness_check(tables[first.table], first)
     if isinstance(first, VarianceRule):
@@ -71,7 +83,8 @@ def _measure(group: Sequence[Rule], tables: Mapping[str, DataFrame], joins: Mapp
 
 
 def measure(spark: SparkSession, rules: Sequence[Rule], tables: Mapping[str, DataFrame], joins: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """(rule_id, rows_scanned, violation_count, error). A group that fails is measured rule by rule, so only the rules at fault are errors.
+    """(rule_id, rows_scanned, violation_count, error). All groups are one job; if it fails, each is measured by itself, and a group that fails
+    rule by rule, so only the rules at fault are errors.
 
     One row per rule comes to the driver; the number of rules bounds it.
     """
@@ -80,12 +93,18 @@ def measure(spark: SparkSession, rules: Sequence[Rule], tables: Mapping[str, Dat
     def collect(group: Sequence[Rule]) -> list[tuple]:
         try:
             return [(r.rule_id, r.rows_scanned, r.violation_count, None) for r in _measure(group, tables, joins).collect()]
-        except (PySparkException, KeyError) as fault:
+        except (PySparkException, MissingRelation) as fault:
             if len(group) > 1:
                 return [row for r in group for row in collect([r])]
             return [(group[0].rule_id, None, None, f"{type(fault).__name__}: {str(fault).splitlines()[0][:200]}")]
 
-    return spark.createDataFrame([row for group in plan(rules).values() for row in collect(group)], MEASURED)
+    groups = list(plan(rules).values())
+    try:
+        whole = reduce(DataFrame.unionByName, [_measure(group, tables, joins) for group in groups]) if groups else None
+        rows = [(r.rule_id, r.rows_scanned, r.violation_count, None) for r in whole.collect()] if groups else []
+    except (PySparkException, MissingRelation):
+        rows = [row for group in groups for row in collect(group)]
+    return spark.createDataFrame(rows, MEASURED)
 
 
 def rule_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:

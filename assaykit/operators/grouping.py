@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the cluster's checkpoint folder; in a folder of its own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+from assaykit.sources.relations import checkpointed
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that edges lead to. Labels spread to neighbours and then jump to their own label's label."""
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = _checkpoint(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = _checkpoint(both.groupBy("x").agg(F.min(F.least("x", "y")).alias("label")).withColumnRenamed("x", "node"))
+    both = checkpointed(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    labels = checkpointed(both.groupBy("x").agg(F.min(F.least("x", "y")).alias("label")).withColumnRenamed("x", "node"))
     while True:
         near = both.join(labels, F.col("y") == F.col("node")).groupBy(F.col("x").alias("n")).agg(F.min("label").alias("around"))
         spread = labels.join(near, F.col("node") == F.col("n")).select("node", F.least("label", "around").alias("label"), F.col("label").alias("was"))
         hop = spread.select(F.col("node").alias("h"), F.col("label").alias("next"))
-        after = _checkpoint(spread.join(hop, F.col("label") == F.col("h"), "left").select("node", F.least("label", "next").alias("label"), "was"))
+        after = checkpointed(spread.join(hop, F.col("label") == F.col("h"), "left").select("node", F.least("label", "next").alias("label"), "was"))
         if after.where("label <> was").isEmpty():
             return after.select("node", F.col("label").alias("component"))
         labels = after.select("node", "label")
@@ -59,9 +51,10 @@ def shared_rows(samples: DataFrame, ratio: float = 0.5) -> DataFrame:
     """Pairs of rules of which the smaller one's records are, by this share, records of the other too."""
     keys = usable_samples(samples).where("outcome = 'used'").select("target_table", "rule_id", "row_key").distinct()
     sizes = keys.groupBy("target_table", "rule_id").agg(F.count("*").alias("n"))
-    l = keys.withColumnRenamed("rule_id", "rule_a")
-    r = keys.withColumnRenamed("rule_id", "rule_b")
-    pairs = l.join(r, ["target_table", "row_key"]).where("rule_a < rule_b").groupBy("target_table", "rule_a", "rule_b").agg(F.count("*").alias("shared"))
+    # a record's rules are no more than the rules there are; pairs are counted before they are shuffled
+    rules = keys.groupBy("target_table", "row_key").agg(F.array_sort(F.collect_set("rule_id")).alias("rules")).where(F.size("rules") > 1)
+    with_later = F.flatten(F.transform("rules", lambda a, i: F.transform(F.slice("rules", i + 2, F.size("rules")), lambda b: F.struct(a.alias("rule_a"), b.alias("rule_b")))))
+    pairs = rules.select("target_table", F.inline(with_later)).groupBy("target_table", "rule_a", "rule_b").agg(F.count("*").alias("shared"))
     for side in ("a", "b"):
         pairs = pairs.join(sizes.select("target_table", F.col("rule_id").alias(f"rule_{side}"), F.col("n").alias(f"n_{side}")), ["target_table", f"rule_{side}"])
     return pairs.withColumn("ratio", F.col("shared").cast("double") / F.least("n_a", "n_b")).where(F.col("ratio") >= ratio)

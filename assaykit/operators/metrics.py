@@ -65,12 +65,18 @@ def failing_since(check_run: DataFrame) -> DataFrame:
     return rows.groupBy("rule_id").agg(F.min("run_ts").alias("failing_since"))
 
 
-def newly_failing(check_run: DataFrame, as_of: Column, days: int = 14) -> DataFrame:
-    """Rules that turned from clean to breach in the last ``days``."""
-    clean = check_run.where(_is("pass")).groupBy("rule_id").agg(F.max("run_ts").alias("last_clean"))
-    turned = check_run.where(_is("breach")).join(clean, "rule_id").where("run_ts > last_clean").groupBy("rule_id").agg(F.min("run_ts").alias("turned_ts"))
-    age = F.datediff(as_of, F.to_date("turned_ts"))
-    return turned.where((age >= 0) & (age <= days))
+def newly_failing(check_run: DataFrame, days: int = 14) -> DataFrame:
+    """Rules that breach now and did not before: rule_id, turned_ts (the first breach after the last verdict that was none), failing_rows (of the
+    latest verdict), clean_before. Rules that turned more than ``days`` before their table's newest run are known gaps, no events."""
+    newest = F.struct("run_ts", "result_id")
+    rules = check_run.groupBy("target_table", "rule_id").agg(
+        F.max(F.when(~_is("breach"), F.col("run_ts"))).alias("clean_before"), F.max_by("status", newest).alias("_last"), F.max_by("violation_count", newest).alias("failing_rows"), F.max("run_ts").alias("_top")
+    )
+    top = rules.groupBy("target_table").agg(F.max("_top").alias("_newest"))
+    live = rules.where("_last = 'breach' and clean_before is not null").join(top, "target_table")
+    rows = check_run.where(_is("breach")).select("target_table", "rule_id", "run_ts").join(live, ["target_table", "rule_id"]).where("run_ts > clean_before")
+    turned = rows.groupBy("rule_id", "failing_rows", "clean_before", "_newest").agg(F.min("run_ts").alias("turned_ts"))
+    return turned.where(F.col("turned_ts") >= F.col("_newest") - F.make_dt_interval(F.lit(days))).select("rule_id", "turned_ts", "failing_rows", "clean_before")
 
 
 def run_index(check_run: DataFrame) -> DataFrame:

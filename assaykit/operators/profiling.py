@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions import scalar as f
 from assaykit.operators.rules import RowRule, Rule
+from assaykit.sources.relations import checkpointed
 
 
 def _melt(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -18,15 +19,19 @@ def _melt(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str], pattern: str | None = None) -> DataFrame:
-    """Counts per column. NULL, blank and populated values are counted apart; distinct counts come from one grouped pass."""
-    cells = _melt(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
+    """Counts per column. NULL, blank and populated values are counted apart; distinct values are counted by 128 bits of hash, so that long
+    cells are not shuffled."""
     v, n = F.col("value"), F.col("n")
     blank, filled = v.isNotNull() & (F.trim(v) == ""), v.isNotNull() & (F.trim(v) != "")
-    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
     fits = filled & v.rlike(f"^(?:{pattern})") if pattern else F.lit(False)
-    out = cells.groupBy("column").agg(
-        F.sum("n").alias("rows_scanned"), total(v.isNull()).alias("null_count"), total(blank).alias("blank_count"), total(filled).alias("populated_count"), F.count_if(filled).alias("distinct_count"),
-        F.min(F.when(filled, F.length(v))).alias("min_length"), F.max(F.when(filled, F.length(v))).alias("max_length"), total(filled & f.is_sentinel(v)).alias("sentinel_count"), total(fits).alias("match_count"),
+    kind = F.when(v.isNull(), "null").when(blank, "blank").otherwise("filled")
+    cells = _melt(df, columns).select("column", F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2"), kind.alias("kind"), F.length(v).alias("size"), F.coalesce(filled & f.is_sentinel(v), F.lit(False)).alias("sentinel"), F.coalesce(fits, F.lit(False)).alias("fits"))
+    values = cells.groupBy("column", "h1", "h2", "kind", "size", "sentinel", "fits").agg(F.count("*").alias("n"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    full = F.col("kind") == "filled"
+    out = values.groupBy("column").agg(
+        F.sum("n").alias("rows_scanned"), total(F.col("kind") == "null").alias("null_count"), total(F.col("kind") == "blank").alias("blank_count"), total(full).alias("populated_count"), F.count_if(full).alias("distinct_count"),
+        F.min(F.when(full, F.col("size"))).alias("min_length"), F.max(F.when(full, F.col("size"))).alias("max_length"), total(F.col("sentinel")).alias("sentinel_count"), total(F.col("fits")).alias("match_count"),
     )
     share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a).cast("double") * 100.0 / F.col(b), 4))
     return out.withColumns({"null_pct": share("null_count", "rows_scanned"), "blank_pct": share("blank_count", "rows_scanned"), "distinct_pct": share("distinct_count", "populated_count"), "match_pct": share("match_count", "populated_count")})
@@ -36,7 +41,7 @@ def top_signatures(df: DataFrame, columns: Sequence[str], private: bool = False,
     """Column, rank, signature, row_count, signature_count; shapes of few rows of a private column are one row <rare>."""
     cells = _melt(df, columns).where(f.present(F.col("value")))
     shapes = cells.groupBy("column", f.signature(F.col("value")).alias("signature")).agg(F.count("*").alias("row_count"))
-    counted = shapes.withColumn("signature_count", F.count("*").over(Window.partitionBy("column")))
+    counted = shapes.join(shapes.groupBy("column").agg(F.count("*").alias("signature_count")), "column")  # no window, which would gather a column's shapes
     if private:
         counted = counted.withColumn("signature", F.when(F.col("row_count") < rare, "<rare>").otherwise(F.col("signature"))).groupBy("column", "signature", "signature_count").agg(F.sum("row_count").alias("row_count"))
     order = Window.partitionBy("column").orderBy(F.desc("row_count"), "signature")
@@ -68,27 +73,42 @@ def name_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
 
 
-def decide_binding(rates: DataFrame, names: DataFrame, tags: DataFrame, least: int = 20) -> DataFrame:
-    """Column -> element, confidence, why. names: (cde_id, cde_name); tags: (column, cde_id). A tag wins; then the one pattern that fits 95 %;
-    then of several the one whose name agrees; then a near miss with the name; then the name alone."""
-    share = F.col("matches").cast("double") / F.col("populated")
-    evidence = rates.join(names, "cde_id").withColumns({
-        "hit": (F.col("populated") >= least) & (share >= 0.95), "near": (F.col("populated") >= least) & (share >= 0.5) & (share < 0.95),
-        "named": F.contains(name_key(F.col("column")), name_key(F.col("cde_name"))),
-    })
-    out = evidence.groupBy("column").agg(
-        F.count_if("hit").alias("hits"), F.max(F.when(F.col("hit"), F.col("cde_id"))).alias("hit_id"), F.count_if(F.col("hit") & F.col("named")).alias("hits_named"), F.max(F.when(F.col("hit") & F.col("named"), F.col("cde_id"))).alias("hit_named"),
-        F.max(F.when(F.col("near") & F.col("named"), F.col("cde_id"))).alias("near_named"), F.count_if("named").alias("names"), F.max(F.when(F.col("named"), F.col("cde_id"))).alias("name_id"),
-    )
-    out = out.join(tags.select("column", F.col("cde_id").alias("tag")), "column", "left")
+#: Shares and confidences of a decision.
+FITS, NEAR, BY_NAME, NARROWED = 95.0, 50.0, 0.6, 0.75
+
+
+def decide_binding(columns: DataFrame, rates: DataFrame, known: DataFrame, hints: DataFrame, tags: DataFrame, least: int = 20) -> DataFrame:
+    """Column, cde_id, method, confidence, why for each of ``columns`` (column).
+
+    rates: column, cde_id, populated, matches. known: cde_id of registered elements. hints: cde_id, name (a name key). tags: column, cde_id.
+    In this order: a tag settles a column, also where it names no registered element (then nothing is proposed); with ``least`` values or more, the one
+    pattern that fits, of several the one whose hint is the column's name, or a near miss whose hint is; a column whose values fit or nearly fit
+    is not left to its name alone; then the only hint.
+    """
+    pct = F.try_divide(F.col("matches") * 100.0, F.col("populated"))
+    named = hints.join(known, "cde_id", "left_semi").select("cde_id", F.col("name").alias("_key")).distinct()
+    by_name = columns.withColumn("_key", name_key(F.col("column"))).join(named, "_key").select("column", "cde_id", F.lit(True).alias("_named"))
+    fits = rates.join(known, "cde_id", "left_semi").where(F.col("populated") >= least).withColumn("pct", pct)
+    cells = fits.join(by_name, ["column", "cde_id"], "full_outer").withColumn("_named", F.coalesce("_named", F.lit(False)))
+    hit, near = F.coalesce(F.col("pct") >= FITS, F.lit(False)), F.coalesce(F.col("pct") >= NEAR, F.lit(False))
+    facts = {"hits": hit, "hits_named": hit & F.col("_named"), "near": near, "near_named": near & F.col("_named"), "names": F.col("_named")}
+    found = cells.groupBy("column").agg(*[F.count_if(c).alias(n) for n, c in facts.items()], *[F.max(F.when(c, F.struct("cde_id", "pct"))).alias(f"{n}_of") for n, c in facts.items()])
+    tagged = tags.join(known.withColumn("_known", F.lit(True)), "cde_id", "left").select("column", F.col("cde_id").alias("_tag"), "_known")
+    out = columns.join(found, "column", "left").join(tagged, "column", "left").fillna(0, list(facts))
+    # condition, element, method, confidence, why nothing is proposed
     cases = [
-        (F.col("tag").isNotNull(), F.col("tag"), 1.0, "tag"), (F.col("hits") == 1, F.col("hit_id"), 0.9, "pattern"), ((F.col("hits") > 1) & (F.col("hits_named") == 1), F.col("hit_named"), 0.75, "pattern and name"),
-        (F.col("hits") > 1, F.lit(None).cast("string"), 0.0, "several patterns fit"), (F.col("near_named").isNotNull(), F.col("near_named"), 0.6, "near miss and name"), (F.col("names") == 1, F.col("name_id"), 0.6, "name"),
+        (F.col("_known"), F.col("_tag"), "tag", F.lit(1.0), None), (F.col("_tag").isNotNull(), None, None, None, "tag names an element that is not registered"),
+        (F.col("hits") == 1, F.col("hits_of.cde_id"), "value_signature", F.round(F.col("hits_of.pct") / 100, 4), None),
+        ((F.col("hits") > 1) & (F.col("hits_named") == 1), F.col("hits_named_of.cde_id"), "name_match", F.lit(NARROWED), None), (F.col("hits") > 1, None, None, None, "several patterns fit"),
+        ((F.col("near") > 0) & (F.col("near_named") == 1), F.col("near_named_of.cde_id"), "name_match", F.lit(BY_NAME), None), (F.col("near") > 0, None, None, None, "near miss"),
+        (F.col("names") == 1, F.col("names_of.cde_id"), "name_match", F.lit(BY_NAME), None), (F.col("names") > 1, None, None, None, "name matches several elements"), (F.lit(True), None, None, None, "nothing identifies it"),
     ]
-    element, sure, why = F.lit(None).cast("string"), F.lit(0.0), F.lit("no evidence")
-    for when, e, s, w in reversed(cases):
-        element, sure, why = F.when(when, e).otherwise(element), F.when(when, F.lit(s)).otherwise(sure), F.when(when, w).otherwise(why)
-    return out.select("column", element.alias("cde_id"), sure.alias("confidence"), why.alias("why"))
+    none = F.lit(None)
+    made = none
+    for when, element, method, confidence, why in reversed(cases):
+        cell = F.struct((none if element is None else element).cast("string").alias("cde_id"), F.lit(method).cast("string").alias("method"), (none if confidence is None else confidence).cast("double").alias("confidence"), F.lit(why).cast("string").alias("why"))
+        made = F.when(when, cell).otherwise(made)
+    return out.select("column", made.alias("_made")).select("column", "_made.*")
 
 
 def pending(columns: DataFrame, bound: DataFrame, proposals: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -107,24 +127,28 @@ def evaluate_discovery(found: DataFrame, truth: DataFrame) -> DataFrame:
     return both.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-#: Date formats that a text column may hold.
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "MM-dd-yyyy", "yyyyMMdd", "dd.MM.yyyy", "dd MMM yyyy", "MMM dd yyyy", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy HH:mm:ss")
+# The formats that a text column of dates is tried in, with the order of their fields.
+DATE_FORMATS = {
+    "yyyy-MM-dd HH:mm:ss": "ymd", "yyyy-MM-dd'T'HH:mm:ss": "ymd", "yyyy-MM-dd": "ymd", "yyyyMMdd": "ymd", "yyyy/MM/dd": "ymd",
+    "dd/MM/yyyy": "dmy", "d/M/yyyy": "dmy", "dd-MM-yyyy": "dmy", "dd.MM.yyyy": "dmy", "dd-MMM-yyyy": "dmy", "dd/MM/yyyy HH:mm:ss": "dmy",
+    "MM/dd/yyyy": "mdy", "M/d/yyyy": "mdy",
+}
 
 
-def date_format_probe(df: DataFrame, columns: Sequence[str], formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
-    """I8: column, format, populated, parsed: one aggregate."""
+def date_format_probe(df: DataFrame, columns: Sequence[str], formats: Mapping[str, str] = DATE_FORMATS) -> DataFrame:
+    """I8: column, place, format, field_order, populated, parsed: one aggregate."""
     aggs = [F.count_if(f.present(F.col(c))).alias(f"n_{i}") for i, c in enumerate(columns)]
-    aggs += [F.count_if(F.try_to_timestamp(f.trimmed(F.col(c)), F.lit(x)).isNotNull()).alias(f"m_{i}_{j}") for i, c in enumerate(columns) for j, x in enumerate(formats)]
-    cells = [F.struct(F.lit(c).alias("column"), F.lit(x).alias("format"), F.col(f"n_{i}").alias("populated"), F.col(f"m_{i}_{j}").alias("parsed")) for i, c in enumerate(columns) for j, x in enumerate(formats)]
+    aggs += [F.count_if(f.present(F.col(c)) & F.try_to_timestamp(F.col(c), F.lit(x)).isNotNull()).alias(f"m_{i}_{j}") for i, c in enumerate(columns) for j, x in enumerate(formats)]
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(j).alias("place"), F.lit(x).alias("format"), F.lit(o).alias("field_order"), F.col(f"n_{i}").alias("populated"), F.col(f"m_{i}_{j}").alias("parsed")) for i, c in enumerate(columns) for j, (x, o) in enumerate(formats.items())]
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
-def choose_date_format(probe: DataFrame, least: float = 0.95) -> DataFrame:
-    """The best format per column; none where two field orders pass."""
-    good = probe.where((F.col("populated") > 0) & (F.col("parsed").cast("double") / F.col("populated") >= least))
-    field_order = F.regexp_replace("format", "[^yMd]|(.)(?=\\1)", "")
-    best = good.groupBy("column").agg(F.max_by("format", F.struct("parsed", "format")).alias("format"), F.countDistinct(field_order).alias("orders"))
-    return best.select("column", F.when(F.col("orders") == 1, F.col("format")).alias("format"))
+def choose_date_format(probe: DataFrame, least: float = 95.0) -> DataFrame:
+    """column, format, why: the format that parses most (of equals the first listed), if it parses enough and none of another field order does."""
+    good = F.coalesce(F.try_divide(F.col("parsed") * 100.0, F.col("populated")) >= least, F.lit(False))
+    best = probe.groupBy("column").agg(F.max("populated").alias("n"), F.max_by(F.when(good, F.col("format")), F.when(good, F.struct("parsed", -F.col("place")))).alias("best"), F.countDistinct(F.when(good, F.col("field_order"))).alias("orders"))
+    why = F.when(F.col("n") == 0, "no values").when(F.col("orders") == 0, "no format fits").when(F.col("orders") > 1, "day and month cannot be told apart")
+    return best.select("column", F.when(F.col("orders") == 1, F.col("best")).alias("format"), why.alias("why"))
 
 
 @dataclass(frozen=True)
@@ -191,7 +215,8 @@ def leak_scan(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def pseudonyms(values: DataFrame, kind: str) -> DataFrame:
     """Value -> KIND_n, numbered by first sight (value, seen). Ranks come per range of the values' order, not from one sorted task."""
     first = values.groupBy("value").agg(F.min("seen").alias("seen")).where("value is not null")
-    ranged = first.repartitionByRange("seen", "value").withColumn("_p", F.spark_partition_id())
+    # read twice below, so it is kept: another run of it could cut the ranges elsewhere
+    ranged = checkpointed(first.repartitionByRange("seen", "value").withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_base")  # a row per partition
     n = F.row_number().over(Window.partitionBy("_p").orderBy("seen", "value")) + F.col("_base")
@@ -204,14 +229,27 @@ def leaked(texts: DataFrame, key_table: DataFrame) -> DataFrame:
     return words.join(key_table.select("value"), "value", "left_semi")
 
 
+#: Bytes above which a table is not scanned in full every day.
+SCAN_LIMIT = 200_000_000_000
+
+
 def scan_cost(tables: DataFrame) -> DataFrame:
-    """Seconds of a full scan of ``bytes``: 4 and one for each 160 MB."""
-    return tables.withColumn("seconds", F.round(4.0 + F.col("bytes") / 160e6, 1))
+    """Seconds of a full scan of ``bytes`` (4 and one for each 160 MB), a label, and whether a daily full scan is allowed."""
+    s = 4.0 + F.col("bytes").cast("double") / 160e6
+    near = F.concat(F.lit("about "), (F.bround(s / 5) * 5).cast("int").cast("string"), F.lit(" s"))
+    label = F.when(F.col("bytes").isNull(), "size unknown").when(F.col("bytes") > SCAN_LIMIT, "too large for a daily full scan").when(s < 10, "under 10 s").when(s < 90, near).otherwise(F.concat(F.lit("about "), F.bround(s / 60).cast("int").cast("string"), F.lit(" min")))
+    return tables.withColumns({"seconds": F.round(s, 1), "label": label, "allowed": F.col("bytes") <= SCAN_LIMIT})
+
+
+def row_key_of(columns: Sequence[str], primary_key: Sequence[str] = ()) -> list[str]:
+    """The declared key, else the first column whose name says that it is one, else the first column."""
+    named = [c for c in columns if c.lower().endswith(("id", "key"))]
+    return list(primary_key) or named[:1] or list(columns[:1])
 
 
-def suggest_row_key(df: DataFrame) -> DataFrame:
-    """Columns by how many of their values are distinct, those with a key-like name first."""
-    aggs = [F.countDistinct(c).alias(c) for c in df.columns]
-    wide = df.agg(F.count("*").alias("_rows"), *aggs)
-    cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("distinct_count"), (F.col(c).cast("double") / F.col("_rows")).alias("ratio"), F.lit(c.lower().endswith(("key", "_id", "id"))).alias("key_name")) for c in df.columns]
-    return wide.select(F.inline(F.array(*cells)))
+def suggest_row_key(df: DataFrame, primary_key: Sequence[str] = ()) -> DataFrame:
+    """Per column how many values are distinct, their share of the rows, and whether it is the suggested key. Values are counted by 128 bits of hash."""
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.xxhash64(F.col(c)).alias("h1"), F.xxhash64(F.lit(1), F.col(c)).alias("h2"), F.col(c).isNotNull().alias("held")) for c in df.columns])))
+    values = cells.groupBy("column", "h1", "h2", "held").agg(F.count("*").alias("n"))
+    out = values.groupBy("column").agg(F.count_if("held").alias("distinct_count"), F.sum("n").alias("rows"))
+    return out.select("column", "distinct_count", (F.col("distinct_count").cast("double") / F.col("rows")).alias("ratio"), F.col("column").isin(*row_key_of(df.columns, primary_key)).alias("suggested"))

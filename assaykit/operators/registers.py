@@ -351,26 +351,28 @@ def excluded_bindings(proposals: DataFrame, reviews: DataFrame, mark: str = "exc
     return last.where((F.col("decision") == "rejected") & F.col("reason").startswith(mark)).select("target_table", "target_column")
 
 
-#: What may happen next, by state.
+#: The event that a person may author in a state. Verification is the check runner's alone, so a problem that awaits it offers none.
 NEXT = {
-    "awaiting_triage": ["recommended"], "awaiting_review": ["reviewed"], "awaiting_approval": ["approved"], "approved_awaiting_execution": ["executed"],
-    "awaiting_verification": ["verified"], "reopened": ["reviewed"], "deferred": ["reviewed"],
+    "awaiting_triage": "reviewed", "awaiting_review": "reviewed", "reopened": "reviewed", "deferred": "reviewed", "awaiting_approval": "approved", "approved_awaiting_execution": "executed",
 }
+AUTHORED = ("reviewed", "approved", "executed")
 
 
 def next_events(state: DataFrame) -> DataFrame:
-    """cohort_id, next_event, and the approvals it has and needs."""
+    """cohort_id, next_event, the approvals it has and needs, and whether they are enough."""
     event = F.lit(None).cast("string")
-    for s, (e, *_) in NEXT.items():
+    for s, e in NEXT.items():
         event = F.when(F.col("lifecycle_state") == s, e).otherwise(event)
-    return state.select("cohort_id", "lifecycle_state", event.alias("next_event"), F.coalesce("distinct_approvers", F.lit(0)).alias("have"), F.col("approvals_required").alias("need"))
+    have = F.coalesce("distinct_approvers", F.lit(0))
+    return state.select("cohort_id", "lifecycle_state", event.alias("next_event"), have.alias("have"), F.col("approvals_required").alias("need"), (have >= F.col("approvals_required")).alias("gate_open"))
 
 
 def validate_events(incoming: DataFrame, disposition: DataFrame) -> DataFrame:
-    """cohort_id, event_seq, fault of incoming events that may not be appended."""
+    """cohort_id, event_seq, fault of incoming events that may not be appended: events that no person authors, rejections and deferrals
+    without a reason, deferrals without a date, and second approvals by one identity, earlier or in this batch."""
     faults = F.array_compact(F.array(
-        F.when(F.col("event_type").isin("reviewed", "approved", "executed") & (F.coalesce("actor_source", F.lit("")) != "obo_user"), "wrong author"),
-        F.when(F.col("decision").isin("rejected", "deferred", "no_action") & (F.trim(F.coalesce("reason", F.lit(""))) == ""), "decision without a reason"),
+        F.when(~F.col("event_type").isin(*AUTHORED), "wrong author"),
+        F.when(F.col("decision").isin("rejected", "deferred") & (F.trim(F.coalesce("reason", F.lit(""))) == ""), "decision without a reason"),
         F.when((F.col("decision") == "deferred") & F.col("review_by_date").isNull(), "deferral without a date"),
         F.when((F.col("event_type") == "approved") & (F.col("_before") | (F.col("_nth") > 1)), "approved twice"),
     ))

@@ -19,6 +19,11 @@ def identifier(name: str) -> str:
     return name
 
 
+def is_identifier(c: Column) -> Column:
+    """B4 for a column of names."""
+    return F.coalesce(c.rlike(rf"^{_IDENTIFIER.pattern}$") & ~c.contains("\n"), F.lit(False))
+
+
 @dataclass(frozen=True)
 class Rule:
     """What all kinds share. ``scope`` limits a rule to some rows; NULL in a predicate is no violation."""

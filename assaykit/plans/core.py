@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assaykit import schemas
 from assaykit.functions import packs
 from assaykit.functions import scalar as f
 from assaykit.operators import checks, consistency, metrics, profiling
-from assaykit.operators.rules import JoinRule, RowRule, UniqueRule, VarianceRule
+from assaykit.operators.rules import is_identifier, JoinRule, RowRule, UniqueRule, VarianceRule
 from assaykit.sources import relations
 from assaykit.sources.relations import Condition, Population
 
@@ -96,12 +98,32 @@ def a12(t):
     return relations.sample_rows_frame(samples, ["k"])
 
 
+@query("a9_append", "SELECT o_custkey AS rule_id, o_orderkey AS rows_scanned, NULL::DOUBLE AS violation_pct, o_orderstatus AS status FROM (SELECT CAST(o_custkey AS STRING) AS o_custkey, o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P')")
+def a9(t):
+    """Two appends in the target's schema, read back; what the rows lack is NULL."""
+    path = f"{relations.shared_folder(t.spark)}/a9-{uuid.uuid4().hex}"
+    rows = t.orders.select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").cast("int").alias("rows_scanned"), F.col("o_custkey").alias("rule_id"))
+    for state in ("O", "F"):
+        relations.append(rows.where(F.col("status") == state), path, schemas.CHECK_RUN)
+    return t.spark.read.schema(schemas.CHECK_RUN).parquet(path).select("rule_id", "rows_scanned", "violation_pct", "status")
+
+
 @query("a10_new_rows", "SELECT o_custkey, MIN(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') GROUP BY o_custkey")
 def a10(t):
     rows = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus")
     return relations.new_rows(rows.where("o_orderstatus = 'O'").drop("o_orderstatus"), rows.where("o_orderstatus = 'P'"), ["o_custkey"])
 
 
+@query("a10_guarded_append", "SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o.o_custkey, o.o_orderkey FROM orders o LEFT JOIN (SELECT o_custkey, MAX(o_orderkey) AS top FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) x ON x.o_custkey = o.o_custkey WHERE o_orderstatus = 'O' AND (top IS NULL OR o_orderkey > top)")
+def a10_guarded(t):
+    """Numbered events: the first call makes the table, the second adds what is newer, the third adds nothing."""
+    path = f"{relations.shared_folder(t.spark)}/a10-{uuid.uuid4().hex}"
+    rows, schema = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus"), t.orders.select("o_custkey", "o_orderkey").schema
+    for state in ("F", "O", "O"):
+        made = relations.guarded_append(rows.where(F.col("o_orderstatus") == state).drop("o_orderstatus"), path, schema, ["o_custkey"], "o_orderkey")
+    return made
+
+
 # B: rules and verdicts
 
 def order_rules() -> list[RowRule]:
@@ -209,9 +231,9 @@ def b6(t):
     return checks.measure(t.spark, rules, {"orders": t.orders, "lineitem": t.lineitem}).withColumn("is_error", F.col("error").isNotNull()).drop("error")
 
 
-@query("b8_shadow_only", "SELECT 'late' AS rule_id, 'skipped' AS status")
+@query("b8_shadow_only", f"SELECT rule_id, rows_scanned, violation_count, 'skipped' AS status FROM ({measures('late')})")
 def b8(t):
-    return checks.check_run(t.spark, order_rules(), {"orders": t.orders}, shadow_only=True).select("rule_id", "status")
+    return checks.check_run(t.spark, order_rules(), {"orders": t.orders}, shadow_only=True).select("rule_id", "rows_scanned", "violation_count", "status")
 
 
 @query("b9_violation_samples", """
@@ -255,6 +277,12 @@ def b13(t):
     return checks.row_level_batch(t.orders, constraint_rules("orders", checks_))
 
 
+@query("b4_identifiers", "SELECT p_partkey, regexp_full_match(n, '[A-Za-z_][A-Za-z0-9_]*') AS ok FROM (SELECT p_partkey, CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '_') WHEN 2 THEN p_brand WHEN 3 THEN CAST(p_partkey AS STRING) || '_x' ELSE p_type || chr(10) END AS n FROM part)")
+def b4(t):
+    n = F.expr("CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '_') WHEN 2 THEN p_brand WHEN 3 THEN CAST(p_partkey AS STRING) || '_x' ELSE p_type || chr(10) END")
+    return t.part.select("p_partkey", is_identifier(n).alias("ok"))
+
+
 # C: joins
 
 
@@ -359,10 +387,11 @@ def d5(t):
     return t.orders.groupBy("o_custkey").agg(F.array_join(F.slice(F.array_sort(F.collect_set("o_orderpriority")), 1, 2), ",").alias("two"))
 
 
-@query("d7_order_statistics", "SELECT l_returnflag, MIN(l_extendedprice) AS lo, median(l_extendedprice) AS mid, quantile_cont(l_extendedprice, 0.9) AS p90, MAX(l_extendedprice) AS hi FROM lineitem GROUP BY 1")
+@query("d7_order_statistics", "SELECT l_suppkey, MIN(l_extendedprice) AS lo, median(l_extendedprice) AS mid, quantile_cont(l_extendedprice, 0.9) AS p90, MAX(l_extendedprice) AS hi FROM lineitem GROUP BY 1")
 def d7(t):
+    """Exact order statistics hold a group's values in one task, so they are for groups that stay small: a supplier's lines, a rule's runs."""
     c = "l_extendedprice"
-    return t.lineitem.groupBy("l_returnflag").agg(F.min(c).alias("lo"), F.median(c).alias("mid"), F.percentile(c, 0.9).alias("p90"), F.max(c).alias("hi"))
+    return t.lineitem.groupBy("l_suppkey").agg(F.min(c).alias("lo"), F.median(c).alias("mid"), F.percentile(c, 0.9).alias("p90"), F.max(c).alias("hi"))
 
 
 @query("d8_having", "SELECT l_orderkey, l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1")
@@ -447,9 +476,20 @@ def e12(t):
 # F, R: functions and packs
 
 
-@query("f10_signature", "SELECT DISTINCT CASE WHEN length(c_name) = 18 THEN 'X{8}#9{9}' END AS signature FROM customer")
+def _shape(c: str) -> str:
+    """The shape of values of fewer than 60 characters, in the oracle: runs from the longest to the shortest."""
+    s = f"regexp_replace(regexp_replace(regexp_replace({c}, '\\p{{L}}', 'X', 'g'), '\\p{{Nd}}', '9', 'g'), '\\s', '_', 'g')"
+    for sign in ("9", "X", "_"):
+        for n in range(59, 1, -1):
+            s = f"replace({s}, '{sign * n}', '{sign}{{{n}}}')"
+    return s
+
+
+@query("f10_signature", f"SELECT signature, COUNT(*) AS n FROM (SELECT {_shape('v')} AS signature FROM (SELECT c_name AS v FROM customer UNION ALL SELECT p_name FROM part UNION ALL SELECT o_orderpriority FROM orders UNION ALL SELECT CAST(l_extendedprice AS STRING) FROM lineitem WHERE l_extendedprice = CAST(l_extendedprice AS BIGINT) OR l_linenumber < 0)) GROUP BY 1")
 def f10(t):
-    return t.customer.select(f.signature(F.col("c_name")).alias("signature")).distinct()
+    values = t.customer.select(F.col("c_name").alias("v")).unionByName(t.part.select(F.col("p_name").alias("v"))).unionByName(t.orders.select(F.col("o_orderpriority").alias("v")))
+    values = values.unionByName(t.lineitem.where("l_extendedprice = cast(l_extendedprice as bigint) or l_linenumber < 0").select(F.col("l_extendedprice").cast("string").alias("v")))
+    return values.groupBy(f.signature(F.col("v")).alias("signature")).agg(F.count("*").alias("n"))
 
 
 @query("f1_blank_and_lists", "SELECT doc_id, text IS NULL OR trim(text) = '' AS blank, regexp_matches(text, '^[^@\\s.]+(\\.[^@\\s.]+)*@[^@\\s.]+(\\.[^@\\s.]+)+$') AS mail, lower(trim(lang)) IN ('service-number-unknown', 'unknown', 'n/a', 'na', 'none', 'null', '') AS sentinel FROM documents")
@@ -537,17 +577,51 @@ def i4(t):
     return profiling.pattern_match_rates(t.customer, ["c_name", "c_mktsegment"], PATTERNS)
 
 
-@query("i5_decide_binding", "SELECT 'c_name' AS \"column\", 'NAME' AS cde_id, 0.9E0 AS confidence, 'pattern' AS why UNION ALL SELECT 'c_mktsegment', 'CODE', 1.0E0, 'tag'")
+# columns, patterns, hints and tags of a made-up binding task over customer; "code" is seven tenths codes
+_BIND = {"c_name": "c_name", "segment": "c_mktsegment", "code": "CASE WHEN c_custkey % 10 < 7 THEN 'AB' ELSE '12' END", "tagged": "c_mktsegment", "lost": "c_mktsegment", "other": "c_mktsegment", "serial_no": "'#' || CAST(c_custkey AS STRING)", "shared_hint": "' '", "half": "CASE WHEN c_custkey % 2 = 0 THEN 'AB' ELSE '12' END"}
+_BIND_PATTERNS = {"E_NAME": "^Customer#[0-9]+$", "E_WORD": "^[A-Z]+$", "E_CAPS": "^[A-Z]{2,}$", "E_PAIR": "^A[A-Z]$"}
+_BIND_HINTS = [("E_WORD", "segment"), ("E_CAPS", "caps"), ("E_PAIR", "code"), ("E_SERIAL", "serialno"), ("E_SERIAL", "sharedhint"), ("E_NAME", "sharedhint"), ("E_GONE", "segment"), ("E_NAME", "serial")]
+_BIND_TAGS = [("tagged", "E_CAPS"), ("lost", "E_GONE")]
+_BIND_KNOWN = [*_BIND_PATTERNS, "E_SERIAL"]
+
+
+def _values(rows, names: str) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows) + f") {names}"
+
+
+@query("i5_decide_binding", f"""
+    WITH cells AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, {e} AS v FROM customer" for c, e in _BIND.items())}),
+    cols AS (SELECT DISTINCT col, regexp_replace(lower(col), '[^a-z0-9]', '', 'g') AS k FROM cells),
+    rates AS (SELECT col, cde, 100.0E0 * COUNT(*) FILTER (regexp_matches(trim(v), p)) / COUNT(*) AS pct FROM cells, {_values(_BIND_PATTERNS.items(), 'q(cde, p)')} WHERE trim(v) <> '' GROUP BY 1, 2 HAVING COUNT(*) >= 20),
+    named AS (SELECT col, cde FROM cols JOIN {_values(_BIND_HINTS, 'h(cde, name)')} ON h.name = cols.k WHERE cde IN ({", ".join(f"'{e}'" for e in _BIND_KNOWN)})),
+    f AS (SELECT cols.col, t.cde AS tag, (SELECT COUNT(*) FROM rates r WHERE r.col = cols.col AND pct >= 95) AS hits, (SELECT COUNT(*) FROM rates r WHERE r.col = cols.col AND pct >= 50) AS near,
+        (SELECT list(r.cde ORDER BY r.cde) FROM rates r SEMI JOIN named n ON n.col = r.col AND n.cde = r.cde WHERE r.col = cols.col AND pct >= 95) AS hit_names, (SELECT list(r.cde ORDER BY r.cde) FROM rates r SEMI JOIN named n ON n.col = r.col AND n.cde = r.cde WHERE r.col = cols.col AND pct >= 50) AS near_names,
+        (SELECT list(n.cde ORDER BY n.cde) FROM named n WHERE n.col = cols.col) AS names, (SELECT arg_max(r.cde, pct) FROM rates r WHERE r.col = cols.col) AS best, (SELECT max(pct) FROM rates r WHERE r.col = cols.col) AS best_pct
+        FROM cols LEFT JOIN {_values(_BIND_TAGS, 't(col, cde)')} ON t.col = cols.col),
+    d AS (SELECT *, CASE WHEN tag IS NOT NULL THEN CASE WHEN tag IN ({", ".join(f"'{e}'" for e in _BIND_KNOWN)}) THEN 't' ELSE 'tx' END WHEN hits = 1 THEN 'v' WHEN hits > 1 THEN CASE WHEN len(hit_names) = 1 THEN 'n' ELSE 'nx' END WHEN near > 0 THEN CASE WHEN len(near_names) = 1 THEN 'm' ELSE 'mx' END WHEN len(names) = 1 THEN 'a' WHEN len(names) > 1 THEN 'ax' ELSE 'z' END AS k FROM f)
+    SELECT col AS "column", CASE k WHEN 't' THEN tag WHEN 'v' THEN best WHEN 'n' THEN hit_names[1] WHEN 'm' THEN near_names[1] WHEN 'a' THEN names[1] END AS cde_id, CASE k WHEN 't' THEN 'tag' WHEN 'v' THEN 'value_signature' WHEN 'n' THEN 'name_match' WHEN 'm' THEN 'name_match' WHEN 'a' THEN 'name_match' END AS method,
+        CASE k WHEN 't' THEN 1.0E0 WHEN 'v' THEN ROUND(best_pct / 100, 4) WHEN 'n' THEN 0.75E0 WHEN 'm' THEN 0.6E0 WHEN 'a' THEN 0.6E0 END AS confidence, CASE k WHEN 'tx' THEN 'tag names an element that is not registered' WHEN 'nx' THEN 'several patterns fit' WHEN 'mx' THEN 'near miss' WHEN 'ax' THEN 'name matches several elements' WHEN 'z' THEN 'nothing identifies it' END AS why FROM d""")
 def i5(t):
-    names = t.spark.createDataFrame([("NAME", "Name"), ("CODE", "Code")], "cde_id string, cde_name string")
-    tags = t.spark.createDataFrame([("c_mktsegment", "CODE")], "column string, cde_id string")
-    return profiling.decide_binding(profiling.pattern_match_rates(t.customer, ["c_name", "c_mktsegment"], PATTERNS), names, tags)
+    df = t.customer.select(*[F.expr(e).alias(c) for c, e in _BIND.items()])
+    make = lambda rows, schema: t.spark.createDataFrame(rows, schema)
+    rates = profiling.pattern_match_rates(df, list(_BIND), _BIND_PATTERNS)
+    return profiling.decide_binding(make([(c,) for c in _BIND], "column string"), rates, make([(e,) for e in _BIND_KNOWN], "cde_id string"), make(_BIND_HINTS, "cde_id string, name string"), make(_BIND_TAGS, "column string, cde_id string"))
 
 
-@query("i8_date_formats", "SELECT 'd' AS \"column\", 'dd/MM/yyyy' AS format")
+_DATES = {"ymd": "date_format(o_orderdate, 'yyyy-MM-dd')", "dmy": "date_format(o_orderdate, 'dd/MM/yyyy')", "early": "date_format(trunc(o_orderdate, 'MM'), 'dd/MM/yyyy')", "mixed": "CASE WHEN o_orderkey % 3 = 0 THEN 'soon' ELSE date_format(o_orderdate, 'yyyyMMdd') END", "none": "''", "full": "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss')"}
+_DUCK_DATES = {"ymd": "strftime(o_orderdate, '%Y-%m-%d')", "dmy": "strftime(o_orderdate, '%d/%m/%Y')", "early": "strftime(date_trunc('month', o_orderdate), '%d/%m/%Y')", "mixed": "CASE WHEN o_orderkey % 3 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y%m%d') END", "none": "''", "full": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"}
+_DUCK_FORMATS = [("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", "ymd"), ("yyyy-MM-dd", "%Y-%m-%d", "ymd"), ("yyyyMMdd", "%Y%m%d", "ymd"), ("yyyy/MM/dd", "%Y/%m/%d", "ymd"), ("dd/MM/yyyy", "%d/%m/%Y", "dmy"), ("d/M/yyyy", "%d/%m/%Y", "dmy"), ("dd-MM-yyyy", "%d-%m-%Y", "dmy"), ("MM/dd/yyyy", "%m/%d/%Y", "mdy")]
+
+
+@query("i8_date_formats", f"""
+    WITH cells AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, {e} AS v FROM orders" for c, e in _DUCK_DATES.items())}),
+    p AS ({" UNION ALL ".join(f"SELECT col, {i} AS place, '{f}' AS format, '{o}' AS ord, COUNT(*) FILTER (trim(v) <> '') AS n, COUNT(*) FILTER (trim(v) <> '' AND try_strptime(v, '{d}') IS NOT NULL) AS k FROM cells GROUP BY 1" for i, (f, d, o) in enumerate(_DUCK_FORMATS))}),
+    g AS (SELECT *, n > 0 AND 100.0E0 * k / n >= 95 AS good FROM p),
+    b AS (SELECT col, MAX(n) AS n, COUNT(DISTINCT ord) FILTER (good) AS orders, arg_max(format, k * 100 - place) FILTER (good) AS best FROM g GROUP BY 1)
+    SELECT col AS "column", CASE WHEN orders = 1 THEN best END AS format, CASE WHEN n = 0 THEN 'no values' WHEN orders = 0 THEN 'no format fits' WHEN orders > 1 THEN 'day and month cannot be told apart' END AS why FROM b""")
 def i8(t):
-    df = t.orders.select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("d"))
-    return profiling.choose_date_format(profiling.date_format_probe(df, ["d"]))
+    df = t.orders.select(*[F.expr(e).alias(c) for c, e in _DATES.items()])
+    return profiling.choose_date_format(profiling.date_format_probe(df, list(_DATES)))
 
 
 @query("i9_expand_templates", " UNION ALL ".join(f"SELECT 'T_customer_c_name_{n}' AS rule_id, COUNT(*) AS rows_scanned, COUNT(*) FILTER ({v}) AS violation_count FROM customer" for n, v in (("not_blank", "trim(c_name) = ''"), ("edge_space", "c_name <> trim(c_name)"), ("control", "FALSE"), ("sentinel", "FALSE"), ("pattern", "NOT regexp_matches(c_name, '^Customer#[0-8]+$')"), ("name_placeholder", "FALSE"), ("name_length", "length(c_name) > 40"))))
@@ -572,14 +646,18 @@ def i11_leaked(t):
     return profiling.leaked(t.documents.select("text"), keys).distinct().agg(F.count("*").alias("n"))
 
 
-@query("i12_scan_cost", "SELECT o_custkey % 10 AS k, ROUND(4.0E0 + CAST(SUM(o_orderkey) * 1000 AS DOUBLE) / 160e6, 1) AS seconds FROM orders GROUP BY 1")
+_COST = "SELECT k, CASE WHEN k < 9 THEN b END AS bytes, 4.0E0 + b / 160e6 AS s FROM (SELECT o_custkey % 10 AS k, CAST(SUM(o_orderkey) AS BIGINT) * CAST(power(10, o_custkey % 10) AS BIGINT) // 10 AS b FROM orders GROUP BY 1)"
+
+
+@query("i12_scan_cost", f"SELECT k, CASE WHEN bytes IS NOT NULL THEN ROUND(s, 1) END AS seconds, CASE WHEN bytes IS NULL THEN 'size unknown' WHEN bytes > 200e9 THEN 'too large for a daily full scan' WHEN s < 10 THEN 'under 10 s' WHEN s < 90 THEN 'about ' || CAST(CAST(round_even(s / 5, 0) * 5 AS INT) AS STRING) || ' s' ELSE 'about ' || CAST(CAST(round_even(s / 60, 0) AS INT) AS STRING) || ' min' END AS label, bytes <= 200e9 AS allowed FROM ({_COST})")
 def i12(t):
-    return profiling.scan_cost(t.orders.groupBy((F.col("o_custkey") % 10).alias("k")).agg((F.sum("o_orderkey") * 1000).alias("bytes"))).select("k", "seconds")
+    sizes = t.orders.withColumn("k", F.col("o_custkey") % 10).groupBy("k").agg(F.sum("o_orderkey").alias("n")).select("k", F.when(F.col("k") < 9, F.expr("(n * CAST(pow(10, k) AS BIGINT)) div 10")).alias("bytes"))
+    return profiling.scan_cost(sizes).select("k", "seconds", "label", "allowed")
 
 
-@query("i13_suggest_row_key", "SELECT 'c_custkey' AS \"column\", COUNT(DISTINCT c_custkey) AS distinct_count, TRUE AS key_name FROM customer UNION ALL SELECT 'c_name', COUNT(DISTINCT c_name), FALSE FROM customer UNION ALL SELECT 'c_nationkey', COUNT(DISTINCT c_nationkey), TRUE FROM customer")
+@query("i13_suggest_row_key", "SELECT 'c_name' AS \"column\", COUNT(DISTINCT c_name) AS distinct_count, CAST(COUNT(DISTINCT c_name) AS DOUBLE) / COUNT(*) AS ratio, FALSE AS suggested FROM customer UNION ALL SELECT 'c_custkey', COUNT(DISTINCT c_custkey), CAST(COUNT(DISTINCT c_custkey) AS DOUBLE) / COUNT(*), TRUE FROM customer UNION ALL SELECT 'c_nationkey', COUNT(DISTINCT c_nationkey), CAST(COUNT(DISTINCT c_nationkey) AS DOUBLE) / COUNT(*), FALSE FROM customer")
 def i13(t):
-    return profiling.suggest_row_key(t.customer.select("c_custkey", "c_name", "c_nationkey")).select("column", "distinct_count", "key_name")
+    return profiling.suggest_row_key(t.customer.select("c_name", "c_custkey", "c_nationkey"))
 
 
 @query("j23_table_diff", "SELECT 'rows_left_only' AS item, (SELECT COUNT(*) FROM orders WHERE o_orderstatus = 'P') AS n UNION ALL SELECT 'rows_right_only', 0 UNION ALL SELECT 'column_o_custkey', 0 UNION ALL SELECT 'column_o_totalprice', (SELECT COUNT(*) FROM orders WHERE o_orderstatus = 'O')")

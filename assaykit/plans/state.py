@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,9 +116,9 @@ def h5(m):
     return m.coverage.select("cde_id", "target_table", "target_column", "rule_count", F.col("breaching_rule_count").cast("long"), "latest_violation_rows", "never_profiled", "coverage_gap")
 
 
-@query("h6_coverage_summary", "SELECT COUNT(*) AS bindings, COUNT(DISTINCT cde_id) AS elements, COUNT(*) FILTER (coverage_gap <> 'covered') AS gaps, COUNT(*) FILTER (coverage_gap <> 'covered' AND criticality = 'critical') AS critical_gaps, COUNT(*) FILTER (never_profiled) AS unprofiled, COUNT(*) FILTER (unscoped > 0) AS mismatches FROM cov")
+@query("h6_coverage_summary", "SELECT COUNT(*) AS bindings, COUNT(DISTINCT cde_id) AS elements, CAST(COUNT(*) FILTER (coverage_gap = 'covered') AS DOUBLE) * 100.0E0 / COUNT(*) AS covered_pct, COUNT(*) FILTER (coverage_gap <> 'covered') AS gaps, COUNT(*) FILTER (coverage_gap <> 'covered' AND criticality = 'critical') AS critical_gaps, COUNT(*) FILTER (never_profiled) AS unprofiled, COUNT(*) FILTER (unscoped > 0) AS mismatches FROM cov")
 def h6(m):
-    return reg.coverage_summary(m.coverage).drop("covered_pct")
+    return reg.coverage_summary(m.coverage)
 
 
 @query("h7_rule_elements", "SELECT cde_id, rule_id FROM rule_element")
@@ -270,19 +271,25 @@ def h28(m):
     return reg.excluded_bindings(m.tables["binding_proposal"], m.tables["binding_review"])
 
 
-@query("h29_next_events", "SELECT cohort_id, CASE lifecycle_state WHEN 'awaiting_triage' THEN 'recommended' WHEN 'awaiting_review' THEN 'reviewed' WHEN 'awaiting_approval' THEN 'approved' WHEN 'approved_awaiting_execution' THEN 'executed' WHEN 'awaiting_verification' THEN 'verified' WHEN 'reopened' THEN 'reviewed' WHEN 'deferred' THEN 'reviewed' END AS next_event, COALESCE(distinct_approvers, 0) AS have, approvals_required AS need FROM state")
+@query("h29_next_events", "SELECT cohort_id, CASE WHEN lifecycle_state IN ('awaiting_review', 'awaiting_triage', 'reopened', 'deferred') THEN 'reviewed' WHEN lifecycle_state = 'awaiting_approval' THEN 'approved' WHEN lifecycle_state = 'approved_awaiting_execution' THEN 'executed' END AS next_event, COALESCE(distinct_approvers, 0) AS have, approvals_required AS need, COALESCE(distinct_approvers, 0) >= approvals_required AS gate_open FROM state")
 def h29(m):
     return reg.next_events(m.state).drop("lifecycle_state")
 
 
+_INCOMING = "SELECT cohort_id, event_seq, event_type, decision, actor_identity, CASE WHEN event_seq % 2 = 0 THEN reason END AS reason, CASE WHEN length(cohort_id) % 2 = 0 THEN CAST(event_ts AS DATE) END AS review_by_date FROM disposition WHERE event_seq <> 2 OR decision IN ('rejected', 'deferred', 'no_action')"
+
+
 @query(
     "h30_validate_events",
-    "SELECT cohort_id, event_seq, 'wrong author' AS fault FROM numbered WHERE event_type IN ('reviewed', 'approved', 'executed') AND COALESCE(actor_source, '') <> 'obo_user' UNION ALL SELECT cohort_id, event_seq, 'approved twice' FROM numbered WHERE event_type = 'approved' AND (before OR nth > 1)",
-    ", prior AS (SELECT DISTINCT cohort_id, actor_identity FROM disposition WHERE event_seq < 4 AND event_type = 'approved'), numbered AS (SELECT i.*, p.cohort_id IS NOT NULL AS before, ROW_NUMBER() OVER (PARTITION BY i.cohort_id, i.actor_identity, i.event_type ORDER BY event_seq) AS nth FROM disposition i LEFT JOIN prior p ON p.cohort_id = i.cohort_id AND p.actor_identity = i.actor_identity WHERE i.event_seq >= 3)",
+    "SELECT cohort_id, event_seq, 'wrong author' AS fault FROM numbered WHERE event_type NOT IN ('reviewed', 'approved', 'executed') UNION ALL SELECT cohort_id, event_seq, 'decision without a reason' FROM numbered WHERE decision IN ('deferred', 'rejected') AND trim(COALESCE(reason, '')) = '' UNION ALL SELECT cohort_id, event_seq, 'deferral without a date' FROM numbered WHERE decision = 'deferred' AND review_by_date IS NULL UNION ALL SELECT cohort_id, event_seq, 'approved twice' FROM numbered WHERE event_type = 'approved' AND (before OR nth > 1)",
+    f", prior AS (SELECT DISTINCT cohort_id, actor_identity FROM disposition WHERE event_seq < 4 AND event_type = 'approved'), numbered AS (SELECT i.*, p.cohort_id IS NOT NULL AS before, ROW_NUMBER() OVER (PARTITION BY i.cohort_id, i.actor_identity, i.event_type ORDER BY event_seq) AS nth FROM ({_INCOMING}) i LEFT JOIN prior p ON p.cohort_id = i.cohort_id AND p.actor_identity = i.actor_identity)",
 )
 def h30(m):
     d = m.tables["disposition"]
-    return reg.validate_events(d.where("event_seq >= 3").withColumn("review_by_date", F.lit(None).cast("date")), d.where("event_seq < 4"))
+    incoming = d.where("event_seq <> 2 or decision in ('rejected', 'deferred', 'no_action')").select(
+        "cohort_id", "event_seq", "event_type", "decision", "actor_identity", F.when(F.col("event_seq") % 2 == 0, F.col("reason")).alias("reason"), F.when(F.length("cohort_id") % 2 == 0, F.to_date("event_ts")).alias("review_by_date")
+    )
+    return reg.validate_events(incoming, d.where("event_seq < 4"))
 
 
 @query("h31_next_sequence", "SELECT c.cohort_id, e.event_id AS arrival, COALESCE(t.top, 0) + ROW_NUMBER() OVER (PARTITION BY c.cohort_id ORDER BY e.event_id) AS event_seq FROM events e JOIN cohort c ON c.cohort_id = 'C' || CAST(e.user_id AS STRING) LEFT JOIN (SELECT cohort_id, MAX(event_seq) AS top FROM disposition GROUP BY 1) t ON t.cohort_id = c.cohort_id")
@@ -434,9 +441,9 @@ def g18(m):
 # J
 
 
-@query("j1_detection_summary", "SELECT COUNT(*) AS checks, COUNT(*) FILTER (status IN ('pass', 'breach')) AS evaluated, COUNT(*) FILTER (status = 'breach') AS breaching, COUNT(*) FILTER (status = 'error') AS errors, COUNT(*) FILTER (status = 'skipped') AS skipped, COUNT(DISTINCT CASE WHEN status = 'breach' THEN target_table END) AS tables_affected, SUM(CASE WHEN status = 'breach' THEN violation_count END)::BIGINT AS violations FROM last_run")
+@query("j1_detection_summary", "SELECT COUNT(*) AS checks, COUNT(*) FILTER (status IN ('pass', 'breach')) AS evaluated, COUNT(*) FILTER (status = 'breach') AS breaching, COUNT(*) FILTER (status = 'breach' AND severity = 'P1_block') AS p1_breaching, CAST(COUNT(*) FILTER (status = 'pass') AS DOUBLE) / NULLIF(COUNT(*) FILTER (status IN ('pass', 'breach')), 0) AS pass_rate, COUNT(*) FILTER (status = 'error') AS errors, COUNT(*) FILTER (status = 'skipped') AS skipped, COUNT(DISTINCT CASE WHEN status = 'breach' THEN target_table END) AS tables_affected, SUM(CASE WHEN status = 'breach' THEN violation_count END)::BIGINT AS violations FROM last_run")
 def j1(m):
-    return metrics.detection_summary(m.latest).drop("p1_breaching", "pass_rate")
+    return metrics.detection_summary(m.latest)
 
 
 @query("j2_records_affected", "SELECT (SELECT COUNT(*) FROM (SELECT DISTINCT target_table, row_key FROM violation_sample WHERE result_id IN (SELECT result_id FROM last_run WHERE status = 'breach'))) AS records, COUNT(*) FILTER (violation_count > 10) AS truncated_checks, COUNT(*) FILTER (violation_count > 10) = 0 AS exact FROM last_run WHERE status = 'breach'")
@@ -459,9 +466,9 @@ def j5(m):
     return metrics.table_insights(m.latest)
 
 
-@query("j6_newly_failing", "SELECT k.rule_id, MIN(k.run_ts) AS turned_ts FROM check_run k JOIN (SELECT rule_id, MAX(run_ts) AS ok FROM check_run WHERE status = 'pass' GROUP BY 1) c USING (rule_id) WHERE k.status = 'breach' AND k.run_ts > c.ok GROUP BY 1 HAVING date_diff('day', CAST(MIN(k.run_ts) AS DATE), DATE '2024-01-30') BETWEEN 0 AND 14")
+@query("j6_newly_failing", "SELECT k.rule_id, MIN(k.run_ts) AS turned_ts, MAX(c.failing) AS failing_rows, MAX(c.clean) AS clean_before FROM k JOIN c ON c.rule_id = k.rule_id AND c.target_table = k.target_table WHERE c.last = 'breach' AND k.status = 'breach' AND k.run_ts > c.clean GROUP BY k.rule_id HAVING MIN(k.run_ts) >= MAX(k.newest) - INTERVAL 14 DAY", ", k AS (SELECT *, MAX(run_ts) OVER (PARTITION BY target_table) AS newest FROM check_run), c AS (SELECT target_table, rule_id, MAX(run_ts) FILTER (status <> 'breach') AS clean, arg_max(status, run_ts) AS last, arg_max(violation_count, run_ts) AS failing FROM k GROUP BY 1, 2)")
 def j6(m):
-    return metrics.newly_failing(m.runs, _day())
+    return metrics.newly_failing(m.runs)
 
 
 _SINCE = "SELECT k.rule_id, MIN(k.run_ts) AS failing_since FROM check_run k LEFT JOIN (SELECT rule_id, MAX(run_ts) AS ok FROM check_run WHERE status <> 'breach' GROUP BY 1) c USING (rule_id) WHERE k.status = 'breach' AND (c.ok IS NULL OR k.run_ts > c.ok) GROUP BY 1"
@@ -477,25 +484,25 @@ def j8(m):
     return metrics.run_index(m.runs).drop("run_ts")
 
 
-@query("j9_compression", "SELECT COUNT(DISTINCT f.rule_id) AS breaches, COUNT(DISTINCT g.cohort_id) AS problems FROM failing_now f LEFT JOIN (SELECT m.rule_id, arg_max(c.cohort_id, c.raised_ts) AS cohort_id FROM members m JOIN cohort c USING (cohort_id) GROUP BY 1) g ON g.rule_id = f.rule_id")
+@query("j9_compression", "SELECT COUNT(DISTINCT f.rule_id) AS breaches, COUNT(DISTINCT g.cohort_id) AS problems, CAST(COUNT(DISTINCT f.rule_id) AS DOUBLE) / NULLIF(COUNT(DISTINCT g.cohort_id), 0) AS compression FROM failing_now f LEFT JOIN (SELECT m.rule_id, arg_max(c.cohort_id, c.raised_ts) AS cohort_id FROM members m JOIN cohort c USING (cohort_id) GROUP BY 1) g ON g.rule_id = f.rule_id")
 def j9(m):
     f = grouping.failing(m.runs)
-    return metrics.compression(grouping.live_problems(f, m.tables["cohorts"]), f).drop("compression")
+    return metrics.compression(grouping.live_problems(f, m.tables["cohorts"]), f)
 
 
-@query("j10_disposition_coverage", "SELECT COUNT(*) AS problems, COUNT(*) FILTER (cohort_id IN (SELECT cohort_id FROM disposition WHERE decision IS NOT NULL)) AS decided FROM cohort")
+@query("j10_disposition_coverage", "SELECT COUNT(*) AS problems, COUNT(*) FILTER (cohort_id IN (SELECT cohort_id FROM disposition WHERE decision IS NOT NULL)) AS decided, CAST(COUNT(*) FILTER (cohort_id IN (SELECT cohort_id FROM disposition WHERE decision IS NOT NULL)) AS DOUBLE) / NULLIF(COUNT(*), 0) AS coverage FROM cohort")
 def j10(m):
-    return metrics.disposition_coverage(m.tables["cohorts"], m.tables["disposition"]).drop("coverage")
+    return metrics.disposition_coverage(m.tables["cohorts"], m.tables["disposition"])
 
 
-@query("j11_recommendation_acceptance", "SELECT COUNT(recommendation_followed) AS executed, COUNT(*) FILTER (recommendation_followed) AS followed FROM state")
+@query("j11_recommendation_acceptance", "SELECT COUNT(recommendation_followed) AS executed, COUNT(*) FILTER (recommendation_followed) AS followed, CAST(COUNT(*) FILTER (recommendation_followed) AS DOUBLE) / NULLIF(COUNT(recommendation_followed), 0) AS acceptance FROM state")
 def j11(m):
-    return metrics.recommendation_acceptance(m.state).drop("acceptance")
+    return metrics.recommendation_acceptance(m.state)
 
 
-@query("j12_outcomes", "SELECT severity, COUNT(*) AS problems, CAST(COUNT(*) FILTER (lifecycle_state LIKE 'closed%') AS DOUBLE) / COUNT(*) AS closure_rate, ROUND(AVG(mttr_days), 6) AS mttr_days, COUNT(*) FILTER (is_recurrence) AS recurrences FROM state GROUP BY 1")
+@query("j12_outcomes", "SELECT severity, COUNT(*) AS problems, CASE severity WHEN 'P1_block' THEN 5.0E0 WHEN 'P2_alert' THEN 10.0E0 ELSE 30.0E0 END AS target_days, CAST(COUNT(*) FILTER (lifecycle_state LIKE 'closed%') AS DOUBLE) / COUNT(*) AS closure_rate, ROUND(AVG(mttr_days), 6) AS mttr_days, COUNT(*) FILTER (is_recurrence) AS recurrences FROM state GROUP BY 1")
 def j12(m):
-    return metrics.outcome_metrics(m.state).drop("target_days").withColumn("mttr_days", F.round("mttr_days", 6))
+    return metrics.outcome_metrics(m.state).withColumn("mttr_days", F.round("mttr_days", 6))
 
 
 @query("j13_breakdown", "SELECT business_domain, COUNT(*) AS problems, COUNT(*) FILTER (lifecycle_state LIKE 'closed%') AS closed, SUM(total_violation_rows)::BIGINT AS violation_rows FROM state GROUP BY 1")
@@ -503,14 +510,16 @@ def j13(m):
     return metrics.breakdown(m.state, "business_domain")
 
 
-@query("j14_triage_funnel", "SELECT 'raised' AS stage, COUNT(*) AS problems FROM state UNION ALL SELECT 'reviewed', COUNT(latest_decision) FROM state UNION ALL SELECT 'approved', COUNT(*) FILTER (distinct_approvers >= approvals_required) FROM state UNION ALL SELECT 'executed', COUNT(executed_ts) FROM state UNION ALL SELECT 'verified', COUNT(verified_ts) FROM state")
+@query("j14_triage_funnel", "SELECT 0::INT AS step, 'raised' AS stage, COUNT(*) AS problems FROM state UNION ALL SELECT 1::INT, 'reviewed', COUNT(latest_decision) FROM state UNION ALL SELECT 2::INT, 'approved', COUNT(*) FILTER (distinct_approvers >= approvals_required) FROM state UNION ALL SELECT 3::INT, 'executed', COUNT(executed_ts) FROM state UNION ALL SELECT 4::INT, 'verified', COUNT(verified_ts) FROM state")
 def j14(m):
-    return metrics.triage_funnel(m.state).drop("step")
+    return metrics.triage_funnel(m.state)
 
 
-@query("j15_history_cohorts", "SELECT cohort_id FROM members m LEFT JOIN rules_now r USING (rule_id) GROUP BY 1 HAVING COUNT(r.rule_id) = 0")
+@query("j15_history_cohorts", "SELECT cohort_id FROM (SELECT DISTINCT cohort_id, rule_id FROM (SELECT cohort_id, rule_a AS rule_id FROM cohort UNION ALL SELECT cohort_id, rule_b FROM cohort)) LEFT JOIN r USING (rule_id) GROUP BY 1 HAVING COUNT(*) = COUNT(*) FILTER (rule_id IN (SELECT rule_id FROM r))", ", r AS (SELECT rule_id FROM (SELECT rule_id, status, rule_version FROM rule_registry UNION ALL SELECT DISTINCT rule_id, 'retired', 3 FROM rule_registry WHERE rule_id LIKE 'view%' OR rule_id LIKE 'click_%') GROUP BY 1 HAVING arg_max(status, rule_version) = 'retired')")
 def j15(m):
-    return metrics.history_cohorts(m.tables["cohorts"], m.tables["rule_registry"])
+    now = m.tables["rule_registry"]
+    gone = now.where("rule_id like 'view%' or rule_id like 'click_%'").where("rule_version = 2").withColumns({"rule_version": F.lit(3), "status": F.lit("retired")})
+    return metrics.history_cohorts(m.tables["cohorts"], now.unionByName(gone))
 
 
 @query("j16_last_per_day", f"SELECT rule_id, result_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY rule_id, {TZ.format('run_ts')} ORDER BY run_ts DESC, result_id DESC) AS n FROM check_run) WHERE n = 1")
@@ -518,9 +527,9 @@ def j16(m):
     return metrics.last_per_day(m.runs, "rule_id").select("rule_id", "result_id")
 
 
-@query("j17_element_scores", "SELECT e.cde_id, SUM(rows_scanned)::BIGINT AS rows_evaluated, SUM(violation_count)::BIGINT AS rows_failed FROM last_run k JOIN rule_element e USING (rule_id) WHERE status IN ('pass', 'breach') GROUP BY 1")
+@query("j17_element_scores", "SELECT e.cde_id, SUM(rows_scanned)::BIGINT AS rows_evaluated, SUM(violation_count)::BIGINT AS rows_failed, CAST(SUM(rows_scanned) - SUM(violation_count) AS DOUBLE) * 100.0E0 / NULLIF(SUM(rows_scanned), 0) AS score_pct FROM last_run k JOIN rule_element e USING (rule_id) WHERE status IN ('pass', 'breach') GROUP BY 1")
 def j17(m):
-    return metrics.element_scores(m.latest, m.coverage).drop("score_pct")
+    return metrics.element_scores(m.latest, m.coverage)
 
 
 @query("j18_table_overview", "SELECT target_table, COUNT(*) FILTER (status IN ('pass', 'breach')) AS checks, COUNT(*) FILTER (status = 'pass') AS passing, CASE WHEN COUNT(*) FILTER (status = 'breach' AND severity = 'P1_block') > 0 THEN 'Critical' WHEN COUNT(*) FILTER (status = 'breach') > 0 THEN 'Needs attention' ELSE 'Healthy' END AS status, MIN(owner_group) AS owner_group FROM last_run GROUP BY 1")
@@ -554,9 +563,10 @@ def j24(m):
     return metrics.unresolved_members(m.tables["violation_sample"].select("result_id").distinct(), m.runs.where("status = 'breach'"))
 
 
-@query("j24_duplicate_versions", "SELECT rule_id, rule_version, COUNT(*) AS n FROM rule_registry GROUP BY 1, 2 HAVING COUNT(*) > 1")
+@query("j24_duplicate_versions", "SELECT rule_id, rule_version, COUNT(*) AS n FROM (SELECT rule_id, rule_version FROM rule_registry UNION ALL SELECT rule_id, rule_version FROM rule_registry WHERE target_table = 't1') GROUP BY 1, 2 HAVING COUNT(*) > 1")
 def j24_versions(m):
-    return metrics.duplicate_versions(m.tables["rule_registry"])
+    now = m.tables["rule_registry"]
+    return metrics.duplicate_versions(now.unionByName(now.where("target_table = 't1'")))
 
 
 @query("d6_last_counts", "SELECT rule_id, string_agg(CAST(violation_count AS STRING), ',' ORDER BY run_ts) AS counts FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY rule_id ORDER BY run_ts DESC) AS n FROM check_run) WHERE n <= 8 GROUP BY 1")
@@ -574,9 +584,48 @@ def a8(m):
     return relations.select_tables(m.rules, m.tables["monitored_table"]).select("rule_id")
 
 
-@query("b13_register_constraints", "SELECT 'status_enum' AS rule_id, COUNT(*) AS rows_scanned, 0::BIGINT AS violation_count FROM check_run UNION ALL SELECT 'counts', COUNT(*), COUNT(*) FILTER (violation_count > rows_scanned) FROM check_run UNION ALL SELECT 'pct_range', COUNT(*), COUNT(*) FILTER (violation_pct > 100) FROM check_run")
+#: Constraints of the registers' columns that the given tables can fill.
+_CHECKED = [
+    ("rule_registry", "severity_enum", "severity IN ('P1_block', 'P2_alert', 'P3_monitor')"),
+    ("rule_registry", "status_enum", "status IN ('shadow', 'active', 'retired')"),
+    ("rule_registry", "rule_version_range", "rule_version >= 1"),
+    ("check_run", "status_enum", "status IN ('pass', 'breach', 'error', 'skipped')"),
+    ("check_run", "severity_enum", "severity IN ('P1_block', 'P2_alert', 'P3_monitor')"),
+    ("cohort", "severity_enum", "severity IN ('P1_block', 'P2_alert', 'P3_monitor')"),
+    ("cohort", "defect_location_enum", "defect_location IN ('data', 'rule', 'neither')"),
+    ("cohort", "member_count_range", "member_count >= 1"),
+    ("disposition", "event_type_enum", "event_type IN ('recommended', 'reviewed', 'approved', 'executed', 'verified', 'reopened')"),
+    ("disposition", "actor_source_enum", "actor_source IN ('obo_user', 'service_principal', 'triage_job', 'check_runner')"),
+    ("disposition", "event_seq_range", "event_seq >= 1"),
+    ("disposition", "decision_enum", "decision IS NULL OR decision IN ('accepted', 'deferred', 'rejected', 'no_action')"),
+    ("disposition", "reason_required", "decision IS NULL OR decision NOT IN ('deferred', 'rejected') OR (reason IS NOT NULL AND length(trim(reason)) > 0)"),
+    ("disposition", "human_events_have_identity", "event_type NOT IN ('reviewed', 'approved', 'executed') OR (actor_identity IS NOT NULL AND actor_source = 'obo_user')"),
+    ("threshold_proposal", "basis_enum", "basis IN ('element_tolerance', 'run_history', 'both', 'unchanged')"),
+    ("threshold_proposal", "proposed_threshold_pct_range", "proposed_threshold_pct BETWEEN 0 AND 100"),
+    ("threshold_proposal", "unchanged_means_unchanged", "(basis = 'unchanged') = (proposed_threshold_pct = current_threshold_pct)"),
+    ("threshold_review", "decision_enum", "decision IN ('adopted', 'rejected', 'deferred')"),
+    ("tolerance_proposal", "advice_enum", "advice IN ('keep', 'tighten', 'review')"),
+    ("tolerance_proposal", "proposed_tolerance_pct_range", "proposed_tolerance_pct IS NULL OR proposed_tolerance_pct BETWEEN 0 AND 100"),
+    ("tolerance_review", "decision_enum", "decision IN ('accepted', 'rejected', 'deferred')"),
+    ("monitored_table", "status_enum", "status IN ('selected', 'paused', 'retired')"),
+    ("monitored_table", "table_version_range", "table_version >= 1"),
+    ("binding_review", "decision_enum", "decision IN ('approved', 'rejected')"),
+    ("binding_review", "rejection_has_reason", "decision = 'approved' OR (reason IS NOT NULL AND trim(reason) <> '')"),
+    ("cde_review", "decision_enum", "decision IN ('approved', 'rejected')"),
+    ("consistency_review", "decision_enum", "decision IN ('approved', 'rejected')"),
+    ("consistency_proposal", "rule_id_shape", "regexp_matches(rule_id, '^CS_[0-9A-F]{8}$')"),
+    ("playbook", "has_target", "rule_id IS NOT NULL OR rule_type IS NOT NULL"),
+]
+
+
+@query("b13_register_constraints", " UNION ALL ".join(f"SELECT '{t}' AS register, '{n}' AS rule_id, COUNT(*) AS rows_scanned, COUNT(*) FILTER (NOT ({c})) AS violation_count FROM {t}" for t, n, c in _CHECKED))
 def b13(m):
-    return run.row_level_batch(m.runs, constraint_rules("check_run"))
+    """One aggregate per register."""
+    parts = []
+    for table in dict.fromkeys(t for t, _, _ in _CHECKED):
+        wanted = {n for t, n, _ in _CHECKED if t == table}
+        parts.append(run.row_level_batch(m.tables[table], [r for r in constraint_rules(table) if r.rule_id in wanted]).withColumn("register", F.lit(table)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("i6_pending_columns", "SELECT DISTINCT c.target_table, c.target_column FROM (SELECT DISTINCT target_table, 'c' || CAST(k AS STRING) AS target_column FROM monitored_table, range(0, 12) r(k)) c WHERE NOT EXISTS (SELECT 1 FROM bound b WHERE b.target_table = c.target_table AND b.target_column = c.target_column) AND NOT EXISTS (SELECT 1 FROM binding_proposal p WHERE p.target_table = c.target_table AND p.target_column = c.target_column AND p.proposal_id NOT IN (SELECT proposal_id FROM binding_review WHERE decision = 'rejected'))")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,19 +145,50 @@ def append(df: DataFrame, path: str, schema: T.StructType) -> None:
 def new_rows(df: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row of df for each key that the target does not hold; the least row by content where df repeats a key."""
     others = [c for c in df.columns if c not in keys]
-    one = df.groupBy(*keys).agg(*([F.min(F.struct(*others)).alias("_row")] if others else []))
+    one = df.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row")) if others else df.distinct()
     one = one.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
     return one.join(target.select(*keys), list(keys), "left_anti")
 
 
-def guarded_append(df: DataFrame, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
-    """Appends rows whose key is not there yet and reads the table back; repeating the call changes nothing."""
+def newer_rows(df: DataFrame, target: DataFrame, keys: Sequence[str], sequence: str) -> DataFrame:
+    """Rows of df whose key the target does not hold with this sequence number or a later one; the least row by content where df repeats one."""
+    top = target.groupBy(*keys).agg(F.max(sequence).alias("_top"))
+    one = new_rows(df, target.where("false"), [*keys, sequence])
+    return one.join(top, list(keys), "left").where(F.col("_top").isNull() | (F.col(sequence) > F.col("_top"))).drop("_top")
+
+
+def guarded_append(df: DataFrame, path: str, schema: T.StructType, keys: Sequence[str], sequence: str | None = None) -> DataFrame:
+    """Appends rows that are not there yet, by key or by key and sequence number, and reads the table back; repeating the call changes nothing.
+    A target that holds no table yet is empty."""
     spark = df.sparkSession
-    target = spark.read.schema(schema).parquet(path)
-    append(new_rows(as_schema(df, schema), target, keys), path, schema)
+    try:
+        target = spark.read.schema(schema).parquet(path)
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
+        target = spark.createDataFrame([], schema)
+    rows = as_schema(df, schema)
+    append(newer_rows(rows, target, keys, sequence) if sequence else new_rows(rows, target, keys), path, schema)
     return spark.read.schema(schema).parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder. Where none is set, a folder of its own in local mode, as in tests, and an error on a cluster."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def sample_rows_frame(samples: DataFrame, columns: Sequence[str]) -> DataFrame:
     """JSON sample rows as columns."""
     row = F.from_json("sample_row", "map<string,string>")

@@ -124,11 +124,11 @@ def test_pack_probes(spark, rules, cases):
 
 
 def test_pack_of_a_subscription(spark):
-    names = "number kind product imei sim network benefit account offer bill_type first initial status reason closed".split()
+    names = "number kind product imei sim network benefit account offer bill_type first initial status reason closed k".split()
     rules = packs.subscription("t", "S", *names)
-    df = "number string, kind int, product int, imei string, sim string, network string, benefit string, account int, offer int, bill_type string, first string, initial string, status int, reason int, closed string"
-    good = ("0412345671", 1, 1, "i", "s", "n", "b", 1, 1, "POSTPAID", "x", "x", 1, 0, None)
-    bad = ("unknown", 1, 1, "", "", "", "", 0, 0, "POSTPAID", "x", "y", 2, 0, None)
+    df = "number string, kind int, product int, imei string, sim string, network string, benefit string, account int, offer int, bill_type string, first string, initial string, status int, reason int, closed string, k int"
+    good = ("0412345671", 1, 1, "i", "s", "n", "b", 1, 1, "POSTPAID", "x", "x", 1, 0, None, 1)
+    bad = ("unknown", 1, 1, "", "", "", "", 0, 0, "POSTPAID", "x", "y", 2, 0, None, 2)
     got = failing(spark, rules, df, [good, bad])
     assert got[0] == set()
     assert got[1] == {r.rule_id.split("_", 1)[1] for r in rules if isinstance(r, RowRule)}
@@ -141,7 +141,7 @@ def test_pack_of_dates_and_presence(spark):
 
 
 def test_versions_and_packs_of_keys(spark):
-    df = spark.createDataFrame([("1", " 2"), ("1", "x")], "k string, v string")
+    df = spark.createDataFrame([("1", " 2", "1"), ("1", "x", "1")], "k string, v string, trimmed string")
     rules = [*packs.identifier("t", "k", "K"), *packs.constant("t", ["k"], "C"), *packs.phone("t", "k", "v", "P"), *packs.conditional_presence("t", "v", "k", "Q")]
     got = {r.rule_id: r.violation_count for r in checks.measure(spark, rules, {"t": df}).collect()}
     assert got["K_UNIQUE"] == 2 and got["C_k_VARIES"] == 2 and got["K_NOT_NULL"] == 0
