@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 19
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: A prime modulus, two bases, and their inverses. Modulo a power of two, words such as that of Thue and Morse collide whatever the base is.
+PRIME = (1 << 31) - 1
+BASES = (1_386_744_713, 907_531_889)
+INVERSES = tuple(pow(b, -1, PRIME) for b in BASES)
 
 #: The six ASCII white-space bytes.
 _SPACE = np.zeros(256, bool)
@@ -39,39 +41,82 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_P, _BITS = np.uint64(PRIME), np.uint64(31)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, but for some multiples of it: under 2**33 for x under 2**64."""
+    low = x & _P
+    low += x >> _BITS
+    return low
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x under 2**63."""
+    x = _fold(_fold(x))
+    return np.minimum(x, x - _P)  # below the prime the difference wraps around to a huge number
+
+
+#: Slices that are hashed at once, so that they stay in a core's cache.
+BLOCK = 1 << 13
+
+
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of the bases and of their inverses, grown on demand by doubling."""
 
     def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
+        self.up, self.down = ([np.ones(1, np.uint64) for _ in BASES] for _ in range(2))
 
     def reach(self, n: int) -> None:
-        if len(self.up) <= n:
-            size = max(n + 1, 2 * len(self.up))
-            steps = np.full(size, BASE, np.uint64)
-            steps[0] = 1
-            self.up = np.cumprod(steps, dtype=np.uint64)
-            steps[1:] = INVERSE
-            self.down = np.cumprod(steps, dtype=np.uint64)
+        for powers, bases in ((self.up, BASES), (self.down, INVERSES)):
+            for k, base in enumerate(bases):
+                while len(powers[k]) <= n:
+                    size = len(powers[k])
+                    powers[k] = np.concatenate([powers[k], _mod(powers[k] * np.uint64(pow(base, size, PRIME)))])
 
 
 _POWERS = Powers()
 
 
 class Rolling:
-    """Polynomial hashes of any slice of a sequence of integers, from one prefix sum."""
+    """Hashes of any slice of a sequence of integers, from prefix sums: two polynomials modulo a prime, 62 bits together."""
 
     def __init__(self, values: np.ndarray) -> None:
         _POWERS.reach(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        terms = values.astype(np.uint64)
-        terms += np.uint64(1)
-        terms *= _POWERS.up[: len(values)]
-        np.cumsum(terms, out=self.sums[1:])
+        if values.dtype != np.uint8:  # a wide value goes into each sum as another 31 bits of it
+            wide = mix(values)
+            parts = [wide & np.uint64(PRIME), wide >> np.uint64(33)]
+        else:
+            parts = [values.astype(np.uint64) + np.uint64(1)] * 2
+        self.sums = []
+        for part, up in zip(parts, _POWERS.up, strict=True):
+            sums = np.zeros(len(values) + 1, np.uint64)
+            np.cumsum(_fold(part * up[: len(values)]), out=sums[1:])
+            self.sums.append(sums)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * _POWERS.down[start] + (end - start).astype(np.uint64))
+        out = np.empty(len(start), np.uint64)
+        for k in range(0, len(start), BLOCK):
+            a, b = start[k : k + BLOCK], end[k : k + BLOCK]
+            out[k : k + BLOCK] = self._made([sums[b] - sums[a] for sums in self.sums], [down[a] for down in _POWERS.down], (b - a).astype(np.uint64))
+        return out
+
+    def every(self, width: int) -> np.ndarray:
+        """The hashes of all slices of one width, in order."""
+        n = max(0, len(self.sums[0]) - width)
+        out = np.empty(n, np.uint64)
+        for k in range(0, n, BLOCK):
+            end = min(k + BLOCK, n)
+            out[k:end] = self._made([sums[k + width : end + width] - sums[k:end] for sums in self.sums], [down[k:end] for down in _POWERS.down], np.array([width], np.uint64))
+        return out
+
+    @staticmethod
+    def _made(sums: list[np.ndarray], down: list[np.ndarray], length: np.ndarray) -> np.ndarray:
+        first, second = (_mod(_fold(s) * d) for s, d in zip(sums, down, strict=True))
+        first <<= _BITS
+        first |= second
+        first += length * np.uint64(0x9E3779B97F4A7C15)
+        return mix(first)
 
 
 def text_groups(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

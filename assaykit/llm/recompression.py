@@ -91,7 +91,7 @@ def word_anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
         low, high = np.maximum(pos - parse.back, words.first[row]), np.minimum(pos - parse.margin + width, words.first[row + 1])
         context = mix(rolling.of(low, high) + (pos - low).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         key = [batch.column(k).to_numpy()[row] for k in ("h1", "h2")]
-        yield from pieces(pa.RecordBatch.from_arrays([pa.array(keys[pos].view(np.int64)), pa.array(context.view(np.int64)), pa.array(key[0]), pa.array(key[1]), pa.array((pos - words.first[row]).astype(np.int32))], names=["name", "context", "h1", "h2", "pos"]))
+        yield from pieces(pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pos), np.int64)), pa.array(np.zeros(len(pos), np.int64)), pa.array(keys[pos].view(np.int64)), pa.array(context.view(np.int64)), pa.array(key[0]), pa.array(key[1]), pa.array((pos - words.first[row]).astype(np.int32))], names=["order1", "order2", "name", "context", "h1", "h2", "pos"]))
 
 
 def word_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:

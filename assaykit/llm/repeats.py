@@ -1,13 +1,15 @@
 """Long repeats between and inside texts: what the byte index and the word index share.
 
-1. A family class picks anchors in each text: places that any repeated window must contain at the same offset
-   in both copies. An anchor has a name (its own content) and a context name (all content that a window
-   with it can reach).
+1. A family picks anchors in each text: places that any repeated window must contain at the same offset in both copies.
+   An anchor has a name (its own content) and a context name (all content that a window with it can reach).
 2. ``IndexFamily`` takes the anchors of one slice of the name space and says which are met again.
-3. Anchors with equal contexts are settled. For those with equal names but unequal contexts, the
-   windows themselves are compared (``settle``).
+3. Anchors with equal contexts are settled. For those with equal names but unequal contexts, the windows themselves are compared: rows meet by
+   the half of their surroundings that the windows share, and a large group is dealt anew by single windows.
 4. Covered spans are merged per text and joined to the rows.
 
+Hot groups: a task sends two anchors of a class at most, and deals the others out evenly, as they are met again for certain; names that many of a sample
+of texts hold are dealt by class instead of by name, and always compared by windows. Which names these are changes the work and never the result.
+
 Texts are named by a 96-bit hash, so equal texts are worked on once and rows need no unique id.
 """
 
@@ -20,20 +22,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import pieces, spread, text_key
+from assaykit.llm.common import mix, pieces, spread, text_key
 
-ANCHORS = "name long, context long, h1 long, h2 int, pos int"
+#: route: what an anchor is dealt by. order: its first bytes as numbers, by which the index is sorted. sure: it is met again for certain.
+ANCHORS = "route long, order1 long, order2 long, name long, context long, h1 long, h2 int, pos int, sure boolean"
+_ANCHORS = pa.schema([("route", pa.int64()), ("order1", pa.int64()), ("order2", pa.int64()), ("name", pa.int64()), ("context", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("pos", pa.int32()), ("sure", pa.bool_())])
 FOUND = "name long, h1 long, h2 int, pos int, settled boolean"
 WINDOWS = "name long, h1 long, h2 int, pos int, lo int, windows binary"
-REACH = "h1 long, h2 int, first int, last int"
+REACH = "key long, h1 long, h2 int, first int, last int, single boolean"
 _FOUND = pa.schema([("name", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("pos", pa.int32()), ("settled", pa.bool_())])
+_REACH = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("single", pa.bool_())])
+
+#: Rows that make up one new batch of the index, classes that a task remembers, and rows of a group whose windows are compared in memory.
+BATCH, CLASSES, GROUP = 1 << 17, 1 << 20, 1 << 13
+#: Of the texts one in so many is sampled for frequent names; a name is frequent if so large a part of the sampled anchors has it.
+SAMPLED, FREQUENT = 64, 1 / 1000
+
 
-#: Rows that make up one new batch of the index.
-BATCH = 1 << 17
+class Classes:
+    """How often a task has met each class: once, or more. It forgets when it is full, which only costs rows."""
+
+    def __init__(self) -> None:
+        self.keys, self.twice = np.zeros(0, np.uint64), np.zeros(0, bool)
+
+    def surplus(self, keys: np.ndarray) -> np.ndarray:
+        """Which of these are at least the third of their class."""
+        order = np.argsort(keys, kind="stable")
+        ranked = keys[order]
+        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(ranked)))
+        rank = np.arange(len(ranked)) - np.repeat(first, size)
+        fresh = ranked[first]
+        at = np.searchsorted(self.keys, fresh)
+        known = np.zeros(len(fresh), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == fresh[inside]
+        before = np.where(known, 1 + self.twice[np.minimum(at, max(0, len(self.keys) - 1))] if len(self.keys) else 0, 0)
+        out = np.zeros(len(keys), bool)
+        out[order] = rank + np.repeat(before, size) >= 2
+        if len(self.keys) + len(fresh) > CLASSES:
+            self.keys, self.twice = np.zeros(0, np.uint64), np.zeros(0, bool)
+            known[:] = False
+        self.twice[at[known]] |= before[known] + size[known] >= 2
+        new = np.flatnonzero(~known)
+        at = np.searchsorted(self.keys, fresh[new])
+        self.keys, self.twice = np.insert(self.keys, at, fresh[new]), np.insert(self.twice, at, size[new] >= 2)
+        return out
+
+
+def deal(batches: Iterator[pa.RecordBatch], anchors: Callable, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The anchors of texts with what they are dealt by. anchors(batches) gives order1, order2, name, context, h1, h2, pos."""
+    classes = Classes()
+    for batch in anchors(batches):
+        order1, order2, name, context, h1, h2, pos = (batch.column(i).to_numpy() for i in range(7))
+        one = mix(name.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + context.view(np.uint64))
+        sure = classes.surplus(one)
+        place = mix(h1.view(np.uint64) + pos.astype(np.uint64))
+        route = np.where(sure, place, np.where(np.isin(name, frequent), one, name.view(np.uint64))).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(route), *(pa.array(c) for c in (order1, order2, name, context, h1, h2, pos)), pa.array(sure)], schema=_ANCHORS)
 
 
 class Level:
-    """One sorted run of the index: a row for each (name, context), with the first anchor that had it."""
+    """One sorted run of the index: a row for each class, with the first anchor that had it."""
 
     def __init__(self, columns: list[np.ndarray], again: np.ndarray) -> None:
         self.columns, self.again = columns, again
@@ -45,93 +95,94 @@ class Level:
 class IndexFamily:
     """A logarithmic family of sorted anchor arrays over one slice of the name space.
 
-    Each new batch is sorted by (name, context) and scanned against every level. An anchor whose class is there
-    is a match: it is given out at once and not stored, so the index holds one row per class however often it
-    occurs. The rest becomes a new level; levels of like size merge, so each row is merged O(log n) times.
+    Each new batch is sorted by (order1, order2, name, context) and merge-scanned against every level. An anchor whose class is there is a match: it is
+    given out at once and not stored, so the index holds one row per class however often it occurs. The rest becomes a new level;
+    levels of like size merge, so each row is merged O(log n) times.
     """
 
+    #: Columns that make up a class, and all.
+    KEYS, ALL = 4, 7
+
     def __init__(self) -> None:
         self.levels: list[Level] = []
 
-    @staticmethod
-    def _order(columns: list[np.ndarray]) -> np.ndarray:
-        return np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))
+    @classmethod
+    def _same(cls, columns: list[np.ndarray], keys: int) -> np.ndarray:
+        """Which rows equal the one before in the first ``keys`` columns."""
+        same = np.ones(len(columns[0]), bool)
+        same[:1] = False
+        for c in columns[:keys]:
+            same[1:] &= c[1:] == c[:-1]
+        return same
 
     def add(self, columns: list[np.ndarray]) -> list[np.ndarray]:
-        """Indexes a batch (name, context, h1, h2, pos); returns the anchors that were there already."""
-        columns = [c[o] for o in [self._order(columns)] for c in columns]
-        same_class = np.zeros(len(columns[0]), bool)
-        same_class[1:] = (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])
-        same_place = np.zeros(len(columns[0]), bool)
-        same_place[1:] = same_class[1:] & (columns[2][1:] == columns[2][:-1]) & (columns[3][1:] == columns[3][:-1]) & (columns[4][1:] == columns[4][:-1])
+        """Indexes a batch (order1, order2, name, context, h1, h2, pos); returns the anchors that were there already."""
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        same_class, same_place = self._same(columns, self.KEYS), self._same(columns, self.ALL)
         first = np.flatnonzero(~same_class)
         size = np.diff(np.append(first, len(same_class)))
         given = [[c[same_class & ~same_place] for c in columns]]
         rows, again = [c[first] for c in columns], size > 1
         for level in self.levels:
             at, hit = self._scan(level, rows)
-            if hit.any():
-                level.again[at[hit]] = True
+            if len(hit):
+                level.again[at] = True
                 given.append([c[hit] for c in rows])
-                rows, again = [c[~hit] for c in rows], again[~hit]
+                rest = np.ones(len(again), bool)
+                rest[hit] = False
+                rows, again = [c[rest] for c in rows], again[rest]
         if len(again):
             self.levels.append(Level(rows, again))
             while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
                 self._merge()
         return [np.concatenate(c) for c in zip(*given, strict=True)]
 
-    @staticmethod
-    def _scan(level: Level, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """For each row the place of its class in the level, and whether it is there."""
-        at = np.searchsorted(level.columns[0], rows[0])
-        end = np.searchsorted(level.columns[0], rows[0], "right")
-        hit, todo = np.zeros(len(at), bool), np.flatnonzero(at < end)
-        low, high = at.copy(), end.copy()
-        while len(todo):  # binary search of the context among the rows with this name
-            mid = (low[todo] + high[todo]) // 2
-            less = level.columns[1][mid] < rows[1][todo]
-            low[todo[less]] = mid[less] + 1
-            high[todo[~less]] = mid[~less]
-            todo = todo[low[todo] < high[todo]]
-        inside = np.flatnonzero((low < end) & (at < end))
-        hit[inside] = level.columns[1][low[inside]] == rows[1][inside]
-        return low, hit
+    @classmethod
+    def _scan(cls, level: Level, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """A merge scan: the places in the level and in the rows of classes that both have. Either has a class once, so equals are neighbours."""
+        both = [np.concatenate([a, b]) for a, b in zip(level.columns[: cls.KEYS], rows[: cls.KEYS], strict=True)]
+        order = np.lexsort([np.arange(len(both[0])), *both[::-1]])
+        meet = np.flatnonzero(cls._same([c[order] for c in both], cls.KEYS))
+        return order[meet - 1], order[meet] - len(level)
 
     def _merge(self) -> None:
         b, a = self.levels.pop(), self.levels.pop()
         columns = [np.concatenate(c) for c in zip(a.columns, b.columns, strict=True)]
-        order = self._order(columns)
+        order = np.lexsort(columns[::-1])
         self.levels.append(Level([c[order] for c in columns], np.concatenate([a.again, b.again])[order]))
 
-    def finish(self) -> tuple[list[np.ndarray], np.ndarray]:
-        """First anchors of classes. Settled: a class met again. Not settled: a class whose name has others; its windows are to
+    def finish(self, frequent: Callable) -> tuple[list[np.ndarray], np.ndarray]:
+        """First anchors of classes. Settled: a class met again. Not settled: a class whose name has others, or is frequent; its windows are to
         be compared with theirs. An anchor can be given as both."""
         while len(self.levels) > 1:
             self._merge()
         if not self.levels:
-            return [np.zeros(0, np.int64)] * 5, np.zeros(0, bool)
+            return [np.zeros(0, np.int64)] * self.ALL, np.zeros(0, bool)
         level = self.levels.pop()
-        name = level.columns[0]
-        alone = np.ones(len(name), bool)
-        alone[1:] &= name[1:] != name[:-1]
-        alone[:-1] &= name[1:] != name[:-1]
-        again, mixed = np.flatnonzero(level.again), np.flatnonzero(~alone)
+        same = self._same(level.columns, self.KEYS - 1)
+        alone = ~same
+        alone[:-1] &= ~same[1:]
+        again, mixed = np.flatnonzero(level.again), np.flatnonzero(~alone | frequent(level.columns[2]))
         return [c[np.concatenate([again, mixed])] for c in level.columns], np.arange(len(again) + len(mixed)) < len(again)
 
 
-def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def match_anchors(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Anchors of one slice of the name space -> those that occur again."""
     index, waiting, held = IndexFamily(), [], 0
 
     def out(columns: list[np.ndarray], settled: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(settled):
-            yield from pieces(pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.int32()), pa.array(settled)], schema=_FOUND))
+            yield from pieces(pa.RecordBatch.from_arrays([pa.array(columns[2], pa.int64()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.int32()), pa.array(columns[6], pa.int32()), pa.array(settled)], schema=_FOUND))
 
     def add() -> Iterator[pa.RecordBatch]:
         nonlocal waiting, held
         table = pa.Table.from_batches(waiting)
         waiting, held = [], 0
-        found = index.add([table.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in range(5)])
+        columns = [table.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in range(1, 8)]
+        sure = table.column(8).combine_chunks().to_numpy(zero_copy_only=False)
+        yield from out([c[sure] for c in columns], np.ones(int(sure.sum()), bool))
+        found = index.add([c[~sure] for c in columns])
         yield from out(found, np.ones(len(found[0]), bool))
 
     for batch in batches:
@@ -141,24 +192,30 @@ def match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield from add()
     if held:
         yield from add()
-    yield from out(*index.finish())
+    yield from out(*index.finish(lambda name: np.isin(name, frequent)))
 
 
 def windows_reach(batches: Iterator[pa.RecordBatch], expand: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor name, each with its windows -> first and last window that occurs twice.
+    """Rows sorted by key, each with its windows -> first and last window that occurs twice.
 
     ``lo`` is the offset of the first window; a window only equals one with the same offset to the same anchor.
-    A name's rows are taken together; the hashes are compared column by column (offset by offset), never row by row.
+    A key's rows are taken together; the hashes are compared column by column (offset by offset), never row by row. A key with more than GROUP rows is
+    given on as single windows, a part at a time, so memory is bounded.
     """
 
-    def flush(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def opened(tables: list[pa.RecordBatch]) -> tuple:
         t = pa.Table.from_batches(tables).combine_chunks()
         name, h1, h2, pos, lo = (t.column(i).to_numpy() for i in range(5))
         raw = t.column("windows").to_pylist()
         count, values = expand(b"".join(raw), np.array([len(x) for x in raw], np.int64))
         owner, rank = spread(count)
-        offset = lo[owner] + rank
-        length = count
+        return name, h1, h2, pos, owner, lo[owner] + rank, values
+
+    def rows(key: np.ndarray, h1: np.ndarray, h2: np.ndarray, first: np.ndarray, last: np.ndarray, single: bool) -> Iterator[pa.RecordBatch]:
+        yield from pieces(pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h1), pa.array(h2), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(np.full(len(key), single))], schema=_REACH))
+
+    def flush(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, h1, h2, pos, owner, offset, values = opened(tables)
         order = np.lexsort((values, offset, name[owner]))
         o, v, f = owner[order], values[order], offset[order]
         same = (v[1:] == v[:-1]) & (f[1:] == f[:-1]) & (name[o[1:]] == name[o[:-1]])
@@ -167,30 +224,78 @@ def windows_reach(batches: Iterator[pa.RecordBatch], expand: Callable) -> Iterat
         twice[:-1] |= same
         o, f = o[twice], f[twice]
         if len(o):
-            first, last = np.full(len(length), 1 << 30), np.full(len(length), -(1 << 30))
+            first, last = np.full(len(pos), 1 << 30), np.full(len(pos), -(1 << 30))
             np.minimum.at(first, o, f)
             np.maximum.at(last, o, f)
             hit = np.flatnonzero(last >= first)
-            yield from pieces(pa.RecordBatch.from_arrays([pa.array(h1[hit]), pa.array(h2[hit]), pa.array((pos[hit] + first[hit]).astype(np.int32)), pa.array((pos[hit] + last[hit]).astype(np.int32))], names=["h1", "h2", "first", "last"]))
+            yield from rows(mix(h1[hit].view(np.uint64) + pos[hit].astype(np.uint64)), h1[hit], h2[hit], pos[hit] + first[hit], pos[hit] + last[hit], False)
+
+    def singles(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, h1, h2, pos, owner, offset, values = opened(tables)
+        key = mix(values + mix(name[owner].view(np.uint64) + offset.astype(np.uint64)))
+        yield from rows(key, h1[owner], h2[owner], pos[owner] + offset, pos[owner] + offset, True)
 
     waiting: list[pa.RecordBatch] = []
-    size = 0
+    held, large = 0, None  # rows that wait; the key whose rows are given on
     for batch in batches:
-        names = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(names, names[-1])) if len(names) else 0
-        if size + batch.nbytes > 1 << 20 and (cut or (waiting and waiting[-1].column(0)[-1].as_py() != int(names[0]))):
-            if cut:
-                waiting.append(batch.slice(0, cut))
-            yield from flush(waiting)
-            waiting, size = [], 0
-            batch = batch.slice(cut)
-        if batch.num_rows:
-            waiting.append(batch)
-            size += batch.nbytes
-    if waiting:
+        while batch.num_rows:
+            names = batch.column(0).to_numpy()
+            if large is not None:
+                cut = int(np.searchsorted(names, large, "right"))
+                if cut:
+                    yield from singles([batch.slice(0, cut)])
+                    batch = batch.slice(cut)
+                    continue
+                large = None
+            cut = int(np.searchsorted(names, names[-1]))  # the last key may go on in the next batch
+            done = batch.slice(0, cut)
+            if held and (cut or waiting[-1].column(0)[-1].as_py() != int(names[0])):
+                # what waits is complete with the rows of its last key at the head of this batch
+                head = int(np.searchsorted(names, waiting[-1].column(0)[-1].as_py(), "right"))
+                yield from flush([*waiting, batch.slice(0, head)] if head else waiting)
+                done, waiting, held = batch.slice(head, max(0, cut - head)), [], 0
+                batch = batch.slice(max(cut, head))
+            else:
+                batch = batch.slice(cut)
+            if done.num_rows:
+                yield from flush([done])
+            if batch.num_rows:
+                waiting.append(batch)
+                held += batch.num_rows
+                if held > GROUP:
+                    large = waiting[-1].column(0)[-1].as_py()
+                    for part in waiting:
+                        yield from singles([part])
+                    waiting, held = [], 0
+            break
+    if held:
         yield from flush(waiting)
 
 
+def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key. Single windows -> those whose key another row has too; what is decided passes."""
+    last = None  # the row before this batch, and whether it was given
+    for batch in batches:
+        decided = ~batch.column("single").to_numpy(zero_copy_only=False)
+        if decided.any():
+            yield batch.filter(pa.array(decided))
+        batch = batch.filter(pa.array(~decided))
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        same = key[1:] == key[:-1]
+        twice = np.zeros(len(key), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        if last is not None and last[0].column(0)[0].as_py() == int(key[0]):
+            twice[0] = True
+            if not last[1]:
+                yield last[0]
+        if twice.any():
+            yield batch.filter(pa.array(twice))
+        last = (batch.slice(batch.num_rows - 1), bool(twice[-1]))
+
+
 def merge_spans(first: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Union of [first, last + width) intervals, sorted."""
     order = np.argsort(first, kind="stable")
@@ -200,19 +305,31 @@ def merge_spans(first: np.ndarray, last: np.ndarray, width: int) -> tuple[np.nda
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)] if len(start) else end
 
 
+def frequent_names(texts: DataFrame, anchors: Callable) -> np.ndarray:
+    """Names that many of the sampled texts hold, 1 / FREQUENT at most; what comes to the driver has that bound."""
+    some = texts.where(F.pmod("h1", F.lit(SAMPLED)) == 0).mapInArrow(lambda batches: deal(batches, anchors, np.zeros(0, np.int64)), ANCHORS)
+    counts = some.groupBy("name").agg(F.count("*").alias("n"))
+    least = F.greatest(F.lit(16), F.col("total") * FREQUENT)
+    found = counts.where("n >= 16").crossJoin(counts.agg(F.sum("n").alias("total"))).where(F.col("n") > least)  # one row on the right
+    return np.array(sorted(r.name for r in found.select("name").collect()), np.int64)
+
+
 def per_text(docs: DataFrame, anchors: Callable, windows: Callable, expand: Callable, finish: Callable, schema: str) -> DataFrame:
     """One row per distinct text of ``docs``: h1, h2 and what ``finish`` makes of the text and its repeated windows.
 
-    anchors(batches of h1, h2, text) gives ANCHORS. windows(batches with text and marks) gives WINDOWS for the marks that
+    anchors(batches of h1, h2, text) gives what ``deal`` takes. windows(batches with text and marks) gives WINDOWS for the marks that
     are not settled. expand(bytes, lengths) gives their window hashes. finish(batches with text, marks and spans) gives ``schema``.
     The marked texts and the final join read the same two shuffles: ``texts`` and ``lists`` keep all their columns in both.
     """
     keyed = docs.select(*text_key(F.col("text")), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    found = keyed.mapInArrow(anchors, ANCHORS).repartition("name").mapInArrow(match_anchors, FOUND)
+    frequent = frequent_names(keyed, anchors)
+    dealt = keyed.mapInArrow(lambda batches: deal(batches, anchors, frequent), ANCHORS).repartition("route")
+    found = dealt.mapInArrow(lambda batches: match_anchors(batches, frequent), FOUND)
     texts = keyed.groupBy("h1", "h2").agg(F.first("text").alias("text"))
     lists = found.groupBy("h1", "h2").agg(F.collect_set(F.struct("pos", "name", "settled")).alias("marks"))
     opened = texts.join(lists, ["h1", "h2"]).mapInArrow(windows, WINDOWS)
     reach = opened.repartition("name").sortWithinPartitions("name").mapInArrow(lambda batches: windows_reach(batches, expand), REACH)
+    reach = reach.repartition("key").sortWithinPartitions("key").mapInArrow(single_windows, REACH)
     spans = reach.groupBy("h1", "h2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     whole = texts.join(lists, ["h1", "h2"], "left").join(spans, ["h1", "h2"], "left")
     return whole.mapInArrow(finish, f"h1 long, h2 int, {schema}")

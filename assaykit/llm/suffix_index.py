@@ -1,11 +1,13 @@
 """Suffix-array dedup: every byte inside a 200-byte string that starts anywhere else is found and removed.
 
-Method: a logarithmic index family. The suffix space is dealt over Spark tasks by the name of a suffix's first bytes;
-in each task new batches of suffixes are sorted, scanned against the sorted levels for long matches, and levels of
+Method: a logarithmic index family. The suffix space is dealt over Spark tasks; in each task new batches of suffixes are sorted (by their first 16
+bytes, then by a hash of GRAM bytes, then of all that a window can reach), merge-scanned against the sorted levels for long matches, and levels of
 like size merge (``repeats.IndexFamily``). Suffixes are sampled by content: the least of all ``GRAM``-byte strings of each
 window, so that both copies of any repeated window have the same suffix in the index and about 1.3 % of all
 suffixes are stored. Whether a match is long enough is decided on the bytes around the suffixes, for every window.
 
+``SuffixIndex`` keeps such a family of levels in Parquet between batches.
+
 Edge cases: null text counts as empty; texts shorter than ``width`` bytes have no window and lose nothing; repeated rows
 are copies of each other, so all of a text of at least ``width`` bytes that occurs twice is removed; a clashing extra column
 of the input stays as it is, and the operator's own column gets an underscore.
@@ -14,14 +16,16 @@ of the input stays as it is, and the operator's own column gets an underscore.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import Rolling, free_name, mix, pieces, text_groups, text_key
+from assaykit.llm.common import Rolling, cut, free_name, mix, pieces, text_groups, text_key
 from assaykit.llm.repeats import open_marks, per_text, row_spans, window_rows
 
 GRAM = 48
@@ -54,20 +58,27 @@ def sample(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int)
     return np.flatnonzero(chosen)
 
 
+def first_bytes(data: np.ndarray, pos: np.ndarray, skip: int) -> np.ndarray:
+    """Eight bytes from ``skip`` behind each place, as numbers in the order of the bytes; 0 behind the end."""
+    at = pos[:, None] + skip + np.arange(8)
+    raw = np.where(at < len(data), data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
+    return (np.ascontiguousarray(raw).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def byte_anchors(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     gram = min(GRAM, width)
     for batch, data, offsets in text_groups(batches):
         if len(data) < width:
             continue
         rolling = Rolling(data)
-        at = np.arange(len(data) - gram + 1)
-        names = rolling.of(at, at + gram)
+        names = rolling.every(gram)
         pos = sample(names, offsets[:-1], offsets[1:] - width + 1, width - gram + 1)
         row = np.searchsorted(offsets, pos, "right") - 1
         low, high = np.maximum(pos - (width - gram), offsets[row]), np.minimum(pos + width, offsets[row + 1])
         context = mix(rolling.of(low, high) + (pos - low).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         key = [batch.column(k).to_numpy()[row] for k in ("h1", "h2")]
-        yield from pieces(pa.RecordBatch.from_arrays([pa.array(names[pos].view(np.int64)), pa.array(context.view(np.int64)), pa.array(key[0]), pa.array(key[1]), pa.array((pos - offsets[row]).astype(np.int32))], names=["name", "context", "h1", "h2", "pos"]))
+        order = [first_bytes(data, pos, skip) if gram >= skip + 8 else np.zeros(len(pos), np.int64) for skip in (0, 8)]  # within the gram, so that equal grams have equal ones
+        yield from pieces(pa.RecordBatch.from_arrays([*map(pa.array, order), pa.array(names[pos].view(np.int64)), pa.array(context.view(np.int64)), pa.array(key[0]), pa.array(key[1]), pa.array((pos - offsets[row]).astype(np.int32))], names=["order1", "order2", "name", "context", "h1", "h2", "pos"]))
 
 
 def byte_windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -137,3 +148,58 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 200) -> DataFrame:
     keys = {k: free_name(docs.columns, k) for k in ("h1", "h2")}
     made = made.select(*[F.col(k).alias(v) for k, v in (keys | names).items()])
     return docs.withColumns({keys[k]: c for k, c in zip(("h1", "h2"), text_key(F.col("text")), strict=True)}).join(made, list(keys.values()), "left").drop(*keys.values())
+
+
+class SuffixIndex:
+    """A family of levels in a shared folder, to which batches of documents are added.
+
+    A level is a Parquet table of suffixes (name, h1, h2), sorted by name within files; the texts lie beside them. ``add_batch`` merge-joins the new suffixes with every
+    level, takes the old texts that share one, and compares these with the batch; then the batch becomes a level, and levels of like size
+    are rewritten as one, so that each suffix is written O(log n) times. A manifest is written last, so a lost run leaves the index as it was.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, width: int = 200) -> None:
+        self.spark, self.folder, self.width = spark, folder, width
+
+    def levels(self) -> list[tuple[str, int]]:
+        """Folder and number of suffixes of each level, the oldest first."""
+        try:
+            newest = self.spark.read.parquet(f"{self.folder}/manifest").orderBy(F.desc("version")).first()
+        except AnalysisException as fault:
+            if fault.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        return [(r.level, r.rows) for r in newest.levels]
+
+    def _suffixes(self, texts: DataFrame) -> DataFrame:
+        made = texts.mapInArrow(functools.partial(byte_anchors, width=self.width), "order1 long, order2 long, name long, context long, h1 long, h2 int, pos int")
+        return made.select("name", "h1", "h2").distinct()
+
+    def _read(self, level: str, what: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{level}/{what}")
+
+    def add_batch(self, docs: DataFrame) -> DataFrame:
+        """Per distinct text of the batch what ``repeated_bytes`` gives, over the batch and all batches before."""
+        keyed = docs.select(*text_key(F.col("text")), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("copies", F.lit(1))
+        here, version = uuid.uuid4().hex, 1
+        keyed.groupBy("h1", "h2").agg(F.first("text").alias("text"), F.count("*").alias("copies")).write.parquet(f"{self.folder}/{here}/texts")
+        texts = self._read(here, "texts")
+        self._suffixes(texts).repartition("name").sortWithinPartitions("name").write.parquet(f"{self.folder}/{here}/suffixes")
+        new, old = self._read(here, "suffixes"), self.levels()
+        both = docs.select("text")
+        for level, _ in old:
+            met = self._read(level, "suffixes").join(new.select("name").distinct(), "name", "left_semi").select("h1", "h2").distinct()
+            both = both.unionByName(self._read(level, "texts").join(met, ["h1", "h2"], "left_semi").select("text"))
+        made = cut(repeated_bytes(both, self.width).join(texts.select("h1", "h2"), ["h1", "h2"], "left_semi"))
+        now = [*old, (here, new.count())]
+        while len(now) > 1 and now[-2][1] <= 2 * now[-1][1]:
+            (a, n), (b, m) = now[-2], now[-1]
+            merged = uuid.uuid4().hex
+            self._read(a, "texts").unionByName(self._read(b, "texts")).groupBy("h1", "h2").agg(F.first("text").alias("text"), F.sum("copies").alias("copies")).write.parquet(f"{self.folder}/{merged}/texts")
+            self._read(a, "suffixes").unionByName(self._read(b, "suffixes")).distinct().repartition("name").sortWithinPartitions("name").write.parquet(f"{self.folder}/{merged}/suffixes")
+            now[-2:] = [(merged, n + m)]
+        if old:
+            version = self.spark.read.parquet(f"{self.folder}/manifest").agg(F.max("version")).first()[0] + 1
+        self.spark.createDataFrame([(version, now)], "version int, levels array<struct<level: string, rows: long>>").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        return made
+

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from assaykit.llm import repeats
 from assaykit.llm.recompression import Parse, remove_repeated_words
-from assaykit.llm.suffix_index import remove_repeated_bytes
+from assaykit.llm.suffix_index import SuffixIndex, remove_repeated_bytes
 
 
 def spans_of(gone):
@@ -106,3 +107,65 @@ def test_equal_windows_share_an_anchor():
                 at = parse.boundaries(names, np.zeros(len(names), int)) - 30
                 seen.add(tuple(at[(at >= parse.margin) & (at <= width - parse.margin)]))
             assert len(seen) == 1
+
+
+def test_third_of_a_class_and_later_is_surplus():
+    rng, seen = random.Random(1), Counter()
+    classes = repeats.Classes()
+    for _ in range(30):
+        keys = [rng.randrange(40) for _ in range(rng.randrange(30))]
+        want = []
+        for k in keys:
+            want.append(seen[k] >= 2)
+            seen[k] += 1
+        assert classes.surplus(np.array(keys, np.uint64)).tolist() == want
+
+
+@pytest.mark.parametrize("size", [3, 7, 1000])
+def test_groups_over_the_bound_go_on_as_single_windows(monkeypatch, size):
+    """windows_reach and single_windows against all pairs, whatever batches the rows come in."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "GROUP", 8)
+    rng = random.Random(size)
+    rows = []
+    for key, n in ((1, 3), (2, 30), (3, 1), (5, 9), (6, 40), (7, 2)):
+        for _ in range(n):
+            lo = rng.choice((-3, -2))
+            rows.append((key, len(rows), 0, 100, lo, np.array([rng.choice((1, 2, 3, rng.randrange(1 << 40))) for _ in range(4)], np.uint64).tobytes()))
+    names = ["name", "h1", "h2", "pos", "lo", "windows"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + size]), kinds)], names=names) for i in range(0, len(rows), size)]
+    made = pa.Table.from_batches(list(repeats.windows_reach(iter(batches), lambda raw, n: (n // 8, np.frombuffer(raw, np.uint64)))), schema=repeats._REACH).sort_by("key")
+    cover = {}
+    for r in pa.Table.from_batches(list(repeats.single_windows(iter(made.to_batches(max_chunksize=size)))), schema=repeats._REACH).to_pylist():
+        low, high = cover.get(r["h1"], (10**9, -1))
+        cover[r["h1"]] = (min(low, r["first"]), max(high, r["last"]))
+    values = {h: (key, lo, np.frombuffer(raw, np.uint64)) for key, h, _, _, lo, raw in rows}
+    count = Counter((key, lo + i, int(v)) for key, lo, vs in values.values() for i, v in enumerate(vs))
+    want = {}
+    for h, (key, lo, vs) in values.items():
+        hit = [100 + lo + i for i, v in enumerate(vs) if count[key, lo + i, int(v)] > 1]
+        if hit:
+            want[h] = (min(hit), max(hit))
+    assert cover == want
+
+
+def test_frequent_names_change_no_result(frame, monkeypatch):
+    plain = {r.h1: bytes(r.kept) for r in remove_repeated_bytes(frame).collect()}
+    monkeypatch.setattr(repeats, "frequent_names", lambda texts, anchors: np.array(sorted({r.name for r in texts.mapInArrow(lambda b: repeats.deal(b, anchors, np.zeros(0, np.int64)), repeats.ANCHORS).collect()})[::2], np.int64))
+    assert {r.h1: bytes(r.kept) for r in remove_repeated_bytes(frame).collect()} == plain
+
+
+def test_batches_meet_a_stored_index(spark, tmp_path):
+    data = [t for t in texts()]
+    random.Random(2).shuffle(data)
+    index, seen = SuffixIndex(spark, str(tmp_path / "index")), []
+    for k in range(0, len(data), 20):
+        batch = data[k : k + 20]
+        seen += batch
+        made = index.add_batch(spark.createDataFrame([(t,) for t in batch], "text string")).collect()
+        want = brute([(t or "").encode() for t in seen], 200)[-len(batch) :]
+        kept = sorted({bytes(b for b, g in zip((t or "").encode(), gone) if not g) for t, gone in zip(batch, want)})
+        assert sorted({bytes(r.kept) for r in made}) == kept
+    assert len(index.levels()) < len(range(0, len(data), 20)) and sum(n for _, n in index.levels()) > 0
