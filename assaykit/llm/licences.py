@@ -8,7 +8,7 @@ several lines, with its lines joined, in overlapping windows of ``WINDOW`` words
 weights and summed. A prediction is confirmed when a reading holds enough of a template's n-grams; a paragraph gives each family once.
 A window names one family, so of several wrapped notices within ``WINDOW`` words only the likeliest may be named.
 
-Training sees at most ``SAMPLE`` corpus texts (least hash first). The weights and templates are bounded by the template list and
+Training sees at most ``PLAIN`` lines, drawn from the whole of at most ``SAMPLE`` corpus texts (least hash first). The weights and templates are bounded by the template list and
 may be broadcast. Edge cases: null and empty texts have no licence; repeated rows give equal results; the columns added get an underscore
 where the input has their names; an empty table gives no rows.
 """
@@ -45,7 +45,7 @@ TEMPLATES = {
 COMMON = frozenset("the of this is a an any and or to in into for by with without it you may not use be are as on that from at version work file form forms terms software source code library free public general open style copy person charge fee purpose permission subject governed except hereby identifier".split())
 WORD = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-SAMPLE, UNKNOWN, NGRAM = 200, "unknown", 3
+SAMPLE, PLAIN, UNKNOWN, NGRAM = 200, 800, "unknown", 3
 #: Words of a window over joined lines, and of the overlap of two: more than any template has.
 WINDOW, OVERLAP = 64, 32
 BLANK = r"\n[^\p{L}\p{N}]*\n"
@@ -83,9 +83,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, seed: int = 7, steps: int = 400) -> Model:
     """Fits on the driver, on a bounded sample."""
     rng = random.Random(seed)
-    rows = hash_sample(docs.where("text is not null"), F.xxhash64("text"), F.substring("text", 1, 4000), SAMPLE)
+    rows = hash_sample(docs.where("text is not null"), F.xxhash64("text"), F.col("text"), SAMPLE)
     known = [" ".join(words_of(t)) for ts in TEMPLATES.values() for t in ts]
-    plain = [p for t in rows for p in t.split("\n")[:6] if (w := " ".join(words_of(p))) and not any(k in w for k in known)]
+    plain = [p for t in rows for p in t.split("\n") if (w := " ".join(words_of(p))) and not any(k in w for k in known)]
+    plain = rng.sample(plain, min(len(plain), PLAIN))
     filler = [w for p in plain for w in words_of(p)] or ["lorem"]
     families = [*TEMPLATES, UNKNOWN]
     examples: list[tuple[list[str], int]] = []
@@ -100,7 +101,7 @@ def train(docs: DataFrame, seed: int = 7, steps: int = 400) -> Model:
                     words = rng.choices(filler, k=rng.randint(1, 12)) + words + rng.choices(filler, k=rng.randint(0, 12))
                 examples.append((words, k))
     keys = sorted({w for ws, _ in examples for w in ws} - COMMON - set(filler))
-    examples += [(words_of(p), len(families) - 1) for p in plain[:400]]
+    examples += [(words_of(p), len(families) - 1) for p in plain]
     for _ in range(300):  # single key words among others are no licence
         examples.append((rng.choices(filler, k=rng.randint(3, 20)) + [rng.choice(keys)] + rng.choices(filler, k=3), len(families) - 1))
     names = sorted({g for ts in TEMPLATES.values() for t in ts for g in grams_of(words_of(t))})

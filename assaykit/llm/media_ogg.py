@@ -1,9 +1,10 @@
 """Media columns in Ogg: 8-bit samples in, one container per row out, and back.
 
-``encode`` writes two interleaved logical streams: the samples, in packets of ``PACKET`` samples, and a one-packet note. ``decode``
+``encode`` writes logical streams whose pages are interleaved by time: the samples, in packets of ``PACKET`` samples, every eighth of ``LARGE`` samples
+(more than a page holds); an envelope with the loudest sample of each of those packets, eight to a packet; and a note, if there is one. ``decode``
 reads any such container: it verifies each page's checksum, demultiplexes the streams by serial number, puts packets together
-from lacing values across pages, and derives timestamps from granule positions (a page's granule position is the number of
-samples that end on it).
+from lacing values across pages, derives timestamps from granule positions (a page's granule position is the number of
+samples up to the end of the last packet that ends on it), and holds the envelope against the samples.
 
 Edge cases: null samples or media give null; no samples give a stream without data packets; a container that is cut, damaged
 or out of sequence gives its fault in ``error`` and no samples, never an exception.
@@ -12,6 +13,7 @@ or out of sequence gives its fault in ``error`` and no samples, never an excepti
 from __future__ import annotations
 
 import functools
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ from pyspark.sql import types as T
 
 from assaykit.llm.common import free_name
 
-RATE, PACKET = 8000, 4096
+RATE, PACKET, LARGE, GROUP = 8000, 4000, 66_000, 8
 #: Fixed values of the container format: capture pattern, header flags, most segments of a page.
 CAPTURE, CONTINUED, FIRST, LAST, SEGMENTS = b"OggS", 1, 2, 4, 255
 HEAD = struct.Struct("<4sBBqIIIB")
@@ -46,8 +48,11 @@ def page(flags: int, granule: int, serial: int, number: int, lacing: bytes, body
     return raw[:22] + page_crc(raw).to_bytes(4, "little") + raw[26:]
 
 
-def stream_pages(packets: list[tuple[bytes, int]], serial: int) -> Iterator[bytes]:
-    """packets with the granule position at each one's end -> pages; the first packet has a page of its own."""
+def stream_pages(packets: list[tuple[bytes, int]], serial: int, alone: bool = False) -> Iterator[tuple[int, bytes]]:
+    """packets with the granule position at each one's end -> (time, page); the first packet has a page of its own, with ``alone`` each has.
+
+    A packet that is more than the rest of a page holds goes on in the next one. The time of a page is where its last packet ends, or the one that it holds a part of.
+    """
     number, flags, lacing, body, granule = 0, FIRST, bytearray(), [], NO_PACKET_ENDS
     for k, (packet, at) in enumerate(packets):
         done = 0
@@ -60,20 +65,36 @@ def stream_pages(packets: list[tuple[bytes, int]], serial: int) -> Iterator[byte
             done += sum(part)
             if not sizes:
                 granule = at
-            ends = not sizes and (k == 0 or k == len(packets) - 1)
+            ends = not sizes and (alone or k in (0, len(packets) - 1))
             if ends or len(lacing) == SEGMENTS:
                 last = LAST if not sizes and k == len(packets) - 1 else 0
-                yield page(flags | last, granule, serial, number, bytes(lacing), b"".join(body))
+                yield at, page(flags | last, granule, serial, number, bytes(lacing), b"".join(body))
                 number, flags, lacing, body, granule = number + 1, CONTINUED if sizes else 0, bytearray(), [], NO_PACKET_ENDS
 
 
+def packet_ends(size: int) -> list[int]:
+    """Where each packet of so many samples ends."""
+    out = [0]
+    while out[-1] < size:
+        out.append(min(size, out[-1] + (LARGE if len(out) % GROUP == 0 else PACKET)))
+    return out[1:]
+
+
+def envelope(samples: bytes, ends: list[int]) -> list[tuple[bytes, int]]:
+    """The greatest distance from the middle within each packet, GROUP packets together, with where they end."""
+    wave = np.abs(np.frombuffer(samples, np.uint8).astype(np.int16) - 128).astype(np.uint8)
+    peaks = np.maximum.reduceat(wave, [0, *ends[:-1]]).tobytes() if ends else b""
+    return [(peaks[i : i + GROUP], ends[min(i + GROUP, len(ends)) - 1]) for i in range(0, len(ends), GROUP)]
+
+
 def encode_bytes(samples: bytes, note: bytes = b"", rate: int = RATE) -> bytes:
-    serial = zlib.crc32(samples)
-    sound = [(b"\x01samples" + struct.pack("<IQ", rate, len(samples)), 0)]
-    sound += [(samples[i : i + PACKET], min(i + PACKET, len(samples))) for i in range(0, len(samples), PACKET)]
-    notes = [(b"\x01note", 0), (note, 0)]
-    a, b = stream_pages(sound, serial), stream_pages(notes, serial ^ 0xFFFFFFFF)
-    return b"".join([next(a), next(b), *b, *a])  # all first pages come before any other
+    serial, ends = zlib.crc32(samples), packet_ends(len(samples))
+    sound = [(b"\x01samples" + struct.pack("<IQ", rate, len(samples)), 0), *((samples[a:b], b) for a, b in zip([0, *ends], ends, strict=False))]
+    streams = [stream_pages(sound, serial), stream_pages([(b"\x01envelope", 0), *envelope(samples, ends)], serial ^ 0xFFFFFFFF, alone=True)]
+    if note:
+        streams.append(stream_pages([(b"\x01note", 0), (note, 0)], serial ^ 0x55555555))
+    heads = [next(pages)[1] for pages in streams]  # all first pages come before any other
+    return b"".join([*heads, *(made for _, made in heapq.merge(*streams, key=lambda x: x[0]))])
 
 
 def demultiplex(media: bytes) -> dict[int, list[tuple[bytes, int]]]:
@@ -131,6 +152,7 @@ def decode_bytes(media: bytes) -> dict:
         streams = demultiplex(media)
         sound = next((p for p in streams.values() if p[0][0].startswith(b"\x01samples")), None)
         note = next((p for p in streams.values() if p[0][0] == b"\x01note"), None)
+        peaks = next((p for p in streams.values() if p[0][0] == b"\x01envelope"), None)
         if sound is None:
             raise ValueError("no stream of samples")
         rate, length = struct.unpack_from("<IQ", sound[0][0], 8)
@@ -141,6 +163,8 @@ def decode_bytes(media: bytes) -> dict:
         ends = np.cumsum([len(p) for p, _ in sound[1:]]).tolist()
         if any(e > g for e, (_, g) in zip(ends, sound[1:], strict=True)):
             raise ValueError("a granule position is before its packets' end")
+        if peaks is not None and peaks[1:] != envelope(samples, ends):
+            raise ValueError("the envelope isn't that of the samples")
     except (ValueError, struct.error) as fault:
         return none | {"error": str(fault)}
     return {"samples": samples, "note": note[1][0] if note and len(note) > 1 else None, "rate": rate, "duration_us": length * 1_000_000 // rate, "packet_us": [e * 1_000_000 // rate for e in ends], "streams": len(streams), "feature": sound_feature(samples, rate), "error": None}

@@ -4,7 +4,8 @@ A surrogate is a keyed permutation of all strings of the entity's own format: di
 case and script, separators stay. So two values never share a surrogate, a value has the same one everywhere, and none is its own.
 Cards keep their first digit and their check-digit state, IPv4 addresses their kind, e-mail addresses their last domain label, phone numbers
 a country code; given names come from the names of the same gender. ``replace`` still proves it on the data: distinct values that share a surrogate are
-counted in Spark, and while there are any the key is changed and the work repeated.
+counted in Spark; if there are any the key is changed and the work repeated, at most ``TRIES`` times.
+Spellings of one e-mail address or name in another case get one surrogate, each in its own case.
 
 Edge cases: null and empty texts stay; overlapping matches go to the earlier and then longer one; an entity of which nothing can change
 (no letters or digits) stays; repeated rows give equal results; the added columns get an underscore where the input has their names.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +64,10 @@ _DECIMAL = "".join(f"{c}-{chr(ord(c) + 9)}" for c in map(chr, range(0x110000)) i
 GATE = DIGITS.replace(r"[\d", f"[{_DECIMAL}").replace(r"\d", f"[{_DECIMAL}]") + r'|@|"[^"\s]{6,}"|[0-9a-fA-F]{32}|AKIA|ghp_|\b(?:' + "|".join(TITLES) + r")\.? |(?:" + "|".join(FEMALE + MALE) + ") "
 
 
+#: Keys that are tried before the work is given up.
+TRIES = 5
+
+
 class Permutation:
     """A keyed permutation of range(n) without fixed points: a rotation seen through a Feistel network."""
 
@@ -171,12 +176,27 @@ def _ip_as_spelt(key: bytes, kind: str, parts: list[str]) -> str:
     return ".".join("".join(_alphabet(old)[int(new)] for old, new in zip(x, f"{v:0{len(x)}d}", strict=True)) for x, v in made)
 
 
+def _cased(like: str, text: str) -> str:
+    """text in the upper and lower case of ``like``, letter by letter; what is longer takes the case of its end."""
+    if like.isupper() and len(like) > 1:
+        return text.upper()
+    return "".join(c.upper() if like[min(i, len(like) - 1)].isupper() else c.lower() for i, c in enumerate(text))
+
+
+def _any_case(key: bytes, label: str, text: str, valid=None) -> str:
+    """_permute, so that spellings of one text in other cases get one surrogate in their own case. Beyond ASCII, where cases are not always pairs, case is part of the format."""
+    if not text.isascii():
+        return _permute(key, label, text, valid=valid)
+    made = _permute(key, label, text.lower(), valid=valid)
+    return "".join(m.upper() if c.isupper() else m for c, m in zip(text, made, strict=True))
+
+
 def _word_of_name(key: bytes, word: str) -> str:
     for label, names in (("female", FEMALE), ("male", MALE)):
-        if word in names:
-            return names[Permutation(key, label, len(names))(names.index(word))]
-    listed = set(FEMALE + MALE)
-    return _permute(key, "name", word, valid=lambda w: w not in listed)
+        if word.capitalize() in names and word in (word.capitalize(), word.upper(), word.lower()):
+            return _cased(word, names[Permutation(key, label, len(names))(names.index(word.capitalize()))])
+    listed = {n.lower() for n in FEMALE + MALE}
+    return _any_case(key, "name", word, lambda w: w.lower() not in listed)
 
 
 def surrogate(key: bytes, kind: str, text: str) -> str:
@@ -198,7 +218,7 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         body = text[head.end() :] if head else text[1:]
         return text[: len(text) - len(body)] + _permute(key, "phone", body)
     body = text[: len(text) - keep]
-    return _permute(key, kind, body) + text[len(body) :]
+    return (_any_case if kind == "email" else _permute)(key, kind, body) + text[len(body) :]
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -255,11 +275,21 @@ def collisions(docs: DataFrame, key: bytes) -> DataFrame:
 
 def replace(docs: DataFrame, key: bytes, verify: bool = True) -> DataFrame:
     """``docs`` with entities replaced in text, and entities (kind, start, end, value, surrogate) added."""
-    while verify and not collisions(docs, key).isEmpty():
+    for _ in range(TRIES if verify else 0):
+        if collisions(docs, key).isEmpty():
+            break
         key = hashlib.sha256(key).digest()
+    else:
+        if verify:
+            raise ValueError(f"distinct values share a surrogate under {TRIES} keys")
     made = free_name(docs.columns, "entities")
     inner = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}  # so that no input name clashes with the made ones
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inner.items()], "text")
     schema = T.StructType([*plain.schema.fields, T.StructField("found", T._parse_datatype_string(ENTITY))])
     out = plain.mapInArrow(functools.partial(_replace, key=key, text="text"), schema)
     return out.select(*[F.col(inner.get(c, "text")).alias(c) for c in docs.columns], F.col("found").alias(made))
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The caller's key, from the session's settings. Without one the surrogates are those of a key that everybody knows, which is for tests alone."""
+    return spark.conf.get("spark.assaykit.pii.key", "a key that everybody knows").encode()

@@ -4,9 +4,10 @@
 difference of the two sizes over their sum is the evidence, next to how much further than usual the good dictionary shrinks it (text
 that repeats itself). A logistic curve, fitted on labelled texts that built no dictionary, turns both into the chance of label 1. ``score`` compresses whole texts.
 
-The fit takes a bounded sample: at most ``per_class`` rows a class, least hash of doc_id first, of each at most ``SAMPLE_CHARS`` characters.
+The fit takes a bounded sample of labelled rows: at most ``per_class`` a class, least hash of doc_id first, each with its whole text, which is read in Spark
+tasks; to the driver come the dictionaries' blocks (at most ``DICT_SAMPLE`` bytes a class, spread evenly over the sampled texts) and three numbers a row.
 Edge cases: null and empty texts get the share of label 1 among the labels; rows whose label or id is null aren't learned from;
-if a class has no sample, every score is the share of label 1 (0.5 without labels); repeated label rows count once; the added columns get
+if a class has no sample, every score is the share of label 1 (0.5 without labels); repeated label rows count once, and a row labelled both ways is learned from as both; the added columns get
 an underscore where the input has their names.
 """
 
@@ -21,10 +22,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import free_name
+from assaykit.llm.common import cut, free_name
 
 BLOCK = 2048
-SAMPLE_CHARS = 16_384
+#: Bytes of blocks of a class that a dictionary is built from.
+DICT_SAMPLE = 4 << 20
 DICT_BYTES = 64 << 10
 LEVEL = 3
 
@@ -38,9 +40,8 @@ class Model:
     usual: float = 0.0  # the median log of good size over bytes
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """Blocks of the texts in turn, up to DICT_BYTES; zstandard picks the segments when there are enough."""
-    blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
+def _dictionary(blocks: list[bytes]) -> bytes:
+    """zstandard picks the segments when there are enough blocks; else the blocks themselves."""
     try:
         return zstandard.train_dictionary(DICT_BYTES, blocks, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -92,17 +93,29 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
     taken = [labels.where(F.col("quality") == q).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     # at most 2 * per_class rows: a proven bound for the broadcast and for what comes to the driver
     taken = F.broadcast(taken[0].unionByName(taken[1]))
-    rows = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("sample")).join(taken, "doc_id")
-    rows = rows.groupBy("doc_id", "quality").agg(F.min("sample").alias("sample")).where("sample <> ''").collect()
-    rows.sort(key=lambda r: (hash((r.doc_id * 0x9E3779B97F4A7C15) & 0xFFFFFFFF), r.doc_id))
-    built, held = rows[::2], rows[1::2]
-    texts = [[r["sample"].encode() for r in built if r.quality == q] for q in (1, 0)]
-    if not all(texts) or {r.quality for r in held} != {0, 1}:
+    rows = docs.select("doc_id", "text").where("text <> ''").join(taken, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = cut(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2))))
+    # a block of a text's bytes, each with a number that spreads evenly; the least make the sample
+    data = F.encode("text", "utf-8")
+    spread = F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / BLOCK).cast("int"))).alias("k")
+    blocks = rows.where("part = 0").select("quality", "doc_id", data.alias("data"), spread)
+    blocks = blocks.select("quality", "doc_id", "k", F.substring("data", F.col("k") * BLOCK + 1, F.lit(BLOCK)).alias("block"), F.xxhash64("doc_id", "k").alias("h"))
+    built = [[bytes(r.block) for r in blocks.where(F.col("quality") == q).orderBy("h", "doc_id", "k").limit(DICT_SAMPLE // BLOCK).collect()] for q in (1, 0)]
+    held = rows.where("part = 1")
+    if not all(built) or held.select("quality").distinct().count() < 2:
         return Model(b"", b"", (), share)
-    model = Model(_dictionary(texts[0]), _dictionary(texts[1]), (), share)
-    sizer = Sizer(model)
-    x = np.array([sizer.measure(r["sample"]) for r in held])
-    y = np.array([r.quality for r in held], float)
+    model = Model(_dictionary(built[0]), _dictionary(built[1]), (), share)
+
+    @F.pandas_udf("array<double>")
+    def measured(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        sizer = Sizer(model)
+        for texts in parts:
+            yield pd.Series([list(map(float, sizer.measure(t))) for t in texts])
+
+    rows = held.select("quality", "doc_id", measured("text").alias("x")).collect()
+    rows.sort(key=lambda r: (str(r.doc_id), r.quality))
+    x = np.array([r.x for r in rows])
+    y = np.array([r.quality for r in rows], float)
     usual = float(np.median(x[y == 1, 2]))
     w = _logistic(_features(x, usual), y)
     # from the sample's shares to those of the labels

@@ -76,9 +76,9 @@ def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.size("licences").alias("n_predicted"), F.size("sure").alias("n_confirmed"), families.alias("families"), F.array_max(F.transform("sure", lambda x: x["p"])).alias("p"))
 
 
-def op6_pii_surrogates(spark: SparkSession, sf_dir: str, key: bytes = b"a secret of the caller") -> DataFrame:
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    made = pii.replace(docs, key)
+    made = pii.replace(docs, pii.key_of(spark))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",")
     return made.select("doc_id", F.size("entities").alias("n_entities"), kinds.alias("kinds"), "text")
 

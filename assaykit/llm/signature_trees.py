@@ -31,6 +31,8 @@ LEVELS = np.array([1, 2, 3, 4] + [int(4 * 1.5**i) for i in range(1, 50)], np.int
 #: A task's share of one group: sets, and bytes of sets.
 BLOCK_SETS, BLOCK_BYTES = 4096, 16 << 20
 FAN = 16
+#: Sets that a task remembers to have posted.
+REMEMBERED = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,12 +111,14 @@ def part_keys(hashes: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple
 
 
 def post_parts(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Texts -> (key, set). A set that this task has posted before is not posted again."""
+    """Texts -> (key, set). A set that this task has posted before is not posted again, as far as the task remembers."""
     seen: set[int] = set()
     for _, data, offsets in text_groups(batches):
         hashes, size = shingle_sets(data, offsets, k)
         ids = set_ids(hashes, size)
         fresh = np.zeros(len(ids), bool)
+        if len(seen) > REMEMBERED:
+            seen.clear()
         for i, x in enumerate(ids.tolist()):
             if x != -1 and x not in seen:
                 seen.add(x)

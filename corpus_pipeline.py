@@ -17,8 +17,6 @@ from assaykit.llm.queries import small_batches
 from assaykit.llm.recompression import remove_repeated_words
 from assaykit.llm.signature_trees import keep_one
 
-KEY = b"a secret of the caller"
-
 
 def _with_text(docs: DataFrame, made: DataFrame, text: str) -> DataFrame:
     """The columns of docs, with ``text`` of made as their text and n_chars to match."""
@@ -52,7 +50,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts surrogates in the place of personal data and secrets."""
     small_batches(spark)
-    return _with_text(docs, pii.replace(docs, KEY), "text")
+    return _with_text(docs, pii.replace(docs, pii.key_of(spark)), "text")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
