@@ -128,4 +128,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_recompression_dedup": op10_recompression_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The contracts in SQL, straight from their wording: all sets, all windows, no index.
+ORACLE_SQL: dict[str, str] = {
+    "op7_signature_trees": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d),
+        one AS (SELECT doc_id, unnest(s) AS x, len(s) AS n FROM sets),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * COUNT(*) >= 85 * (a.n + b.n - COUNT(*))),
+        links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+        reach AS (SELECT doc_id AS node, doc_id AS lead FROM sets UNION SELECT l.b, r.lead FROM reach r JOIN links l ON l.a = r.node WHERE r.lead < l.b)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, MIN(r.lead) AS component_id FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, len(s.s)""",
+    "op9_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        win AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d)),
+        hit AS (SELECT r, i FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING COUNT(*) > 1)),
+        runs AS (SELECT r, MIN(i) AS a, MAX(i) + 200 AS b FROM (SELECT r, i, SUM(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) + 200 THEN 1 ELSE 0 END AS fresh FROM hit)) GROUP BY r, g),
+        gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS x, a AS y, b - a AS n, b AS e FROM runs),
+        kept AS (SELECT r, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS front, MAX(e) AS e, SUM(n) AS n_removed, COUNT(*) AS n_spans FROM gaps JOIN d USING (r) GROUP BY r)
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+            sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE front || substr(h, 2 * e + 1) END)) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
+    "op10_recompression_dedup": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS k FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+        hit AS (SELECT r, i FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING COUNT(*) > 1)),
+        gone AS (SELECT DISTINCT r, i + o AS p FROM hit, range(0, 35) t(o)),
+        kept AS (SELECT c.r, string_agg(c.word, ' ' ORDER BY c.p) AS body, COUNT(*) AS n FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) c ANTI JOIN gone g ON g.r = c.r AND g.p = c.p GROUP BY c.r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
+}
