@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.llm.common import Rolling, Words, components, free_name, mix, pieces, text_groups
+from assaykit.llm.common import Rolling, Words, components, cut, free_name, mix, pieces, text_groups
 
 #: Upper ends of the size levels; each is half as large again as the one before.
 LEVELS = np.array([1, 2, 3, 4] + [int(4 * 1.5**i) for i in range(1, 50)], np.int64)
@@ -327,7 +327,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
     columns = columns or docs.columns
     s, n, c = (free_name([*docs.columns, "root", "node", "lead"], x) for x in ("set_id", "n_shingles", "component_id"))
     found = set_components(docs, words, num, den)
-    rows = with_sets(docs, columns, words, s, n)
+    rows = cut(with_sets(docs, columns, words, s, n))  # read twice below, and made of whole texts
     labelled = rows.join(found.select(F.col("node").alias(s), "root"), s, "left").withColumn("root", F.coalesce("root", s))
     lead = labelled.where(F.col(s) != -1).groupBy("root").agg(F.min("doc_id").alias("lead"))
     return labelled.join(lead, "root", "left").withColumn(c, F.when(F.col(s) == -1, F.col("doc_id")).otherwise(F.col("lead"))).select(*columns, n, c)
