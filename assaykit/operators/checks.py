@@ -25,17 +25,24 @@ def _rows(counts: DataFrame, scanned: Mapping[str, str]) -> DataFrame:
     return counts.selectExpr(f"inline(array({cells}))")
 
 
+def _equal(a: Column, b: Column) -> bool:
+    """The same expression, types of literals included."""
+    return a is b or a._jc.equals(b._jc)
+
+
 def row_level_batch(df: DataFrame, rules: Sequence[RowRule | JoinRule]) -> DataFrame:
     """All rules of one relation in one aggregate. count_if(scope) is what WHERE scope would count, once for all rules that share the scope; a NULL
     predicate is not counted."""
-    scopes: dict[int, int] = {}
-    counts = []
+    scopes: list[Column] = []
+    scanned, counts = {}, []
     for r in rules:
-        if id(r.scope) not in scopes:
-            scopes[id(r.scope)] = len(scopes)
-            counts.append(F.count_if(r.within).alias(f"s_{scopes[id(r.scope)]}"))
-        counts.append(F.count_if(r.within & r.violates).alias(f"v_{r.rule_id}"))
-    return _rows(df.agg(*counts), {r.rule_id: f"s_{scopes[id(r.scope)]}" for r in rules})
+        place = next((i for i, c in enumerate(scopes) if _equal(c, r.within)), len(scopes))
+        if place == len(scopes):
+            scopes.append(r.within)
+            counts.append(F.count_if(r.within).alias(f"s_{place}"))
+        scanned[r.rule_id] = f"s_{place}"
+        counts.append(F.count_if((r.within & r.violates) if r.scope is not None else r.violates).alias(f"v_{r.rule_id}"))
+    return _rows(df.agg(*counts), scanned)
 
 
 def one_by_one(df: DataFrame, rules: Sequence[RowRule]) -> DataFrame:

@@ -49,10 +49,10 @@ def usable_samples(samples: DataFrame) -> DataFrame:
 
 def shared_rows(samples: DataFrame, ratio: float = 0.5) -> DataFrame:
     """Pairs of rules of which the smaller one's records are, by this share, records of the other too."""
-    keys = usable_samples(samples).where("outcome = 'used'").select("target_table", "rule_id", "row_key").distinct()
-    sizes = keys.groupBy("target_table", "rule_id").agg(F.count("*").alias("n"))
     # a record's rules are no more than the rules there are; pairs are counted before they are shuffled
-    rules = keys.groupBy("target_table", "row_key").agg(F.array_sort(F.collect_set("rule_id")).alias("rules")).where(F.size("rules") > 1)
+    used = usable_samples(samples).where("outcome = 'used'")
+    rules = used.groupBy("target_table", "row_key").agg(F.array_sort(F.collect_set("rule_id")).alias("rules"))
+    sizes = rules.select("target_table", F.explode("rules").alias("rule_id")).groupBy("target_table", "rule_id").agg(F.count("*").alias("n"))
     with_later = F.flatten(F.transform("rules", lambda a, i: F.transform(F.slice("rules", i + 2, F.size("rules")), lambda b: F.struct(a.alias("rule_a"), b.alias("rule_b")))))
     pairs = rules.select("target_table", F.inline(with_later)).groupBy("target_table", "rule_a", "rule_b").agg(F.count("*").alias("shared"))
     for side in ("a", "b"):
