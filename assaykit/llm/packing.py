@@ -3,7 +3,7 @@
 A document's ids are cut into whole windows of the longest tier; what is left goes to the smallest tier that holds it. Each
 tier packs its pieces into windows of its size, longest tier first; the gap of a window is filled from the shorter tiers, largest
 fitting piece first, and the last gap by cutting a piece, so that every window is full. What a task has left at its end is packed into
-windows of falling powers of two. Windows are dealt to step groups of equal tokens.
+windows of falling powers of two. Windows are dealt to step groups of equal tokens; a task's last group alone may hold fewer.
 
 All work is inside a partition, in buffers of about ``BUFFER`` ids: no shuffle, and memory does not grow with the partition.
 Edge cases: null and empty texts are the end id alone; a very long text is cut into many windows; repeated rows and null ids are
@@ -223,6 +223,11 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tiers: tupl
         if last:
             packer.finish()
         windows = sorted(packer.windows, key=lambda w: -w[0])  # falling powers of two fill step groups without a gap
+        carried = []
+        if not last:  # an open group goes on with the windows of the next flush
+            edges = np.cumsum([w[0] for w in windows])
+            n = int(np.searchsorted(edges, edges[-1] // step_tokens * step_tokens, side="right")) if windows else 0
+            windows, carried = windows[:n], windows[n:]
         rows = []
         for size, out in windows:
             offset = 0
@@ -240,12 +245,13 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tiers: tupl
                 yield batch.slice(i, 500)
         left = packer.drain()
         packer = Packer(tiers)
-        used = sorted({d for d, _, _ in left})
+        used = sorted({d for d, _, _ in left} | {d for _, out in carried for d, _, _ in out})
         place = {d: i for i, d in enumerate(used)}
         keys, docs = [keys[d] for d in used], [docs[d] for d in used]
-        held = sum(n for _, _, n in left)
+        held = sum(n for _, _, n in left) + sum(size for size, _ in carried)
         for d, a, n in left:
             packer.route(place[d], a, n)
+        packer.windows = [(size, [(place[d], a, n) for d, a, n in out]) for size, out in carried]
 
     kind = pa.int64()
     for batch in batches:

@@ -83,6 +83,10 @@ def test_packer_flushes(monkeypatch):
     for r in rows:
         r["doc_id"] = r["key"]
     check_pieces(rows, texts)
+    groups = {}
+    for group, _, size in {(r.step_group, r.sequence_id, r.sequence_length) for r in rows}:
+        groups[group] = groups.get(group, 0) + size
+    assert len(groups) > 1 and all(n == 8 * 4096 for g, n in groups.items() if g != max(groups)) and groups[max(groups)] <= 8 * 4096
 
 
 # media
