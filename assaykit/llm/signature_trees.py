@@ -6,8 +6,11 @@
    for. Sets that share a part are joined to the part's first set, and the components of that graph are the groups to search.
 3. Inside a group a signature tree: leaves hold single sets, nodes hold the OR of their token bitmaps and a size range. A dual
    traversal drops node pairs whose sizes or whose largest possible overlap rule a link out, and pairs that are one component
-   already; what is left is compared exactly. Groups of many bytes are cut into blocks, one task per pair of blocks.
-4. Components of the links found.
+   already; what is left is compared exactly.
+4. Wide groups are cut into blocks. First each block is searched with some sets of the whole group in it, so a family of near copies is
+   one component at a cost linear in its size. Then the sets outside a group's largest component, few in a family, meet
+   all its blocks and each other. Every pair of a group is in some cell, or in one component before.
+5. Components of the links found.
 
 No partner or candidate is capped. Edge cases: null or blank text has an empty set and links with nothing; fewer words than
 ``words`` make one shingle; repeated rows and equal sets link; a null id never becomes a component id unless all are null.
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +32,9 @@ from assaykit.llm.common import Rolling, Words, components, cut, free_name, mix,
 #: Upper ends of the size levels; each is half as large again as the one before.
 LEVELS = np.array([1, 2, 3, 4] + [int(4 * 1.5**i) for i in range(1, 50)], np.int64)
 #: A task's share of one group: sets, and bytes of sets.
-BLOCK_SETS, BLOCK_BYTES = 4096, 16 << 20
+BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
+#: Sets of a wide group that all its blocks see.
+SEEN_BY_ALL = 8
 FAN = 16
 #: Sets that a task remembers to have posted.
 REMEMBERED = 1 << 20
@@ -159,13 +164,13 @@ def open_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         ends = np.cumsum(size) * 8
         raw = hashes.tobytes()
         body = pa.array([raw[a:b] for a, b in zip((ends - size * 8).tolist(), ends.tolist(), strict=True)], pa.binary())
-        for part in pieces(pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "blocks", "s")), body], names=["root", "blocks", "s", "tokens"]), 2000):
-            yield part
+        names = [c for c in batch.schema.names if c != "text"]
+        yield from pieces(pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), body], names=[*names, "tokens"]), 2000)
 
 
 class Union:
-    def __init__(self, n: int) -> None:
-        self.of = np.arange(n)
+    def __init__(self, of: np.ndarray) -> None:
+        self.of = of  # a label per component
         self.links: list[tuple[int, int]] = []
 
     def join(self, a: int, b: int) -> None:
@@ -234,7 +239,8 @@ class SignatureTree:
             for q in np.flatnonzero((both * self.den >= self.num * (self.size + len(t) - both)) & (union.of != union.of[p])).tolist():
                 union.join(p, q)
 
-    def traverse(self, union: Union) -> None:
+    def traverse(self, union: Union, side: np.ndarray) -> None:
+        """side: two sets of one side need no look; side 0 is none."""
         top = len(self.levels) - 1
         x = y = np.zeros(1, np.int64)
         for level in range(top - 1, -1, -1):
@@ -242,13 +248,15 @@ class SignatureTree:
             next_x, next_y = [], []
             lo = np.minimum.reduceat(union.of, np.arange(0, len(union.of), FAN**level))
             hi = np.maximum.reduceat(union.of, np.arange(0, len(union.of), FAN**level))
+            low = np.minimum.reduceat(side, np.arange(0, len(side), FAN**level))
+            high = np.maximum.reduceat(side, np.arange(0, len(side), FAN**level))
             for i in range(0, len(x), 2048):
                 cx = (x[i : i + 2048, None] * FAN + np.arange(FAN)).repeat(FAN, 1)
                 cy = np.tile(y[i : i + 2048, None] * FAN + np.arange(FAN), (1, FAN))
                 cx, cy = cx.ravel(), cy.ravel()
                 fine = (cx < n) & (cy < n) & (cx <= cy if level else cx < cy)
                 cx, cy = cx[fine], cy[fine]
-                apart = ~((lo[cx] == hi[cx]) & (lo[cy] == hi[cy]) & (lo[cx] == lo[cy]))
+                apart = ~((lo[cx] == hi[cx]) & (lo[cy] == hi[cy]) & (lo[cx] == lo[cy])) & ~((low[cx] > 0) & (low[cx] == high[cx]) & (low[cx] == low[cy]) & (low[cy] == high[cy]))
                 cx, cy = cx[apart], cy[apart]
                 ok = self.may_link(level, cx, cy)
                 cx, cy = cx[ok], cy[ok]
@@ -262,55 +270,109 @@ class SignatureTree:
             if level:
                 x, y = np.concatenate(next_x), np.concatenate(next_y)
 
-    def links(self) -> list[tuple[int, int]]:
-        union = Union(len(self.tokens))
-        if len(self.tokens) > 1:
+    def links(self, labels: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Links that join the components of all sets. labels: components known before; side: see traverse."""
+        n = len(self.tokens)
+        union = Union(np.arange(n) if labels is None else np.unique(labels[self.order], return_inverse=True)[1])
+        if n > 1:
             self.pivots(union, 16)
-            self.traverse(union)
+            self.traverse(union, np.zeros(n, np.int8) if side is None else side[self.order])
         return [(int(self.order[a]), int(self.order[b])) for a, b in union.links]
 
 
+CELL = ("root", "kind", "i", "j")
+
+
 def search_cells(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell, each a set -> the links that join each cell's sets into components."""
 
-    def search(ids: list[int], tokens: list[bytes]) -> list[tuple[int, int]]:
-        if len(ids) < 2:
+    def search(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
+        if len(rows) < 2:
             return []
-        return [(ids[a], ids[b]) for a, b in SignatureTree([np.frombuffer(t, np.uint64) for t in tokens], num, den).links()]
+        ids, known, side, tokens = zip(*rows, strict=True)
+        tree = SignatureTree([np.frombuffer(t, np.uint64) for t in tokens], num, den)
+        return [(ids[a], ids[b]) for a, b in tree.links(np.array(known, np.int64), np.array(side, np.int8))]
 
-    cell, ids, tokens, found = None, [], [], []
+    cell, rows, found = None, [], []
     for batch in batches:
-        for root, i, j, s, t in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "s", "tokens")), strict=True):
-            if (root, i, j) != cell:
-                found += search(ids, tokens)
-                cell, ids, tokens = (root, i, j), [], []
-            ids.append(s)
-            tokens.append(t)
+        for *at, s, known, side, t in zip(*(batch.column(c).to_pylist() for c in (*CELL, "s", "known", "side", "tokens")), strict=True):
+            if at != cell:
+                found += search(rows)
+                cell, rows = at, []
+            rows.append((s, known, side, t))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
             found = []
-    found = search(ids, tokens)
+    found = search(rows)
     if found:
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
 
+def _links(sets: DataFrame, cells: Column, num: int, den: int) -> DataFrame:
+    """The links of all cells. cells: an array of (kind, i, j, side) for each row of sets (root, s, known, tokens)."""
+    each = sets.withColumn("cell", F.explode(cells)).select("root", "cell.*", "s", "known", "tokens")
+    return each.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(functools.partial(search_cells, num=num, den=den), "a long, b long")
+
+
+def _cell(kind: int, i: Column, j: Column, side: int = 0) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+
+
+def _blocks(s: str) -> Column:
+    """The blocks that a group of sets needs. A set's size is that of its level at most."""
+    level_bytes = F.element_at(F.array(*[F.lit(int(8 * x)) for x in LEVELS]), (F.col(s).bitwiseAND(63) + 1).cast("int"))
+    return F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(level_bytes) / BLOCK_BYTES)).cast("int")
+
+
+def _block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("s"), F.col(blocks)).cast("int")
+
+
+def _across(held: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between blocks. held: the sets of wide groups; found: components of the links within blocks.
+
+    A group's largest component needs no search in itself. Sets outside it are dealt to blocks of their own, which meet each other
+    (cells of kind 0) and the largest component's blocks (kind 1).
+    """
+    ids = held.select("root", "blocks", "s").join(found.select(F.col("node").alias("s"), F.col("root").alias("lead")), "s", "left").withColumn("known", F.coalesce("lead", "s"))
+    per = ids.groupBy("root", "known").agg(F.count("*").alias("n"))
+    largest = per.groupBy("root").agg(F.max_by("known", F.struct("n", "known")).alias("largest"))
+    ids = ids.join(largest, "root").withColumn("inner", F.col("known") == F.col("largest"))
+    rest = ids.where("not inner").groupBy("root").agg(_blocks("s").alias("rest"))
+    ids = ids.join(rest, "root").select("root", "blocks", "rest", "s", "known", "inner")
+    own, mine = _block("blocks"), F.pmod(F.xxhash64("s", F.lit(1)), F.col("rest")).cast("int")
+    all_rest, all_blocks = F.sequence(F.lit(0), F.col("rest") - 1), F.sequence(F.lit(0), F.col("blocks") - 1)
+    outside = F.concat(F.transform(all_rest, lambda q: _cell(0, F.least(mine, q), F.greatest(mine, q))), F.transform(all_blocks, lambda j: _cell(1, mine, j, 1)))
+    inside = F.transform(all_rest, lambda q: _cell(1, q, own, 2))
+    return _links(held.select("s", "tokens").join(ids, "s"), F.when(F.col("inner"), inside).otherwise(outside), num, den)
+
+
 def set_components(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(node, root) for the sets of ``texts.text`` that link with another set."""
     texts = texts.select("text")
     posted = texts.mapInArrow(functools.partial(post_parts, k=words, num=num, den=den), "key long, s long")
     edges = posted.repartition("key").sortWithinPartitions("key", "s").mapInArrow(star_edges, "a long, b long")
-    groups = components(edges)
-    level_bytes = F.element_at(F.array(*[F.lit(int(8 * x)) for x in LEVELS]), (F.col("node").bitwiseAND(63) + 1).cast("int"))
-    cost = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(level_bytes) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    groups = groups.join(cost, "root").select("root", "blocks", F.col("node").alias("s"))
+    groups = components(edges).withColumnRenamed("node", "s")
+    wide = cut(groups.groupBy("root").agg(_blocks("s").alias("blocks")).where("blocks > 1"))
+    some_wide = not wide.isEmpty()
+    if some_wide:
+        seen = groups.join(wide, "root").groupBy("root", F.pmod(F.xxhash64("s", F.lit(2)), F.lit(SEEN_BY_ALL))).agg(F.min("s").alias("s"))
+        groups = groups.join(wide, "root", "left").join(seen.select("s", F.lit(True).alias("seen")), "s", "left")
+    else:
+        groups = groups.withColumns({"blocks": F.lit(1), "seen": F.lit(False)})
+    groups = groups.select("root", F.coalesce("blocks", F.lit(1)).alias("blocks"), F.coalesce("seen", F.lit(False)).alias("seen"), "s")
     named = texts.mapInArrow(functools.partial(add_sets, k=words, columns=["text"], names=["s", "size"], text="text"), "text string, s long, size long")
-    members = named.where("s <> -1").groupBy("s").agg(F.first("text").alias("text")).join(groups, "s")
-    sets = members.select("root", "blocks", "s", "text").mapInArrow(functools.partial(open_sets, k=words), "root long, blocks int, s long, tokens binary")
-    block = F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int")
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))))
-    cells = sets.withColumn("own", block).withColumn("other", other).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "s", "tokens")
-    links = cells.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(functools.partial(search_cells, num=num, den=den), "a long, b long")
-    return components(links)
+    members = named.where("s <> -1").groupBy("s").agg(F.first("text").alias("text")).join(groups, "s").select("root", "blocks", "seen", "s", "text")
+    sets = members.mapInArrow(functools.partial(open_sets, k=words), "root long, blocks int, seen boolean, s long, tokens binary")
+    if some_wide:
+        sets = cut(sets)  # read again below
+    own = _block("blocks")
+    cells = F.when(F.col("seen"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: _cell(0, i, i))).otherwise(F.array(_cell(0, own, own)))
+    found = components(_links(sets.withColumn("known", F.col("s")), cells, num, den))
+    if not some_wide:
+        return found
+    across = _across(sets.where("blocks > 1"), found, num, den)
+    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across))
 
 
 def with_sets(docs: DataFrame, columns: list[str], words: int, s: str, size: str) -> DataFrame:

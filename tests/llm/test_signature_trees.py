@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from assaykit.llm import signature_trees
 from assaykit.llm.signature_trees import SignatureTree, difference, keep_one, near_duplicates, part_keys
 
 
@@ -59,6 +60,38 @@ def test_against_brute_force(spark, k, num, den):
     assert got == brute(made(), k, num, den)
 
 
+@pytest.mark.parametrize("block", [3, 20])
+def test_wide_groups_against_brute_force(spark, monkeypatch, block):
+    """Groups over several blocks: a family of near copies, smaller families that a common passage ties to it, and sets on their own."""
+    monkeypatch.setattr(signature_trees, "BLOCK_SETS", block)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    passage, rows = [rng.choice(words) for _ in range(60)], []
+    for family, edits in ((90, 1), (25, 4), (12, 8), *[(2, 6)] * 12):
+        base = passage + [rng.choice(words) for _ in range(60)]
+        for _ in range(family):
+            copy = list(base)
+            for _ in range(rng.randint(0, edits)):
+                copy[rng.randrange(60, 120)] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for k, num, den in ((4, 85, 100), (5, 4, 5), (2, 1, 2)):
+        got = sorted((tuple(r) for r in near_duplicates(docs, k, num, den, ["doc_id"]).collect()), key=str)
+        assert got == brute(rows, k, num, den)
+    rows = made()
+    got = sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 1, 2, ["doc_id"]).collect()), key=str)
+    assert got == brute(rows, 2, 1, 2)
+
+
+def test_sides_of_a_tree():
+    """Sets of one side are not compared, and sets of components that are known are not linked again."""
+    sets = [np.arange(i, i + 100, dtype=np.uint64) for i in range(4)]
+    tree = SignatureTree(sets, 85, 100)
+    tree.pivots = lambda union, most: None
+    assert tree.links(side=np.array([1, 1, 1, 1])) == [] == tree.links(np.zeros(4, np.int64))
+    assert len(tree.links(side=np.array([1, 1, 2, 2]))) == len(tree.links(np.array([7, 7, 8, 9]), np.zeros(4, np.int8))) + 1 == 3
+
+
 def test_table_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
