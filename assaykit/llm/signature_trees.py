@@ -267,8 +267,9 @@ class SignatureTree:
                     for p, q in zip(cx.tolist(), cy.tolist(), strict=True):
                         if union.of[p] != union.of[q] and self.linked(p, q):
                             union.join(p, q)
-            if level:
-                x, y = np.concatenate(next_x), np.concatenate(next_y)
+            if not level or not sum(map(len, next_x)):
+                return
+            x, y = np.concatenate(next_x), np.concatenate(next_y)
 
     def links(self, labels: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
         """Links that join the components of all sets. labels: components known before; side: see traverse."""

@@ -92,6 +92,14 @@ def test_sides_of_a_tree():
     assert len(tree.links(side=np.array([1, 1, 2, 2]))) == len(tree.links(np.array([7, 7, 8, 9]), np.zeros(4, np.int8))) + 1 == 3
 
 
+def test_tree_of_one_component():
+    """A large family that is one component, by labels or after the pivots, leaves upper levels without pairs."""
+    sets = [np.arange(i % 5, i % 5 + 100, dtype=np.uint64) for i in range(1500)]
+    assert len(SignatureTree(sets, 85, 100).links()) == 1499
+    assert SignatureTree(sets, 85, 100).links(np.zeros(1500, np.int64)) == []
+    assert SignatureTree(sets, 85, 100).links(np.arange(1500), np.ones(1500, np.int8)) != []  # pivots see all
+
+
 def test_table_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
