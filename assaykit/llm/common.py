@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -230,6 +231,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share, beside the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once, in columns, to a folder of its own in the shared place, and read again: compact, and never computed twice."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column, most: int = 1000) -> DataFrame:
+    """left outer join of strings ``key``, which are unique in right; ``weight`` (dropped): how many rows of left have the key.
+
+    The ``most`` heaviest keys are broadcast, so no key with over 1 / most of left's rows is shuffled to one task; their rows are dealt by ``spread``.
+    right should be cheap to read twice.
+    """
+    rest = [c for c in right.columns if c not in (key, weight)]
+    heavy = right.orderBy(F.desc(weight), key).limit(most)
+    hot = heavy.select(key, F.struct(*rest).alias("_hot"))
+    cold = right.join(F.broadcast(hot.select(key)), key, "left_anti").select(F.col(key).alias("_key"), F.struct(*rest).alias("_cold"))
+    met = left.join(F.broadcast(hot), key, "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("#"), F.xxhash64(spread).cast("string"))))
+    both = met.join(cold, "_key", "left").withColumn("_hot", F.coalesce("_hot", "_cold"))
+    return both.select(*left.columns, *[F.col("_hot")[c].alias(c) for c in rest])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for each node of the edges; root is the smallest node of its component.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import licences, media_ogg, packing, pii, pieces_scan, quality
+from assaykit.llm import alignment, licences, media_ogg, packing, pii, pieces_scan, quality, ranked_trie, warc
 from assaykit.llm.common import WORD_GAP, text_key
 from assaykit.llm.permutation_index import nearest
 from assaykit.llm.recompression import repeated_words
@@ -115,6 +115,25 @@ def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_text(docs, made)
 
 
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    made = warc.through_archives(pages, F.col("page_id"), F.col("url"), F.col("html"))
+    page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
+    return made.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page("refers_to").alias("refers_to"))
+
+
+def op12_lockstep_alignment(spark: SparkSession, sf_dir: str, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return alignment.align_documents(docs, a_path or public_tokenizers.path("byte_bpe_50k.json"), b_path or public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_ranked_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_trie.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_quality": op1_compression_quality,
     "op2_ogg_media": op2_ogg_media,
@@ -126,6 +145,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_signature_trees": op7_signature_trees,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_recompression_dedup": op10_recompression_dedup,
+    "op11_warc_archives": op11_warc_archives,
+    "op12_lockstep_alignment": op12_lockstep_alignment,
+    "op13_ranked_trie": op13_ranked_trie,
 }
 
 #: The contracts in SQL, straight from their wording: all sets, all windows, no index.
@@ -154,4 +176,18 @@ ORACLE_SQL: dict[str, str] = {
         gone AS (SELECT DISTINCT r, i + o AS p FROM hit, range(0, 35) t(o)),
         kept AS (SELECT c.r, string_agg(c.word, ' ' ORDER BY c.p) AS body, COUNT(*) AS n FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) c ANTI JOIN gone g ON g.r = c.r AND g.p = c.p GROUP BY c.r)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
+    "op11_warc_archives": r"""
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN strlen(html) >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN strlen(html) >= 100 AND page_id > first THEN first END AS refers_to
+        FROM (SELECT page_id, coalesce(html, '') AS html, MIN(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)""",
+    "op13_ranked_trie": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t, row_number() OVER () AS r FROM documents),
+        q AS (SELECT item_id, t, COUNT(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t),
+        total AS (SELECT COUNT(*) FILTER (len(t) > 0) AS n_docs, SUM(len(t))::BIGINT AS n_terms FROM d),
+        post AS (SELECT r, t, COUNT(*) AS tf FROM (SELECT r, unnest(t) AS t FROM d) GROUP BY r, t),
+        df AS (SELECT t, COUNT(*) AS df FROM post GROUP BY t),
+        w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM df, total),
+        m AS (SELECT r, doc_id, 75 + (25 * len(t) * n_docs) // n_terms AS m FROM d, total WHERE len(t) > 0),
+        s AS (SELECT item_id, doc_id, r, CAST(SUM(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN w USING (t) JOIN post USING (t) JOIN m USING (r) GROUP BY item_id, doc_id, r)
+        SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM s WHERE score > 0) WHERE k <= 20""",
 }
