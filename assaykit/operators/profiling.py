@@ -223,12 +223,6 @@ def pseudonyms(values: DataFrame, kind: str) -> DataFrame:
     return ranged.join(F.broadcast(before), "_p").select("value", F.concat(F.lit(f"{kind.upper()}_"), n.cast("string")).alias("pseudonym"))
 
 
-def leaked(texts: DataFrame, key_table: DataFrame) -> DataFrame:
-    """Texts (text) that still hold a real value as a word."""
-    words = texts.select("text", F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}@._-]+"))).alias("value"))
-    return words.join(key_table.select("value"), "value", "left_semi")
-
-
 #: Bytes above which a table is not scanned in full every day.
 SCAN_LIMIT = 200_000_000_000
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from assaykit import schemas
 from assaykit.functions import packs
 from assaykit.functions import scalar as f
-from assaykit.operators import checks, consistency, metrics, profiling
+from assaykit.operators import checks, consistency, masking, metrics, profiling
 from assaykit.operators.rules import is_identifier, JoinRule, RowRule, UniqueRule, VarianceRule
 from assaykit.sources import relations
 from assaykit.sources.relations import Condition, Population
@@ -640,10 +640,32 @@ def i11(t):
     return profiling.pseudonyms(t.customer.select(F.col("c_mktsegment").alias("value"), F.col("c_custkey").alias("seen")), "segment")
 
 
-@query("i11_leaked", "SELECT COUNT(*) AS n FROM (SELECT DISTINCT text, w FROM (SELECT text, unnest(string_split_regex(text, '[^\\p{L}\\p{N}@._-]+')) AS w FROM documents) WHERE w IN ('the', 'Apache', 'GNU'))")
-def i11_leaked(t):
-    keys = t.spark.createDataFrame([("the",), ("Apache",), ("GNU",)], "value string")
-    return profiling.leaked(t.documents.select("text"), keys).distinct().agg(F.count("*").alias("n"))
+# values of two kinds, out of the items' texts: their first two words, and their first word that ends a sentence
+_PHRASES = "SELECT 'PHRASE' AS kind, regexp_extract(text, '^[^ ]+ [^ ]+') AS value, item_id AS seen FROM benchmark UNION ALL SELECT 'END', regexp_extract(text, '[^ ]+[.]'), item_id FROM benchmark"
+_KEYS = f"SELECT kind, value, kind || '_' || CAST(ROW_NUMBER() OVER (PARTITION BY kind ORDER BY MIN(seen), value) AS VARCHAR) AS token FROM ({_PHRASES}) WHERE length(value) >= 3 GROUP BY kind, value"
+_AROUND = r"'(^|[^\p{L}\p{N}_])' || regexp_replace(value, '([^\p{L}\p{N}_\s])', '\\\1', 'g') || '($|[^\p{L}\p{N}_])'"
+
+
+def _masking_keys(t):
+    parts = [("PHRASE", "^[^ ]+ [^ ]+"), ("END", "[^ ]+[.]")]
+    made = []
+    for kind, pattern in parts:
+        values = t.benchmark.select(F.regexp_extract("text", pattern, 0).alias("value"), F.col("item_id").alias("seen")).where(F.length("value") >= 3)
+        made.append(profiling.pseudonyms(values, kind).select(F.lit(kind).alias("kind"), "value", F.col("pseudonym").alias("token")))
+    return made[0].unionByName(made[1])
+
+
+@query("i11_leaks", f"WITH near AS MATERIALIZED (SELECT doc_id AS id, text, kind, value FROM documents, ({_KEYS}) WHERE contains(text, value)) SELECT id, kind, COUNT(*) AS values FROM near WHERE regexp_matches(text, {_AROUND}) GROUP BY 1, 2 UNION ALL SELECT doc_id, 'withheld text', COUNT(*) FROM documents, (SELECT DISTINCT trim(text) AS value FROM benchmark WHERE length(trim(text)) >= 12) WHERE contains(text, value) GROUP BY 1")
+def i11_leaks(t):
+    """Items are withheld texts too."""
+    return masking.leaks(t.documents.select(F.col("doc_id").alias("id"), "text"), _masking_keys(t), t.benchmark.select(F.col("text").alias("value")))
+
+
+@query("i11_masked", rf"""SELECT doc_id AS id, md5(coalesce(masked, '')) AS masked FROM (SELECT doc_id, list_reduce(list_prepend(coalesce(text, ''), coalesce(ops, [])), lambda acc, op: regexp_replace(regexp_replace(acc, split_part(op, chr(1), 1), split_part(op, chr(1), 2), 'g'), split_part(op, chr(1), 1), split_part(op, chr(1), 2), 'g')) AS masked
+    FROM documents LEFT JOIN (SELECT doc_id, list({_AROUND} || chr(1) || '\1' || token || '\2' ORDER BY length(value) DESC, kind, value) AS ops FROM documents, ({_KEYS}) WHERE contains(text, value) GROUP BY 1) USING (doc_id))""")
+def i11_masked(t):
+    made = masking.mask(t.documents.select(F.col("doc_id").alias("id"), "text"), _masking_keys(t))
+    return made.select("id", F.md5(F.coalesce("masked", F.lit(""))).alias("masked"))
 
 
 _COST = "SELECT k, CASE WHEN k < 9 THEN b END AS bytes, 4.0E0 + b / 160e6 AS s FROM (SELECT o_custkey % 10 AS k, CAST(SUM(o_orderkey) AS BIGINT) * CAST(power(10, o_custkey % 10) AS BIGINT) // 10 AS b FROM orders GROUP BY 1)"

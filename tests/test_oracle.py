@@ -10,7 +10,7 @@ from assaykit.plans import core, probes, state
 
 QUERIES = core.QUERIES | probes.QUERIES | state.QUERIES
 ORACLE = core.ORACLE | probes.ORACLE | state.ORACLE
-TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents conversations benchmark pages".split()
 
 
 @pytest.fixture(scope="module")
