@@ -152,14 +152,32 @@ def sample_keep(df: DataFrame, keys: Sequence[str], reads: Sequence[str]) -> lis
 
 
 def violation_samples(df: DataFrame, rules: Sequence[RowRule], keys: Sequence[str], reads: Mapping[str, Sequence[str]], cap: int = 100) -> DataFrame:
-    """Up to ``cap`` violating rows of each rule, from one scan: (rule_id, row_key, sample_row as JSON), least keys first."""
+    """Up to ``cap`` violating rows of each rule, from one scan: (rule_id, row_key, sample_row as JSON), least keys first.
+
+    Each task keeps the ``cap`` least rows of each rule, so no more are shuffled (for a ``cap`` up to Spark's window group limit, 1000); what 64th parts of the tasks kept is
+    ranked before the last ranking, so that one task never sorts what all others sent. JSON is made of the rows that stay alone.
+    """
     hits = F.array_compact(F.array(*[F.when(r.within & r.violates, F.lit(r.rule_id)) for r in rules]))
-    sampled = F.coalesce(*[F.when(F.col("rule_id") == r.rule_id, F.to_json(F.struct(*sample_keep(df, keys, reads[r.rule_id])))) for r in rules])
-    # a cap per slice of the rows first, so that a rule that most rows break is never sorted in one task
-    rows = df.withColumn("rule_id", F.explode(hits)).withColumn("row_key", row_key(keys)).withColumn("sample_row", sampled).select("rule_id", "row_key", "sample_row", F.pmod(F.xxhash64("row_key", "sample_row"), F.lit(64)).alias("_slice"))
-    order = [F.col("row_key"), F.col("sample_row")]
-    some = rows.withColumn("_n", F.row_number().over(Window.partitionBy("rule_id", "_slice").orderBy(*order))).where(F.col("_n") <= cap)
-    return some.withColumn("_n", F.row_number().over(Window.partitionBy("rule_id").orderBy(*order))).where(F.col("_n") <= cap).drop("_n", "_slice")
+    wanted = sample_keep(df, keys, [c for r in rules for c in reads[r.rule_id]])
+    rows = df.select(F.explode(hits).alias("_rule"), row_key(keys).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in wanted]).alias("_row"), F.pmod(F.spark_partition_id(), F.lit(64)).alias("_part"))
+    rows = rows.withColumn("_tie", F.xxhash64("_row"))
+    for by in (["_rule", "_part"], ["_rule"]):
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_key", "_tie"))).where(F.col("_n") <= cap).drop("_n")
+    sampled = F.coalesce(*[F.when(F.col("_rule") == r.rule_id, F.to_json(F.struct(*[F.col("_row")[c].alias(c) for c in sample_keep(df, keys, reads[r.rule_id])]))) for r in rules])
+    return rows.select(F.col("_rule").alias("rule_id"), F.col("_key").alias("row_key"), sampled.alias("sample_row"))
+
+
+#: Keys up to which a sketch is exact, as a power of two.
+SKETCH = 14
+
+
+def key_sketches(df: DataFrame, rules: Sequence[RowRule], keys: Sequence[str], lg: int = SKETCH) -> DataFrame:
+    """(rule_id, key_sketch): the keys of each rule's violating rows, as a theta sketch, from one scan; to be kept beside the verdict.
+
+    Up to 2**lg keys it is the set itself, beyond that its count is off by some 1 / sqrt(2**lg); sketches of rules, runs and tables can be joined (``metrics.records_affected``).
+    """
+    wide = df.agg(*[F.theta_sketch_agg(F.when(r.within & r.violates, row_key(keys)), lg).alias(f"k_{r.rule_id}") for r in rules])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.col(f"k_{r.rule_id}").alias("key_sketch")) for r in rules])))
 
 
 def uniqueness_samples(df: DataFrame, rule: UniqueRule, keys: Sequence[str], cap: int = 100) -> DataFrame:

@@ -14,6 +14,10 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a.cast("double") / b)
 
 
+def percent(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a.cast("double") * 100.0 / b)
+
+
 def _is(state: str) -> Column:
     return F.col("status") == state
 
@@ -23,28 +27,65 @@ def on_run(check_run: DataFrame, run: DataFrame) -> DataFrame:
     return check_run.join(F.broadcast(run.select("run_id")), "run_id", "left_semi")
 
 
+def _figures() -> dict[str, Column]:
+    """What J1, J3 and J5 share. Shadow and error verdicts neither passed nor failed: they count as skipped, not in rates."""
+    raised, breach = F.col("status").isin("pass", "breach"), _is("breach")
+    return {
+        "rules_raised": F.count_if(raised), "rules_breaching": F.count_if(breach), "rules_skipped": F.count_if(~raised), "pass_rate_pct": percent(F.count_if(_is("pass")), F.count_if(raised)),
+        "violations": F.coalesce(F.sum(F.when(breach, F.col("violation_count"))), F.lit(0)), "p1_breaching": F.count_if(breach & (F.col("severity") == "P1_block")),
+        "worst_rate_pct": F.coalesce(F.max("violation_pct"), F.lit(0.0)),
+    }
+
+
 def detection_summary(verdicts: DataFrame) -> DataFrame:
-    """Headline figures of one run's verdicts."""
-    counted = F.col("status").isin("pass", "breach")
-    return verdicts.agg(
-        F.count("*").alias("checks"), F.count_if(counted).alias("evaluated"), F.count_if(_is("breach")).alias("breaching"), F.count_if(_is("breach") & (F.col("severity") == "P1_block")).alias("p1_breaching"),
-        F.count_if(_is("error")).alias("errors"), F.count_if(_is("skipped")).alias("skipped"), F.countDistinct(F.when(_is("breach"), F.col("target_table"))).alias("tables_affected"),
-        F.sum(F.when(_is("breach"), F.col("violation_count"))).alias("violations"), ratio(F.count_if(_is("pass")), F.count_if(counted)).alias("pass_rate"),
-    )
+    """Headline figures of one run's verdicts. Violations are pairs of rule and row; rows_scanned is the largest scan of each table."""
+    tables = verdicts.groupBy("target_table").agg(F.max("rows_scanned").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_scanned"))
+    rest = {"rules_run": F.count("*"), "rules_passing": F.count_if(_is("pass")), "tables": F.countDistinct("target_table"), "columns": F.countDistinct("target_column")}
+    one = verdicts.agg(*[c.alias(n) for n, c in (_figures() | rest).items()])
+    return one.crossJoin(tables)  # one row each
+
+
+def _held_samples(verdicts: DataFrame, samples: DataFrame) -> DataFrame:
+    return samples.join(verdicts.where(_is("breach")).select("run_id", "rule_id"), ["run_id", "rule_id"], "left_semi")
+
+
+def records_by_table(verdicts: DataFrame, samples: DataFrame) -> DataFrame:
+    """target_table, floor: distinct sampled records of the breaches of ``verdicts``, of one run."""
+    return _held_samples(verdicts, samples).groupBy("target_table").agg(F.countDistinct("row_key").alias("floor"))
 
 
-def records_affected_floor(verdicts: DataFrame, samples: DataFrame, cap: int = 100) -> DataFrame:
-    """Distinct sampled records of the breaches; exact unless a breach has more violations than its sample may hold."""
-    breaches = verdicts.where(_is("breach"))
-    keys = samples.join(breaches.select("result_id"), "result_id", "left_semi").agg(F.countDistinct("target_table", "row_key").alias("records"))
-    cut = breaches.agg(F.count_if(F.col("violation_count") > cap).alias("truncated_checks"))
-    return keys.crossJoin(cut).withColumn("exact", F.col("truncated_checks") == 0)
+def records_affected_floor(verdicts: DataFrame, samples: DataFrame) -> DataFrame:
+    """One row: floor (the sum over tables), checks, truncated (breaches with fewer sampled keys than violations) and exact (none is).
+
+    Without any sample the floor is 0 of 0 checks and not exact; without a breach it is exact.
+    """
+    sampled = _held_samples(verdicts, samples).groupBy("rule_id").agg(F.countDistinct("row_key").alias("_n"))
+    each = verdicts.where(_is("breach")).join(sampled, "rule_id", "left")
+    short = F.coalesce(F.col("_n"), F.lit(0)) < F.col("violation_count")
+    checks = each.agg(F.count("*").alias("checks"), F.array_sort(F.collect_set(F.when(short, F.col("rule_id")))).alias("truncated"))
+    floor = records_by_table(verdicts, samples).agg(F.coalesce(F.sum("floor"), F.lit(0)).alias("floor"))
+    some = samples.select(F.lit(True).alias("x")).limit(1).agg((F.count("*") > 0).alias("_some"))
+    out = floor.crossJoin(checks).crossJoin(some)  # one row each
+    none = F.array().cast("array<string>")
+    return out.select("floor", F.when(F.col("_some"), F.col("checks")).otherwise(0).cast("long").alias("checks"), F.when(F.col("_some"), F.col("truncated")).otherwise(none).alias("truncated"), (F.col("_some") & (F.size("truncated") == 0)).alias("exact"))
+
+
+def records_affected(sketches: DataFrame, by: list[str], lg: int) -> DataFrame:
+    """``by``, records (distinct keys under all rules' sketches together), exact, low and high.
+
+    sketches: ``by`` and key_sketch, from ``checks.key_sketches`` with this ``lg``; keys of different tables must not meet, so ``by`` has the table, or the sum over tables is taken after.
+    Beyond 2**lg keys, low and high are three standard errors away.
+    """
+    made = sketches.groupBy(*by).agg(F.theta_sketch_estimate(F.theta_union_agg("key_sketch", lg)).alias("records"))
+    exact = F.col("records") <= (1 << lg)
+    error = F.when(exact, 0.0).otherwise(3.0 / (1 << lg) ** 0.5)
+    return made.withColumns({"exact": exact, "low": F.floor(F.col("records") * (1 - error)), "high": F.ceil(F.col("records") * (1 + error))})
 
 
 def quality_by(verdicts: DataFrame, by: str) -> DataFrame:
-    """J3."""
-    rows = verdicts.where(F.col("status").isin("pass", "breach"))
-    return rows.groupBy(by).agg(F.count("*").alias("checks"), F.count_if(_is("breach")).alias("breaching"), score(F.sum("rows_scanned"), F.sum("violation_count")).alias("score_pct"))
+    """One run's figures per table or domain. The pass rate is over rules, not rows."""
+    made = verdicts.groupBy(by).agg(*[c.alias(n) for n, c in _figures().items()]).drop("rules_skipped")
+    return made.withColumns({"pass_rate_pct": F.round(F.coalesce("pass_rate_pct", F.lit(0.0)), 1), "worst_rate_pct": F.round("worst_rate_pct", 2)})
 
 
 def worst_rules(verdicts: DataFrame, n: int = 10) -> DataFrame:
@@ -53,9 +94,12 @@ def worst_rules(verdicts: DataFrame, n: int = 10) -> DataFrame:
 
 
 def table_insights(verdicts: DataFrame) -> DataFrame:
-    """Per table its breaches and its worst rule."""
-    worst = F.max_by(F.when(_is("breach"), F.col("rule_id")), F.when(_is("breach"), F.struct("violation_count", "rule_id")))
-    return verdicts.groupBy("target_table").agg(F.count("*").alias("checks"), F.count_if(_is("breach")).alias("breaching"), worst.alias("worst_rule"))
+    """One run's figures per table: its rows, columns checked and failing, and its worst rule (of equals the first by id) with that one's rate."""
+    rest = {"rows": F.coalesce(F.max("rows_scanned"), F.lit(0)), "columns_checked": F.countDistinct("target_column"), "columns_failing": F.countDistinct(F.when(_is("breach"), F.col("target_column")))}
+    top = verdicts.where(_is("breach")).groupBy("target_table").agg(F.max("violation_count").alias("violation_count"))
+    named = verdicts.where(_is("breach")).join(top, ["target_table", "violation_count"]).groupBy("target_table").agg(F.min(F.struct("rule_id", "violation_pct")).alias("_w"))
+    made = verdicts.groupBy("target_table").agg(*[c.alias(n) for n, c in (_figures() | rest).items()]).drop("worst_rate_pct")
+    return made.join(named, "target_table", "left").select("*", F.col("_w.rule_id").alias("worst_rule"), F.coalesce(F.col("_w.violation_pct"), F.lit(0.0)).alias("worst_rate_pct")).drop("_w")
 
 
 def failing_since(check_run: DataFrame) -> DataFrame:
@@ -94,36 +138,59 @@ def compression(live: DataFrame, breaching: DataFrame) -> DataFrame:
 
 
 def disposition_coverage(cohorts: DataFrame, disposition: DataFrame) -> DataFrame:
-    """The share of problems on which someone decided."""
-    decided = cohorts.join(disposition.where("decision is not null").select("cohort_id"), "cohort_id", "left_semi").agg(F.count("*").alias("decided"))
-    return cohorts.agg(F.count("*").alias("problems")).crossJoin(decided).withColumn("coverage", ratio(F.col("decided"), F.col("problems")))
+    """The share of problems with any event but the job's own recommendation."""
+    decided = cohorts.join(disposition.where("event_type <> 'recommended'").select("cohort_id"), "cohort_id", "left_semi").agg(F.count("*").alias("decided"))
+    out = cohorts.agg(F.count("*").alias("problems")).crossJoin(decided).withColumn("coverage_pct", percent(F.col("decided"), F.col("problems")))
+    return out.withColumn("met", F.col("coverage_pct") >= 90.0)
 
 
 def recommendation_acceptance(state: DataFrame) -> DataFrame:
-    """J11."""
+    """Of problems where the action taken is known, those where it was the advised one."""
     known = F.col("recommendation_followed").isNotNull()
-    return state.agg(F.count_if(known).alias("executed"), F.count_if(F.col("recommendation_followed")).alias("followed"), ratio(F.count_if(F.col("recommendation_followed")), F.count_if(known)).alias("acceptance"))
+    out = state.agg(F.count_if(known).alias("executed"), F.count_if(F.col("recommendation_followed")).alias("followed"), percent(F.count_if(F.col("recommendation_followed")), F.count_if(known)).alias("acceptance_pct"))
+    return out.withColumn("met", F.col("acceptance_pct") >= 50.0)
+
 
+#: Days in which a problem should be verified fixed; other severities have no target.
+FIX_DAYS = {"P1_block": 5.0, "P2_alert": 15.0}
+#: States in which somebody still has to act.
+OPEN = ("awaiting_review", "awaiting_approval", "approved_awaiting_execution", "awaiting_verification", "reopened", "awaiting_triage")
 
-def outcome_metrics(state: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """Closure rate, mean days to repair and recurrence by severity, with the target for the days."""
-    closed = F.col("lifecycle_state").startswith("closed")
+
+def outcome_metrics(state: DataFrame) -> DataFrame:
+    """By severity, and for all together (severity 'all'): problems, fixed, closure rate, mean days to repair, recurrence, and whether their targets are met. Only a verified close counts.
+
+    Days have targets for P1 and P2 alone, and none for all together.
+    """
+    closed = F.col("lifecycle_state") == "closed_verified"
     days = F.lit(None).cast("double")
-    for name, n in (targets or {"P1_block": 5.0, "P2_alert": 10.0, "P3_monitor": 30.0}).items():
+    for name, n in FIX_DAYS.items():
         days = F.when(F.col("severity") == name, n).otherwise(days)
-    return state.groupBy("severity").agg(F.count("*").alias("problems"), ratio(F.count_if(closed), F.count("*")).alias("closure_rate"), F.avg("mttr_days").alias("mttr_days"), F.count_if("is_recurrence").alias("recurrences")).withColumn("target_days", days)
+    both = state.select(F.explode(F.array(F.col("severity"), F.lit("all"))).alias("severity"), "lifecycle_state", "mttr_days", "is_recurrence")
+    out = both.groupBy("severity").agg(
+        F.count("*").alias("problems"), F.count_if(closed).alias("closed_verified"), percent(F.count_if(closed), F.count("*")).alias("closure_rate_pct"), F.count("mttr_days").alias("fixed"), F.avg("mttr_days").alias("mttr_days"),
+        F.count_if("is_recurrence").alias("recurrences"), percent(F.count_if("is_recurrence"), F.count("*")).alias("recurrence_pct"),
+    )
+    return out.withColumns({"target_days": days, "mttr_met": F.col("mttr_days") < days, "closure_met": F.col("closure_rate_pct") >= 75.0, "recurrence_met": F.col("recurrence_pct") < 10.0})
 
 
 def breakdown(state: DataFrame, by: str) -> DataFrame:
-    """J13."""
-    return state.groupBy(by).agg(F.count("*").alias("problems"), F.count_if(F.col("lifecycle_state").startswith("closed")).alias("closed"), F.sum("total_violation_rows").alias("violation_rows"))
+    """The same by domain or severity, with what is open."""
+    closed = F.col("lifecycle_state") == "closed_verified"
+    return state.groupBy(by).agg(
+        F.count("*").alias("problems"), F.count_if(F.col("lifecycle_state").isin(*OPEN)).alias("open"), F.count_if(closed).alias("closed_verified"), F.round(F.coalesce(percent(F.count_if(closed), F.count("*")), F.lit(0.0)), 1).alias("closure_rate_pct"),
+        F.round(F.avg("mttr_days"), 2).alias("mttr_days"), F.count_if("is_recurrence").alias("recurrences"), F.coalesce(F.sum("total_violation_rows"), F.lit(0)).alias("violation_rows"),
+    )
 
 
 def triage_funnel(state: DataFrame) -> DataFrame:
-    """How many problems came at least so far."""
-    stages = [("raised", F.lit(True)), ("reviewed", F.col("latest_decision").isNotNull()), ("approved", F.col("distinct_approvers") >= F.col("approvals_required")), ("executed", F.col("executed_ts").isNotNull()), ("verified", F.col("verified_ts").isNotNull())]
-    wide = state.agg(*[F.count_if(c).alias(n) for n, c in stages])
-    return wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(n).alias("stage"), F.col(n).alias("problems")) for i, (n, _) in enumerate(stages)])))
+    """How many problems came at least so far; one approver is enough to count as approved."""
+    stages = [
+        ("01 recommended", F.lit(True)), ("02 reviewed", F.col("latest_decision").isNotNull()), ("03 approved", F.col("distinct_approvers") > 0), ("04 executed (claimed)", F.col("executed_ts").isNotNull()),
+        ("05 verification attempted", F.col("verified_ts").isNotNull()), ("closed verified", F.col("lifecycle_state") == "closed_verified"),
+    ]
+    wide = state.agg(*[F.count_if(c).alias(f"n_{i}") for i, (_, c) in enumerate(stages)])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(n).alias("stage"), F.col(f"n_{i}").alias("problems")) for i, (n, _) in enumerate(stages)])))
 
 
 def retired_rules(registry: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from assaykit.functions import scalar as f
 from assaykit.operators import checks, consistency, masking, metrics, profiling
 from assaykit.operators.rules import is_identifier, JoinRule, RowRule, UniqueRule, VarianceRule
 from assaykit.sources import relations
+from assaykit.sources.current import CurrentRecords
 from assaykit.sources.relations import Condition, Population
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +61,15 @@ def a2(t):
     return relations.current_records(t.lineitem, HISTORY).select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag")
 
 
+@query("a2_incremental", f"SELECT l_orderkey, l_linenumber, l_shipdate, l_returnflag FROM ({_CURRENT})")
+def a2_incremental(t):
+    """The same from a state that four batches went into, later years before earlier ones."""
+    state = CurrentRecords(t.spark, f"{relations.shared_folder(t.spark)}/a2-{uuid.uuid4().hex}", HISTORY, buckets=16)
+    for part in ("year(l_shipdate) >= 1997", "year(l_shipdate) = 1996 and l_orderkey % 7 = 0", "year(l_shipdate) = 1996 and l_orderkey % 7 <> 0", "year(l_shipdate) < 1996 or l_shipdate is null"):
+        state.apply(t.lineitem.where(part))
+    return state.records().select("l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag")
+
+
 @query("a3_population_in_force", "SELECT target_table, MAX(population_version) AS population_version FROM (SELECT CAST(o_custkey % 50 AS STRING) AS target_table, o_orderkey AS population_version FROM orders) GROUP BY 1")
 def a3(t):
     register = t.orders.select((F.col("o_custkey") % 50).cast("string").alias("target_table"), F.col("o_orderkey").alias("population_version"))
@@ -246,6 +256,18 @@ def b9(t):
     return checks.violation_samples(t.orders, order_rules(), ["o_orderkey"], reads).select("rule_id", "row_key")
 
 
+@query("b9_key_sketches", """
+    WITH v AS (SELECT 'price_high' AS rule_id, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000
+        UNION ALL SELECT 'low_priority', o_custkey FROM orders WHERE o_orderpriority = '5-LOW'
+        UNION ALL SELECT 'late', o_custkey FROM orders WHERE year(o_orderdate) >= 1998)
+    SELECT rule_id, COUNT(DISTINCT o_custkey) AS records, TRUE AS exact FROM v GROUP BY 1 UNION ALL SELECT 'all rules', COUNT(DISTINCT o_custkey), TRUE FROM v""")
+def b9_sketches(t):
+    """Customers whose orders break each rule, and any of them: exact up to 16,384 customers."""
+    made = checks.key_sketches(t.orders, order_rules(), ["o_custkey"])
+    every = made.unionByName(made.withColumn("rule_id", F.lit("all rules")))
+    return metrics.records_affected(every, ["rule_id"], checks.SKETCH).select("rule_id", "records", "exact")
+
+
 @query("b10_sample_keep", "SELECT CAST(c_custkey AS STRING) AS row_key, '{\"c_custkey\":' || CAST(c_custkey AS STRING) || ',\"c_nationkey\":' || CAST(c_nationkey AS STRING) || '}' AS sample_row FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY CAST(c_custkey AS STRING)) AS n FROM customer WHERE c_nationkey = 3) WHERE n <= 20")
 def b10(t):
     rule = RowRule("nation", "customer", violates=F.col("c_nationkey") == 3)

@@ -441,17 +441,28 @@ def g18(m):
 # J
 
 
-@query("j1_detection_summary", "SELECT COUNT(*) AS checks, COUNT(*) FILTER (status IN ('pass', 'breach')) AS evaluated, COUNT(*) FILTER (status = 'breach') AS breaching, COUNT(*) FILTER (status = 'breach' AND severity = 'P1_block') AS p1_breaching, CAST(COUNT(*) FILTER (status = 'pass') AS DOUBLE) / NULLIF(COUNT(*) FILTER (status IN ('pass', 'breach')), 0) AS pass_rate, COUNT(*) FILTER (status = 'error') AS errors, COUNT(*) FILTER (status = 'skipped') AS skipped, COUNT(DISTINCT CASE WHEN status = 'breach' THEN target_table END) AS tables_affected, SUM(CASE WHEN status = 'breach' THEN violation_count END)::BIGINT AS violations FROM last_run")
+_FIGURES = """COUNT(*) FILTER (status IN ('pass', 'breach')) AS rules_raised, COUNT(*) FILTER (status = 'breach') AS rules_breaching, COUNT(*) FILTER (status NOT IN ('pass', 'breach')) AS rules_skipped, 100.0E0 * COUNT(*) FILTER (status = 'pass') / NULLIF(COUNT(*) FILTER (status IN ('pass', 'breach')), 0) AS pass_rate_pct, COALESCE(SUM(violation_count) FILTER (status = 'breach'), 0)::BIGINT AS violations, COUNT(*) FILTER (status = 'breach' AND severity = 'P1_block') AS p1_breaching"""
+
+
+@query("j1_detection_summary", f"SELECT {_FIGURES}, MAX(violation_pct) AS worst_rate_pct, COUNT(*) AS rules_run, COUNT(*) FILTER (status = 'pass') AS rules_passing, COUNT(DISTINCT target_table) AS tables, COUNT(DISTINCT target_column) AS columns, (SELECT SUM(n)::BIGINT FROM (SELECT MAX(rows_scanned) AS n FROM last_run GROUP BY target_table)) AS rows_scanned FROM last_run")
 def j1(m):
     return metrics.detection_summary(m.latest)
 
 
-@query("j2_records_affected", "SELECT (SELECT COUNT(*) FROM (SELECT DISTINCT target_table, row_key FROM violation_sample WHERE result_id IN (SELECT result_id FROM last_run WHERE status = 'breach'))) AS records, COUNT(*) FILTER (violation_count > 10) AS truncated_checks, COUNT(*) FILTER (violation_count > 10) = 0 AS exact FROM last_run WHERE status = 'breach'")
+_HELD = "SELECT s.* FROM violation_sample s WHERE (s.run_id, s.rule_id) IN (SELECT (run_id, rule_id) FROM last_run WHERE status = 'breach')"
+
+
+@query("j2_records_affected", f"SELECT (SELECT COUNT(*) FROM (SELECT DISTINCT target_table, row_key FROM ({_HELD}))) AS floor, COUNT(*) AS checks, COALESCE(string_agg(b.rule_id, ',' ORDER BY b.rule_id) FILTER (COALESCE(k.n, 0) < b.violation_count), '') AS truncated, COUNT(*) FILTER (COALESCE(k.n, 0) < b.violation_count) = 0 AS exact FROM last_run b LEFT JOIN (SELECT rule_id, COUNT(DISTINCT row_key) AS n FROM ({_HELD}) GROUP BY 1) k ON k.rule_id = b.rule_id WHERE b.status = 'breach'")
 def j2(m):
-    return metrics.records_affected_floor(m.latest, m.tables["violation_sample"], cap=10)
+    return metrics.records_affected_floor(m.latest, m.tables["violation_sample"]).select("floor", "checks", *joined("truncated"), "exact")
+
+
+@query("j2_records_by_table", f"SELECT target_table, COUNT(DISTINCT row_key) AS floor FROM ({_HELD}) GROUP BY 1")
+def j2_by_table(m):
+    return metrics.records_by_table(m.latest, m.tables["violation_sample"])
 
 
-@query("j3_quality_by", "SELECT target_table, COUNT(*) AS checks, COUNT(*) FILTER (status = 'breach') AS breaching, CAST(SUM(rows_scanned) - SUM(violation_count) AS DOUBLE) * 100.0E0 / SUM(rows_scanned) AS score_pct FROM last_run WHERE status IN ('pass', 'breach') GROUP BY 1")
+@query("j3_quality_by", f"SELECT target_table, rules_raised, rules_breaching, ROUND(COALESCE(pass_rate_pct, 0), 1) AS pass_rate_pct, violations, p1_breaching, ROUND(worst, 2) AS worst_rate_pct FROM (SELECT target_table, {_FIGURES}, MAX(violation_pct) AS worst FROM last_run GROUP BY 1)")
 def j3(m):
     return metrics.quality_by(m.latest, "target_table")
 
@@ -461,7 +472,7 @@ def j4(m):
     return metrics.worst_rules(m.latest).select("rule_id", "violation_count")
 
 
-@query("j5_table_insights", "SELECT target_table, COUNT(*) AS checks, COUNT(*) FILTER (status = 'breach') AS breaching, arg_max(CASE WHEN status = 'breach' THEN rule_id END, CASE WHEN status = 'breach' THEN {'a': violation_count, 'b': rule_id} END) AS worst_rule FROM last_run GROUP BY 1")
+@query("j5_table_insights", f"SELECT a.*, w.rule_id AS worst_rule, COALESCE(w.violation_pct, 0) AS worst_rate_pct FROM (SELECT target_table, {_FIGURES}, MAX(rows_scanned) AS rows, COUNT(DISTINCT target_column) AS columns_checked, COUNT(DISTINCT target_column) FILTER (status = 'breach') AS columns_failing FROM last_run GROUP BY 1) a LEFT JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY target_table ORDER BY violation_count DESC, rule_id) AS n FROM last_run WHERE status = 'breach') w ON w.target_table = a.target_table AND w.n = 1")
 def j5(m):
     return metrics.table_insights(m.latest)
 
@@ -490,27 +501,27 @@ def j9(m):
     return metrics.compression(grouping.live_problems(f, m.tables["cohorts"]), f)
 
 
-@query("j10_disposition_coverage", "SELECT COUNT(*) AS problems, COUNT(*) FILTER (cohort_id IN (SELECT cohort_id FROM disposition WHERE decision IS NOT NULL)) AS decided, CAST(COUNT(*) FILTER (cohort_id IN (SELECT cohort_id FROM disposition WHERE decision IS NOT NULL)) AS DOUBLE) / NULLIF(COUNT(*), 0) AS coverage FROM cohort")
+@query("j10_disposition_coverage", "SELECT COUNT(*) AS problems, COUNT(*) FILTER (human) AS decided, 100.0E0 * COUNT(*) FILTER (human) / NULLIF(COUNT(*), 0) AS coverage_pct, 100.0E0 * COUNT(*) FILTER (human) / NULLIF(COUNT(*), 0) >= 90 AS met FROM (SELECT cohort_id IN (SELECT cohort_id FROM disposition WHERE event_type <> 'recommended') AS human FROM cohort)")
 def j10(m):
     return metrics.disposition_coverage(m.tables["cohorts"], m.tables["disposition"])
 
 
-@query("j11_recommendation_acceptance", "SELECT COUNT(recommendation_followed) AS executed, COUNT(*) FILTER (recommendation_followed) AS followed, CAST(COUNT(*) FILTER (recommendation_followed) AS DOUBLE) / NULLIF(COUNT(recommendation_followed), 0) AS acceptance FROM state")
+@query("j11_recommendation_acceptance", "SELECT executed, followed, 100.0E0 * followed / NULLIF(executed, 0) AS acceptance_pct, 100.0E0 * followed / NULLIF(executed, 0) >= 50 AS met FROM (SELECT COUNT(recommendation_followed) AS executed, COUNT(*) FILTER (recommendation_followed) AS followed FROM state)")
 def j11(m):
     return metrics.recommendation_acceptance(m.state)
 
 
-@query("j12_outcomes", "SELECT severity, COUNT(*) AS problems, CASE severity WHEN 'P1_block' THEN 5.0E0 WHEN 'P2_alert' THEN 10.0E0 ELSE 30.0E0 END AS target_days, CAST(COUNT(*) FILTER (lifecycle_state LIKE 'closed%') AS DOUBLE) / COUNT(*) AS closure_rate, ROUND(AVG(mttr_days), 6) AS mttr_days, COUNT(*) FILTER (is_recurrence) AS recurrences FROM state GROUP BY 1")
+@query("j12_outcomes", "SELECT *, mttr_days < target_days AS mttr_met, closure_rate_pct >= 75 AS closure_met, recurrence_pct < 10 AS recurrence_met FROM (SELECT severity, COUNT(*) AS problems, COUNT(*) FILTER (lifecycle_state = 'closed_verified') AS closed_verified, 100.0E0 * COUNT(*) FILTER (lifecycle_state = 'closed_verified') / COUNT(*) AS closure_rate_pct, COUNT(mttr_days) AS fixed, ROUND(AVG(mttr_days), 6) AS mttr_days, COUNT(*) FILTER (is_recurrence) AS recurrences, 100.0E0 * COUNT(*) FILTER (is_recurrence) / COUNT(*) AS recurrence_pct, CASE severity WHEN 'P1_block' THEN 5.0E0 WHEN 'P2_alert' THEN 15.0E0 END AS target_days FROM (SELECT * FROM state UNION ALL SELECT * REPLACE ('all' AS severity) FROM state) GROUP BY 1)")
 def j12(m):
     return metrics.outcome_metrics(m.state).withColumn("mttr_days", F.round("mttr_days", 6))
 
 
-@query("j13_breakdown", "SELECT business_domain, COUNT(*) AS problems, COUNT(*) FILTER (lifecycle_state LIKE 'closed%') AS closed, SUM(total_violation_rows)::BIGINT AS violation_rows FROM state GROUP BY 1")
+@query("j13_breakdown", "SELECT business_domain, COUNT(*) AS problems, COUNT(*) FILTER (lifecycle_state IN ('awaiting_review', 'awaiting_approval', 'approved_awaiting_execution', 'awaiting_verification', 'reopened', 'awaiting_triage')) AS open, COUNT(*) FILTER (lifecycle_state = 'closed_verified') AS closed_verified, ROUND(100.0E0 * COUNT(*) FILTER (lifecycle_state = 'closed_verified') / COUNT(*), 1) AS closure_rate_pct, ROUND(AVG(mttr_days), 2) AS mttr_days, COUNT(*) FILTER (is_recurrence) AS recurrences, SUM(total_violation_rows)::BIGINT AS violation_rows FROM state GROUP BY 1")
 def j13(m):
     return metrics.breakdown(m.state, "business_domain")
 
 
-@query("j14_triage_funnel", "SELECT 0::INT AS step, 'raised' AS stage, COUNT(*) AS problems FROM state UNION ALL SELECT 1::INT, 'reviewed', COUNT(latest_decision) FROM state UNION ALL SELECT 2::INT, 'approved', COUNT(*) FILTER (distinct_approvers >= approvals_required) FROM state UNION ALL SELECT 3::INT, 'executed', COUNT(executed_ts) FROM state UNION ALL SELECT 4::INT, 'verified', COUNT(verified_ts) FROM state")
+@query("j14_triage_funnel", "SELECT 0::INT AS step, '01 recommended' AS stage, COUNT(*) AS problems FROM state UNION ALL SELECT 1::INT, '02 reviewed', COUNT(latest_decision) FROM state UNION ALL SELECT 2::INT, '03 approved', COUNT(*) FILTER (distinct_approvers > 0) FROM state UNION ALL SELECT 3::INT, '04 executed (claimed)', COUNT(executed_ts) FROM state UNION ALL SELECT 4::INT, '05 verification attempted', COUNT(verified_ts) FROM state UNION ALL SELECT 5::INT, 'closed verified', COUNT(*) FILTER (lifecycle_state = 'closed_verified') FROM state")
 def j14(m):
     return metrics.triage_funnel(m.state)
 
