@@ -151,8 +151,8 @@ def table_latest(m: Model) -> DataFrame:
         F.max("run_ts").alias("run_ts"), F.countDistinct(F.when(s.isin("pass", "breach"), F.col("cde_id"))).alias("cdes_monitored"), F.count_if(s.isin("pass", "breach")).alias("active_rules"), F.count_if(s == "pass").alias("passing"),
         F.count_if(s == "breach").alias("breaching"), F.count_if((s == "breach") & (F.col("severity") == "P1_block")).alias("p1_breaching"), F.count_if(s == "error").alias("errors"), F.max("table_rows").alias("table_rows"), F.max("population_rows").alias("current_records"), F.max("slice_rows").alias("slice_rows"),
     )
-    tables = reg.monitored_current(m.tables["monitored_table"]).where("status = 'selected'").select("target_table", "table_code", "owner_group")
-    out = tables.join(k, "target_table", "left").join(bound, "target_table", "left").fillna(0, ["cdes_registered", "cdes_monitored", "active_rules"])
+    tables = reg.monitored_current(m.tables["monitored_table"]).where("status = 'selected'").select("target_table", "table_code", "owner_group", F.col("business_domain").alias("_own_domain"))
+    out = tables.join(k, "target_table", "left").join(bound, "target_table", "left").fillna(0, ["cdes_registered", "cdes_monitored", "active_rules"]).withColumn("business_domain", F.coalesce("business_domain", "_own_domain")).drop("_own_domain")
     return out.withColumns({"table_name": F.regexp_extract("target_table", r"([^.]+)$", 1), "passing_pct": F.when(F.col("active_rules") > 0, F.col("passing") * 100.0 / F.col("active_rules")), "needs_attention": flag((F.col("breaching") > 0) | (F.col("errors") > 0))})
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.sources.relations import checkpointed
+from assaykit.sources.relations import checkpointed, latest
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -42,45 +42,75 @@ def breach_history(check_run: DataFrame) -> DataFrame:
     return out.withColumn("kind", F.when(F.col("passes_before") > 0, "regression").otherwise("chronic"))
 
 
-def usable_samples(samples: DataFrame) -> DataFrame:
-    blank = F.exists(F.split("row_key", r"\|"), lambda p: F.trim(p) == "")
-    return samples.withColumn("outcome", F.when(F.col("row_key").isNull() | blank, "blank key").otherwise("used"))
+def extended(labels: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) after more edges: what ``connected`` gives for all edges at once, from the stored labels (node, component) and the new edges alone.
 
+    An end that has a label stands for it, so the rounds run on a graph of labels that the new edges tie, however large the components are.
+    """
+    ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
+    for side in ("x", "y"):
+        known = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        ends = ends.join(known, F.col(side) == F.col("_n"), "left").withColumn(side, F.coalesce("_c", side)).drop("_n", "_c")
+    tied = checkpointed(connected(ends, "x", "y"))
+    fresh = edges.select(F.explode(F.array(a, b)).alias("node")).distinct().join(labels, "node", "left_anti")
+    every = labels.unionByName(fresh.withColumn("component", F.col("node")))
+    return every.join(tied.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component"))
 
-def shared_rows(samples: DataFrame, ratio: float = 0.5) -> DataFrame:
-    """Pairs of rules of which the smaller one's records are, by this share, records of the other too."""
+
+def usable_samples(samples: DataFrame, verdicts: DataFrame, monitored: DataFrame) -> DataFrame:
+    """One run's samples with their outcome: 'rule on the key column', 'blank key' or 'kept'. verdicts: of that run. monitored: target_table, table_version, row_key (its columns)."""
+    keys = latest(monitored, ["target_table"], "table_version").select("target_table", "row_key")
+    on_key = verdicts.join(keys, "target_table").where(F.array_contains("row_key", F.col("target_column"))).select("rule_id", F.lit(True).alias("_on_key")).distinct()
+    blank = (F.coalesce("row_key", F.lit("")) == "") | F.col("row_key").rlike(r"(^[|])|([|]$)|([|][|])")
+    held = samples.join(verdicts.select("run_id").distinct(), "run_id", "left_semi").join(on_key, "rule_id", "left")
+    return held.withColumn("outcome", F.when(F.col("_on_key"), "rule on the key column").when(blank, "blank key").otherwise("kept")).drop("_on_key")
+
+
+def shared_rows(usable: DataFrame, ratio: float = 0.5) -> DataFrame:
+    """Pairs of rules of which the smaller one's records are, by this share, records of the other too. usable: from ``usable_samples``."""
     # a record's rules are no more than the rules there are; pairs are counted before they are shuffled
-    used = usable_samples(samples).where("outcome = 'used'")
+    used = usable.where("outcome = 'kept'")
     rules = used.groupBy("target_table", "row_key").agg(F.array_sort(F.collect_set("rule_id")).alias("rules"))
-    sizes = rules.select("target_table", F.explode("rules").alias("rule_id")).groupBy("target_table", "rule_id").agg(F.count("*").alias("n"))
+    sizes = rules.select("target_table", "row_key", F.explode("rules").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n"))
     with_later = F.flatten(F.transform("rules", lambda a, i: F.transform(F.slice("rules", i + 2, F.size("rules")), lambda b: F.struct(a.alias("rule_a"), b.alias("rule_b")))))
-    pairs = rules.select("target_table", F.inline(with_later)).groupBy("target_table", "rule_a", "rule_b").agg(F.count("*").alias("shared"))
+    pairs = rules.select(F.inline(with_later)).groupBy("rule_a", "rule_b").agg(F.count("*").alias("shared"))
     for side in ("a", "b"):
-        pairs = pairs.join(sizes.select("target_table", F.col("rule_id").alias(f"rule_{side}"), F.col("n").alias(f"n_{side}")), ["target_table", f"rule_{side}"])
-    return pairs.withColumn("ratio", F.col("shared").cast("double") / F.least("n_a", "n_b")).where(F.col("ratio") >= ratio)
+        pairs = pairs.join(sizes.select(F.col("rule_id").alias(f"rule_{side}"), F.col("n").alias(f"n_{side}")), f"rule_{side}")
+    return pairs.withColumn("ratio", F.col("shared").cast("double") / F.least("n_a", "n_b")).where(F.col("ratio") >= ratio).select("rule_a", "rule_b", "shared", "ratio")
 
 
-def dropped_samples(samples: DataFrame) -> DataFrame:
-    """G5."""
-    return usable_samples(samples).groupBy("outcome").agg(F.count("*").alias("rows"), F.countDistinct("row_key").alias("records"), F.countDistinct("rule_id").alias("rules"))
+def dropped_samples(usable: DataFrame) -> DataFrame:
+    """Per outcome its rows, records (a rule's) and rules. usable: from ``usable_samples``."""
+    return usable.groupBy("outcome").agg(F.count("*").alias("rows"), F.countDistinct("rule_id", "row_key").alias("records"), F.countDistinct("rule_id").alias("rules"))
 
 
 def problem_edges(history: DataFrame, shared: DataFrame) -> DataFrame:
-    """a, b, reason: regressions that began on one day, and rules that share records. Each day's rules hang on its first one."""
+    """a, b, reason: regressions that began on one day, two at least, and rules that share records. Each day's rules hang on its first one."""
     days = history.where("kind = 'regression'").withColumn("day", F.to_date("first_breach"))
-    first = days.groupBy("day").agg(F.min("rule_id").alias("a"))
-    moved = days.join(first, "day").where("rule_id <> a").select("a", F.col("rule_id").alias("b"), F.concat(F.lit("began on "), F.col("day").cast("string")).alias("reason"))
+    first = days.groupBy("day").agg(F.min("rule_id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    together = F.concat(F.lit("co-movement: all "), F.col("n").cast("string"), F.lit(" were clean and first breached on "), F.col("day").cast("string"))
+    moved = days.join(first, "day").where("rule_id <> a").select("a", F.col("rule_id").alias("b"), together.alias("reason"))
     known = history.select("rule_id")
     rows = shared.join(known.withColumnRenamed("rule_id", "rule_a"), "rule_a", "left_semi").join(known.withColumnRenamed("rule_id", "rule_b"), "rule_b", "left_semi")
-    return moved.unionByName(rows.select(F.col("rule_a").alias("a"), F.col("rule_b").alias("b"), F.lit("share records").alias("reason")))
+    both = F.concat(F.lit("shared rows: "), "rule_a", F.lit(" and "), "rule_b", F.lit(" fail on "), F.col("shared").cast("string"), F.lit(" of the same records ("), F.floor(F.col("ratio") * 100).cast("string"), F.lit("% of the smaller sample)"))
+    return moved.unionByName(rows.select(F.col("rule_a").alias("a"), F.col("rule_b").alias("b"), both.alias("reason")))
+
 
+def form_groups(history: DataFrame, edges: DataFrame, group: DataFrame | None = None) -> DataFrame:
+    """rule_id, problem (its smallest rule), group_key (the day that all began on, else the smallest rule) and basis. A rule without an edge is a problem of its own.
 
-def form_groups(history: DataFrame, edges: DataFrame) -> DataFrame:
-    """rule_id, problem (its smallest rule), reasons. A rule without an edge is a problem of its own."""
-    group = connected(edges)
-    why = edges.join(group, F.col("a") == F.col("node")).groupBy("component").agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("basis"))
-    out = history.join(group, F.col("rule_id") == F.col("node"), "left").select("rule_id", F.coalesce("component", "rule_id").alias("problem"))
-    return out.join(why.withColumnRenamed("component", "problem"), "problem", "left").withColumn("basis", F.coalesce("basis", F.lit("alone")))
+    group: the components of the edges, where they are kept (``extended``).
+    """
+    group = connected(edges) if group is None else group
+    out = history.join(group, F.col("rule_id") == F.col("node"), "left").withColumn("problem", F.coalesce("component", "rule_id"))
+    why = edges.join(group, F.col("a") == F.col("node")).groupBy("component").agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("why"))
+    day = F.to_date("first_breach").cast("string")
+    sizes = out.groupBy("problem").agg(F.count("*").alias("_n"), F.min(day).alias("_day"), F.countDistinct(day).alias("_days"))
+    alone = F.when(F.col("kind") == "chronic", F.concat(F.lit("not grouped - this check stands alone. It has never passed in "), F.col("runs").cast("string"), F.lit(" runs"))).otherwise(
+        F.concat(F.lit("not grouped - this check first breached on "), day, F.lit(" and no other check broke on that date")))
+    made = out.join(sizes, "problem").join(why.withColumnRenamed("component", "problem"), "problem", "left")
+    key = F.when((F.col("_n") > 1) & (F.col("_days") == 1), F.col("_day")).otherwise(F.col("problem"))
+    return made.select("rule_id", "problem", key.alias("group_key"), F.when(F.col("_n") == 1, alone).otherwise(F.coalesce("why", F.lit(""))).alias("basis"))
 
 
 def prior_problems(failing_rules: DataFrame, state: DataFrame) -> DataFrame:
@@ -89,13 +119,24 @@ def prior_problems(failing_rules: DataFrame, state: DataFrame) -> DataFrame:
     return each.join(failing_rules.select("rule_id"), "rule_id", "left_semi")
 
 
+def _event_label() -> Column:
+    said = F.when(F.trim("decision") != "", F.concat(F.lit(" ("), "decision", F.lit(")"))).otherwise("")
+    ended = F.when(F.col("event_type") == "verified", F.when(F.col("verification_passed"), " PASSED").otherwise(" FAILED")).otherwise("")
+    return F.concat("event_type", F.coalesce(said, F.lit("")), ended)
+
+
 def event_chain(disposition: DataFrame) -> DataFrame:
-    """Each problem's events in order, as text."""
-    label = F.concat_ws(":", "event_type", F.col("decision"))
-    cells = F.array_sort(F.collect_list(F.struct("event_seq", label.alias("label"))))
+    """Each problem's events in order, as text: with the decision, and how a verification ended."""
+    cells = F.array_sort(F.collect_list(F.struct("event_seq", _event_label().alias("label"))))
     return disposition.groupBy("cohort_id").agg(F.array_join(F.transform(cells, lambda c: c["label"]), " > ").alias("chain"))
 
 
+def steward_notes(disposition: DataFrame, who: str = "actor_identity") -> DataFrame:
+    """cohort_id, event_seq, day, event, who, reason of the events that give one."""
+    said = disposition.where(F.trim("reason") != "")
+    return said.select("cohort_id", "event_seq", F.to_date("event_ts").alias("day"), _event_label().alias("event"), F.col(who).alias("who"), F.trim("reason").alias("reason"))
+
+
 def recurrences(failing_rules: DataFrame, state: DataFrame, days: int = 30) -> DataFrame:
     """Per failing rule, whether a problem with it was verified closed within ``days`` before (failing_rules has run_ts)."""
     each = state.where("lifecycle_state = 'closed_verified'").select("verified_ts", F.explode("member_rule_ids").alias("rule_id"))
@@ -125,10 +166,11 @@ def problem_rollup(groups: DataFrame, breaches: DataFrame) -> DataFrame:
 
 
 def playbook_candidates(rules: DataFrame, playbooks: DataFrame) -> DataFrame:
-    """By rule, else by type where the playbook names no rule: two equi-joins instead of one OR."""
+    """A rule's own playbooks, and those of its type that name no rule: two equi-joins instead of one OR."""
+    blank = F.trim(F.coalesce("rule_id", F.lit(""))) == ""
     own = rules.join(playbooks.select("playbook_id", "rule_id"), "rule_id").select("rule_id", "playbook_id", F.lit("rule").alias("by"))
-    kind = rules.join(playbooks.where("rule_id is null").select("playbook_id", "rule_type"), "rule_type").select("rule_id", "playbook_id", F.lit("type").alias("by"))
-    return own.unionByName(kind.join(own.select("rule_id"), "rule_id", "left_anti"))
+    kind = rules.join(playbooks.where(blank).select("playbook_id", "rule_type"), "rule_type").select("rule_id", "playbook_id", F.lit("type").alias("by"))
+    return own.unionByName(kind)
 
 
 def element_context(problems: DataFrame, coverage: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.scalar import local_day
 from assaykit.operators.registers import SYDNEY, raised, rule_elements, score
-from assaykit.sources.relations import latest
+from assaykit.sources.relations import checkpointed, latest
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -224,11 +224,35 @@ def mode_of(df: DataFrame, by: str, column: str) -> DataFrame:
     return counts.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(by, column)
 
 
-def table_overview(verdicts: DataFrame) -> DataFrame:
-    """A table's health on one run, with its commonest owner."""
-    rows = verdicts.groupBy("target_table").agg(F.count_if(F.col("status").isin("pass", "breach")).alias("checks"), F.count_if(_is("pass")).alias("passing"), F.count_if(_is("breach")).alias("breaching"), F.count_if(_is("breach") & (F.col("severity") == "P1_block")).alias("p1"))
+def checks_passing(df: DataFrame, *by: str) -> DataFrame:
+    """The share of raised checks that pass, in percent."""
+    return df.where(F.col("status").isin("pass", "breach")).groupBy(*by).agg(F.max("run_ts").alias("run_ts"), percent(F.count_if(_is("pass")), F.count("*")).alias("score_pct"))
+
+
+def table_overview(check_run: DataFrame, run: DataFrame, days: int = 30) -> DataFrame:
+    """Per table of the run (one row, run_id) with a raised check: health, figures, the domain and owner that most raised checks carry (the smallest of those that tie), and its history: (run_ts, score)
+    of each run within ``days`` before its newest raised one, oldest first, with the last change."""
+    on = on_run(check_run, run)
+    rows = on.where(F.col("status").isin("pass", "breach"))
+    breach = _is("breach")
+    made = rows.groupBy("target_table").agg(
+        F.count("*").alias("checks"), F.count_if(_is("pass")).alias("passing"), F.count_if(breach).alias("breaching"), F.count_if(breach & (F.col("severity") == "P1_block")).alias("p1"),
+        F.coalesce(F.sum(F.when(breach, F.col("violation_count"))), F.lit(0)).alias("findings"), F.max("rows_scanned").alias("rows"),
+    )
     status = F.when(F.col("p1") > 0, "Critical").when(F.col("breaching") > 0, "Needs attention").otherwise("Healthy")
-    return rows.withColumns({"status": status, "passing_pct": ratio(F.col("passing") * 100.0, F.col("checks"))}).join(mode_of(verdicts, "target_table", "owner_group"), "target_table", "left")
+    made = made.withColumns({"status": status, "score_pct": percent(F.col("passing"), F.col("checks"))})
+    for column in ("owner_group", "business_domain"):
+        made = made.join(mode_of(rows, "target_table", column), "target_table", "left")
+    made = made.join(on.groupBy("target_table").agg(F.max("run_ts").alias("last_run")), "target_table")
+    each = checks_passing(check_run, "target_table", "run_id")
+    newest = each.groupBy("target_table").agg(F.max("run_ts").alias("_newest"))
+    # a point for each run in the window
+    points = each.join(newest, "target_table").where(F.col("run_ts") >= F.col("_newest") - F.make_dt_interval(F.lit(days)))
+    history = points.groupBy("target_table").agg(F.array_sort(F.collect_list(F.struct("run_ts", "score_pct"))).alias("history"))
+    out = made.join(history, "target_table", "left")
+    change = F.when(F.size("history") > 1, F.element_at("history", -1)["score_pct"] - F.try_element_at("history", F.lit(-2))["score_pct"])
+    words = F.when(F.col("change").isNull(), "No prior run").when(F.abs("change") < 0.05, "No change").otherwise(F.concat(F.when(F.col("change") > 0, "↑ ").otherwise("↓ "), F.format_string("%.1f pts", F.abs("change"))))
+    return out.withColumn("change", change).withColumn("change_words", words)
 
 
 def failing_first(c: Column) -> Column:
@@ -247,21 +271,64 @@ def proposal_counts(proposals: DataFrame, state: str = "review_state") -> DataFr
     return proposals.groupBy(state).agg(F.count("*").alias("proposals"))
 
 
+STATES = ("Failing", "Not run", "Shadow", "Passing")
+
+
 def cross_table_checks(rules: DataFrame, check_run: DataFrame) -> DataFrame:
-    """Rules over more than one table with their last verdict and how often they ran."""
-    last = check_run.groupBy("rule_id").agg(F.max_by("status", F.struct("run_ts", "result_id")).alias("verdict"), F.count("*").alias("runs"))
-    return rules.where("join_sql is not null").select("rule_id", "join_sql", "target_table", "status").join(last, "rule_id", "left")
+    """Active and shadow rules over more than one table, with what they compare, the tables they read, their latest measurement and their state."""
+    last = check_run.where("status <> 'error'").groupBy("rule_id").agg(F.max_by(F.struct("rows_scanned", "violation_count", "violation_pct", "run_ts", "run_id"), F.struct("run_ts", "result_id")).alias("_k"), F.count("*").alias("runs"))
+    live = rules.where(F.col("status").isin("active", "shadow") & (F.trim("join_sql") != "")).join(last, "rule_id", "left")
+    short = lambda c: F.regexp_extract(c, r"([^.]+)$", 1)
+    tables = F.regexp_extract_all(F.regexp_replace("join_sql", "'[^']*'", "''"), F.lit(r"(?i)\b(?:from|join)\s+([\w.]+)"), F.lit(1))
+    others = F.array_except(F.array_distinct(tables), F.array("target_table"))
+    limit = F.coalesce("fail_threshold_pct", F.lit(0.0))
+    state = F.when(F.col("status") == "shadow", "Shadow").when(F.col("_k").isNull(), "Not run").when(F.col("_k.violation_pct") > limit, "Failing").otherwise("Passing")
+    kind = F.when(F.col("rule_type") == "referential", "Missing record").when(F.contains("join_sql", F.lit("__present")), "Same total").otherwise("Same value")
+    out = live.withColumns({"others": others, "state": state, "kind": kind})
+    named = F.array_join(F.concat(F.array(short(F.col("target_table"))), F.transform("others", short)), " → ")
+    key = F.array_join(F.concat(F.array("target_table"), F.array_sort("others")), "|")
+    return out.select("rule_id", "kind", "target_table", "others", named.alias("relationship"), key.alias("relationship_key"), "severity", "status", "state", F.coalesce("runs", F.lit(0)).alias("runs"), F.col("_k.rows_scanned").alias("checked"),
+                      F.col("_k.violation_count").alias("failing_rows"), (F.lit(100.0) - F.col("_k.violation_pct")).alias("rate_pct"), F.col("_k.run_ts").alias("run_ts"), F.col("_k.run_id").alias("run_id"))
+
+
+def relationships(checks: DataFrame) -> DataFrame:
+    """The relationships that the checks read, with their checks counted by state. checks: from ``cross_table_checks``."""
+    counts = [F.count_if(F.col("state") == s).alias(s.lower().replace(" ", "_")) for s in STATES]
+    return checks.groupBy("relationship_key").agg(F.min("relationship").alias("relationship"), F.count("*").alias("checks"), *counts, F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
 def element_history(tolerance: DataFrame) -> DataFrame:
-    """Order statistics of an element's failing share over its runs, exact."""
+    """Exact order statistics of an element's failing share over its runs, how many runs were not within tolerance (disputed ones too), and the last ten shares, oldest first."""
     fail = F.lit(100.0) - F.col("score_pct")
     rows = tolerance.where("score_pct is not null").withColumn("fail_pct", fail)
-    outside = F.col("tolerance_pct").isNotNull() & (F.col("fail_pct") > F.col("tolerance_pct") + 1e-9)
-    return rows.groupBy("cde_id").agg(
-        F.count("*").alias("runs_observed"), F.count_if(outside).alias("runs_outside"), F.min("fail_pct").alias("fail_pct_min"), F.median("fail_pct").alias("fail_pct_median"),
+    order = Window.partitionBy("cde_id").orderBy(F.desc("run_ts"), F.desc("run_id"))
+    tail = rows.withColumn("_n", F.row_number().over(order)).where("_n <= 10").groupBy("cde_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("run_ts", "run_id", "fail_pct"))), lambda x: F.round(x["fail_pct"], 3)).alias("last_10"))
+    made = rows.groupBy("cde_id").agg(
+        F.count("*").alias("runs_observed"), F.count_if(~F.col("within_tolerance")).alias("runs_outside"), F.bool_or("scope_disputed").alias("scope_disputed"), F.min("fail_pct").alias("fail_pct_min"), F.median("fail_pct").alias("fail_pct_median"),
         F.percentile("fail_pct", 0.9).alias("fail_pct_p90"), F.max("fail_pct").alias("fail_pct_max"), F.max_by("fail_pct", F.struct("run_ts", "run_id")).alias("latest_fail_pct"),
     )
+    return made.join(tail, "cde_id")
+
+
+def element_checks(rules: DataFrame, check_run: DataFrame, escalation: DataFrame) -> DataFrame:
+    """Active rules with their verdict on the latest run that raised any, and whether their breach was held back there."""
+    run = check_run.where(F.col("status").isin("pass", "breach")).agg(F.max_by("run_id", F.struct("run_ts", "run_id")).alias("run_id"))
+    now = on_run(check_run, run).select("rule_id", F.col("status").alias("latest_status"), F.col("violation_pct").alias("latest_violation_pct"))
+    held = on_run(escalation, run).groupBy("rule_id").agg(F.bool_or(~F.col("escalates")).alias("held"))
+    out = rules.where("status = 'active'").select("cde_id", "rule_id", "rule_type", "severity").join(now, "rule_id", "left").join(held, "rule_id", "left")
+    return out.withColumn("held", F.coalesce("held", F.lit(False)))
+
+
+def order_statistics(df: DataFrame, by: str, value: str, shares: list[float], most: int = 10_000, k: int = 800) -> DataFrame:
+    """By, n, quantiles (one for each share), exact: from all values where a group has at most ``most``, from a KLL sketch beyond.
+
+    A sketch is a few KB for a group of any size and merges over tasks, so no group is held in one task; with k = 800 its ranks are within 0.4 % of the group's size.
+    """
+    sketch = F.kll_sketch_agg_double(F.col(value).cast("double"), k)
+    sizes = checkpointed(df.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), sketch.alias("_s")))
+    small = df.join(sizes.where(F.col("n") <= most).select(by), by, "left_semi").groupBy(by).agg(F.percentile(F.col(value).cast("double"), F.array(*map(F.lit, shares))).alias("_exact"))
+    guess = F.array(*[F.kll_sketch_get_quantile_double("_s", F.lit(float(s))) for s in shares])
+    return sizes.join(small, by, "left").select(by, "n", F.coalesce("_exact", guess).alias("quantiles"), F.col("_exact").isNotNull().alias("exact"))
 
 
 def unresolved_members(cohort_results: DataFrame, check_run: DataFrame) -> DataFrame:

@@ -111,20 +111,28 @@ def decide_binding(columns: DataFrame, rates: DataFrame, known: DataFrame, hints
     return out.select("column", made.alias("_made")).select("column", "_made.*")
 
 
-def pending(columns: DataFrame, bound: DataFrame, proposals: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Columns (target_table, target_column) neither bound nor proposed and undecided or approved."""
+def pending(columns: DataFrame, bound: DataFrame, proposals: DataFrame, reviews: DataFrame, tags: DataFrame) -> DataFrame:
+    """Columns (target_table, target_column) that discovery should look at: not bound, and not settled.
+
+    A proposal that is open or approved settles its column. A column of which all were rejected comes back only if it has a tag now and no proposal was made by tag
+    (method 'uc_tag') before. tags: target_table, target_column.
+    """
     key = ["target_table", "target_column"]
-    rejected = proposals.join(reviews.where("decision = 'rejected'").select("proposal_id"), "proposal_id", "left_semi")
-    held = proposals.join(rejected.select("proposal_id"), "proposal_id", "left_anti")
-    return columns.join(bound.select(*key), key, "left_anti").join(held.select(*key), key, "left_anti")
+    decided = proposals.join(reviews.select("proposal_id", "decision"), "proposal_id", "left").groupBy(*key).agg(
+        F.bool_and(F.coalesce(F.col("decision") == "rejected", F.lit(False))).alias("_rejected"), F.bool_or(F.col("method") == "uc_tag").alias("_by_tag"))
+    tagged = tags.select(*key).distinct().withColumn("_tagged", F.lit(True))
+    settled = decided.join(tagged, key, "left").where(~(F.col("_rejected") & F.coalesce("_tagged", F.lit(False)) & ~F.coalesce("_by_tag", F.lit(False))))
+    return columns.join(bound.select(*key), key, "left_anti").join(settled.select(*key), key, "left_anti")
 
 
 def evaluate_discovery(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """Outcome, n of found (column, cde_id) against truth (column, cde_id)."""
-    t = truth.select("column", F.col("cde_id").alias("true_id"))
-    both = found.join(t, "column", "full_outer")
-    outcome = F.when(F.col("true_id").isNull(), F.when(F.col("cde_id").isNotNull(), "spurious").otherwise("undecided")).when(F.col("cde_id").isNull(), "missed").when(F.col("cde_id") == F.col("true_id"), "correct").otherwise("wrong")
-    return both.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    """Outcome, n of found (column, cde_id, why) against truth (column, cde_id). A wanted column that several patterns fit is undecided, not missed; one that is bound nowhere and was left alone is right and not counted."""
+    t = truth.where("cde_id is not null").select("column", F.col("cde_id").alias("true_id"))
+    both = found.join(t, "column", "left")
+    want, got = F.col("true_id").isNotNull(), F.col("cde_id").isNotNull()
+    unsure = F.coalesce(F.col("why").contains("patterns") | F.col("why").contains("several"), F.lit(False))
+    outcome = F.when(got & want, F.when(F.col("cde_id") == F.col("true_id"), "correct").otherwise("wrong element")).when(got, "spurious").when(want, F.when(unsure, "undecided").otherwise("missed"))
+    return both.withColumn("outcome", outcome).where("outcome is not null").groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 # The formats that a text column of dates is tried in, with the order of their fields.

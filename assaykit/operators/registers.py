@@ -137,11 +137,11 @@ def coverage(elements: DataFrame, rules: DataFrame, check_run: DataFrame, profil
 
 
 def coverage_summary(cov: DataFrame) -> DataFrame:
-    """H6."""
+    """H6. Critical gaps are those of critical and of high elements."""
     gap = F.col("coverage_gap") != "covered"
     return cov.agg(
-        F.count("*").alias("bindings"), F.countDistinct("cde_id").alias("elements"), (F.count_if(~gap) * 100.0 / F.count("*")).alias("covered_pct"), F.count_if(gap).alias("gaps"),
-        F.count_if(gap & (F.col("criticality") == "critical")).alias("critical_gaps"), F.count_if("never_profiled").alias("unprofiled"), F.count_if(F.size("unscoped_rule_ids") > 0).alias("mismatches"),
+        F.count("*").alias("bindings"), F.countDistinct("cde_id").alias("elements"), F.count_if(~gap).alias("covered"), F.round(F.try_divide(F.count_if(~gap) * 100.0, F.count("*")), 1).alias("covered_pct"), F.count_if(gap).alias("gaps"),
+        F.count_if(gap & F.col("criticality").isin("critical", "high")).alias("critical_gaps"), F.count_if("never_profiled").alias("unprofiled"), F.count_if(F.size("unscoped_rule_ids") > 0).alias("mismatches"),
     )
 
 
@@ -244,9 +244,14 @@ def onboarding_status(monitored: DataFrame, open_proposals: DataFrame, bound: Da
 
 
 def onboarding_summary(monitored: DataFrame, status: DataFrame) -> DataFrame:
-    """H14."""
+    """Tables by stage, and what waits in them: waiting tables stand at a step that a person takes."""
     paused = monitored_current(monitored).agg(F.count_if(F.col("status") == "paused").alias("paused"))
-    return status.agg(F.count("*").alias("selected"), F.count_if(F.col("proposals_open") > 0).alias("waiting"), F.sum("rules_shadow").alias("shadow"), F.sum("rules_active").alias("active")).crossJoin(paused)
+    stage = F.substring("stage", 1, 1)
+    waiting, shadow = stage.isin("2", "5"), stage.isin("4", "5")
+    return status.agg(
+        F.count("*").alias("selected"), F.count_if(waiting).alias("waiting"), F.coalesce(F.sum("proposals_open"), F.lit(0)).alias("waiting_bindings"), F.count_if(shadow).alias("shadow"),
+        F.coalesce(F.sum(F.when(shadow, F.col("rules_shadow"))), F.lit(0)).alias("shadow_checks"), F.count_if(stage == "6").alias("active"),
+    ).crossJoin(paused)  # one row each
 
 
 def cde_proposal_current(proposals: DataFrame, reviews: DataFrame, registry: DataFrame) -> DataFrame:
@@ -313,10 +318,11 @@ def retire_rules(rules: DataFrame, retired_elements: DataFrame) -> DataFrame:
 
 
 def shadow_evidence(rules: DataFrame, check_run: DataFrame) -> DataFrame:
-    """Each current rule with its latest measurement, how often it was measured, and whether it would breach."""
-    order = Window.partitionBy("rule_id").orderBy(F.desc("run_ts"), "result_id")
-    measured = check_run.where("status <> 'error'").select("rule_id", "violation_pct", F.row_number().over(order).alias("_n"), F.count("*").over(Window.partitionBy("rule_id")).alias("runs_measured")).where("_n = 1").drop("_n")
-    return rules.join(measured, "rule_id", "left").withColumn("would_breach", F.coalesce(F.col("violation_pct") > F.col("fail_threshold_pct"), F.lit(False)))
+    """Each current rule with what its latest run measured, in how many runs it was, and whether it would breach its limit as it is now; NULL where nothing was measured."""
+    newest = F.struct("run_ts", "result_id")
+    measured = check_run.groupBy("rule_id").agg(F.max_by(F.struct("violation_count", "rows_scanned", "violation_pct"), newest).alias("_m"), F.countDistinct("run_id").alias("runs_measured"))
+    out = rules.join(measured, "rule_id", "left").select(*rules.columns, F.coalesce("runs_measured", F.lit(0)).alias("runs_measured"), "_m.*")
+    return out.withColumn("would_breach", F.when(F.col("violation_pct").isNotNull(), (F.col("violation_pct") > F.col("fail_threshold_pct")) & (F.coalesce("violation_count", F.lit(0)) > 0)))
 
 
 def unmeasured_tables(monitored: DataFrame, rules: DataFrame, check_run: DataFrame) -> DataFrame:
@@ -333,6 +339,23 @@ def slice_breaks(check_run: DataFrame) -> DataFrame:
     return runs.withColumns({"was": was, "_n": n}).where((F.col("_n") > 1) & ~F.col("was").eqNullSafe(F.col("slice_version"))).drop("_n")
 
 
+def run_population(check_run: DataFrame) -> DataFrame:
+    """Per table, the rows and the slice of its latest run that recorded them; tables of which none did are left out."""
+    known = check_run.where("table_rows is not null")
+    return known.groupBy("target_table").agg(F.max_by(F.struct("table_rows", "slice_rows", "slice_version", "run_ts"), F.struct("run_ts", "result_id")).alias("_r")).select("target_table", "_r.*")
+
+
+def retire_impact(elements: DataFrame, rules: DataFrame, cohorts: DataFrame) -> DataFrame:
+    """What retiring each element would take with it: its bindings as table.column, its active and shadow rules, and the problems that hold any of them."""
+    mine = rules.where("status <> 'retired' and cde_id is not null").select("cde_id", "rule_id", "status")
+    by = mine.groupBy("cde_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("status") == s, F.col("rule_id")))).alias(s) for s in ("active", "shadow")])
+    held = cohorts.select("cohort_id", F.explode("member_rule_ids").alias("rule_id")).join(mine, "rule_id").groupBy("cde_id").agg(F.array_sort(F.collect_set("cohort_id")).alias("problems"))
+    none = F.array().cast("array<string>")
+    place = F.transform("bindings", lambda b: F.concat(F.regexp_extract(b["target_table"], r"([^.]+)$", 1), F.lit("."), b["target_column"]))
+    out = elements.select("cde_id", F.coalesce(place, none).alias("bindings")).join(by, "cde_id", "left").join(held, "cde_id", "left")
+    return out.select("cde_id", "bindings", *[F.coalesce(c, none).alias(c) for c in ("active", "shadow", "problems")])
+
+
 def over_tolerance(rules: DataFrame, elements: DataFrame) -> DataFrame:
     """Rules that let more fail than their element tolerates."""
     return rules.join(elements.select("cde_id", "tolerance_pct"), "cde_id").where("fail_threshold_pct > tolerance_pct").select("rule_id", "cde_id", "fail_threshold_pct", "tolerance_pct")
@@ -344,11 +367,15 @@ def blended_target(tolerance: DataFrame) -> DataFrame:
     return tolerance.groupBy("run_id").agg((F.sum(rows * F.col("target_pct")) / F.sum(rows)).alias("target_pct"))
 
 
-def excluded_bindings(proposals: DataFrame, reviews: DataFrame, mark: str = "exclude:") -> DataFrame:
-    """Columns whose latest decision is a rejection that says so."""
-    order = Window.partitionBy("target_table", "target_column").orderBy(F.desc("reviewed_seq"))
-    last = proposals.join(reviews, "proposal_id").withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return last.where((F.col("decision") == "rejected") & F.col("reason").startswith(mark)).select("target_table", "target_column")
+# Fixed value: how the reason of an exclusion begins.
+EXCLUDED = "[excluded at promotion]"
+
+
+def excluded_bindings(proposals: DataFrame, reviews: DataFrame, mark: str = EXCLUDED) -> DataFrame:
+    """Columns and elements whose latest decision is a rejection that says so."""
+    key = ["target_table", "target_column", "cde_id"]
+    last = proposals.join(reviews, "proposal_id").groupBy(*key).agg(F.max_by(F.struct("decision", "reason"), F.struct("reviewed_seq", "proposal_id")).alias("_d"))
+    return last.where((F.col("_d.decision") == "rejected") & F.col("_d.reason").startswith(mark)).select(*key)
 
 
 #: The event that a person may author in a state. Verification is the check runner's alone, so a problem that awaits it offers none.
@@ -401,11 +428,28 @@ def decommission(rules: DataFrame, keep: DataFrame, table: str) -> DataFrame:
     return rules.where(F.col("target_table") == table).join(keep.select("rule_id"), "rule_id", "left_anti").withColumns({"rule_version": F.col("rule_version") + 1, "status": F.lit("retired")})
 
 
-def slice_state(check_run: DataFrame, monitored: DataFrame) -> DataFrame:
-    """Per selected table, the slice version last run and whether a newer table version carries it on."""
-    last = check_run.groupBy("target_table").agg(F.max_by("slice_version", F.struct("run_ts", "result_id")).alias("slice_version"))
-    state = F.when(F.col("slice_version").isNull(), "none").when(F.col("slice_version") < F.col("table_version"), "carried forward").otherwise("in force")
-    return monitored_current(monitored).join(last, "target_table", "left").select("target_table", "table_version", "slice_version", state.alias("state"))
+_PROPOSED = ("slice_proposed_filter", "slice_proposed_by")
+
+
+def slice_state(monitored: DataFrame) -> DataFrame:
+    """Per table, the slice in force and the proposal that waits for a second person. A decided proposal stays on the version that decided it, but is pending no more."""
+    now = monitored_current(monitored)
+    waits = F.col("slice_proposed_by").isNotNull() & ~F.coalesce(F.col("slice_change").isin("approved", "rejected"), F.lit(False))
+    return now.select("target_table", "table_version", "slice_filter", "slice_version", *[F.when(waits, F.col(c)).alias(c.replace("proposed", "pending")) for c in _PROPOSED])
+
+
+def carry_forward(monitored: DataFrame, status: str) -> DataFrame:
+    """The next version of each table, with another status and its slice as it is: what is in force always, a proposal while it is pending, what was done to the slice never."""
+    held = slice_state(monitored).select("target_table", *[c.replace("proposed", "pending") for c in _PROPOSED])
+    next_ = monitored_current(monitored).join(held, "target_table").withColumns({"table_version": F.col("table_version") + 1, "status": F.lit(status), "slice_change": F.lit(None).cast("string"), **{c: F.col(c.replace("proposed", "pending")) for c in _PROPOSED}})
+    return next_.select(*monitored.columns)
+
+
+def slice_decision_fault(proposed_by: Column, reviewer: Column, decision: Column, reason: Column, allow_self: bool = False) -> Column:
+    """Why a decision on a slice is refused, NULL if it is not: one's own proposal may be withdrawn but not approved, and a rejection says why."""
+    own = F.lower(F.coalesce(proposed_by, F.lit(""))) == F.lower(F.coalesce(reviewer, F.lit("")))
+    known = F.coalesce(decision.isin("approved", "rejected"), F.lit(False))
+    return F.when(~known, "unknown decision").when((decision == "approved") & own & F.lit(not allow_self), "second person needed").when((decision == "rejected") & (F.trim(F.coalesce(reason, F.lit(""))) == ""), "no reason")
 
 
 def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -357,6 +357,14 @@ def c8(t):
     return consistency.join_test(t.customer, "c_custkey", t.orders, "o_custkey")
 
 
+@query("c8_hop_tests", """
+    WITH a AS (SELECT l_suppkey, o_custkey, k FROM lineitem LEFT JOIN (SELECT o_orderkey AS k, o_custkey FROM orders WHERE o_orderstatus <> 'P') ON k = l_orderkey), b AS (SELECT c FROM a LEFT JOIN (SELECT c_custkey AS c FROM customer WHERE c_mktsegment <> 'BUILDING') ON c = o_custkey WHERE k IS NOT NULL)
+    SELECT 0 AS hop, COUNT(*) AS rows, COUNT(k) AS matched, ROUND(COUNT(k) * 100.0E0 / COUNT(*), 6) AS match_pct, 0 AS fanout FROM a UNION ALL SELECT 1, COUNT(*), COUNT(c), ROUND(COUNT(c) * 100.0E0 / COUNT(*), 6), 0 FROM b""")
+def c8_hops(t):
+    hops = [consistency.Hop(t.orders.where("o_orderstatus <> 'P'"), (("l_orderkey", "o_orderkey"),)), consistency.Hop(t.customer.where("c_mktsegment <> 'BUILDING'"), (("o_custkey", "c_custkey"),))]
+    return consistency.hop_tests(t.lineitem, hops).withColumn("match_pct", F.round("match_pct", 6))
+
+
 @query("c9_join_type_check", "SELECT 'l_orderkey' AS left_column, 'o_orderkey' AS right_column, TRUE AS same UNION ALL SELECT 'l_linenumber', 'o_custkey', FALSE")
 def c9(t):
     found = consistency.join_type_check(t.lineitem, t.orders, [("l_orderkey", "o_orderkey"), ("l_linenumber", "o_custkey")])
@@ -416,6 +424,17 @@ def d7(t):
     return t.lineitem.groupBy("l_suppkey").agg(F.min(c).alias("lo"), F.median(c).alias("mid"), F.percentile(c, 0.9).alias("p90"), F.max(c).alias("hi"))
 
 
+@query("d7_bounded_statistics", "SELECT l_returnflag, COUNT(*) AS n, COUNT(*) <= 20000 AS exact, CASE WHEN COUNT(*) <= 20000 THEN ROUND(median(l_extendedprice), 4) END AS mid, CASE WHEN COUNT(*) <= 20000 THEN ROUND(quantile_cont(l_extendedprice, 0.9), 4) END AS p90, TRUE AS near FROM lineitem GROUP BY 1")
+def d7_bounded(t):
+    """Groups of at most 20,000 rows exactly; of the others a sketch's quantiles, whose ranks are held against the rows: within 1 % of the group's size."""
+    c = "l_extendedprice"
+    made = metrics.order_statistics(t.lineitem, "l_returnflag", c, [0.5, 0.9], most=20_000)
+    ranks = t.lineitem.join(made, "l_returnflag").groupBy("l_returnflag", "n", "exact", "quantiles").agg(*[F.count_if(F.col(c) <= F.col("quantiles")[i]).alias(f"r{i}") for i in range(2)])
+    near = (F.abs(F.col("r0") / F.col("n") - 0.5) <= 0.01) & (F.abs(F.col("r1") / F.col("n") - 0.9) <= 0.01)
+    shown = lambda i: F.when(F.col("exact"), F.round(F.col("quantiles")[i], 4))
+    return ranks.select("l_returnflag", "n", "exact", shown(0).alias("mid"), shown(1).alias("p90"), near.alias("near"))
+
+
 @query("d8_having", "SELECT l_orderkey, l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1")
 def d8(t):
     return t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
@@ -704,6 +723,15 @@ def i13(t):
     return profiling.suggest_row_key(t.customer.select("c_name", "c_custkey", "c_nationkey"))
 
 
+@query("j23_rewritten", "SELECT 'rows_left_only' AS item, 0 AS n UNION ALL SELECT 'rows_right_only', (SELECT COUNT(*) FROM nation) UNION ALL SELECT 'column_c_name', 0 UNION ALL SELECT 'column_c_mktsegment', (SELECT COUNT(*) FROM customer WHERE c_mktsegment = 'BUILDING') UNION ALL SELECT 'rewritten_zone', 1 UNION ALL SELECT 'right_only_column_extra', -1")
+def j23_rewritten(t):
+    """A side whose names carry a zone, some segments changed, and rows and a column of its own."""
+    left = t.customer.select("c_custkey", "c_name", "c_mktsegment")
+    right = left.select("c_custkey", F.concat("c_name", F.lit("+10:00")).alias("c_name"), F.when(F.col("c_mktsegment") == "BUILDING", "HOUSE").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+    more = t.nation.select((-F.col("n_nationkey") - 1).cast(left.schema["c_custkey"].dataType).alias("c_custkey"), F.col("n_name").alias("c_name"), F.lit("x").alias("c_mktsegment"))
+    return consistency.table_diff(left, right.unionByName(more).withColumn("extra", F.lit(1)), ["c_custkey"], rewrite={"zone": (r"[+-][0-9]{2}:[0-9]{2}$", "")})
+
+
 @query("j23_table_diff", "SELECT 'rows_left_only' AS item, (SELECT COUNT(*) FROM orders WHERE o_orderstatus = 'P') AS n UNION ALL SELECT 'rows_right_only', 0 UNION ALL SELECT 'column_o_custkey', 0 UNION ALL SELECT 'column_o_totalprice', (SELECT COUNT(*) FROM orders WHERE o_orderstatus = 'O')")
 def j23(t):
     left = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")

@@ -64,7 +64,11 @@ SHARED = {
     "last_run": "SELECT k.* FROM check_run k JOIN sched s ON s.run_id = k.run_id AND s.is_latest",
     "failing_now": "SELECT * FROM check_run WHERE status = 'breach' AND run_id = (SELECT run_id FROM check_run WHERE status <> 'skipped' ORDER BY run_ts DESC, run_id DESC LIMIT 1)",
     "hist": "SELECT k.rule_id, f.first_breach, COUNT(*) FILTER (k.status = 'pass' AND k.run_ts < f.first_breach) AS passes_before, COUNT(*) AS runs FROM check_run k JOIN (SELECT rule_id, MIN(run_ts) AS first_breach FROM check_run WHERE status = 'breach' GROUP BY 1) f ON f.rule_id = k.rule_id WHERE k.rule_id IN (SELECT rule_id FROM failing_now) GROUP BY 1, 2",
-    "skey": "SELECT DISTINCT target_table, rule_id, row_key FROM violation_sample WHERE trim(row_key) <> ''",
+    "on_key": "SELECT DISTINCT k.rule_id FROM check_run k JOIN (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY target_table ORDER BY table_version DESC) AS n FROM monitored_table) WHERE n = 1) m ON m.target_table = k.target_table AND list_contains(string_split(m.key_columns, '|'), k.target_column) WHERE k.run_id IN (SELECT run_id FROM failing_now)",
+    "usable": "SELECT rule_id, target_table, row_key, CASE WHEN rule_id IN (SELECT rule_id FROM on_key) THEN 'rule on the key column' WHEN coalesce(row_key, '') = '' OR regexp_matches(row_key, '(^[|])|([|]$)|([|][|])') THEN 'blank key' ELSE 'kept' END AS outcome FROM violation_sample WHERE run_id IN (SELECT run_id FROM failing_now)",
+    "skey": "SELECT DISTINCT rule_id, target_table, row_key FROM usable WHERE outcome = 'kept'",
+    "sized": "SELECT rule_id, COUNT(*) AS n FROM skey GROUP BY 1",
+    "overlap": "SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, COUNT(*) AS shared, COUNT(*) / least(na.n, nb.n)::DOUBLE AS ratio FROM skey a JOIN skey b ON a.target_table = b.target_table AND a.row_key = b.row_key AND a.rule_id < b.rule_id JOIN sized na ON na.rule_id = a.rule_id JOIN sized nb ON nb.rule_id = b.rule_id GROUP BY 1, 2, na.n, nb.n HAVING COUNT(*) / least(na.n, nb.n)::DOUBLE >= 0.2",
 }
 
 
@@ -116,7 +120,7 @@ def h5(m):
     return m.coverage.select("cde_id", "target_table", "target_column", "rule_count", F.col("breaching_rule_count").cast("long"), "latest_violation_rows", "never_profiled", "coverage_gap")
 
 
-@query("h6_coverage_summary", "SELECT COUNT(*) AS bindings, COUNT(DISTINCT cde_id) AS elements, CAST(COUNT(*) FILTER (coverage_gap = 'covered') AS DOUBLE) * 100.0E0 / COUNT(*) AS covered_pct, COUNT(*) FILTER (coverage_gap <> 'covered') AS gaps, COUNT(*) FILTER (coverage_gap <> 'covered' AND criticality = 'critical') AS critical_gaps, COUNT(*) FILTER (never_profiled) AS unprofiled, COUNT(*) FILTER (unscoped > 0) AS mismatches FROM cov")
+@query("h6_coverage_summary", "SELECT COUNT(*) AS bindings, COUNT(DISTINCT cde_id) AS elements, COUNT(*) FILTER (coverage_gap = 'covered') AS covered, ROUND(CAST(COUNT(*) FILTER (coverage_gap = 'covered') AS DOUBLE) * 100.0E0 / COUNT(*), 1) AS covered_pct, COUNT(*) FILTER (coverage_gap <> 'covered') AS gaps, COUNT(*) FILTER (coverage_gap <> 'covered' AND criticality IN ('critical', 'high')) AS critical_gaps, COUNT(*) FILTER (never_profiled) AS unprofiled, COUNT(*) FILTER (unscoped > 0) AS mismatches FROM cov")
 def h6(m):
     return reg.coverage_summary(m.coverage)
 
@@ -187,7 +191,7 @@ def h13(m):
     return _status(m).select("target_table", "proposals_open", "columns_bound", "rules_shadow", "rules_active", "runs", "stage")
 
 
-@query("h14_onboarding_summary", f"SELECT COUNT(*) AS selected, COUNT(*) FILTER (proposals_open > 0) AS waiting, SUM(rules_shadow)::BIGINT AS shadow, SUM(rules_active)::BIGINT AS active, (SELECT COUNT(*) FROM ({_MON}) WHERE status = 'paused') AS paused FROM ({_STATUS})")
+@query("h14_onboarding_summary", f"SELECT COUNT(*) AS selected, COUNT(*) FILTER (stage IN ('2 bindings awaiting review', '5 shadow, awaiting promotion')) AS waiting, SUM(proposals_open)::BIGINT AS waiting_bindings, COUNT(*) FILTER (stage LIKE '%shadow%') AS shadow, COALESCE(SUM(rules_shadow) FILTER (stage LIKE '%shadow%'), 0)::BIGINT AS shadow_checks, COUNT(*) FILTER (stage = '6 active') AS active, (SELECT COUNT(*) FROM ({_MON}) WHERE status = 'paused') AS paused FROM ({_STATUS})")
 def h14(m):
     return reg.onboarding_summary(m.tables["monitored_table"], _status(m))
 
@@ -240,9 +244,10 @@ def h22(m):
     return reg.retire_rules(m.rules, m.elements.where("criticality = 'critical'")).select("rule_id", "rule_version", "status")
 
 
-@query("h23_shadow_evidence", "SELECT r.rule_id, k.n AS runs_measured, k.pct AS violation_pct, COALESCE(k.pct > r.fail_threshold_pct, FALSE) AS would_breach FROM rules_now r LEFT JOIN (SELECT rule_id, COUNT(*) AS n, arg_max(violation_pct, run_ts) AS pct FROM check_run WHERE status <> 'error' GROUP BY 1) k USING (rule_id)")
+@query("h23_shadow_evidence", "SELECT r.rule_id, COALESCE(k.n, 0) AS runs_measured, k.violations AS violation_count, k.pct AS violation_pct, CASE WHEN k.pct IS NOT NULL THEN k.pct > r.fail_threshold_pct AND COALESCE(k.violations, 0) > 0 END AS would_breach FROM rules_now r LEFT JOIN (SELECT rule_id, COUNT(DISTINCT run_id) AS n, arg_max(violation_pct, run_ts) AS pct, arg_max(violation_count, run_ts) AS violations FROM check_run WHERE rule_id NOT LIKE 'view%' GROUP BY 1) k USING (rule_id)")
 def h23(m):
-    return reg.shadow_evidence(m.rules, m.runs).select("rule_id", "runs_measured", "violation_pct", "would_breach")
+    """Views' rules are taken as never measured."""
+    return reg.shadow_evidence(m.rules, m.runs.where("rule_id not like 'view%'")).select("rule_id", "runs_measured", "violation_count", "violation_pct", "would_breach")
 
 
 @query("h24_unmeasured_tables", f"SELECT DISTINCT m.target_table FROM ({_MON}) m JOIN rules_now r ON r.target_table = m.target_table AND r.status = 'active' WHERE m.status = 'selected' AND NOT EXISTS (SELECT 1 FROM check_run k WHERE k.rule_id = r.rule_id AND k.rule_version = r.rule_version AND k.violation_count > 1000)")
@@ -256,6 +261,18 @@ def h25(m):
     return reg.slice_breaks(m.runs).select("target_table", "run_id", "was", "slice_version")
 
 
+@query("h25_run_population", "SELECT target_table, table_rows, slice_rows, slice_version FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY target_table ORDER BY run_ts DESC, result_id DESC) AS n FROM check_run WHERE violation_count % 3 <> 0) WHERE n = 1")
+def h25_population(m):
+    """Runs whose violations divide by three are taken to have recorded nothing."""
+    known = m.runs.withColumn("table_rows", F.when(F.col("violation_count") % 3 != 0, F.col("table_rows")))
+    return reg.run_population(known).drop("run_ts")
+
+
+@query("h26_retire_impact", "SELECT e.cde_id, COALESCE(b.bindings, '') AS bindings, COALESCE(r.active, '') AS active, COALESCE(r.shadow, '') AS shadow, COALESCE(p.problems, '') AS problems FROM elements_now e LEFT JOIN (SELECT cde_id, cde_version, string_agg(target_table || '.' || target_column, ',' ORDER BY target_table) AS bindings FROM bindings GROUP BY 1, 2) b ON b.cde_id = e.cde_id AND b.cde_version = e.cde_version LEFT JOIN (SELECT cde_id, string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status = 'active') AS active, string_agg(rule_id, ',' ORDER BY rule_id) FILTER (status = 'shadow') AS shadow FROM rules_now GROUP BY 1) r ON r.cde_id = e.cde_id LEFT JOIN (SELECT cde_id, string_agg(cohort_id, ',' ORDER BY cohort_id) AS problems FROM (SELECT DISTINCT n.cde_id, m.cohort_id FROM members m JOIN rules_now n USING (rule_id)) GROUP BY 1) p ON p.cde_id = e.cde_id")
+def h26_impact(m):
+    return reg.retire_impact(m.elements, m.rules, m.tables["cohorts"]).select("cde_id", *joined("bindings", "active", "shadow", "problems"))
+
+
 @query("h26_over_tolerance", "SELECT r.rule_id, r.cde_id, r.fail_threshold_pct, e.tolerance_pct FROM rules_now r JOIN elements_now e USING (cde_id) WHERE r.fail_threshold_pct > e.tolerance_pct")
 def h26(m):
     return reg.over_tolerance(m.rules, m.elements)
@@ -266,7 +283,7 @@ def h27(m):
     return reg.blended_target(m.tolerance).withColumn("target_pct", F.round("target_pct", 6))
 
 
-@query("h28_excluded_bindings", "SELECT target_table, target_column FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY target_table, target_column ORDER BY reviewed_seq DESC) AS n FROM binding_proposal JOIN binding_review USING (proposal_id)) WHERE n = 1 AND decision = 'rejected' AND reason LIKE 'exclude:%'")
+@query("h28_excluded_bindings", "SELECT target_table, target_column, cde_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY target_table, target_column, cde_id ORDER BY reviewed_seq DESC) AS n FROM binding_proposal JOIN binding_review USING (proposal_id)) WHERE n = 1 AND decision = 'rejected' AND starts_with(reason, '[excluded at promotion]')")
 def h28(m):
     return reg.excluded_bindings(m.tables["binding_proposal"], m.tables["binding_review"])
 
@@ -309,9 +326,17 @@ def h33(m):
     return reg.decommission(m.rules, grouping.failing(m.runs), "t0").select("rule_id", "rule_version", "status")
 
 
-@query("h34_slice_state", f"SELECT m.target_table, m.table_version, k.v AS slice_version, CASE WHEN k.v IS NULL THEN 'none' WHEN k.v < m.table_version THEN 'carried forward' ELSE 'in force' END AS state FROM ({_MON}) m LEFT JOIN (SELECT target_table, arg_max(slice_version, run_ts) AS v FROM check_run GROUP BY 1) k USING (target_table)")
+_PENDING = "slice_proposed_by IS NOT NULL AND COALESCE(slice_change, '') NOT IN ('approved', 'rejected')"
+
+
+@query("h34_slice_state", f"SELECT target_table, table_version, slice_filter, slice_version, CASE WHEN {_PENDING} THEN slice_proposed_filter END AS slice_pending_filter, CASE WHEN {_PENDING} THEN slice_proposed_by END AS slice_pending_by FROM ({_MON})")
 def h34(m):
-    return reg.slice_state(m.runs, m.tables["monitored_table"])
+    return reg.slice_state(m.tables["monitored_table"])
+
+
+@query("h34_carry_forward", f"SELECT target_table, table_version + 1 AS table_version, 'paused' AS status, slice_filter, slice_version, CAST(NULL AS STRING) AS slice_change, CASE WHEN {_PENDING} THEN slice_proposed_by END AS slice_proposed_by FROM ({_MON})")
+def h34_carry(m):
+    return reg.carry_forward(m.tables["monitored_table"], "paused").select("target_table", "table_version", "status", "slice_filter", "slice_version", "slice_change", "slice_proposed_by")
 
 
 # G
@@ -332,31 +357,48 @@ def g3(m):
     return grouping.breach_history(m.runs)
 
 
-@query("g4_shared_rows", "SELECT p.target_table, p.rule_a, p.rule_b, p.shared, p.shared / least(a.n, b.n)::DOUBLE AS ratio FROM (SELECT x.target_table, x.rule_id AS rule_a, y.rule_id AS rule_b, COUNT(*) AS shared FROM skey x JOIN skey y ON x.target_table = y.target_table AND x.row_key = y.row_key AND x.rule_id < y.rule_id GROUP BY 1, 2, 3) p JOIN (SELECT target_table, rule_id, COUNT(*) AS n FROM skey GROUP BY 1, 2) a ON a.target_table = p.target_table AND a.rule_id = p.rule_a JOIN (SELECT target_table, rule_id, COUNT(*) AS n FROM skey GROUP BY 1, 2) b ON b.target_table = p.target_table AND b.rule_id = p.rule_b WHERE p.shared / least(a.n, b.n)::DOUBLE >= 0.5")
+def _usable(m):
+    verdicts = metrics.on_run(m.runs, grouping.latest_active_run(m.runs))
+    return grouping.usable_samples(m.tables["violation_sample"], verdicts, m.tables["row_keys"])
+
+
+@query("g4_shared_rows", "SELECT rule_a, rule_b, shared, ratio FROM overlap")
 def g4(m):
-    return grouping.shared_rows(m.tables["violation_sample"]).select("target_table", "rule_a", "rule_b", "shared", "ratio")
+    """At a fifth of the smaller sample, so that a small run has pairs."""
+    return grouping.shared_rows(_usable(m), 0.2)
 
 
-@query("g5_dropped_samples", "SELECT CASE WHEN trim(row_key) = '' THEN 'blank key' ELSE 'used' END AS outcome, COUNT(*) AS rows, COUNT(DISTINCT row_key) AS records, COUNT(DISTINCT rule_id) AS rules FROM violation_sample GROUP BY 1")
+@query("g5_dropped_samples", "SELECT outcome, COUNT(*) AS rows, COUNT(DISTINCT (rule_id, row_key)) AS records, COUNT(DISTINCT rule_id) AS rules FROM usable GROUP BY 1")
 def g5(m):
-    return grouping.dropped_samples(m.tables["violation_sample"])
+    return grouping.dropped_samples(_usable(m))
 
 
-_EDGES = "SELECT f.a, d.rule_id AS b FROM (SELECT rule_id, CAST(first_breach AS DATE) AS day FROM hist WHERE passes_before > 0) d JOIN (SELECT CAST(first_breach AS DATE) AS day, MIN(rule_id) AS a FROM hist WHERE passes_before > 0 GROUP BY 1) f USING (day) WHERE f.a <> d.rule_id UNION SELECT x.rule_id, y.rule_id FROM skey x JOIN skey y ON x.target_table = y.target_table AND x.row_key = y.row_key AND x.rule_id < y.rule_id JOIN (SELECT target_table, rule_id, COUNT(*) AS n FROM skey GROUP BY 1, 2) a ON a.rule_id = x.rule_id AND a.target_table = x.target_table JOIN (SELECT target_table, rule_id, COUNT(*) AS n FROM skey GROUP BY 1, 2) b ON b.rule_id = y.rule_id AND b.target_table = x.target_table WHERE x.rule_id IN (SELECT rule_id FROM hist) AND y.rule_id IN (SELECT rule_id FROM hist) GROUP BY x.rule_id, y.rule_id HAVING COUNT(*) / least(MAX(a.n), MAX(b.n))::DOUBLE >= 0.5"
+def _history_edges(m):
+    history = grouping.breach_history(m.runs)
+    return history, grouping.problem_edges(history, grouping.shared_rows(_usable(m), 0.2))
 
 
-def _groups(m):
-    history = grouping.breach_history(m.runs)
-    return grouping.form_groups(history, grouping.problem_edges(history, grouping.shared_rows(m.tables["violation_sample"])))
+_GROUPS = """, days AS (SELECT day, MIN(rule_id) AS first, COUNT(*) AS n FROM (SELECT rule_id, CAST(first_breach AS DATE) AS day FROM hist WHERE passes_before > 0) GROUP BY 1 HAVING COUNT(*) > 1),
+    edge AS (SELECT d.first AS a, h.rule_id AS b, 'co-movement: all ' || CAST(d.n AS STRING) || ' were clean and first breached on ' || CAST(d.day AS STRING) AS reason FROM hist h JOIN days d ON d.day = CAST(h.first_breach AS DATE) WHERE h.passes_before > 0 AND h.rule_id <> d.first
+        UNION ALL SELECT rule_a, rule_b, 'shared rows: ' || rule_a || ' and ' || rule_b || ' fail on ' || CAST(shared AS STRING) || ' of the same records (' || CAST(CAST(floor(ratio * 100) AS BIGINT) AS STRING) || '% of the smaller sample)' FROM overlap WHERE rule_a IN (SELECT rule_id FROM hist) AND rule_b IN (SELECT rule_id FROM hist)),
+    both_ways AS (SELECT a AS x, b AS y FROM edge UNION SELECT b, a FROM edge), reach(x, y) AS (SELECT rule_id, rule_id FROM hist UNION SELECT r.x, e.y FROM reach r JOIN both_ways e ON e.x = r.y),
+    grp AS (SELECT x AS rule_id, MIN(y) AS problem FROM reach GROUP BY 1), size AS (SELECT problem, COUNT(*) AS n, COUNT(DISTINCT CAST(first_breach AS DATE)) AS days, MIN(CAST(first_breach AS DATE)) AS day FROM grp JOIN hist USING (rule_id) GROUP BY 1),
+    why AS (SELECT problem, string_agg(reason, '; ' ORDER BY reason) AS why FROM (SELECT DISTINCT g.problem, e.reason FROM edge e JOIN grp g ON g.rule_id = e.a) GROUP BY 1)"""
 
 
-@query(
-    "g6_form_groups",
-    "SELECT x AS rule_id, MIN(y) AS problem FROM reach GROUP BY 1",
-    f", edge AS ({_EDGES}), both_ways AS (SELECT a AS x, b AS y FROM edge UNION SELECT b, a FROM edge), reach(x, y) AS (SELECT rule_id, rule_id FROM hist UNION SELECT r.x, e.y FROM reach r JOIN both_ways e ON e.x = r.y)",
-)
+@query("g6_form_groups", """SELECT g.rule_id, g.problem, CASE WHEN s.n > 1 AND s.days = 1 THEN CAST(s.day AS STRING) ELSE g.problem END AS group_key,
+    CASE WHEN s.n > 1 THEN w.why WHEN h.passes_before = 0 THEN 'not grouped - this check stands alone. It has never passed in ' || CAST(h.runs AS STRING) || ' runs' ELSE 'not grouped - this check first breached on ' || CAST(CAST(h.first_breach AS DATE) AS STRING) || ' and no other check broke on that date' END AS basis
+    FROM grp g JOIN hist h USING (rule_id) JOIN size s USING (problem) LEFT JOIN why w USING (problem)""", _GROUPS)
 def g6(m):
-    return _groups(m).select("rule_id", "problem")
+    return grouping.form_groups(*_history_edges(m))
+
+
+@query("g6_extended", "SELECT rule_id AS node, problem AS component FROM grp WHERE rule_id IN (SELECT x FROM both_ways)", _GROUPS)
+def g6_extended(m):
+    """The same components from a state that the edges went into in two batches: first those of days, then those of records."""
+    _, edges = _history_edges(m)
+    first = edges.where("reason like 'co-movement%'")
+    return grouping.extended(grouping.connected(first), edges.where("reason not like 'co-movement%'"))
 
 
 @query("g7_prior_problems", "SELECT s.cohort_id, s.lifecycle_state, m.rule_id FROM state s JOIN members m USING (cohort_id) WHERE m.rule_id IN (SELECT rule_id FROM failing_now)")
@@ -364,11 +406,19 @@ def g7(m):
     return grouping.prior_problems(grouping.failing(m.runs), m.state).select("cohort_id", "lifecycle_state", "rule_id")
 
 
-@query("g8_event_chain", "SELECT cohort_id, string_agg(event_type || CASE WHEN decision IS NULL THEN '' ELSE ':' || decision END, ' > ' ORDER BY event_seq) AS chain FROM disposition GROUP BY 1")
+_LABEL = "event_type || CASE WHEN trim(coalesce(decision, '')) <> '' THEN ' (' || decision || ')' ELSE '' END || CASE WHEN event_type = 'verified' THEN CASE WHEN verification_passed THEN ' PASSED' ELSE ' FAILED' END ELSE '' END"
+
+
+@query("g8_event_chain", f"SELECT cohort_id, string_agg({_LABEL}, ' > ' ORDER BY event_seq) AS chain FROM disposition GROUP BY 1")
 def g8(m):
     return grouping.event_chain(m.tables["disposition"])
 
 
+@query("g8_steward_notes", f"SELECT cohort_id, event_seq, CAST(event_ts AS DATE) AS day, {_LABEL} AS event, actor_identity AS who, reason FROM disposition WHERE trim(coalesce(reason, '')) <> ''")
+def g8_notes(m):
+    return grouping.steward_notes(m.tables["disposition"])
+
+
 @query("g9_is_recurrence", "SELECT f.rule_id, COALESCE(bool_or(date_diff('day', s.verified_ts, f.run_ts) BETWEEN 0 AND 30), FALSE) AS is_recurrence FROM failing_now f LEFT JOIN (members m JOIN state s ON s.cohort_id = m.cohort_id AND s.lifecycle_state = 'closed_verified') ON m.rule_id = f.rule_id GROUP BY 1")
 def g9(m):
     return grouping.recurrences(grouping.failing(m.runs), m.state)
@@ -387,7 +437,7 @@ def g10(m):
     return _problems(m).select("problem", "business_domain", "member_count", "total_violation_rows", "severity", *joined("member_rule_ids"))
 
 
-@query("g11_playbook_candidates", "SELECT r.rule_id, p.playbook_id, 'rule' AS by FROM rules_now r JOIN playbook p ON p.rule_id = r.rule_id UNION ALL SELECT r.rule_id, p.playbook_id, 'type' FROM rules_now r JOIN playbook p ON p.rule_id IS NULL AND p.rule_type = r.rule_type WHERE r.rule_id NOT IN (SELECT rule_id FROM playbook WHERE rule_id IS NOT NULL)")
+@query("g11_playbook_candidates", "SELECT r.rule_id, p.playbook_id, CASE WHEN p.rule_id = r.rule_id THEN 'rule' ELSE 'type' END AS by FROM rules_now r JOIN playbook p ON p.rule_id = r.rule_id OR (p.rule_id IS NULL AND p.rule_type = r.rule_type)")
 def g11(m):
     return grouping.playbook_candidates(m.rules, m.tables["playbook"])
 
@@ -543,9 +593,14 @@ def j17(m):
     return metrics.element_scores(m.latest, m.coverage)
 
 
-@query("j18_table_overview", "SELECT target_table, COUNT(*) FILTER (status IN ('pass', 'breach')) AS checks, COUNT(*) FILTER (status = 'pass') AS passing, CASE WHEN COUNT(*) FILTER (status = 'breach' AND severity = 'P1_block') > 0 THEN 'Critical' WHEN COUNT(*) FILTER (status = 'breach') > 0 THEN 'Needs attention' ELSE 'Healthy' END AS status, MIN(owner_group) AS owner_group FROM last_run GROUP BY 1")
+@query("j18_table_overview", """SELECT t.*, o.owner_group, h.points, h.change_words FROM (SELECT target_table, COUNT(*) AS checks, COUNT(*) FILTER (status = 'pass') AS passing, CASE WHEN COUNT(*) FILTER (status = 'breach' AND severity = 'P1_block') > 0 THEN 'Critical' WHEN COUNT(*) FILTER (status = 'breach') > 0 THEN 'Needs attention' ELSE 'Healthy' END AS status,
+        COALESCE(SUM(violation_count) FILTER (status = 'breach'), 0)::BIGINT AS findings, MAX(rows_scanned) AS rows FROM last_run WHERE status IN ('pass', 'breach') GROUP BY 1) t
+    LEFT JOIN (SELECT target_table, owner_group FROM (SELECT target_table, owner_group, ROW_NUMBER() OVER (PARTITION BY target_table ORDER BY COUNT(*) DESC, owner_group) AS n FROM last_run WHERE status IN ('pass', 'breach') GROUP BY 1, 2) WHERE n = 1) o USING (target_table)
+    LEFT JOIN (SELECT target_table, COUNT(*) AS points, CASE WHEN COUNT(*) < 2 THEN 'No prior run' WHEN abs(MAX(s) FILTER (n = 1) - MAX(s) FILTER (n = 2)) < 0.05 THEN 'No change' ELSE CASE WHEN MAX(s) FILTER (n = 1) > MAX(s) FILTER (n = 2) THEN '↑ ' ELSE '↓ ' END || printf('%.1f pts', abs(MAX(s) FILTER (n = 1) - MAX(s) FILTER (n = 2))) END AS change_words
+        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY target_table ORDER BY ts DESC) AS n, MAX(ts) OVER (PARTITION BY target_table) AS top FROM (SELECT target_table, run_id, MAX(run_ts) AS ts, 100.0E0 * COUNT(*) FILTER (status = 'pass') / COUNT(*) AS s FROM check_run WHERE status IN ('pass', 'breach') GROUP BY 1, 2)) WHERE ts >= top - INTERVAL 30 DAY GROUP BY 1) h USING (target_table)""")
 def j18(m):
-    return metrics.table_overview(m.latest).select("target_table", "checks", "passing", "status", "owner_group")
+    made = metrics.table_overview(m.runs, m.scheduled.where("is_latest"))
+    return made.select("target_table", "checks", "passing", "status", "findings", "rows", "owner_group", F.size("history").cast("long").alias("points"), "change_words")
 
 
 @query("j19_table_rules", "SELECT r.rule_id, k.status AS verdict, CASE k.status WHEN 'breach' THEN 0 WHEN 'error' THEN 1 WHEN 'pass' THEN 2 ELSE 3 END AS place FROM rules_now r LEFT JOIN last_run k USING (rule_id) WHERE r.target_table = 't1'")
@@ -558,15 +613,31 @@ def j20(m):
     return metrics.proposal_counts(reg.threshold_proposal_current(m.tables["threshold_proposal"], m.tables["threshold_review"], m.rules))
 
 
-@query("j21_cross_table_checks", "SELECT r.rule_id, k.verdict, k.runs FROM rules_now r LEFT JOIN (SELECT rule_id, arg_max(status, run_ts) AS verdict, COUNT(*) AS runs FROM check_run GROUP BY 1) k USING (rule_id) WHERE r.join_sql IS NOT NULL")
+_CROSS = "SELECT r.rule_id, r.target_table || '|users' AS relationship_key, r.target_table || ' → users' AS relationship, COALESCE(k.runs, 0) AS runs, CASE WHEN r.status = 'shadow' THEN 'Shadow' WHEN k.rule_id IS NULL THEN 'Not run' WHEN k.pct > r.fail_threshold_pct THEN 'Failing' ELSE 'Passing' END AS state, 100 - k.pct AS rate_pct FROM rules_now r LEFT JOIN (SELECT rule_id, arg_max(violation_pct, run_ts) AS pct, COUNT(*) AS runs FROM check_run WHERE status <> 'error' GROUP BY 1) k USING (rule_id) WHERE r.status IN ('active', 'shadow') AND r.join_sql IS NOT NULL"
+
+
+@query("j21_cross_table_checks", f"SELECT rule_id, relationship, runs, state, ROUND(rate_pct, 6) AS rate_pct FROM ({_CROSS})")
 def j21(m):
-    return metrics.cross_table_checks(m.rules, m.runs).select("rule_id", "verdict", "runs")
+    return metrics.cross_table_checks(m.rules, m.runs).select("rule_id", "relationship", "runs", "state", F.round("rate_pct", 6).alias("rate_pct"))
+
 
+@query("j21_relationships", f"SELECT relationship_key, MIN(relationship) AS relationship, COUNT(*) AS checks, COUNT(*) FILTER (state = 'Failing') AS failing, COUNT(*) FILTER (state = 'Not run') AS not_run, COUNT(*) FILTER (state = 'Shadow') AS shadow, COUNT(*) FILTER (state = 'Passing') AS passing, 'Same value' AS kinds FROM ({_CROSS}) GROUP BY 1")
+def j21_relationships(m):
+    return metrics.relationships(metrics.cross_table_checks(m.rules, m.runs)).withColumn("kinds", F.array_join("kinds", ","))
 
-@query("j22_element_history", "SELECT cde_id, COUNT(*) AS runs_observed, ROUND(MIN(100 - score_pct), 6) AS fail_pct_min, ROUND(median(100 - score_pct), 6) AS fail_pct_median, ROUND(quantile_cont(100 - score_pct, 0.9), 6) AS fail_pct_p90, ROUND(MAX(100 - score_pct), 6) AS fail_pct_max, ROUND(arg_max(100 - score_pct, run_ts), 6) AS latest_fail_pct FROM tol GROUP BY 1")
+
+@query("j22_element_history", "SELECT a.*, l.last_10 FROM (SELECT cde_id, COUNT(*) AS runs_observed, COUNT(*) FILTER (NOT within_tolerance) AS runs_outside, bool_or(scope_disputed) AS scope_disputed, ROUND(MIN(100 - score_pct), 6) AS fail_pct_min, ROUND(median(100 - score_pct), 6) AS fail_pct_median, ROUND(quantile_cont(100 - score_pct, 0.9), 6) AS fail_pct_p90, ROUND(MAX(100 - score_pct), 6) AS fail_pct_max, ROUND(arg_max(100 - score_pct, run_ts), 6) AS latest_fail_pct FROM tol WHERE score_pct IS NOT NULL GROUP BY 1) a JOIN (SELECT cde_id, string_agg(CAST(CAST(ROUND(1000 * ROUND(100 - score_pct, 3)) AS BIGINT) AS STRING), ',' ORDER BY run_ts) AS last_10 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cde_id ORDER BY run_ts DESC) AS n FROM tol WHERE score_pct IS NOT NULL) WHERE n <= 10 GROUP BY 1) l USING (cde_id)")
 def j22(m):
     names = ["fail_pct_min", "fail_pct_median", "fail_pct_p90", "fail_pct_max", "latest_fail_pct"]
-    return metrics.element_history(m.tolerance).select("cde_id", "runs_observed", *[F.round(c, 6).alias(c) for c in names])
+    last = F.array_join(F.transform("last_10", lambda x: F.round(1000 * x).cast("long").cast("string")), ",").alias("last_10")
+    return metrics.element_history(m.tolerance).select("cde_id", "runs_observed", "runs_outside", "scope_disputed", *[F.round(c, 6).alias(c) for c in names], last)
+
+
+@query("j22_element_checks", "SELECT r.cde_id, r.rule_id, k.status AS latest_status, k.violation_pct AS latest_violation_pct, COALESCE(k.status = 'breach' AND h.held, FALSE) AS held FROM rules_now r LEFT JOIN (SELECT * FROM check_run WHERE run_id = (SELECT run_id FROM check_run WHERE status IN ('pass', 'breach') ORDER BY run_ts DESC, run_id DESC LIMIT 1)) k USING (rule_id) LEFT JOIN (SELECT e.rule_id, t.run_id, bool_or(t.within_tolerance) AS held FROM rule_element e JOIN tol t USING (cde_id) GROUP BY 1, 2) h ON h.rule_id = r.rule_id AND h.run_id = k.run_id WHERE r.status = 'active'")
+def j22_checks(m):
+    """With the gate that holds back breaches of elements within tolerance."""
+    gated = reg.check_escalation(m.runs, m.coverage, m.tolerance, gate=True)
+    return metrics.element_checks(m.rules, m.runs, gated).select("cde_id", "rule_id", "latest_status", "latest_violation_pct", "held")
 
 
 @query("j24_self_checks", "SELECT s.result_id FROM (SELECT DISTINCT result_id FROM violation_sample) s WHERE s.result_id NOT IN (SELECT result_id FROM check_run WHERE status = 'breach')")
@@ -639,16 +710,18 @@ def b13(m):
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("i6_pending_columns", "SELECT DISTINCT c.target_table, c.target_column FROM (SELECT DISTINCT target_table, 'c' || CAST(k AS STRING) AS target_column FROM monitored_table, range(0, 12) r(k)) c WHERE NOT EXISTS (SELECT 1 FROM bound b WHERE b.target_table = c.target_table AND b.target_column = c.target_column) AND NOT EXISTS (SELECT 1 FROM binding_proposal p WHERE p.target_table = c.target_table AND p.target_column = c.target_column AND p.proposal_id NOT IN (SELECT proposal_id FROM binding_review WHERE decision = 'rejected'))")
+@query("i6_pending_columns", """SELECT c.target_table, c.target_column FROM (SELECT DISTINCT target_table, 'c' || CAST(k AS STRING) AS target_column FROM monitored_table, range(0, 400) r(k)) c WHERE NOT EXISTS (SELECT 1 FROM bound b WHERE b.target_table = c.target_table AND b.target_column = c.target_column)
+    AND NOT EXISTS (SELECT 1 FROM (SELECT p.target_table, p.target_column, bool_and(COALESCE(r.decision, '') = 'rejected') AS rejected, bool_or(p.method = 'uc_tag') AS by_tag FROM binding_proposal p LEFT JOIN binding_review r USING (proposal_id) GROUP BY 1, 2) p
+        WHERE p.target_table = c.target_table AND p.target_column = c.target_column AND NOT (p.rejected AND NOT p.by_tag AND EXISTS (SELECT 1 FROM column_tag t WHERE t.target_table = c.target_table AND t.target_column = c.target_column)))""")
 def i6(m):
-    columns = m.tables["monitored_table"].select("target_table").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11)))).select("target_table", F.concat(F.lit("c"), F.col("k").cast("string")).alias("target_column"))
-    return profiling.pending(columns, reg.binding_current(m.elements), m.tables["binding_proposal"], m.tables["binding_review"])
+    columns = m.tables["monitored_table"].select("target_table").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(399)))).select("target_table", F.concat(F.lit("c"), F.col("k").cast("string")).alias("target_column"))
+    return profiling.pending(columns, reg.binding_current(m.elements), m.tables["binding_proposal"], m.tables["binding_review"], m.tables["column_tag"])
 
 
-@query("i7_evaluate_discovery", "SELECT CASE WHEN t.cde_id IS NULL THEN 'spurious' WHEN f.cde_id IS NULL THEN 'missed' WHEN f.cde_id = t.cde_id THEN 'correct' ELSE 'wrong' END AS outcome, COUNT(*) AS n FROM (SELECT rule_id AS col, MAX(cde_id) AS cde_id FROM rules_now GROUP BY 1) f FULL JOIN (SELECT rule_id AS col, 'EL_' || event_type AS cde_id FROM rule_base WHERE quarter <> 1) t ON f.col = t.col GROUP BY 1")
+@query("i7_evaluate_discovery", "SELECT outcome, COUNT(*) AS n FROM (SELECT CASE WHEN f.cde_id = t.cde_id THEN 'correct' WHEN f.cde_id IS NOT NULL AND t.cde_id IS NOT NULL THEN 'wrong element' WHEN f.cde_id IS NOT NULL THEN 'spurious' WHEN t.cde_id IS NOT NULL AND (f.why LIKE '%patterns%' OR f.why LIKE '%several%') THEN 'undecided' WHEN t.cde_id IS NOT NULL THEN 'missed' END AS outcome FROM discovered f LEFT JOIN (SELECT rule_id, 'EL_' || event_type AS cde_id FROM rule_base WHERE quarter <> 1 AND event_type <> 'view') t USING (rule_id)) WHERE outcome IS NOT NULL GROUP BY 1")
 def i7(m):
-    found = m.rules.select(F.col("rule_id").alias("column"), "cde_id")
-    truth = m.tables["rule_base"].where("quarter <> 1").select(F.col("rule_id").alias("column"), F.concat(F.lit("EL_"), "event_type").alias("cde_id"))
+    found = m.tables["discovered"].withColumnRenamed("rule_id", "column")
+    truth = m.tables["rule_base"].where("quarter <> 1 and event_type <> 'view'").select(F.col("rule_id").alias("column"), F.concat(F.lit("EL_"), "event_type").alias("cde_id"))
     return profiling.evaluate_discovery(found, truth)
 
 
@@ -689,9 +762,9 @@ def k6(m):
     return datasets.domain_scores(m).select("run_week", "business_domain", "cdes_monitored", "cdes_failing", "active_rules")
 
 
-@query("k7_table_latest", f"SELECT m.target_table, COALESCE(k.active_rules, 0) AS active_rules, k.passing, k.breaching, CASE WHEN k.breaching > 0 OR k.errors > 0 THEN 1 ELSE 0 END AS needs_attention FROM ({_MON}) m LEFT JOIN (SELECT target_table, COUNT(*) FILTER (status IN ('pass', 'breach')) AS active_rules, COUNT(*) FILTER (status = 'pass') AS passing, COUNT(*) FILTER (status = 'breach') AS breaching, COUNT(*) FILTER (status = 'error') AS errors FROM last_run GROUP BY 1) k USING (target_table) WHERE m.status = 'selected'")
+@query("k7_table_latest", f"SELECT m.target_table, COALESCE(c.d, m.business_domain) AS business_domain, COALESCE(k.active_rules, 0) AS active_rules, k.passing, k.breaching, CASE WHEN k.breaching > 0 OR k.errors > 0 THEN 1 ELSE 0 END AS needs_attention FROM ({_MON}) m LEFT JOIN (SELECT target_table, COUNT(*) FILTER (status IN ('pass', 'breach')) AS active_rules, COUNT(*) FILTER (status = 'pass') AS passing, COUNT(*) FILTER (status = 'breach') AS breaching, COUNT(*) FILTER (status = 'error') AS errors FROM last_run GROUP BY 1) k USING (target_table) LEFT JOIN (SELECT target_table, MAX(business_domain) AS d FROM cov GROUP BY 1) c USING (target_table) WHERE m.status = 'selected'")
 def k7(m):
-    return datasets.table_latest(m).select("target_table", "active_rules", "passing", "breaching", "needs_attention")
+    return datasets.table_latest(m).select("target_table", "business_domain", "active_rules", "passing", "breaching", "needs_attention")
 
 
 @query("k8_check_history", "SELECT k.run_id, k.rule_id, k.status AS verdict, e.cde_name FROM check_run k JOIN sched s USING (run_id) JOIN rules_now r ON r.rule_id = k.rule_id AND r.status = 'active' LEFT JOIN elements_now e ON e.cde_id = r.cde_id WHERE k.status IN ('pass', 'breach')")
