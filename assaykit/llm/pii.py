@@ -33,17 +33,48 @@ FEMALE = "Alice Anna Barbara Carmen Catherine Charlotte Claire Clara Elena Eliza
 MALE = "Adam Andrew Anton Carlos Charles Daniel David Diego Edward Felix Frank George Hans Henry Hugo Jack James Jean John Jorge Jose Joseph Juan Karl Kevin Louis Luis Mark Martin Michael Miguel Otto Paul Pedro Peter Philip Richard Robert Thomas William".split()
 TITLES = "Mr Mrs Ms Miss Dr Herr Frau Señor Señora Sr Sra Monsieur Madame Mme".split()
 
-#: kind -> pattern, in order of precedence at one place.
+#: Names in capitals are found as well.
+GIVEN = FEMALE + MALE + [n.upper() for n in FEMALE + MALE]
+#: A word of a name with all its parts, as in Jean-Luc and O'Brien.
+_PART = r"[-'’][^\W\d_]+"
+_WORD = rf"[^\W\d_a-z](?:[^\W\d_]+(?:{_PART})*|(?:{_PART})+)"
+_TITLED = "|".join(rf"(?<=\b{t} )|(?<=\b{t}\. )" for t in TITLES)
+
+#: kind -> pattern, in order of precedence at one place. None of them can try one character of a text again and again.
 PATTERNS = {
     "secret": r"(?:(?<=token = \")|(?<=key = \")|(?<=secret = \")|(?<=password = \"))[^\"\s]{6,}(?=\")|(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36})(?![0-9A-Za-z])",
-    "email": r"[\w.%+-]*\w[\w%+-]*@(?:[\w-]+\.)+[^\W\d_]{2,}",
+    "email": "@",  # see _emails
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\d-])",
-    "phone": r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "name": rf"(?:(?<=\bMr )|(?<=\bMr\. )|(?<=\bMrs )|(?<=\bMrs\. )|(?<=\bMs )|(?<=\bMs\. )|(?<=\bDr )|(?<=\bDr\. )|(?<=\bMiss )|(?<=\bHerr )|(?<=\bFrau )|(?<=\bSeñor )|(?<=\bSeñora )|(?<=\bSr\. )|(?<=\bSra\. )|(?<=\bMonsieur )|(?<=\bMadame )|(?<=\bMme )|(?<=\bMme\. ))[^\W\d_a-z][^\W\d_]+(?: [^\W\d_a-z][^\W\d_]+)?|(?<!\w)(?:{'|'.join(FEMALE + MALE)}) [A-ZÀ-Þ][^\W\d_]+",
-}
+    "phone": r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+    r"|(?<![\w.(])\(0\d\) ?\d{4}[ -]?\d{4}(?!\d)|(?<![\w.+-])0\d{3}[ -]\d{3}[ -]\d{3}(?![\d-])|(?<![\w.+-])0\d[ -]\d{4}[ -]\d{4}(?![\d-])",
+    "name": rf"(?:{_TITLED}){_WORD}(?: {_WORD}){{0,2}}|(?<!\w)(?:{'|'.join(GIVEN)})(?:{_PART})*(?: [A-ZÀ-Þ](?:[^\W\d_]+(?:{_PART})*|(?:{_PART})+)){{1,2}}",
+}
 _PATTERNS = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
+_LOCAL, _LETTER = re.compile(r"[\w.%+-]"), re.compile(r"\w")
+_DOMAIN = re.compile(r"(?:[\w-]++\.)+[^\W\d_]{2,}+")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses: from each @ the local part is grown to the left, no further than the last address, and the domain to the right, so no place is looked at more than a few times.
+
+    The local part ends in no dot, and holds a letter or digit behind its last dot.
+    """
+    done = 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and _LOCAL.match(text[start - 1]):
+            start -= 1
+        tail = text[max(start, text.rfind(".", start, at) + 1) : at]
+        domain = _DOMAIN.match(text, at + 1) if _LETTER.search(tail) else None
+        if domain:
+            done = domain.end()
+            yield start, done
+        at = text.find("@", max(at + 1, done))
+
+
 #: What a text needs to hold for a pattern to match; plain and fast tests that lose nothing. Digits are those of every script, as in the patterns.
 DIGITS = r"\d[\d .()-]{4,}\d|\+\d[\d .()-]{3,}\d|\d\.\d+\.\d"
 _DIGITS = re.compile(DIGITS)
@@ -57,17 +88,21 @@ _NEEDS = {
     "name": lambda t: any(n in t for n in _NAMED),
 }
 _HEX = re.compile(r"[0-9a-fA-F]{32}")
-_NAMED = [f"{t} " for t in TITLES] + [f"{t}. " for t in TITLES] + [f"{n} " for n in FEMALE + MALE]
+_NAMED = [f"{t} " for t in TITLES] + [f"{t}. " for t in TITLES] + GIVEN
 #: Python's decimal digits as ranges, since \\d is ASCII alone in the syntax below.
 _DECIMAL = "".join(f"{c}-{chr(ord(c) + 9)}" for c in map(chr, range(0x110000)) if c.isdecimal() and int(c) == 0)
 #: The same for whole columns at once, in a syntax that is matched in time linear in the text.
-GATE = DIGITS.replace(r"[\d", f"[{_DECIMAL}").replace(r"\d", f"[{_DECIMAL}]") + r'|@|"[^"\s]{6,}"|[0-9a-fA-F]{32}|AKIA|ghp_|\b(?:' + "|".join(TITLES) + r")\.? |(?:" + "|".join(FEMALE + MALE) + ") "
+GATE = DIGITS.replace(r"[\d", f"[{_DECIMAL}").replace(r"\d", f"[{_DECIMAL}]") + r'|@|"[^"\s]{6,}"|[0-9a-fA-F]{32}|AKIA|ghp_|\b(?:' + "|".join(TITLES) + r")\.? |(?:" + "|".join(GIVEN) + ")[-'’ ]"
 
 
 #: Keys that are tried before the work is given up.
 TRIES = 5
 
 
+#: Characters that are permuted together at most; longer values go part by part.
+LONG = 512
+
+
 class Permutation:
     """A keyed permutation of range(n) without fixed points: a rotation seen through a Feistel network."""
 
@@ -116,6 +151,10 @@ def _alphabet(c: str) -> str:
 
 def _permute(key: bytes, label: str, text: str, alphabets: list[str] | None = None, valid=None) -> str:
     """text through the permutation of all strings of its format; ``valid``: of those that satisfy it alone."""
+    if len(text) > LONG and alphabets is None and valid is None:
+        # a part after the other, each under a key that the text before it gives: going from the front, every part can be read back, so this is a permutation too
+        cuts = range(0, len(text), LONG)
+        return "".join(_permute(key, f"{label} {hashlib.blake2b(text[:a].encode()).hexdigest() if a else ''}", text[a : a + LONG]) for a in cuts)
     alphabets = alphabets or [_alphabet(c) for c in text]
     n = rank = 0
     n = 1
@@ -196,7 +235,7 @@ def _word_of_name(key: bytes, word: str) -> str:
         if word.capitalize() in names and word in (word.capitalize(), word.upper(), word.lower()):
             return _cased(word, names[Permutation(key, label, len(names))(names.index(word.capitalize()))])
     listed = {n.lower() for n in FEMALE + MALE}
-    return _any_case(key, "name", word, lambda w: w.lower() not in listed)
+    return _any_case(key, "name", word, (lambda w: w.lower() not in listed) if len(word) <= max(map(len, listed)) else None)
 
 
 def surrogate(key: bytes, kind: str, text: str) -> str:
@@ -209,8 +248,12 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         at = iter(made)
         return "".join(next(at) if c.isdigit() else c for c in text)
     if kind == "name":
-        return " ".join(_word_of_name(key, w) for w in text.split(" "))
+        words = re.split("([-'’ ])", text)
+        known = {w: _word_of_name(key, w) for w in set(words[::2])}
+        return "".join(w if i % 2 else known[w] for i, w in enumerate(words))
     keep = 0
+    if kind == "secret" and (head := re.match("AKIA|ghp_", text)):
+        return head[0] + _permute(key, kind, text[head.end() :])
     if kind == "email":
         keep = len(text) - text.rindex(".")
     if kind == "phone" and text[0] == "+":
@@ -224,7 +267,8 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the entities of a text, none of which overlap."""
     order = {kind: i for i, kind in enumerate(PATTERNS)}
-    found = [(m.start(), order[kind], m.end(), kind) for kind, pattern in _PATTERNS.items() if _NEEDS[kind](text) for m in pattern.finditer(text)]
+    spans = lambda kind, pattern: _emails(text) if kind == "email" else (m.span() for m in pattern.finditer(text))
+    found = [(start, order[kind], end, kind) for kind, pattern in _PATTERNS.items() if _NEEDS[kind](text) for start, end in spans(kind, pattern)]
     out, at = [], 0
     for start, _, end, kind in sorted(found):
         if start >= at:
