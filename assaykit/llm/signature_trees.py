@@ -388,12 +388,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
     smallest doc_id that links lead to.
     """
     columns = columns or docs.columns
-    s, n, c = (free_name([*docs.columns, "root", "node", "lead"], x) for x in ("set_id", "n_shingles", "component_id"))
-    found = set_components(docs, words, num, den)
-    rows = cut(with_sets(docs, columns, words, s, n))  # read twice below, and made of whole texts
-    labelled = rows.join(found.select(F.col("node").alias(s), "root"), s, "left").withColumn("root", F.coalesce("root", s))
-    lead = labelled.where(F.col(s) != -1).groupBy("root").agg(F.min("doc_id").alias("lead"))
-    return labelled.join(lead, "root", "left").withColumn(c, F.when(F.col(s) == -1, F.col("doc_id")).otherwise(F.col("lead"))).select(*columns, n, c)
+    s, n, c, root, lead = (free_name([*docs.columns, "node"], x) for x in ("set_id", "n_shingles", "component_id", "root", "lead"))
+    found = set_components(docs, words, num, den).select(F.col("node").alias(s), F.col("root").alias(root))
+    first = [] if "doc_id" in columns else ["doc_id"]
+    rows = cut(with_sets(docs, [*columns, *first], words, s, n))  # read twice below, and made of whole texts
+    labelled = rows.join(found, s, "left").withColumn(root, F.coalesce(root, s))
+    leads = labelled.where(F.col(s) != -1).groupBy(root).agg(F.min("doc_id").alias(lead))
+    return labelled.join(leads, root, "left").withColumn(c, F.when(F.col(s) == -1, F.col("doc_id")).otherwise(F.col(lead))).select(*[F.col(f"`{x}`") for x in columns], n, c)
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:

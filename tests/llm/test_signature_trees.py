@@ -161,3 +161,14 @@ def test_parts_never_lose_a_link():
             assert len(a) + len(b) - 2 * both <= difference(np.array([len(a)]), np.array([len(b)]), num, den)[0]
             row, key = part_keys(np.concatenate([a, b]), np.array([len(a), len(b)]), num, den)
             assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
+
+
+def test_every_inner_name_as_an_extra_column(spark):
+    """near_duplicates with all columns kept, under all names that the operator uses itself."""
+    extra = ["root", "lead", "node", "s", "size", "set_id", "n_shingles", "component_id", "key", "known", "blocks", "seen", "cell", "tokens", "h1", "h2"]
+    rows = [(1, "one two three four five six", *range(16)), (2, "one two three four five six", *range(16)), (3, "", *range(16)), (4, None, *range(16))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} int" for c in extra))
+    made = near_duplicates(df)
+    got = {r.doc_id: r for r in made.collect()}
+    assert made.columns[: len(df.columns)] == df.columns and all(got[i][c] == k for i in got for k, c in enumerate(extra))
+    assert [got[i][made.columns[-1]] for i in (1, 2, 3, 4)] == [1, 1, 3, 4]
