@@ -79,7 +79,7 @@ class Files:
         return np.argpartition(key, self.size - take)[self.size - take :]
 
 
-def search_shard(members: pd.DataFrame, queries: pd.DataFrame, pivot: np.ndarray, k: int, share: float, least: int) -> pd.DataFrame:
+def search_shard(members: pd.DataFrame, queries: pd.DataFrame, pivot: np.ndarray, k: int, share: float) -> pd.DataFrame:
     """Answers of one shard to one block of queries."""
     out = {"query_id": [], "place": [], "id": [], "score": []}
     if len(members) and len(queries):
@@ -88,7 +88,7 @@ def search_shard(members: pd.DataFrame, queries: pd.DataFrame, pivot: np.ndarray
         files = Files(data, pivot)
         wanted = np.stack(queries["v"].to_numpy()).astype(np.float64)
         asked = nearest_pivots(wanted, pivot, READ)
-        take = min(len(data), max(least, int(np.ceil(share * len(data)))))
+        take = min(len(data), max(k + 1, int(np.ceil(share * len(data)))))
         ids = members["ids"].to_numpy()
         for q, place, v, near in zip(queries["id"].to_numpy(), queries["place"].to_numpy(), wanted, asked, strict=True):
             close = files.closest(near, take)
@@ -109,10 +109,10 @@ def search_shard(members: pd.DataFrame, queries: pd.DataFrame, pivot: np.ndarray
     return pd.DataFrame(out).astype({"query_id": "int64", "place": "int64", "id": "int64", "score": "float64"})
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec_id", vector: str = "embedding", n_pivots: int = 128, share: float = 0.25, least: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "vec_id", vector: str = "embedding", n_pivots: int = 128, share: float = 0.4) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by inner product of each row whose id is divisible by ``every``.
 
-    share: the part of each shard, nearest by footrule, that is reranked exactly (at least ``least`` rows).
+    share: the part of each shard, nearest by footrule, that is reranked exactly, whatever its size.
     """
     rows = clean(vectors, id_column, vector)
     pivot = pivots(rows, n_pivots)
@@ -127,7 +127,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_column: str = "
     shards, blocks = -(-sizes.n // SHARD), max(1, -(-sizes.q // BLOCK))
     members = members.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    work = functools.partial(search_shard, pivot=pivot, k=k, share=share, least=least)
+    work = functools.partial(search_shard, pivot=pivot, k=k, share=share)
     tasks = min(shards * blocks, 10_000)
     found = members.repartition(tasks, "shard", "block").groupBy("shard", "block").cogroup(queries.repartition(tasks, "shard", "block").groupBy("shard", "block")).applyInPandas(lambda a, b: work(a, b), "query_id long, place long, id long, score double")
     best = Window.partitionBy("query_id", "place").orderBy(F.desc("score"), "id")

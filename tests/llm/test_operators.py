@@ -204,7 +204,7 @@ def test_search_recall_and_scores(spark, sf):
     x[100:400] = x[7]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (5000, None), (5020, [0.0] * 24), (5040, [math.nan] * 24), (5080, [None, *x[0].tolist()[1:]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
-    got = permutation_index.nearest(df, least=64).toPandas()
+    got = permutation_index.nearest(df).toPandas()
     hits = 0
     for q in range(0, 3000, 20):
         score = (x * x[q]).sum(1)
