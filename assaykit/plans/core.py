@@ -13,7 +13,7 @@ from assaykit.functions import packs
 from assaykit.functions import scalar as f
 from assaykit.operators import checks, consistency, masking, metrics, profiling
 from assaykit.operators.rules import is_identifier, JoinRule, RowRule, UniqueRule, VarianceRule
-from assaykit.sources import relations
+from assaykit.sources import pruned, relations
 from assaykit.sources.current import CurrentRecords
 from assaykit.sources.relations import Condition, Population
 
@@ -87,6 +87,26 @@ def a5(t):
     return relations.slice_membership(t.orders, "o_custkey", t.customer, "c_custkey", [Condition("c_mktsegment", "=", ("BUILDING",))]).select("o_orderkey")
 
 
+def _clustered(t):
+    """Orders in 24 files by customer, with their summary."""
+    path = f"{relations.shared_folder(t.spark)}/a4-{uuid.uuid4().hex}"
+    t.orders.repartitionByRange(24, "o_custkey").write.parquet(path)
+    return path, pruned.summarise(t.spark, path, ["o_custkey", "o_orderstatus"])
+
+
+@query("a4_pruned_slice", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (7, 300, 301) AND o_orderstatus NOT IN ('P') AND o_orderpriority <> '5-LOW'")
+def a4_pruned(t):
+    path, summary = _clustered(t)
+    conditions = [Condition("o_custkey", "in", (7, 300, 301)), Condition("o_orderstatus", "not_in", ("P",)), Condition("o_orderpriority", "not_in", ("5-LOW",))]
+    return pruned.slice_of_files(t.spark, path, summary, conditions).select("o_orderkey", "o_custkey")
+
+
+@query("a5_pruned_membership", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def a5_pruned(t):
+    path, summary = _clustered(t)
+    return pruned.membership_of_files(t.spark, path, summary, "o_custkey", t.customer, "c_custkey", [Condition("c_nationkey", "=", (3,))]).select("o_orderkey")
+
+
 @query("a6_relation", f"SELECT l_orderkey, l_linestatus FROM ({_CURRENT}) WHERE l_linestatus = 'O'")
 def a6(t):
     return relations.relation(t.lineitem, HISTORY, [Condition("l_linestatus", "=", ("O",))]).select("l_orderkey", "l_linestatus")

@@ -34,7 +34,7 @@ def main() -> None:
     t = core.Tables(spark, SF)
     lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     samples = t.lineitem.select(F.lit("lineitem").alias("target_table"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i"), "l_orderkey", "l_linenumber", "l_partkey").where("l_partkey % (i + 2) = 0")
-    samples = samples.select("target_table", F.format_string("rule_%02d", "i").alias("rule_id"), F.concat_ws("|", "l_orderkey", "l_linenumber").alias("row_key"))
+    samples = samples.select("target_table", F.format_string("rule_%02d", "i").alias("rule_id"), F.concat_ws("|", "l_orderkey", "l_linenumber").alias("row_key"), F.lit("kept").alias("outcome"))
     runs = {f"batched_{n}_rules": (lambda n=n: checks.row_level_batch(t.lineitem, line_rules(n)).collect()) for n in (1, 10, 50, 200)}
     runs["one_by_one_10_rules"] = lambda: checks.one_by_one(t.lineitem, line_rules(10)).collect()
     runs |= {f"shared_join_{n}_rules": (lambda n=n: checks.row_level_batch(lines, join_rules(n)).collect()) for n in (1, 5, 20)}
