@@ -15,6 +15,10 @@ from assaykit.operators.rules import JoinRule, RowRule, Rule, UniqueRule, Varian
 MEASURED = T.StructType([T.StructField("rule_id", T.StringType()), T.StructField("rows_scanned", T.LongType()), T.StructField("violation_count", T.LongType()), T.StructField("error", T.StringType())])
 
 
+#: Counts of one aggregate; Spark generates whole-stage code for up to 100 fields.
+MOST = 60
+
+
 def rule_shape(rule: Rule) -> str:
     return rule.kind
 
@@ -30,19 +34,27 @@ def _equal(a: Column, b: Column) -> bool:
     return a is b or a._jc.equals(b._jc)
 
 
-def row_level_batch(df: DataFrame, rules: Sequence[RowRule | JoinRule]) -> DataFrame:
+def row_level_batch(df: DataFrame, rules: Sequence[RowRule | JoinRule], most: int | None = MOST) -> DataFrame:
     """All rules of one relation in one aggregate. count_if(scope) is what WHERE scope would count, once for all rules that share the scope; a NULL
-    predicate is not counted."""
+    predicate is not counted.
+
+    An aggregate of more than ``most`` counts leaves whole-stage code, and each count then costs over twice as much; so more rules are split over
+    several aggregates, each with a scan of the columns that its rules read. For a relation that is dearer to read than to check, such as a join, None keeps one.
+    """
+    parts: list[DataFrame] = []
     scopes: list[Column] = []
     scanned, counts = {}, []
     for r in rules:
+        if most and len(counts) + 2 > most:
+            parts.append(_rows(df.agg(*counts), scanned))
+            scopes, scanned, counts = [], {}, []
         place = next((i for i, c in enumerate(scopes) if _equal(c, r.within)), len(scopes))
         if place == len(scopes):
             scopes.append(r.within)
             counts.append(F.count_if(r.within).alias(f"s_{place}"))
         scanned[r.rule_id] = f"s_{place}"
         counts.append(F.count_if((r.within & r.violates) if r.scope is not None else r.violates).alias(f"v_{r.rule_id}"))
-    return _rows(df.agg(*counts), scanned)
+    return reduce(DataFrame.unionByName, [*parts, _rows(df.agg(*counts), scanned)])
 
 
 def one_by_one(df: DataFrame, rules: Sequence[RowRule]) -> DataFrame:
@@ -86,7 +98,7 @@ def _measure(group: Sequence[Rule], tables: Mapping[str, DataFrame], joins: Mapp
         return uniqueness_check(tables[first.table], first)
     if isinstance(first, VarianceRule):
         return variance_check(tables[first.table], first)
-    return row_level_batch(joins[first.join] if isinstance(first, JoinRule) else tables[first.table], group)
+    return row_level_batch(joins[first.join], group, None) if isinstance(first, JoinRule) else row_level_batch(tables[first.table], group)
 
 
 def measure(spark: SparkSession, rules: Sequence[Rule], tables: Mapping[str, DataFrame], joins: Mapping[str, DataFrame] | None = None) -> DataFrame:

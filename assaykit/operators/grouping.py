@@ -66,14 +66,27 @@ def usable_samples(samples: DataFrame, verdicts: DataFrame, monitored: DataFrame
     return held.withColumn("outcome", F.when(F.col("_on_key"), "rule on the key column").when(blank, "blank key").otherwise("kept")).drop("_on_key")
 
 
+#: Rules of one mask.
+MASK = 62
+
+
 def shared_rows(usable: DataFrame, ratio: float = 0.5) -> DataFrame:
-    """Pairs of rules of which the smaller one's records are, by this share, records of the other too. usable: from ``usable_samples``."""
-    # a record's rules are no more than the rules there are; pairs are counted before they are shuffled
-    used = usable.where("outcome = 'kept'")
-    rules = used.groupBy("target_table", "row_key").agg(F.array_sort(F.collect_set("rule_id")).alias("rules"))
-    sizes = rules.select("target_table", "row_key", F.explode("rules").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n"))
+    """Pairs of rules of which the smaller one's records are, by this share, records of the other too. usable: from ``usable_samples``.
+
+    A record's rules are bits of masks, which tasks join before anything is shuffled; records that break the same rules are then counted together, so pairs are made
+    for each different set of rules, not for each record. The rule ids, one row per rule, come to the driver.
+    """
+    used = usable.where("outcome = 'kept' and rule_id is not null")
+    names = sorted(r.rule_id for r in used.select("rule_id").distinct().collect())
+    masks = [f"mask_{i}" for i in range(-(-len(names) // MASK) or 1)]
+    bits = [(name, *[1 << i % MASK if i // MASK == k else 0 for k in range(len(masks))]) for i, name in enumerate(names)]
+    numbered = usable.sparkSession.createDataFrame(bits, "rule_id string, " + ", ".join(f"{m} long" for m in masks))
+    records = used.select("target_table", "row_key", "rule_id").join(F.broadcast(numbered), "rule_id").groupBy("target_table", "row_key").agg(*[F.bit_or(m).alias(m) for m in masks])
+    held = F.array_compact(F.array(*[F.when(F.col(masks[i // MASK]).bitwiseAND(F.lit(1 << i % MASK)) != 0, F.lit(name)) for i, name in enumerate(names)])) if names else F.array().cast("array<string>")
+    sets = records.groupBy(*masks).agg(F.count("*").alias("n")).select(held.alias("rules"), "n")
+    sizes = sets.select(F.explode("rules").alias("rule_id"), "n").groupBy("rule_id").agg(F.sum("n").alias("n"))
     with_later = F.flatten(F.transform("rules", lambda a, i: F.transform(F.slice("rules", i + 2, F.size("rules")), lambda b: F.struct(a.alias("rule_a"), b.alias("rule_b")))))
-    pairs = rules.select(F.inline(with_later)).groupBy("rule_a", "rule_b").agg(F.count("*").alias("shared"))
+    pairs = sets.select(F.inline(with_later), "n").groupBy("rule_a", "rule_b").agg(F.sum("n").alias("shared"))
     for side in ("a", "b"):
         pairs = pairs.join(sizes.select(F.col("rule_id").alias(f"rule_{side}"), F.col("n").alias(f"n_{side}")), f"rule_{side}")
     return pairs.withColumn("ratio", F.col("shared").cast("double") / F.least("n_a", "n_b")).where(F.col("ratio") >= ratio).select("rule_a", "rule_b", "shared", "ratio")

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -22,6 +24,16 @@ def test_batched_equals_one_by_one(spark, data, limits):
     assert sorted(map(tuple, checks.row_level_batch(df, rules).collect())) == sorted(map(tuple, checks.one_by_one(df, rules).collect()))
 
 
+def test_many_rules_stay_in_whole_stage_code(spark):
+    df = spark.createDataFrame([(i % 7, i) for i in range(500)] + [(None, None)], "a long, b long")
+    rules = [RowRule(f"r{i}", "t", F.col("a") > i % 7, violates=F.col("b") > i) for i in range(150)]
+    batch = checks.row_level_batch(df, rules)
+    assert sorted(map(tuple, batch.collect())) == [(r.rule_id, sum(1 for j in range(500) if j % 7 > i % 7), sum(1 for j in range(500) if j % 7 > i % 7 and j > i)) for i, r in sorted(enumerate(rules), key=lambda x: x[1].rule_id)]
+    final = batch._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("HashAggregate") == 6 and re.findall(r"\*\(\d+\) HashAggregate", final).__len__() == 6
+    assert len(checks.row_level_batch(df, rules, None)._jdf.queryExecution().optimizedPlan().toString().split("Aggregate ")) == 2
+
+
 def test_a_bad_rule_is_the_only_error(spark):
     df = spark.createDataFrame([(1,), (2,)], "a int")
     rules = [RowRule("good", "t", violates=F.col("a") > 1), RowRule("bad", "t", violates=F.col("missing") > 1), RowRule("lost", "u", violates=F.lit(True))]

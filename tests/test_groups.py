@@ -45,6 +45,20 @@ def test_groups_by_hand(spark):
     assert {(r.group_key, r.basis) for r in alone} == {("2024-01-01", moved)}
 
 
+def test_shared_rows_of_many_rules(spark):
+    """More rules than a mask holds, against sets in Python; repeated samples count once, and equal keys of two tables are two records."""
+    rng = random.Random(5)
+    rows = [(f"t{rng.randrange(2)}", f"r{rng.randrange(130):03d}", str(rng.randrange(40)), "kept") for _ in range(3000)] + [("t0", None, "1", "kept"), ("t0", "r000", "x", "blank key")]
+    frame = spark.createDataFrame(rows, "target_table string, rule_id string, row_key string, outcome string")
+    of = {}
+    for t, r, k, o in rows:
+        if o == "kept" and r:
+            of.setdefault(r, set()).add((t, k))
+    want = {(a, b, n, n / min(len(of[a]), len(of[b]))) for a in of for b in of if a < b and (n := len(of[a] & of[b])) and n / min(len(of[a]), len(of[b])) >= 0.5}
+    assert {tuple(r) for r in grouping.shared_rows(frame).collect()} == want and want
+    assert grouping.shared_rows(frame.where("false")).collect() == []
+
+
 def test_events_and_playbooks_by_hand(spark):
     events = spark.createDataFrame([("c", 1, "recommended", None, None, None), ("c", 2, "reviewed", "accepted", None, " see above "), ("c", 3, "verified", None, False, ""), ("c", 4, "verified", "  ", True, None)], "cohort_id string, event_seq int, event_type string, decision string, verification_passed boolean, reason string")
     events = events.withColumns({"event_ts": F.lit("2024-02-03").cast("timestamp"), "actor_identity": F.lit("ann")})
