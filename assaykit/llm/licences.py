@@ -6,7 +6,8 @@ variants kept aside calibrates the chances. ``scan`` gates rows by the key words
 is unknown; it splits the rest at blank lines (comment leaders alone are blank) into paragraphs. A paragraph is read line by line and, where it has
 several lines, with its lines joined, in overlapping windows of ``WINDOW`` words that cover all of it; the n-grams of each reading are joined to the
 weights and summed. A prediction is confirmed when a reading holds enough of a template's n-grams; a paragraph gives each family once.
-A window names one family, so of several wrapped notices within ``WINDOW`` words only the likeliest may be named.
+A reading may hold several notices: beside its likeliest family it names every other one of which it holds enough of a template after the n-grams that the likeliest
+family's templates share are taken away, if the model gives that family on its template's n-grams alone.
 
 Training sees at most ``PLAIN`` lines, drawn from the whole of at most ``SAMPLE`` corpus texts (least hash first). The weights and templates are bounded by the template list and
 may be broadcast. Edge cases: null and empty texts have no licence; repeated rows give equal results; the columns added get an underscore
@@ -75,6 +76,15 @@ class Model:
         return "(?iu)(?<![\\p{L}\\p{N}])(?:" + "|".join(re.escape(w) for w in words) + ")(?![\\p{L}\\p{N}])"
 
 
+    @property
+    def rivals(self) -> list[tuple[str, str, list[str], list[str]]]:
+        """(family, rival, n-grams of one of the rival's templates, those of them that no template of the family has)."""
+        own: dict[str, set[str]] = {}
+        for f, grams in self.templates:
+            own.setdefault(f, set()).update(grams)
+        return [(f, g, grams, apart) for f in own for g, grams in self.templates if g != f and (apart := sorted(set(grams) - own[f]))]
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     x = np.exp(x - x.max(1, keepdims=True))
     return x / x.sum(1, keepdims=True)
@@ -163,15 +173,29 @@ def paragraphs(docs: DataFrame, model: Model, key: str, chance: float = 0.5, ove
     found = F.regexp_extract_all(F.lower("body"), F.lit(WORD), F.lit(0))
     grams = rows.select("key", "paragraph", "at", found.alias("words")).select("key", "paragraph", "at", F.explode(_grams(F.col("words"))).alias("gram"))
     sums = grams.join(F.broadcast(weights), "gram").groupBy("key", "paragraph", "at").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(n)], F.collect_set("gram").alias("held"))
-    logit = F.array(*[F.round(F.col(f"s{i}") + model.bias[i], 6) for i in range(n)])
-    scored = sums.select("key", "paragraph", "at", "held", logit.alias("z")).withColumn("top", F.array_max("z"))
-    total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
-    family = F.element_at(F.array(*map(F.lit, model.families)), F.array_position("z", F.col("top")).cast("int"))
-    scored = scored.select("key", "paragraph", "at", "held", family.alias("family"), F.round(1 / total, 6).alias("p")).where((F.col("family") != UNKNOWN) & (F.col("p") >= chance))
+    scored = _decide(sums, model).where((F.col("family") != UNKNOWN) & (F.col("p") >= chance))
     match = F.exists("templates", lambda t: F.size(F.array_intersect(t, F.col("held"))) >= overlap * F.size(t))
-    named = scored.join(F.broadcast(templates), "family").select("key", "paragraph", "at", "family", "p", match.alias("confirmed"))
+    place = ["key", "paragraph", "at"]
+    named = scored.join(F.broadcast(templates), "family").select(*place, "family", "p", match.alias("confirmed"))
+    # other notices of the same reading, by what their templates have apart from the likeliest family's
+    rivals = F.broadcast(spark.createDataFrame(model.rivals, "family string, rival string, whole array<string>, apart array<string>"))
+    shows = F.size(F.array_intersect("apart", "held")) >= overlap * F.size("apart")
+    fits = scored.join(rivals, "family").where(shows).select(*place, "rival", F.array_intersect("whole", "held").alias("rest"))
+    alone = fits.groupBy(*place, "rival").agg(F.array_distinct(F.flatten(F.collect_list("rest"))).alias("rest"))
+    again = alone.select(*place, "rival", F.explode("rest").alias("gram")).join(F.broadcast(weights), "gram").groupBy(*place, "rival").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(n)], F.collect_set("gram").alias("held"))
+    others = _decide(again, model, "rival").where((F.col("family") == F.col("rival")) & (F.col("p") >= chance)).select(*place, "family", "p", F.lit(True).alias("confirmed"))
     best = F.max(F.struct("confirmed", "p")).alias("best")
-    return named.groupBy("key", "paragraph", "family").agg(best, F.min("at").alias("at")).select("key", "paragraph", "at", "family", "best.p", "best.confirmed")
+    return named.unionByName(others).groupBy("key", "paragraph", "family").agg(best, F.min("at").alias("at")).select("key", "paragraph", "at", "family", "best.p", "best.confirmed")
+
+
+def _decide(sums: DataFrame, model: Model, *extra: str) -> DataFrame:
+    """The likeliest family and its chance, from sums of weights s0, s1, ..."""
+    logit = F.array(*[F.round(F.col(f"s{i}") + b, 6) for i, b in enumerate(model.bias)])
+    columns = ["key", "paragraph", "at", *extra, "held"]
+    scored = sums.select(*columns, logit.alias("z")).withColumn("top", F.array_max("z"))
+    total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
+    family = F.element_at(F.array(*map(F.lit, model.families)), F.array_position("z", F.col("top")).cast("int"))
+    return scored.select(*columns, family.alias("family"), F.round(1 / total, 6).alias("p"))
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:

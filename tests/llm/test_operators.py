@@ -331,6 +331,66 @@ def test_wrapped_licences(spark, model):
     assert max(len(licences.words_of(t)) for ts in licences.TEMPLATES.values() for t in ts) <= licences.OVERLAP
 
 
+def test_several_licences_on_one_line(spark, model):
+    rows = [("Licensed under the MIT License or the Apache License, Version 2.0.", "Apache-2.0 MIT"), ("Licensed under the MIT License or the Apache License, Version 2.0, or the GNU General Public License, version 3.", "Apache-2.0 GPL-3.0 MIT")]
+    for i, a in enumerate(licences.TEMPLATES):
+        rows += [(f"{x} or {y}", " ".join(sorted((a, b)))) for b in list(licences.TEMPLATES)[i + 1 :] for x, y in zip(licences.TEMPLATES[a], licences.TEMPLATES[b])]
+    rows += [(t, f) for f, ts in licences.TEMPLATES.items() for t in ts]
+    got = [({x.family for x in r.licences if x.confirmed}, set(r.want.split()), r.text) for r in licences.scan(spark.createDataFrame(rows, "text string, want string"), model).collect()]
+    held = sum(len(g & w) for g, w, _ in got)
+    assert held >= 0.98 * sum(len(w) for _, w, _ in got) and held >= 0.97 * sum(len(g) for g, _, _ in got)
+    named = {text: g for g, _, text in got}
+    assert all(named[text] == set(want.split()) for text, want in rows[:2])
+
+
+def plain_licences(text, model, chance=0.5, overlap=0.6):
+    """{(paragraph, family): (confirmed, p)} of one text, without gates or joins."""
+    import regex
+
+    find = lambda t: regex.findall(licences.WORD, t)
+    grams = lambda words: {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+
+    def decide(held):
+        z = [round(sum(model.weights[g][k] for g in held) + b, 6) for k, b in enumerate(model.bias)]
+        return model.families[z.index(max(z))], 1 / sum(math.exp(v - max(z)) for v in z)
+
+    out = {}
+    for number, body in enumerate(regex.split(licences.BLANK, text or "")):
+        readings = body.split("\n")
+        if len(readings) > 1:
+            words = find(regex.sub(licences.HYPHEN, "-", regex.sub(licences.LEADER, "", body)))
+            readings += [" ".join(words[i : i + licences.WINDOW]) for i in range(0, max(len(words) - licences.OVERLAP, 1), licences.WINDOW - licences.OVERLAP)]
+        for reading in readings:
+            held = grams(find(reading.lower())) & model.weights.keys()
+            first, p = decide(held) if held else (licences.UNKNOWN, 1)
+            if first == licences.UNKNOWN or p < chance:
+                continue
+            named = [(first, p, any(len(held & set(t)) >= overlap * len(t) for f, t in model.templates if f == first))]
+            own = set().union(*(t for f, t in model.templates if f == first))
+            for rival in set(model.families) - {first, licences.UNKNOWN}:
+                shown = [t for f, t in model.templates if f == rival and (apart := set(t) - own) and len(apart & held) >= overlap * len(apart)]
+                if shown:
+                    family, q = decide(held & set().union(*shown))
+                    named += [(family, q, True)] if family == rival and q >= chance else []
+            for family, q, confirmed in named:
+                out[number, family] = max(out.get((number, family), (False, 0.0)), (confirmed, q))
+    return out
+
+
+def test_licences_against_a_plain_scorer(spark, sf, model):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    several = spark.createDataFrame([(-1, "a\nMIT or the\nApache License, Version 2.0\n\nReleased under CC0 1.0. Released under the ISC License."), (-2, None), (-3, "")], "doc_id long, text string")
+    rows = licences.scan(docs.select("doc_id", "text").unionByName(several), model).collect()
+    found = 0
+    for r in rows:
+        got = {(x.paragraph, x.family): (x.confirmed, x.p) for x in r.licences}
+        want = plain_licences(r.text, model)
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}, r.doc_id
+        assert all(abs(got[k][1] - want[k][1]) < 1e-4 for k in got)
+        found += len(got)
+    assert found > 10
+
+
 def test_licence_plan_is_native(spark, model):
     df = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     plan = licences.scan(df, model)._jdf.queryExecution().toString()
