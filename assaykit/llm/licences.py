@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import free_name, hash_sample, text_key
+from assaykit.llm.common import cut, free_name, hash_sample, text_key
 
 # Notices by which texts name a licence, by family.
 TEMPLATES = {
@@ -173,7 +173,8 @@ def paragraphs(docs: DataFrame, model: Model, key: str, chance: float = 0.5, ove
     found = F.regexp_extract_all(F.lower("body"), F.lit(WORD), F.lit(0))
     grams = rows.select("key", "paragraph", "at", found.alias("words")).select("key", "paragraph", "at", F.explode(_grams(F.col("words"))).alias("gram"))
     sums = grams.join(F.broadcast(weights), "gram").groupBy("key", "paragraph", "at").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(n)], F.collect_set("gram").alias("held"))
-    scored = _decide(sums, model).where((F.col("family") != UNKNOWN) & (F.col("p") >= chance))
+    # few rows of many readings; both branches below start from them
+    scored = cut(_decide(sums, model).where((F.col("family") != UNKNOWN) & (F.col("p") >= chance)))
     match = F.exists("templates", lambda t: F.size(F.array_intersect(t, F.col("held"))) >= overlap * F.size(t))
     place = ["key", "paragraph", "at"]
     named = scored.join(F.broadcast(templates), "family").select(*place, "family", "p", match.alias("confirmed"))

@@ -378,7 +378,7 @@ def plain_licences(text, model, chance=0.5, overlap=0.6):
 
 
 def test_licences_against_a_plain_scorer(spark, sf, model):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
     several = spark.createDataFrame([(-1, "a\nMIT or the\nApache License, Version 2.0\n\nReleased under CC0 1.0. Released under the ISC License."), (-2, None), (-3, "")], "doc_id long, text string")
     rows = licences.scan(docs.select("doc_id", "text").unionByName(several), model).collect()
     found = 0
