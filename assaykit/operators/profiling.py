@@ -18,22 +18,48 @@ def _melt(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])))
 
 
-def profile_columns(df: DataFrame, columns: Sequence[str], pattern: str | None = None) -> DataFrame:
-    """Counts per column. NULL, blank and populated values are counted apart; distinct values are counted by 128 bits of hash, so that long
-    cells are not shuffled."""
-    v, n = F.col("value"), F.col("n")
-    blank, filled = v.isNotNull() & (F.trim(v) == ""), v.isNotNull() & (F.trim(v) != "")
-    fits = filled & v.rlike(f"^(?:{pattern})") if pattern else F.lit(False)
-    kind = F.when(v.isNull(), "null").when(blank, "blank").otherwise("filled")
-    cells = _melt(df, columns).select("column", F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2"), kind.alias("kind"), F.length(v).alias("size"), F.coalesce(filled & f.is_sentinel(v), F.lit(False)).alias("sentinel"), F.coalesce(fits, F.lit(False)).alias("fits"))
-    values = cells.groupBy("column", "h1", "h2", "kind", "size", "sentinel", "fits").agg(F.count("*").alias("n"))
-    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
-    full = F.col("kind") == "filled"
-    out = values.groupBy("column").agg(
-        F.sum("n").alias("rows_scanned"), total(F.col("kind") == "null").alias("null_count"), total(F.col("kind") == "blank").alias("blank_count"), total(full).alias("populated_count"), F.count_if(full).alias("distinct_count"),
-        F.min(F.when(full, F.col("size"))).alias("min_length"), F.max(F.when(full, F.col("size"))).alias("max_length"), total(F.col("sentinel")).alias("sentinel_count"), total(F.col("fits")).alias("match_count"),
-    )
+#: Distinct values up to which a column's are counted by a sketch, as a power of two; tasks whose sketches meet first.
+SKETCH, FAN_IN = 14, 256
+
+
+def count_columns(df: DataFrame, figures: Mapping[str, Mapping[str, tuple[Column, str]]], values: Mapping[str, Column], lg: int = SKETCH) -> DataFrame:
+    """column, its figures, and distinct_count of its value that is not NULL, exact. A figure is an aggregate and how parts of it meet: sum, min or max.
+
+    One pass, in which no cell leaves its task: a theta sketch of less than 2**lg keys is the set of their hashes, so its count is exact; beyond, its estimate is never below 2**lg. Only
+    columns that reach that are read again, and the distinct 128-bit hashes of their values are shuffled. A task sends at most 8 * 2**lg bytes for each column; sketches meet in
+    ``FAN_IN`` groups of tasks before they meet in one. One row of counts comes to the driver.
+    """
+    names = list(values)
+    hashed = lambda c: F.when(values[c].isNotNull(), F.xxhash64(values[c]))
+    merge = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "min": F.min, "max": F.max}
+    first = [x.alias(f"{i}_{n}") for i, c in enumerate(names) for n, (x, _) in figures[c].items()] + [F.theta_sketch_agg(hashed(c), lg).alias(f"{i}__s") for i, c in enumerate(names)]
+    then = [merge[how](f"{i}_{n}").alias(f"{i}_{n}") for i, c in enumerate(names) for n, (_, how) in figures[c].items()] + [F.theta_sketch_estimate(F.theta_union_agg(f"{i}__s", lg)).alias(f"{i}__s") for i in range(len(names))]
+    wide = checkpointed(df.withColumn("_g", F.spark_partition_id() % FAN_IN).groupBy("_g").agg(*first).agg(*then))
+    row = wide.first()
+    large = [c for i, c in enumerate(names) if (row[f"{i}__s"] or 0) >= 1 << lg]
+    out = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{i}_{n}").alias(n) for n in figures[c]], F.coalesce(F.col(f"{i}__s"), F.lit(0)).cast("long").alias("distinct_count")) for i, c in enumerate(names)])))
+    if not large:
+        return out
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), hashed(c).alias("h1"), F.xxhash64(F.lit(1), values[c]).alias("h2")) for c in large]))).where("h1 is not null")
+    exact = cells.distinct().groupBy("column").agg(F.count("*").alias("_exact"))
+    return out.join(exact, "column", "left").withColumn("distinct_count", F.coalesce("_exact", "distinct_count")).drop("_exact")
+
+
+def profile_columns(df: DataFrame, columns: Sequence[str], pattern: str | None = None, lg: int = SKETCH) -> DataFrame:
+    """Counts per column. NULL, blank and populated values are counted apart; distinct populated values by ``count_columns``. A table without rows has zeros."""
+    figures, values = {}, {}
+    for c in columns:
+        v = F.col(c).cast("string")
+        filled = F.coalesce(F.trim(v) != "", F.lit(False))
+        values[c] = F.when(filled, v)
+        figures[c] = {
+            "rows_scanned": (F.count("*"), "sum"), "null_count": (F.count_if(v.isNull()), "sum"), "blank_count": (F.count_if(F.trim(v) == ""), "sum"), "populated_count": (F.count_if(filled), "sum"),
+            "min_length": (F.min(F.when(filled, F.length(v))), "min"), "max_length": (F.max(F.when(filled, F.length(v))), "max"), "sentinel_count": (F.count_if(filled & f.is_sentinel(v)), "sum"),
+            "match_count": (F.count_if(filled & v.rlike(f"^(?:{pattern})") if pattern else F.lit(False)), "sum"),
+        }
+    out = count_columns(df, figures, values, lg)
     share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a).cast("double") * 100.0 / F.col(b), 4))
+    out = out.select("column", "rows_scanned", "null_count", "blank_count", "populated_count", "distinct_count", "min_length", "max_length", "sentinel_count", "match_count")
     return out.withColumns({"null_pct": share("null_count", "rows_scanned"), "blank_pct": share("blank_count", "rows_scanned"), "distinct_pct": share("distinct_count", "populated_count"), "match_pct": share("match_count", "populated_count")})
 
 
@@ -249,9 +275,7 @@ def row_key_of(columns: Sequence[str], primary_key: Sequence[str] = ()) -> list[
     return list(primary_key) or named[:1] or list(columns[:1])
 
 
-def suggest_row_key(df: DataFrame, primary_key: Sequence[str] = ()) -> DataFrame:
-    """Per column how many values are distinct, their share of the rows, and whether it is the suggested key. Values are counted by 128 bits of hash."""
-    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.xxhash64(F.col(c)).alias("h1"), F.xxhash64(F.lit(1), F.col(c)).alias("h2"), F.col(c).isNotNull().alias("held")) for c in df.columns])))
-    values = cells.groupBy("column", "h1", "h2", "held").agg(F.count("*").alias("n"))
-    out = values.groupBy("column").agg(F.count_if("held").alias("distinct_count"), F.sum("n").alias("rows"))
-    return out.select("column", "distinct_count", (F.col("distinct_count").cast("double") / F.col("rows")).alias("ratio"), F.col("column").isin(*row_key_of(df.columns, primary_key)).alias("suggested"))
+def suggest_row_key(df: DataFrame, primary_key: Sequence[str] = (), lg: int = SKETCH) -> DataFrame:
+    """Per column how many values are distinct, their share of the rows (NULL without rows), and whether it is the suggested key; counted by ``count_columns``."""
+    out = count_columns(df, {c: {"rows": (F.count("*"), "sum")} for c in df.columns}, {c: F.col(c) for c in df.columns}, lg)
+    return out.select("column", "distinct_count", F.try_divide(F.col("distinct_count").cast("double"), F.col("rows")).alias("ratio"), F.col("column").isin(*row_key_of(df.columns, primary_key)).alias("suggested"))
