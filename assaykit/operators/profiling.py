@@ -22,45 +22,56 @@ def _melt(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 SKETCH, FAN_IN = 14, 256
 
 
-def count_columns(df: DataFrame, figures: Mapping[str, Mapping[str, tuple[Column, str]]], values: Mapping[str, Column], lg: int = SKETCH) -> DataFrame:
-    """column, its figures, and distinct_count of its value that is not NULL, exact. A figure is an aggregate and how parts of it meet: sum, min or max.
+#: How parts of a figure meet.
+MERGE = {"sum": "coalesce(sum(`{c}`), 0L)", "min": "min(`{c}`)", "max": "max(`{c}`)"}
+
+
+def count_columns(df: DataFrame, figures: Mapping[str, tuple[str, str]], cells: Mapping[str, Mapping[str, Column]], lg: int = SKETCH) -> DataFrame:
+    """column, its figures, and distinct_count of its cell ``v`` where that is not NULL, exact.
+
+    cells: column -> name -> what is taken of each row. figures: name -> SQL aggregate over {cell}, and how parts of it meet (``MERGE``).
 
     One pass, in which no cell leaves its task: a theta sketch of less than 2**lg keys is the set of their hashes, so its count is exact; beyond, its estimate is never below 2**lg. Only
     columns that reach that are read again, and the distinct 128-bit hashes of their values are shuffled. A task sends at most 8 * 2**lg bytes for each column; sketches meet in
     ``FAN_IN`` groups of tasks before they meet in one. One row of counts comes to the driver.
     """
-    names = list(values)
-    hashed = lambda c: F.when(values[c].isNotNull(), F.xxhash64(values[c]))
-    merge = {"sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "min": F.min, "max": F.max}
-    first = [x.alias(f"{i}_{n}") for i, c in enumerate(names) for n, (x, _) in figures[c].items()] + [F.theta_sketch_agg(hashed(c), lg).alias(f"{i}__s") for i, c in enumerate(names)]
-    then = [merge[how](f"{i}_{n}").alias(f"{i}_{n}") for i, c in enumerate(names) for n, (_, how) in figures[c].items()] + [F.theta_sketch_estimate(F.theta_union_agg(f"{i}__s", lg)).alias(f"{i}__s") for i in range(len(names))]
-    wide = checkpointed(df.withColumn("_g", F.spark_partition_id() % FAN_IN).groupBy("_g").agg(*first).agg(*then))
-    row = wide.first()
-    large = [c for i, c in enumerate(names) if (row[f"{i}__s"] or 0) >= 1 << lg]
-    out = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{i}_{n}").alias(n) for n in figures[c]], F.coalesce(F.col(f"{i}__s"), F.lit(0)).cast("long").alias("distinct_count")) for i, c in enumerate(names)])))
+    names = list(cells)
+    hashed = lambda c: F.when(cells[c]["v"].isNotNull(), F.xxhash64(cells[c]["v"]))
+    rows = df.select((F.spark_partition_id() % FAN_IN).alias("_g"), *[x.alias(f"c{i}_{k}") for i, c in enumerate(names) for k, x in cells[c].items()], *[hashed(c).alias(f"h{i}") for i, c in enumerate(names)])
+    first = [f"{sql.format_map({k: f'`c{i}_{k}`' for k in cells[c]})} AS `{i}_{n}`" for i, c in enumerate(names) for n, (sql, _) in figures.items()] + [f"theta_sketch_agg(h{i}, {lg}) AS s{i}" for i in range(len(names))]
+    then = [f"{MERGE[how].format(c=f'{i}_{n}')} AS `{i}_{n}`" for i in range(len(names)) for n, (_, how) in figures.items()] + [f"coalesce(theta_sketch_estimate(theta_union_agg(s{i}, {lg})), 0L) AS s{i}" for i in range(len(names))]
+    wide = rows.groupBy("_g").agg(*map(F.expr, first)).agg(*map(F.expr, then))
+    row = wide.collect()[0]
+    large = [c for i, c in enumerate(names) if row[f"s{i}"] >= 1 << lg]
+    each = [F.struct(F.lit(c).alias("column"), *[F.col(f"{i}_{n}").alias(n) for n in figures], F.col(f"s{i}").alias("distinct_count")) for i, c in enumerate(names)]
+    out = df.sparkSession.createDataFrame([row], wide.schema).select(F.inline(F.array(*each)))
     if not large:
         return out
-    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), hashed(c).alias("h1"), F.xxhash64(F.lit(1), values[c]).alias("h2")) for c in large]))).where("h1 is not null")
-    exact = cells.distinct().groupBy("column").agg(F.count("*").alias("_exact"))
+    found = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), hashed(c).alias("h1"), F.xxhash64(F.lit(1), cells[c]["v"]).alias("h2")) for c in large]))).where("h1 is not null")
+    exact = found.distinct().groupBy("column").agg(F.count("*").alias("_exact"))
     return out.join(exact, "column", "left").withColumn("distinct_count", F.coalesce("_exact", "distinct_count")).drop("_exact")
 
 
+#: Characters of the longest value that means that there is none; longer ones need no comparison.
+_LONGEST = max(map(len, f.SENTINELS))
+_PROFILE = {
+    "rows_scanned": ("count(*)", "sum"), "null_count": ("count_if({empty} is null)", "sum"), "blank_count": ("count_if({empty})", "sum"), "populated_count": ("count({v})", "sum"),
+    "min_length": ("min({size})", "min"), "max_length": ("max({size})", "max"), "sentinel_count": ("count_if({sentinel})", "sum"), "match_count": ("count_if({fits})", "sum"),
+}
+
+
 def profile_columns(df: DataFrame, columns: Sequence[str], pattern: str | None = None, lg: int = SKETCH) -> DataFrame:
     """Counts per column. NULL, blank and populated values are counted apart; distinct populated values by ``count_columns``. A table without rows has zeros."""
-    figures, values = {}, {}
+    cells = {}
     for c in columns:
-        v = F.col(c).cast("string")
-        filled = F.coalesce(F.trim(v) != "", F.lit(False))
-        values[c] = F.when(filled, v)
-        figures[c] = {
-            "rows_scanned": (F.count("*"), "sum"), "null_count": (F.count_if(v.isNull()), "sum"), "blank_count": (F.count_if(F.trim(v) == ""), "sum"), "populated_count": (F.count_if(filled), "sum"),
-            "min_length": (F.min(F.when(filled, F.length(v))), "min"), "max_length": (F.max(F.when(filled, F.length(v))), "max"), "sentinel_count": (F.count_if(filled & f.is_sentinel(v)), "sum"),
-            "match_count": (F.count_if(filled & v.rlike(f"^(?:{pattern})") if pattern else F.lit(False)), "sum"),
-        }
-    out = count_columns(df, figures, values, lg)
-    share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a).cast("double") * 100.0 / F.col(b), 4))
-    out = out.select("column", "rows_scanned", "null_count", "blank_count", "populated_count", "distinct_count", "min_length", "max_length", "sentinel_count", "match_count")
-    return out.withColumns({"null_pct": share("null_count", "rows_scanned"), "blank_pct": share("blank_count", "rows_scanned"), "distinct_pct": share("distinct_count", "populated_count"), "match_pct": share("match_count", "populated_count")})
+        text = F.col(c).cast("string")
+        empty = F.trim(text) == ""
+        v = F.when(~empty, text)
+        cells[c] = {"empty": empty, "v": v, "size": F.length(v), "sentinel": (F.length(F.trim(v)) <= _LONGEST) & f.is_sentinel(v), "fits": v.rlike(f"^(?:{pattern})") if pattern else F.lit(False)}
+    out = count_columns(df, _PROFILE, cells, lg)
+    share = lambda a, b: f"CASE WHEN {b} > 0 THEN round(CAST({a} AS DOUBLE) * 100.0D / {b}, 4) END AS {a.replace('_count', '_pct')}"
+    counts = ["column", "rows_scanned", "null_count", "blank_count", "populated_count", "distinct_count", "min_length", "max_length", "sentinel_count", "match_count"]
+    return out.selectExpr(*counts, share("null_count", "rows_scanned"), share("blank_count", "rows_scanned"), share("distinct_count", "populated_count"), share("match_count", "populated_count"))
 
 
 def top_signatures(df: DataFrame, columns: Sequence[str], private: bool = False, top: int = 8, rare: int = 5) -> DataFrame:
@@ -277,5 +288,5 @@ def row_key_of(columns: Sequence[str], primary_key: Sequence[str] = ()) -> list[
 
 def suggest_row_key(df: DataFrame, primary_key: Sequence[str] = (), lg: int = SKETCH) -> DataFrame:
     """Per column how many values are distinct, their share of the rows (NULL without rows), and whether it is the suggested key; counted by ``count_columns``."""
-    out = count_columns(df, {c: {"rows": (F.count("*"), "sum")} for c in df.columns}, {c: F.col(c) for c in df.columns}, lg)
+    out = count_columns(df, {"rows": ("count(*)", "sum")}, {c: {"v": F.col(c)} for c in df.columns}, lg)
     return out.select("column", "distinct_count", F.try_divide(F.col("distinct_count").cast("double"), F.col("rows")).alias("ratio"), F.col("column").isin(*row_key_of(df.columns, primary_key)).alias("suggested"))
