@@ -40,7 +40,8 @@ def trimmed(c: Column) -> Column:
 
 
 def is_valid_email(c: Column) -> Column:
-    return c.rlike(EMAIL)
+    # possessive groups give nothing back, so they take no stack frame for each part of a long value; parts and dots share no character, so the same values match
+    return c.rlike(EMAIL.replace(")*", ")*+").replace(")+", ")++"))
 
 
 def is_au_mobile(c: Column) -> Column:

@@ -1,7 +1,8 @@
 """Rule packs over values derived from the given tables, each with the rules' SQL.
 
 A pack reads columns that a relation derives from real rows: ids, names and dates of the row, some of them bent in one of the ways that the pack
-looks for. Spark and the oracle share that relation's SQL; every rule's scope and condition are written apart in each.
+looks for. Spark and the oracle share that relation's SQL; every rule's scope and condition are written apart in each. Cases whose names end in a
+table's name read what that table holds as it is: addresses and numbers in whole texts, lines, URLs, keys.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from assaykit.functions import packs, scalar
 from assaykit.operators import checks
 from assaykit.operators.rules import Rule
 
-TABLES = ("customer", "orders", "part", "lineitem")
+TABLES = ("customer", "orders", "part", "lineitem", "documents", "pages", "conversations", "events")
 
 
 def _case(key: str, *values: str) -> str:
@@ -63,13 +64,14 @@ def epoch(c: str) -> str:
 
 @dataclass
 class Case:
-    """source: SQL of the relation ``c`` that both sides read. oracle: rule -> (scope, condition). counted: rule -> SQL of rows_scanned and violation_count."""
+    """source: SQL of the relation ``c`` that both sides read, or Spark alone where ``twin`` says it for the oracle. oracle: rule -> (scope, condition). counted: rule -> SQL of rows_scanned and violation_count."""
 
     rules: Callable[[], list[Rule]]
     source: str
     oracle: dict[str, tuple[str, str]]
     counted: dict[str, str] = field(default_factory=dict)
     joins: dict[str, str] = field(default_factory=dict)
+    twin: str | None = None
 
 
 T = "trim(c)"
@@ -228,11 +230,51 @@ CASES: dict[str, Case] = {
 }
 
 
+def words(table: str, test: str) -> tuple[str, str]:
+    """SQL of the words of all whole texts that pass a test of ``w``, in both dialects."""
+    gaps = r"'[ \n\t]+'"
+    spark = test.replace("{digits}", "length(regexp_replace(w, '[^0-9]', ''))")
+    other = test.replace("{digits}", "length(regexp_replace(w, '[^0-9]', '', 'g'))")
+    return f"SELECT explode(filter(split(text, {gaps}), w -> {spark})) AS c FROM {table}", f"SELECT w AS c FROM (SELECT unnest(string_split_regex(text, {gaps})) AS w FROM {table}) WHERE {other}"
+
+
+def _texts(name: str, like_case: str, sql: tuple[str, str], drop: tuple[str, ...] = ()) -> None:
+    """A case with the rules and conditions of another one, over what the tables hold."""
+    of = CASES[like_case]
+    CASES[name] = Case(of.rules, sql[0], of.oracle, {k: v for k, v in of.counted.items() if k not in drop}, twin=sql[1])
+
+
+def _same(sql: str) -> tuple[str, str]:
+    return sql, sql
+
+
+for _table in ("documents", "conversations"):
+    _texts(f"r2_email_{_table}", "r2_email_migration", words(_table, "w LIKE '%@%'"))
+    _texts(f"r5_phone_{_table}", "r5_phone_migration", words(_table, "{digits} BETWEEN 8 AND 13"))
+    _texts(f"r19_numbers_{_table}", "r19_count_text", words(_table, "{digits} BETWEEN 1 AND 13"))
+_texts("r7_name_documents", "r7_name_migration", (r"SELECT explode(split(text, '\n')) AS c, lang AS s FROM documents", r"SELECT unnest(string_split(text, chr(10))) AS c, lang AS s FROM documents"))
+_texts("r11_identifier_events", "r11_identifier_migration", _same("SELECT CAST(user_id AS STRING) AS c FROM events"))
+_texts("r11_identifier_pages", "r11_identifier_migration", _same("SELECT url AS c FROM pages"))
+_texts("r20_website_pages", "r20_website", _same("SELECT url AS c FROM pages"))
+_texts("r20_website_documents", "r20_website", words("documents", "w LIKE '%://%' OR w LIKE '%www.%'"))
+CASES["r14_constant_documents"] = Case(
+    lambda: packs.constant("c", ["c", "source", "n_chars"], "X"), "SELECT lang AS c, source, n_chars FROM documents", {},
+    {f"{c}_VARIES": f"SELECT COUNT(*), CASE WHEN COUNT(DISTINCT {c}) <= 1 THEN COUNT(*) ELSE 0 END FROM c" for c in ("c", "source", "n_chars")},
+)
+
+
 def _query(case: Case) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for name in TABLES:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"probe_{name}")
-        here = lambda sql: spark.sql(_named(sql))
+        def here(sql: str) -> DataFrame:
+            """The SQL over frames of the tables; no view is left in the session."""
+            text, used = sql.replace("{", "{{").replace("}", "}}"), {}
+            for name in TABLES:
+                named = text.replace(f" FROM {name}", f" FROM {{{name}}}").replace(f"JOIN {name} ", f"JOIN {{{name}}} ")
+                if named != text:
+                    used[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+                text = named
+            return spark.sql(text, **used)
+
         df = here(case.source)
         if "c" in df.columns:
             df = df.withColumns({"washed": scalar.au_phone_digits(F.col("c").cast("string")), "trimmed": F.trim(F.col("c").cast("string"))})
@@ -241,18 +283,11 @@ def _query(case: Case) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def _named(sql: str) -> str:
-    """The SQL over the session's views of the tables."""
-    for name in TABLES:
-        sql = sql.replace(f" FROM {name}", f" FROM probe_{name}").replace(f"JOIN {name} ", f"JOIN probe_{name} ")
-    return sql
-
-
 def _oracle(case: Case) -> str:
     rows = [f"SELECT 'X_{rule}' AS rule_id, COUNT(*) FILTER ({scope}) AS rows_scanned, COUNT(*) FILTER (({scope}) AND ({violates})) AS violation_count FROM v" for rule, (scope, violates) in case.oracle.items()]
     rows += [f"SELECT 'X_{rule}' AS rule_id, r.a AS rows_scanned, r.b AS violation_count FROM ({sql}) r(a, b)" for rule, sql in case.counted.items()]
     extra = "*, CAST(try_strptime(CAST(c AS STRING), '%Y-%m-%d %H:%M:%S') AS DATE) AS d, CAST(epoch_ms(TRY_CAST(c AS BIGINT)) AS DATE) AS m"
-    return f"WITH c AS ({case.source}), v AS (SELECT {extra} FROM c) SELECT rule_id, CAST(rows_scanned AS BIGINT) AS rows_scanned, CAST(violation_count AS BIGINT) AS violation_count FROM ({' UNION ALL '.join(rows)})"
+    return f"WITH c AS ({case.twin or case.source}), v AS (SELECT {extra} FROM c) SELECT rule_id, CAST(rows_scanned AS BIGINT) AS rows_scanned, CAST(violation_count AS BIGINT) AS violation_count FROM ({' UNION ALL '.join(rows)})"
 
 
 QUERIES = {name: _query(case) for name, case in CASES.items()}
