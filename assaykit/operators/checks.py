@@ -179,19 +179,26 @@ def violation_samples(df: DataFrame, rules: Sequence[RowRule], keys: Sequence[st
     return rows.select(F.col("_rule").alias("rule_id"), F.col("_key").alias("row_key"), sampled.alias("sample_row"))
 
 
-#: Keys up to which a sketch is exact, as a power of two.
+#: Keys below which a sketch is exact, as a power of two.
 SKETCH = 14
 
 
 def key_sketches(df: DataFrame, rules: Sequence[RowRule], keys: Sequence[str], lg: int = SKETCH) -> DataFrame:
     """(rule_id, key_sketch): the keys of each rule's violating rows, as a theta sketch, from one scan; to be kept beside the verdict.
 
-    Up to 2**lg keys it is the set itself, beyond that its count is off by some 1 / sqrt(2**lg); sketches of rules, runs and tables can be joined (``metrics.records_affected``).
+    Below 2**lg keys it is the set itself, from there on its count is off by some 1 / sqrt(2**lg); sketches of rules, runs and tables can be joined (``metrics.records_affected``,
+    which counts the keys themselves where it has them).
     """
     wide = df.agg(*[F.theta_sketch_agg(F.when(r.within & r.violates, row_key(keys)), lg).alias(f"k_{r.rule_id}") for r in rules])
     return wide.select(F.inline(F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.col(f"k_{r.rule_id}").alias("key_sketch")) for r in rules])))
 
 
+def violating_keys(df: DataFrame, rules: Sequence[RowRule], keys: Sequence[str]) -> DataFrame:
+    """(rule_id, row_key): the key of every row that breaks a rule, once for each such row."""
+    hits = F.array_compact(F.array(*[F.when(r.within & r.violates, F.lit(r.rule_id)) for r in rules]))
+    return df.select(F.explode(hits).alias("rule_id"), row_key(keys).alias("row_key"))
+
+
 def uniqueness_samples(df: DataFrame, rule: UniqueRule, keys: Sequence[str], cap: int = 100) -> DataFrame:
     """Rows in scope of shared keys."""
     rows = df.where(rule.within)

@@ -70,16 +70,21 @@ def records_affected_floor(verdicts: DataFrame, samples: DataFrame) -> DataFrame
     return out.select("floor", F.when(F.col("_some"), F.col("checks")).otherwise(0).cast("long").alias("checks"), F.when(F.col("_some"), F.col("truncated")).otherwise(none).alias("truncated"), (F.col("_some") & (F.size("truncated") == 0)).alias("exact"))
 
 
-def records_affected(sketches: DataFrame, by: list[str], lg: int) -> DataFrame:
+def records_affected(sketches: DataFrame, by: list[str], lg: int, keys: DataFrame | None = None) -> DataFrame:
     """``by``, records (distinct keys under all rules' sketches together), exact, low and high.
 
     sketches: ``by`` and key_sketch, from ``checks.key_sketches`` with this ``lg``; keys of different tables must not meet, so ``by`` has the table, or the sum over tables is taken after.
-    Beyond 2**lg keys, low and high are three standard errors away.
+    From 2**lg keys on a sketch only estimates, never less than 2**lg; low and high are three standard errors away. With ``keys`` (``by`` and row_key, from ``checks.violating_keys``
+    over the same rows) those groups, and no others, are counted by their distinct keys instead.
     """
     made = sketches.groupBy(*by).agg(F.theta_sketch_estimate(F.theta_union_agg("key_sketch", lg)).alias("records"))
-    exact = F.col("records") <= (1 << lg)
-    error = F.when(exact, 0.0).otherwise(3.0 / (1 << lg) ** 0.5)
-    return made.withColumns({"exact": exact, "low": F.floor(F.col("records") * (1 - error)), "high": F.ceil(F.col("records") * (1 + error))})
+    exact = F.col("records") < (1 << lg)
+    if keys is not None:
+        large = keys.join(made.where(~exact).select(*by), by, "left_semi").select(*by, "row_key").distinct()
+        made = made.join(large.groupBy(*by).agg(F.count("*").alias("_exact")), by, "left").withColumn("records", F.coalesce("_exact", "records"))
+        exact = exact | F.col("_exact").isNotNull()
+    error = F.when(F.col("exact"), 0.0).otherwise(3.0 / (1 << lg) ** 0.5)
+    return made.withColumn("exact", exact).select(*by, "records", "exact", F.floor(F.col("records") * (1 - error)).alias("low"), F.ceil(F.col("records") * (1 + error)).alias("high"))
 
 
 def quality_by(verdicts: DataFrame, by: str) -> DataFrame:

@@ -58,6 +58,18 @@ def test_key_sketches(spark):
     assert (both.records, both.exact) == (900, True)
 
 
+def test_keys_beyond_a_sketch_are_counted(spark):
+    """16 keys fill a sketch of lg 4; groups of fewer, as many and more."""
+    df = spark.range(3000).withColumn("k", F.col("id") % 1000).repartition(3)
+    rules = [RowRule(f"below_{n}", "t", violates=F.col("k") < n) for n in (0, 15, 16, 17, 18, 900)]
+    made, keys = checks.key_sketches(df, rules, ["k"], lg=4), checks.violating_keys(df, rules, ["k"])
+    got = metrics.records_affected(made, ["rule_id"], 4, keys).collect()
+    assert {(r.rule_id, r.records, r.exact, r.low, r.high) for r in got} == {(f"below_{n}", n, True, n, n) for n in (0, 15, 16, 17, 18, 900)}
+    every = [x.withColumn("rule_id", F.lit("all")) for x in (made, keys)]
+    assert [tuple(r) for r in metrics.records_affected(every[0], ["rule_id"], 4, every[1]).collect()] == [("all", 900, True, 900, 900)]
+    assert all(not r.exact for r in metrics.records_affected(made, ["rule_id"], 4).where("records >= 16").collect())
+
+
 def test_samples_leave_a_task_bounded(spark):
     df = spark.range(20_000).repartition(4).withColumn("text", F.repeat(F.lit("x"), 50))
     rules = [RowRule("all", "t", violates=F.col("id") >= 0), RowRule("few", "t", violates=F.col("id") % 5000 == 0)]
