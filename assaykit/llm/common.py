@@ -244,6 +244,24 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: Bits of a sieve.
+SIEVE = 1 << 24
+
+
+def sieve(keys: DataFrame) -> DataFrame:
+    """(word, bits): which hashes the rows of ``keys`` have, in SIEVE / 64 rows at most however many keys there are."""
+    slots = keys.select(F.pmod(F.xxhash64(*keys.columns), F.lit(SIEVE)).alias("slot"))
+    return cut(slots.groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")))
+
+
+def sieved(df: DataFrame, keys: list[str], made: DataFrame, name: str) -> DataFrame:
+    """df with a boolean column ``name``, false only where the keys are certainly not among those of the sieve ``made``. A full sieve lets all rows through, which costs rows alone."""
+    word, bits = (free_name(df.columns, c) for c in ("word", "bits"))
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SIEVE))
+    met = df.withColumn(word, F.shiftright(slot, 6)).join(F.broadcast(made.select(F.col("word").alias(word), F.col("bits").alias(bits))), word, "left")
+    return met.withColumn(name, F.coalesce(F.getbit(bits, slot.bitwiseAND(63).cast("int")) == 1, F.lit(False))).drop(word, bits)
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column, most: int = 1000) -> DataFrame:
     """left outer join of strings ``key``, which are unique in right; ``weight`` (dropped): how many rows of left have the key.
 

@@ -15,15 +15,15 @@ of at least ``width`` words that occurs twice is removed whole; a clashing extra
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import Rolling, Words, free_name, mix, pieces, spread, text_groups, text_key
-from assaykit.llm.repeats import open_marks, per_text, row_spans, window_rows
+from assaykit.llm.common import Rolling, Words, free_name, mix, pieces, spread, text_groups
+from assaykit.llm.repeats import open_marks, per_row, per_text, row_spans, window_rows
 from assaykit.llm.suffix_index import sample
 
 
@@ -128,12 +128,12 @@ def word_hashes(raw: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return lengths // 8, np.frombuffer(raw, np.uint64)
 
 
-def word_finish(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Removes the covered words with the white space after each."""
+def word_finish(batches: Iterator[pa.RecordBatch], width: int, keep: Sequence[str] = ("h1", "h2"), marks: str = "marks", spans: str = "spans") -> Iterator[pa.RecordBatch]:
+    """Removes the covered words with the white space after each. The columns ``keep`` pass."""
     parse = Parse(width)
     for batch, data, offsets in text_groups(batches):
         words = Words(data, offsets)
-        row, start, end = row_spans(batch, words.count, width, parse.back, parse.margin)
+        row, start, end = row_spans(batch, words.count, width, parse.back, parse.margin, marks, spans)
         gone = np.zeros(len(data) + 1, np.int32)
         edge = np.append(words.start, len(data))
         first, last = words.first[row] + start, words.first[row] + end
@@ -141,28 +141,23 @@ def word_finish(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
         np.add.at(gone, np.minimum(edge[last], offsets[row + 1]), -1)
         kept = np.cumsum(gone[:-1]) == 0
         left = np.concatenate([[0], np.cumsum(kept)])[offsets]
-        spans = np.searchsorted(row, np.arange(len(words.count) + 1))
+        ends = np.searchsorted(row, np.arange(len(words.count) + 1))
         pairs = pa.StructArray.from_arrays([pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], ["start", "end"])
         body = pa.Array.from_buffers(pa.string(), len(words.count), [None, pa.py_buffer(left.astype(np.int32)), pa.py_buffer(data[kept].tobytes())])
-        yield from pieces(pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(words.count), body, pa.ListArray.from_arrays(pa.array(spans.astype(np.int32)), pairs)], names=["h1", "h2", "n_words", "kept", "spans"]), 1000)
+        yield from pieces(pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(words.count), body, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)], names=[*keep, *(free_name(list(keep), c) for c in ("n_words", "kept", "spans"))]), 1000)
+
+
+def _family(width: int) -> tuple:
+    """What ``per_text`` and ``per_row`` take after docs."""
+    steps = (functools.partial(f, width=width) for f in (word_anchors, word_windows))
+    return *steps, word_hashes, functools.partial(word_finish, width=width), "n_words long, kept string, spans array<struct<start: long, end: long>>"
 
 
 def repeated_words(docs: DataFrame, width: int = 35) -> DataFrame:
     """Per distinct text: h1, h2, n_words, kept (the text without the removed words), spans (removed runs of word numbers)."""
-    return per_text(
-        docs,
-        functools.partial(word_anchors, width=width),
-        functools.partial(word_windows, width=width),
-        word_hashes,
-        functools.partial(word_finish, width=width),
-        "n_words long, kept string, spans array<struct<start: long, end: long>>",
-    )
+    return per_text(docs, *_family(width))
 
 
 def remove_repeated_words(docs: DataFrame, width: int = 35) -> DataFrame:
     """The rows of ``docs`` with added columns n_words, kept and spans. A text that loses nothing stays as it is."""
-    made = repeated_words(docs, width)
-    names = {c: free_name(docs.columns, c) for c in ("n_words", "kept", "spans")}
-    keys = {k: free_name(docs.columns, k) for k in ("h1", "h2")}
-    made = made.select(*[F.col(k).alias(v) for k, v in (keys | names).items()])
-    return docs.withColumns({keys[k]: c for k, c in zip(("h1", "h2"), text_key(F.col("text")), strict=True)}).join(made, list(keys.values()), "left").drop(*keys.values())
+    return per_row(docs, *_family(width))

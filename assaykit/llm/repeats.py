@@ -5,7 +5,7 @@
 2. ``IndexFamily`` takes the anchors of one slice of the name space and says which are met again.
 3. Anchors with equal contexts are settled. For those with equal names but unequal contexts, the windows themselves are compared: rows meet by
    the half of their surroundings that the windows share, and a large group is dealt anew by single windows.
-4. Covered spans are merged per text and joined to the rows.
+4. Covered spans are merged per text, or joined to the rows of the texts that have any.
 
 Hot groups: a task sends two anchors of a class at most, and deals the others out evenly, as they are met again for certain; names that many of a sample
 of texts hold are dealt by class instead of by name, and always compared by windows. Which names these are changes the work and never the result.
@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from assaykit.llm.common import mix, pieces, spread, text_key
+from assaykit.llm.common import cut, free_name, mix, pieces, sieve, sieved, spread, text_key
 
 #: route: what an anchor is dealt by. order: its first bytes as numbers, by which the index is sorted. sure: it is met again for certain.
 ANCHORS = "route long, order1 long, order2 long, name long, context long, h1 long, h2 int, pos int, sure boolean"
@@ -314,6 +315,21 @@ def frequent_names(texts: DataFrame, anchors: Callable) -> np.ndarray:
     return np.array(sorted(r.name for r in found.select("name").collect()), np.int64)
 
 
+def _found(keyed: DataFrame, anchors: Callable) -> DataFrame:
+    """The lists of marks of texts (h1, h2, text) that have any: anchors that are met again, settled or not."""
+    frequent = frequent_names(keyed, anchors)
+    dealt = keyed.mapInArrow(lambda batches: deal(batches, anchors, frequent), ANCHORS).repartition("route")
+    found = dealt.mapInArrow(lambda batches: match_anchors(batches, frequent), FOUND)
+    return found.groupBy("h1", "h2").agg(F.collect_set(F.struct("pos", "name", "settled")).alias("marks"))
+
+
+def _reached(opened: DataFrame, expand: Callable) -> DataFrame:
+    """The lists of spans of texts whose windows occur twice. opened: WINDOWS."""
+    reach = opened.repartition("name").sortWithinPartitions("name").mapInArrow(lambda batches: windows_reach(batches, expand), REACH)
+    reach = reach.repartition("key").sortWithinPartitions("key").mapInArrow(single_windows, REACH)
+    return reach.groupBy("h1", "h2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+
+
 def per_text(docs: DataFrame, anchors: Callable, windows: Callable, expand: Callable, finish: Callable, schema: str) -> DataFrame:
     """One row per distinct text of ``docs``: h1, h2 and what ``finish`` makes of the text and its repeated windows.
 
@@ -322,19 +338,34 @@ def per_text(docs: DataFrame, anchors: Callable, windows: Callable, expand: Call
     The marked texts and the final join read the same two shuffles: ``texts`` and ``lists`` keep all their columns in both.
     """
     keyed = docs.select(*text_key(F.col("text")), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    frequent = frequent_names(keyed, anchors)
-    dealt = keyed.mapInArrow(lambda batches: deal(batches, anchors, frequent), ANCHORS).repartition("route")
-    found = dealt.mapInArrow(lambda batches: match_anchors(batches, frequent), FOUND)
+    lists = _found(keyed, anchors)
     texts = keyed.groupBy("h1", "h2").agg(F.first("text").alias("text"))
-    lists = found.groupBy("h1", "h2").agg(F.collect_set(F.struct("pos", "name", "settled")).alias("marks"))
-    opened = texts.join(lists, ["h1", "h2"]).mapInArrow(windows, WINDOWS)
-    reach = opened.repartition("name").sortWithinPartitions("name").mapInArrow(lambda batches: windows_reach(batches, expand), REACH)
-    reach = reach.repartition("key").sortWithinPartitions("key").mapInArrow(single_windows, REACH)
-    spans = reach.groupBy("h1", "h2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    spans = _reached(texts.join(lists, ["h1", "h2"]).mapInArrow(windows, WINDOWS), expand)
     whole = texts.join(lists, ["h1", "h2"], "left").join(spans, ["h1", "h2"], "left")
     return whole.mapInArrow(finish, f"h1 long, h2 int, {schema}")
 
 
+def per_row(docs: DataFrame, anchors: Callable, windows: Callable, expand: Callable, finish: Callable, schema: str) -> DataFrame:
+    """The rows of ``docs`` with the columns of ``schema``, renamed where docs has such a name; arguments as in ``per_text``.
+
+    finish(batches, keep=, marks=, spans=) gives the columns keep before those of schema. Only texts with marks are shuffled: once for the windows of those with
+    marks that are not settled, and once with their rows; a sieve lets the other rows stay where they are.
+    """
+    keyed = docs.select(*text_key(F.col("text")), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    lists = cut(_found(keyed, anchors))
+    unsettled = lists.where(F.exists("marks", lambda m: ~m["settled"]))
+    texts = sieved(keyed, ["h1", "h2"], sieve(unsettled.select("h1", "h2")), "open").where("open").groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    spans = _reached(texts.join(unsettled, ["h1", "h2"]).mapInArrow(windows, WINDOWS), expand)
+    h1, h2, marks, reached, hit = (free_name([*docs.columns, "word", "bits"], c) for c in ("h1", "h2", "marks", "spans", "hit"))
+    lost = lists.join(spans, ["h1", "h2"], "left").select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("marks").alias(marks), F.col("spans").alias(reached))
+    rows = sieved(docs.withColumns(dict(zip((h1, h2), text_key(F.col("text")), strict=True))), [h1, h2], sieve(lists.select("h1", "h2")), hit)
+    some = rows.where(hit).drop(hit).join(lost, [h1, h2], "left").drop(h1, h2)
+    others = rows.where(~F.col(hit)).drop(hit, h1, h2).withColumns({c: F.lit(None).cast(lost.schema[c].dataType) for c in (marks, reached)})
+    out = T.StructType([*docs.schema, *(T.StructField(free_name(docs.columns, f.name), f.dataType) for f in T.StructType.fromDDL(schema))])
+    columns = docs.columns
+    return some.unionByName(others).mapInArrow(lambda batches: finish(batches, keep=columns, marks=marks, spans=reached), out)
+
+
 def open_marks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, position, name) of the marks that are not settled."""
     count, (pos, name, settled) = marked(batch, "marks", "pos", "name", "settled")
@@ -347,12 +378,12 @@ def window_rows(batch: pa.RecordBatch, row: np.ndarray, pos: np.ndarray, name: n
     yield from pieces(pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(key[0], pa.int64()), pa.array(key[1], pa.int32()), pa.array(pos, pa.int32()), pa.array(lo, pa.int32()), pa.array(values, pa.binary())], names=["name", "h1", "h2", "pos", "lo", "windows"]), 4096)
 
 
-def row_spans(batch: pa.RecordBatch, sizes: np.ndarray, width: int, back: int, ahead: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def row_spans(batch: pa.RecordBatch, sizes: np.ndarray, width: int, back: int, ahead: int = 0, marks: str = "marks", spans: str = "spans") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) of the merged covered spans; a settled mark stands for all windows from ``back`` to ``ahead`` before it."""
-    count, (pos, settled) = marked(batch, "marks", "pos", "settled")
+    count, (pos, settled) = marked(batch, marks, "pos", "settled")
     row = np.repeat(np.arange(batch.num_rows), count)[settled]
     pos = pos[settled].astype(np.int64)
-    more, (first, last) = marked(batch, "spans", "first", "last")
+    more, (first, last) = marked(batch, spans, "first", "last")
     row = np.concatenate([row, np.repeat(np.arange(batch.num_rows), more)])
     first = np.concatenate([pos - back, first.astype(np.int64)])
     last = np.concatenate([pos - ahead, last.astype(np.int64)])

@@ -8,8 +8,10 @@
    traversal drops node pairs whose sizes or whose largest possible overlap rule a link out, and pairs that are one component
    already; what is left is compared exactly.
 4. Wide groups are cut into blocks. First each block is searched with some sets of the whole group in it, so a family of near copies is
-   one component at a cost linear in its size. Then the sets outside a group's largest component, few in a family, meet
-   all its blocks and each other. Every pair of a group is in some cell, or in one component before.
+   one component at a cost linear in its size. Chance ties chain unrelated sets to groups that grow faster than the input, so from there on a wide group's sets meet by
+   their parts: the sets that share a part and are not one component yet are a cell, once for parts of the same sets. Sets that share a part with very many others form
+   groups of their own; in these the sets outside the largest component, few in a family, meet all blocks and each other. Every pair that shares a part is in some cell, or
+   in one component before.
 5. Components of the links found.
 
 No partner or candidate is capped. Edge cases: null or blank text has an empty set and links with nothing; fewer words than
@@ -27,12 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.llm.common import Rolling, Words, components, cut, free_name, mix, pieces, text_groups
+from assaykit.llm.common import CHUNK, Rolling, Words, components, cut, free_name, mix, pieces, sieve, sieved, text_groups
 
 #: Upper ends of the size levels; each is half as large again as the one before.
 LEVELS = np.array([1, 2, 3, 4] + [int(4 * 1.5**i) for i in range(1, 50)], np.int64)
 #: A task's share of one group: sets, and bytes of sets.
 BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
+#: A part of a wide group that more than one set in so many of a block shares is no cell of its own.
+HOT = 8
 #: Sets of a wide group that all its blocks see.
 SEEN_BY_ALL = 8
 FAN = 16
@@ -168,6 +172,13 @@ def open_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         yield from pieces(pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), body], names=[*names, "tokens"]), 2000)
 
 
+def post_sets(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The parts of sets (s, tokens) -> (key, s)."""
+    for batch, data, offsets in text_groups(batches, "tokens", 4 * CHUNK):
+        row, key = part_keys(data.view(np.uint64), np.diff(offsets) // 8, num, den)
+        yield from pieces(pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(batch.column("s").to_numpy()[row])], names=["key", "s"]))
+
+
 class Union:
     def __init__(self, of: np.ndarray) -> None:
         self.of = of  # a label per component
@@ -319,10 +330,14 @@ def _cell(kind: int, i: Column, j: Column, side: int = 0) -> Column:
     return F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
 
 
+def _level_bytes(s: str) -> Column:
+    """The bytes of a set of the level that its name has: its own bytes at most."""
+    return F.element_at(F.array(*[F.lit(int(8 * x)) for x in LEVELS]), (F.col(s).bitwiseAND(63) + 1).cast("int"))
+
+
 def _blocks(s: str) -> Column:
-    """The blocks that a group of sets needs. A set's size is that of its level at most."""
-    level_bytes = F.element_at(F.array(*[F.lit(int(8 * x)) for x in LEVELS]), (F.col(s).bitwiseAND(63) + 1).cast("int"))
-    return F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(level_bytes) / BLOCK_BYTES)).cast("int")
+    """The blocks that a group of sets needs."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(_level_bytes(s)) / BLOCK_BYTES)).cast("int")
 
 
 def _block(blocks: str) -> Column:
@@ -330,12 +345,32 @@ def _block(blocks: str) -> Column:
 
 
 def _across(held: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between blocks. held: the sets of wide groups; found: components of the links within blocks.
+    """Links between components of wide groups. held: the sets of wide groups; found: components of the links within blocks.
+
+    A cell for each part that several components share; of parts with the same sets one is enough.
+    """
+    known = held.select("s").join(found.select(F.col("node").alias("s"), F.col("root").alias("lead")), "s", "left").select("s", F.coalesce("lead", "s").alias("known"))
+    posted = cut(held.select("s", "tokens").mapInArrow(functools.partial(post_sets, num=num, den=den), "key long, s long").join(known, "s").select("key", "s", "known"))
+    hot = (F.count("*") * HOT > BLOCK_SETS) | (F.sum(_level_bytes("s")) > BLOCK_BYTES)
+    same = F.struct(F.count("*"), F.min("s"), F.max("s"), F.bit_xor(F.xxhash64("s")))
+    shared = cut(posted.groupBy("key").agg((F.min("known") != F.max("known")).alias("open"), hot.alias("hot"), same.alias("same")).where("open"))
+    cold = posted.join(shared.where("not hot").groupBy("same").agg(F.min("key").alias("key")).select("key"), "key").select(F.col("key").alias("root"), "s", "known")
+    links = _links(cold.join(held.select("s", "tokens"), "s"), F.array(_cell(0, F.lit(0), F.lit(0))), num, den)
+    hot = shared.where("hot").select("key")
+    if hot.isEmpty():
+        return links
+    edges = posted.join(hot, "key").select("key", "s").repartition("key").sortWithinPartitions("key", "s").mapInArrow(star_edges, "a long, b long")
+    groups = components(edges).withColumnRenamed("node", "s")
+    ids = groups.join(groups.groupBy("root").agg(_blocks("s").alias("blocks")), "root").join(known, "s")
+    return links.unionByName(_between_blocks(held.select("s", "tokens"), cut(ids), num, den))
+
+
+def _between_blocks(held: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:
+    """Links in groups. held: sets (s, tokens); ids: (root, blocks, s, known), known being a label of each set's component so far.
 
     A group's largest component needs no search in itself. Sets outside it are dealt to blocks of their own, which meet each other
     (cells of kind 0) and the largest component's blocks (kind 1).
     """
-    ids = held.select("root", "blocks", "s").join(found.select(F.col("node").alias("s"), F.col("root").alias("lead")), "s", "left").withColumn("known", F.coalesce("lead", "s"))
     per = ids.groupBy("root", "known").agg(F.count("*").alias("n"))
     largest = per.groupBy("root").agg(F.max_by("known", F.struct("n", "known")).alias("largest"))
     ids = ids.join(largest, "root").withColumn("inner", F.col("known") == F.col("largest"))
@@ -345,7 +380,7 @@ def _across(held: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
     all_rest, all_blocks = F.sequence(F.lit(0), F.col("rest") - 1), F.sequence(F.lit(0), F.col("blocks") - 1)
     outside = F.concat(F.transform(all_rest, lambda q: _cell(0, F.least(mine, q), F.greatest(mine, q))), F.transform(all_blocks, lambda j: _cell(1, mine, j, 1)))
     inside = F.transform(all_rest, lambda q: _cell(1, q, own, 2))
-    return _links(held.select("s", "tokens").join(ids, "s"), F.when(F.col("inner"), inside).otherwise(outside), num, den)
+    return _links(held.join(ids, "s"), F.when(F.col("inner"), inside).otherwise(outside), num, den)
 
 
 def set_components(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -363,7 +398,8 @@ def set_components(texts: DataFrame, words: int, num: int, den: int) -> DataFram
         groups = groups.withColumns({"blocks": F.lit(1), "seen": F.lit(False)})
     groups = groups.select("root", F.coalesce("blocks", F.lit(1)).alias("blocks"), F.coalesce("seen", F.lit(False)).alias("seen"), "s")
     named = texts.mapInArrow(functools.partial(add_sets, k=words, columns=["text"], names=["s", "size"], text="text"), "text string, s long, size long")
-    members = named.where("s <> -1").groupBy("s").agg(F.first("text").alias("text")).join(groups, "s").select("root", "blocks", "seen", "s", "text")
+    named = sieved(named, ["s"], sieve(groups.select("s")), "grouped").where("grouped and s <> -1")  # most texts are in no group, and go no further
+    members = named.groupBy("s").agg(F.first("text").alias("text")).join(groups, "s").select("root", "blocks", "seen", "s", "text")
     sets = members.mapInArrow(functools.partial(open_sets, k=words), "root long, blocks int, seen boolean, s long, tokens binary")
     if some_wide:
         sets = cut(sets)  # read again below
@@ -398,14 +434,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` with one row of each component: that with the smallest doc_id (nulls last). Rows without words stay."""
+    """The rows of ``docs`` with one row of each component: that with the smallest doc_id (nulls last). Rows without words stay.
+
+    Only rows whose set another row has too, or that links, are shuffled: a sieve lets the others stay where they are.
+    """
     found = set_components(docs, words, num, den)
-    s, n = (free_name([*docs.columns, "root", "node", "lead", "row"], x) for x in ("set_id", "n_shingles"))
-    rows = with_sets(docs, docs.columns, words, s, n)
+    s, n, doubt = (free_name([*docs.columns, "root", "node", "lead", "row"], x) for x in ("set_id", "n_shingles", "doubt"))
+    copies = with_sets(docs.select("text"), [], words, s, n).groupBy(s).agg(F.count("*").alias(n)).where(f"{n} > 1")
+    rows = sieved(with_sets(docs, docs.columns, words, s, n), [s], sieve(copies.select(s).unionByName(found.select(F.col("node").alias(s)))), doubt)
+    doubtful = F.col(doubt) & (F.col(s) != -1)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"))
-    first = rows.where(F.col(s) != -1).groupBy(s).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    first = rows.where(doubtful).groupBy(s).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("row"))
     named = first.join(found.select(F.col("node").alias(s), "root"), s, "left").withColumn("root", F.coalesce("root", s))
     order = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.col(s))
     lead = named.groupBy("root").agg(F.min_by(s, order).alias("lead"))
     kept = named.join(lead.select(F.col("lead").alias(s)), s, "left_semi").select("row.*")
-    return kept.unionByName(rows.where(F.col(s) == -1).select(*docs.columns))
+    return kept.unionByName(rows.where(~doubtful).select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm.common import Rolling, cut, free_name, mix, pieces, text_groups, text_key
-from assaykit.llm.repeats import open_marks, per_text, row_spans, window_rows
+from assaykit.llm.repeats import open_marks, per_row, per_text, row_spans, window_rows
 
 GRAM = 48
 #: Bits of a window's sort key that hold the position, so that the leftmost of equal strings is chosen.
@@ -113,41 +113,36 @@ def byte_hashes(raw: bytes, lengths: np.ndarray, width: int) -> tuple[np.ndarray
     return count, Rolling(np.frombuffer(raw, np.uint8)).of(start, start + width)
 
 
-def byte_finish(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def byte_finish(batches: Iterator[pa.RecordBatch], width: int, keep: Sequence[str] = ("h1", "h2"), marks: str = "marks", spans: str = "spans") -> Iterator[pa.RecordBatch]:
     back = width - min(GRAM, width)
     for batch, data, offsets in text_groups(batches):
         sizes = np.diff(offsets)
-        row, start, end = row_spans(batch, sizes, width, back)
+        row, start, end = row_spans(batch, sizes, width, back, marks=marks, spans=spans)
         gone = np.zeros(len(data) + 1, np.int32)
         np.add.at(gone, offsets[row] + start, 1)
         np.add.at(gone, offsets[row] + end, -1)
         kept = np.cumsum(gone[:-1]) == 0
         left = np.concatenate([[0], np.cumsum(kept)])[offsets]
-        spans = np.searchsorted(row, np.arange(len(sizes) + 1))
+        ends = np.searchsorted(row, np.arange(len(sizes) + 1))
         pairs = pa.StructArray.from_arrays([pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], ["start", "end"])
         body = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(left.astype(np.int32)), pa.py_buffer(data[kept].tobytes())])
-        yield from pieces(pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(sizes), body, pa.ListArray.from_arrays(pa.array(spans.astype(np.int32)), pairs)], names=["h1", "h2", "n_bytes", "kept", "spans"]), 1000)
+        yield from pieces(pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sizes), body, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)], names=[*keep, *(free_name(list(keep), c) for c in ("n_bytes", "kept", "spans"))]), 1000)
+
+
+def _family(width: int) -> tuple:
+    """What ``per_text`` and ``per_row`` take after docs."""
+    steps = (functools.partial(f, width=width) for f in (byte_anchors, byte_windows, byte_hashes, byte_finish))
+    return *steps, "n_bytes long, kept binary, spans array<struct<start: long, end: long>>"
 
 
 def repeated_bytes(docs: DataFrame, width: int = 200) -> DataFrame:
     """Per distinct text: h1, h2, n_bytes, kept (binary), spans (the removed runs as byte start and end)."""
-    return per_text(
-        docs,
-        functools.partial(byte_anchors, width=width),
-        functools.partial(byte_windows, width=width),
-        functools.partial(byte_hashes, width=width),
-        functools.partial(byte_finish, width=width),
-        "n_bytes long, kept binary, spans array<struct<start: long, end: long>>",
-    )
+    return per_text(docs, *_family(width))
 
 
 def remove_repeated_bytes(docs: DataFrame, width: int = 200) -> DataFrame:
     """The rows of ``docs`` with added columns n_bytes, kept (binary) and spans."""
-    made = repeated_bytes(docs, width)
-    names = {c: free_name(docs.columns, c) for c in ("n_bytes", "kept", "spans")}
-    keys = {k: free_name(docs.columns, k) for k in ("h1", "h2")}
-    made = made.select(*[F.col(k).alias(v) for k, v in (keys | names).items()])
-    return docs.withColumns({keys[k]: c for k, c in zip(("h1", "h2"), text_key(F.col("text")), strict=True)}).join(made, list(keys.values()), "left").drop(*keys.values())
+    return per_row(docs, *_family(width))
 
 
 class SuffixIndex:

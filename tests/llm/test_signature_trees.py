@@ -4,7 +4,9 @@ import re
 import numpy as np
 import pytest
 
-from assaykit.llm import signature_trees
+from pyspark.sql import functions as F
+
+from assaykit.llm import common, signature_trees
 from assaykit.llm.signature_trees import SignatureTree, difference, keep_one, near_duplicates, part_keys
 
 
@@ -83,6 +85,37 @@ def test_wide_groups_against_brute_force(spark, monkeypatch, block):
     assert got == brute(rows, 2, 1, 2)
 
 
+def test_chained_sets_take_cells_in_proportion(spark, monkeypatch):
+    """Unrelated sets, each tied to the next by a passage, are one wide group; they do not meet block by block."""
+    monkeypatch.setattr(signature_trees, "BLOCK_SETS", 40)
+    links, dealt = signature_trees._links, []
+
+    def counted(sets, cells, num, den):
+        dealt.append(sets.select(F.explode(cells)).count())
+        return links(sets, cells, num, den)
+
+    monkeypatch.setattr(signature_trees, "_links", counted)
+    rng = random.Random(9)
+    passages = [[f"w{rng.randrange(3000)}" for _ in range(30)] for _ in range(402)]
+    rows = [(i, " ".join(w for p in passages[i : i + 3] for w in p)) for i in range(400)]
+    rows += [(400 + i, f"{t} end") for i, (_, t) in enumerate(rows[::20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in near_duplicates(docs, 5, 4, 5, ["doc_id"]).collect()), key=str)
+    assert got == brute(rows, 5, 4, 5)
+    assert len(dealt) >= 2 and sum(dealt) < 10 * len(rows), dealt
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_sieve(spark, monkeypatch, bits):
+    """No key is lost, and a large sieve lets few others through."""
+    monkeypatch.setattr(common, "SIEVE", bits)
+    made = common.sieve(spark.range(0, 3000, 3).select(F.col("id").alias("s")))
+    rows = common.sieved(spark.range(3000).select(F.col("id").alias("word")), ["word"], made, "inside")
+    assert rows.columns == ["word", "inside"] and rows.count() == 3000 and made.count() <= bits / 64
+    assert rows.where("word % 3 = 0 and not inside").count() == 0
+    assert (rows.where("word % 3 <> 0 and inside").count() < 20) == (bits > 64)
+
+
 def test_sides_of_a_tree():
     """Sets of one side are not compared, and sets of components that are known are not linked again."""
     sets = [np.arange(i, i + 100, dtype=np.uint64) for i in range(4)]
@@ -119,6 +152,11 @@ def test_keep_one(spark):
     assert sum(1 for i, _ in kept if i is None) == 1
 
 
+def test_keep_one_with_a_full_sieve(spark, monkeypatch):
+    monkeypatch.setattr(common, "SIEVE", 64)
+    test_keep_one(spark)
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(none).count() == 0
