@@ -8,9 +8,9 @@
    traversal drops node pairs whose sizes or whose largest possible overlap rule a link out, and pairs that are one component
    already; what is left is compared exactly.
 4. Wide groups are cut into blocks. First each block is searched with some sets of the whole group in it, so a family of near copies is
-   one component at a cost linear in its size. Chance ties chain unrelated sets to groups that grow faster than the input, so from there on a wide group's sets meet by
+   one component at a cost linear in its size. Chance ties chain unrelated sets to groups that grow faster than the input, so from there on their sets meet by
    their parts: the sets that share a part and are not one component yet are a cell, once for parts of the same sets. Sets that share a part with very many others form
-   groups of their own; in these the sets outside the largest component, few in a family, meet all blocks and each other. Every pair that shares a part is in some cell, or
+   groups of their own; in these, and in wide groups where it deals out fewer rows, the sets outside the largest component, few in a family, meet all blocks and each other. Every pair that shares a part is in some cell, or
    in one component before.
 5. Components of the links found.
 
@@ -347,22 +347,29 @@ def _block(blocks: str) -> Column:
 def _across(held: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
     """Links between components of wide groups. held: the sets of wide groups; found: components of the links within blocks.
 
-    A cell for each part that several components share; of parts with the same sets one is enough.
+    Either a cell for each part that several components share, one for parts of the same sets, or the group's blocks, whichever deals out fewer rows: parts
+    for chains of unrelated sets, blocks for a family of near copies with few sets outside its largest component.
     """
-    known = held.select("s").join(found.select(F.col("node").alias("s"), F.col("root").alias("lead")), "s", "left").select("s", F.coalesce("lead", "s").alias("known"))
-    posted = cut(held.select("s", "tokens").mapInArrow(functools.partial(post_sets, num=num, den=den), "key long, s long").join(known, "s").select("key", "s", "known"))
+    lead = found.select(F.col("node").alias("s"), F.col("root").alias("lead"))
+    ids = cut(held.select("root", "blocks", "s").join(lead, "s", "left").select("root", "blocks", "s", F.coalesce("lead", "s").alias("known")))
+    posted = cut(held.select("s", "tokens").mapInArrow(functools.partial(post_sets, num=num, den=den), "key long, s long").join(ids, "s").select("root", "key", "s", "known"))
     hot = (F.count("*") * HOT > BLOCK_SETS) | (F.sum(_level_bytes("s")) > BLOCK_BYTES)
     same = F.struct(F.count("*"), F.min("s"), F.max("s"), F.bit_xor(F.xxhash64("s")))
-    shared = cut(posted.groupBy("key").agg((F.min("known") != F.max("known")).alias("open"), hot.alias("hot"), same.alias("same")).where("open"))
-    cold = posted.join(shared.where("not hot").groupBy("same").agg(F.min("key").alias("key")).select("key"), "key").select(F.col("key").alias("root"), "s", "known")
+    shared = posted.groupBy("root", "key").agg((F.min("known") != F.max("known")).alias("open"), hot.alias("hot"), same.alias("same"), F.count("*").alias("n")).where("open")
+    shared = cut(shared.groupBy("root", "hot", F.when(F.col("hot"), F.col("key")).alias("each"), "same", "n").agg(F.min("key").alias("key")))
+    outside = F.sum("n") - F.max("n")
+    rest = F.ceil(outside / BLOCK_SETS)
+    by_blocks = ids.groupBy("root", "blocks", "known").agg(F.count("*").alias("n")).groupBy("root", "blocks").agg((outside * (rest + F.col("blocks")) + F.max("n") * rest).alias("most"))
+    by_parts = shared.groupBy("root").agg(F.sum("n").alias("rows"))
+    chosen = cut(by_blocks.join(by_parts, "root").select("root", (F.col("rows") < F.col("most")).alias("parts")))  # a group without open parts needs no more search
+    cells = shared.join(chosen.where("parts"), "root").select("root", "key", "hot")
+    cold = posted.join(cells.where("not hot").select("key"), "key").select(F.col("key").alias("root"), "s", "known")
     links = _links(cold.join(held.select("s", "tokens"), "s"), F.array(_cell(0, F.lit(0), F.lit(0))), num, den)
-    hot = shared.where("hot").select("key")
-    if hot.isEmpty():
-        return links
-    edges = posted.join(hot, "key").select("key", "s").repartition("key").sortWithinPartitions("key", "s").mapInArrow(star_edges, "a long, b long")
+    edges = posted.join(cells.where("hot").select("key"), "key").select("key", "s").repartition("key").sortWithinPartitions("key", "s").mapInArrow(star_edges, "a long, b long")
     groups = components(edges).withColumnRenamed("node", "s")
-    ids = groups.join(groups.groupBy("root").agg(_blocks("s").alias("blocks")), "root").join(known, "s")
-    return links.unionByName(_between_blocks(held.select("s", "tokens"), cut(ids), num, den))
+    hot_ids = groups.join(groups.groupBy("root").agg(_blocks("s").alias("blocks")), "root").join(ids.select("s", "known"), "s")
+    blocked = ids.join(chosen.where("not parts").select("root"), "root").select(hot_ids.columns)
+    return links.unionByName(_between_blocks(held.select("s", "tokens"), cut(hot_ids.unionByName(blocked)), num, den))
 
 
 def _between_blocks(held: DataFrame, ids: DataFrame, num: int, den: int) -> DataFrame:

@@ -96,8 +96,8 @@ def test_chained_sets_take_cells_in_proportion(spark, monkeypatch):
 
     monkeypatch.setattr(signature_trees, "_links", counted)
     rng = random.Random(9)
-    passages = [[f"w{rng.randrange(3000)}" for _ in range(30)] for _ in range(402)]
-    rows = [(i, " ".join(w for p in passages[i : i + 3] for w in p)) for i in range(400)]
+    passages = [[f"w{rng.randrange(3000)}" for _ in range(30)] for _ in range(403)]
+    rows = [(i, " ".join(w for p in passages[i : i + 4] for w in p)) for i in range(400)]
     rows += [(400 + i, f"{t} end") for i, (_, t) in enumerate(rows[::20])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((tuple(r) for r in near_duplicates(docs, 5, 4, 5, ["doc_id"]).collect()), key=str)
